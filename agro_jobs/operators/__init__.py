@@ -1,0 +1 @@
+"""Operators of the weather and question-log jobs."""

@@ -1,0 +1 @@
+"""Plans of the weather and question-log jobs."""

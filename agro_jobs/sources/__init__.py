@@ -1,0 +1 @@
+"""Sources of the weather and question-log jobs."""

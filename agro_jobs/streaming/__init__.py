@@ -1,0 +1 @@
+"""Streaming of the weather and question-log jobs."""
