@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agro_jobs.llm import kd_shards, mixing, winnow
+from agro_jobs.llm import fingerprint_index, kd_shards, mixing, winnow
 from agro_jobs.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,9 +20,13 @@ def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.kd_shards(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_index.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {"op2_mix_sources": op2_mix_sources, "op3_kd_shards": op3_kd_shards, "op8_winnowing": op8_winnowing}
+QUERIES: dict[str, Query] = {"op2_mix_sources": op2_mix_sources, "op3_kd_shards": op3_kd_shards, "op5_substring_dedup": op5_substring_dedup, "op8_winnowing": op8_winnowing}
 ORACLE_SQL: dict[str, str] = {}
