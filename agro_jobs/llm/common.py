@@ -137,3 +137,23 @@ def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
         best = np.where(x[b] < x[a], b, a)
         span += step
     return best[:n]
+
+
+def bounded(df: DataFrame, key: str, most: int, seed: int = 11) -> DataFrame:
+    """About `most` rows of df at most, chosen by a hash of the key: the same rows whatever the partitioning."""
+    n = df.count()
+    if n <= most:
+        return df
+    return df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, column: str, modulus: int, remainder: int, positive: int, most: int, seed: int = 11) -> DataFrame:
+    """Texts of a bounded sample of rows whose label is `positive` and which are not held out."""
+    rows = labels.where((F.col(column) == positive) & ~held_out(F.col("doc_id"), modulus, remainder)).select("doc_id").distinct()
+    return docs.select("doc_id", "text").join(bounded(rows, "doc_id", most, seed), "doc_id", "left_semi")
+
+
+def with_columns(batch: pa.RecordBatch, columns: dict[str, np.ndarray], drop: str = "text") -> pa.RecordBatch:
+    """The batch without its text, with further columns."""
+    names = [n for n in batch.schema.names if n != drop]
+    return pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(v) for v in columns.values()], names=[*names, *columns])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agro_jobs.llm import fingerprint_index, kd_shards, mixing, winnow
+from agro_jobs.llm import fingerprint_index, kd_shards, mixing, quality_pu, toxic_segments, winnow
 from agro_jobs.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,9 +24,19 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_index.dedup_substrings(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_pu.score(docs, quality_pu.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxic_segments.score(docs, *toxic_segments.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {"op2_mix_sources": op2_mix_sources, "op3_kd_shards": op3_kd_shards, "op5_substring_dedup": op5_substring_dedup, "op8_winnowing": op8_winnowing}
+QUERIES: dict[str, Query] = {"op2_mix_sources": op2_mix_sources, "op3_kd_shards": op3_kd_shards, "op5_substring_dedup": op5_substring_dedup, "op4_quality_pu": op4_quality_pu, "op6_toxic_segments": op6_toxic_segments, "op8_winnowing": op8_winnowing}
 ORACLE_SQL: dict[str, str] = {}
