@@ -29,6 +29,7 @@ from agro_jobs.llm import common as C
 
 MAX_ROWS, BUCKETS, DRIFT, PRIOR, LEAST = 8_000, 1 << 20, 0.5, 0.5, 2.5
 MODULUS, REMAINDER, CUT = 4, 2, 0.3
+FULL = 150  # beyond so many contexts the bitmap is filling up: a token that common in clean text is not toxic
 SEPARATOR = np.ones(256, bool)
 SEPARATOR[48:58] = SEPARATOR[97:123] = SEPARATOR[128:] = False
 
@@ -78,7 +79,7 @@ def log_odds(contexts: DataFrame) -> np.ndarray:
     nt, nc, a0 = t.sum() + 1, c.sum() + 1, PRIOR * len(rows)
     delta = np.log((t + PRIOR) / (nt + a0)) - np.log((c + PRIOR) / (nc + a0))
     sigma = np.sqrt(1 / (t + PRIOR) + 1 / (c + PRIOR))
-    out[rows["bucket"].to_numpy(np.int64)] = np.where(delta > LEAST * sigma, np.maximum(delta - 1.0 * sigma, 0), 0)
+    out[rows["bucket"].to_numpy(np.int64)] = np.where((delta > LEAST * sigma) & (c < FULL), delta - sigma, 0)
     return out
 
 
