@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agro_jobs.llm import fingerprint_index, kd_shards, mixing, quality_pu, toxic_segments, winnow
+from agro_jobs.llm import fingerprint_index, kd_shards, mixing, quality_pu, toxic_segments, url_filter, winnow
 from agro_jobs.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.fair_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "finish")
 
@@ -38,5 +42,5 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {"op2_mix_sources": op2_mix_sources, "op3_kd_shards": op3_kd_shards, "op5_substring_dedup": op5_substring_dedup, "op4_quality_pu": op4_quality_pu, "op6_toxic_segments": op6_toxic_segments, "op8_winnowing": op8_winnowing}
+QUERIES: dict[str, Query] = {"op1_url_filter": op1_url_filter, "op2_mix_sources": op2_mix_sources, "op3_kd_shards": op3_kd_shards, "op5_substring_dedup": op5_substring_dedup, "op4_quality_pu": op4_quality_pu, "op6_toxic_segments": op6_toxic_segments, "op8_winnowing": op8_winnowing}
 ORACLE_SQL: dict[str, str] = {}
