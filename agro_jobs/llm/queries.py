@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agro_jobs.llm import fingerprint_index, kd_shards, mixing, quality_pu, toxic_segments, url_filter, winnow
+from agro_jobs.llm import fingerprint_index, icws, kd_shards, mixing, quality_pu, toxic_segments, url_filter, winnow
 from agro_jobs.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,5 +42,9 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {"op1_url_filter": op1_url_filter, "op2_mix_sources": op2_mix_sources, "op3_kd_shards": op3_kd_shards, "op5_substring_dedup": op5_substring_dedup, "op4_quality_pu": op4_quality_pu, "op6_toxic_segments": op6_toxic_segments, "op8_winnowing": op8_winnowing}
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return icws.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {"op1_url_filter": op1_url_filter, "op2_mix_sources": op2_mix_sources, "op3_kd_shards": op3_kd_shards, "op5_substring_dedup": op5_substring_dedup, "op4_quality_pu": op4_quality_pu, "op6_toxic_segments": op6_toxic_segments, "op8_winnowing": op8_winnowing, "op9_minhash_near_dedup": op9_minhash_near_dedup}
 ORACLE_SQL: dict[str, str] = {}
