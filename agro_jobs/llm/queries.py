@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agro_jobs.llm import fingerprint_index, icws, kd_shards, mixing, nn_descent, quality_pu, toxic_segments, url_filter, winnow
+from agro_jobs.llm import fingerprint_index, icws, kd_shards, mixing, nn_descent, pii_tagger, quality_pu, toxic_segments, url_filter, winnow
 from agro_jobs.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,11 @@ def op6_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_segments.score(docs, *toxic_segments.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii_tagger.digests(pii_tagger.find(docs, pii_tagger.fit(docs)))
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,5 +55,5 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-QUERIES: dict[str, Query] = {"op1_url_filter": op1_url_filter, "op2_mix_sources": op2_mix_sources, "op3_kd_shards": op3_kd_shards, "op5_substring_dedup": op5_substring_dedup, "op4_quality_pu": op4_quality_pu, "op6_toxic_segments": op6_toxic_segments, "op8_winnowing": op8_winnowing, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op10_nn_descent": op10_nn_descent}
+QUERIES: dict[str, Query] = {"op1_url_filter": op1_url_filter, "op2_mix_sources": op2_mix_sources, "op3_kd_shards": op3_kd_shards, "op5_substring_dedup": op5_substring_dedup, "op4_quality_pu": op4_quality_pu, "op6_toxic_segments": op6_toxic_segments, "op7_pii_tagger": op7_pii_tagger, "op8_winnowing": op8_winnowing, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op10_nn_descent": op10_nn_descent}
 ORACLE_SQL: dict[str, str] = {}
