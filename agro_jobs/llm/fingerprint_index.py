@@ -11,7 +11,7 @@ there are FANOUT of them. Verification: a stretch with n >= 2 repeats whole; whe
 several g, the stretches' windows are compared one by one (by a 64-bit hash of all their words
 next to the 64-bit h).
 
-Texts are read again to verify, filtered by a bitmap of fixed size (BITS bits, whatever the
+Texts are read again to verify and to place what repeats, filtered by a bitmap of fixed size (BITS bits, whatever the
 input); it only saves work, as an exact join follows.
 
 Nulls: a null text has no words. Copies and repeated rows count as occurrences each. Empty
@@ -60,22 +60,32 @@ def _stretches(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.n
     return grams[anchor[first]], g, doc[first], first - begins[doc[first]], count, first, check
 
 
-def _map_postings(window: int):
+def _first_of_each(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An index of each distinct tuple of keys, and how often it occurs."""
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    head = np.flatnonzero(new)
+    return order[head], np.diff(np.append(head, len(order)))
+
+
+def _map_counts(window: int):
+    """(h, g, n), each pair once for a batch of rows, so that copies are counted before the shuffle."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k1, k2 = b.column("k1").to_numpy(), b.column("k2").to_numpy()
-            for at, _, data, off in C.text_chunks(b, "text"):
-                h, g, doc, first, count, _, _ = _stretches(data, off, window)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (h.view(np.int64), g.view(np.int64), k1[at + doc], k2[at + doc], first.astype(np.int32), count.astype(np.int32))],
-                    names=["h", "g", "k1", "k2", "first", "count"],
-                )
+            parts = [_stretches(data, off, window)[:2] for _, _, data, off in C.text_chunks(b, "text")]
+            if parts:
+                h, g = (np.concatenate(x) for x in zip(*parts, strict=True))
+                first, n = _first_of_each(g, h)
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(g[first].view(np.int64)), pa.array(n)], names=["h", "g", "n"])
 
     return run
 
 
 def _map_windows(window: int, bitmap):
-    """(h, g, i, w) for every window i of a stretch whose h is in the bitmap."""
+    """(h, g, i, w) for every window i of a stretch whose h is in the bitmap; equal stretches of a chunk once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
@@ -83,6 +93,7 @@ def _map_windows(window: int, bitmap):
             for _, _, data, off in C.text_chunks(b, "text"):
                 h, g, _, _, count, first, check = _stretches(data, off, window)
                 pick = np.flatnonzero(_in(bits, h))
+                pick = pick[_first_of_each(g[pick], h[pick])[0]]
                 c = count[pick]
                 row = np.repeat(pick, c)
                 i = np.arange(len(row)) - np.repeat(np.cumsum(c) - c, c)
@@ -93,6 +104,25 @@ def _map_windows(window: int, bitmap):
     return run
 
 
+def _map_postings(window: int, bitmap):
+    """(h, g, k1, k2, first, count): where the stretches are whose h is in the bitmap; equal texts of a batch once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
+        for b in batches:
+            b = b.take(pa.array(np.sort(_first_of_each(b.column("k2").to_numpy(), b.column("k1").to_numpy())[0])))
+            k1, k2 = b.column("k1").to_numpy(), b.column("k2").to_numpy()
+            for at, _, data, off in C.text_chunks(b, "text"):
+                h, g, doc, first, count, _, _ = _stretches(data, off, window)
+                p = np.flatnonzero(_in(bits, h))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (h[p].view(np.int64), g[p].view(np.int64), k1[at + doc[p]], k2[at + doc[p]], first[p].astype(np.int32), count[p].astype(np.int32))],
+                    names=["h", "g", "k1", "k2", "first", "count"],
+                )
+
+    return run
+
+
 def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     at = h.view(np.uint64) & np.uint64(BITS - 1)
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
@@ -108,7 +138,7 @@ def bitmap(df: DataFrame, column: str):
 
 
 class FingerprintIndex:
-    """Runs of (h, g, n), bucketed and sorted by h, in the shared folder."""
+    """Runs of (h, g, n): tables bucketed and sorted by h."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout, self.runs = spark, fanout, []
@@ -116,12 +146,12 @@ class FingerprintIndex:
 
     def _write(self, df: DataFrame) -> str:
         name = f"fingerprints_{uuid.uuid4().hex}"
-        df.write.bucketBy(self.buckets, "h").sortBy("h", "g").format("parquet").option("path", f"{C.scratch(self.spark)}/{name}").saveAsTable(name)
+        df.write.bucketBy(self.buckets, "h").sortBy("h", "g").format("parquet").saveAsTable(name)  # in the shared warehouse
         return name
 
-    def append(self, postings: DataFrame) -> None:
-        """Add a batch as a run of its own; compact when there are `fanout` runs."""
-        counts = postings.select("h", "g").repartition(self.buckets, "h").groupBy("h", "g").agg(F.count("*").alias("n"))
+    def append(self, counts: DataFrame) -> None:
+        """Add a batch (h, g, n) as a run of its own; compact when there are `fanout` runs."""
+        counts = counts.repartition(self.buckets, "h").groupBy("h", "g").agg(F.sum("n").alias("n"))
         self.runs.append(self._write(counts))
         if len(self.runs) >= self.fanout:
             self.compact()
@@ -135,9 +165,13 @@ class FingerprintIndex:
             other = self.spark.table(run).withColumnRenamed("n", "m")
             merged = merged.join(other.hint("merge"), ["h", "g"], "full").select("h", "g", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
         merged = self._write(merged)
+        self.drop()
+        self.runs = [merged]
+
+    def drop(self) -> None:
         for run in self.runs:
             self.spark.sql(f"DROP TABLE {run}")
-        self.runs = [merged]
+        self.runs = []
 
     def table(self) -> DataFrame:
         self.compact()
@@ -152,10 +186,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, batches: int = 2) -> DataFrame:
     """k1, k2, ranges (word from, to): what is covered by windows that occur more than once, by text."""
     spark, texts = docs.sparkSession, keyed(docs).drop("doc_id")
-    postings = C.materialize(texts.mapInArrow(_map_postings(window), POSTING), "substring-postings")
     index = FingerprintIndex(spark, fanout=batches)
     for k in range(batches):  # as they would arrive one after the other
-        index.append(postings.where(F.pmod("k2", F.lit(batches)) == k) if batches > 1 else postings)
+        batch = texts.where(F.pmod("k2", F.lit(batches)) == k) if batches > 1 else texts
+        index.append(batch.mapInArrow(_map_counts(window), "h long, g long, n long"))
     known = index.table()
     split = C.materialize(known.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "substring-split")
     windows = texts.mapInArrow(_map_windows(window, bitmap(split, "h")), "h long, g long, i int, w long")
@@ -164,14 +198,17 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, batches: int = 2) ->
     partial = windows.join(again, ["h", "w"], "left_semi").groupBy("h", "g").agg(F.collect_set("i").alias("part"))  # a stretch has at most `window` windows
     whole = known.where("n > 1").select("h", "g", F.lit(True).alias("whole"))
     flags = C.materialize(whole.join(partial, ["h", "g"], "full"), "substring-flags")
+    postings = texts.mapInArrow(_map_postings(window, bitmap(flags, "h")), POSTING)
     found = postings.join(flags, ["h", "g"])
     ranges = F.when(F.col("whole"), F.array(F.struct(F.col("first").alias("from"), (F.col("first") + F.col("count") - 1 + window).alias("to")))).otherwise(
         F.transform("part", lambda i: F.struct((F.col("first") + i).alias("from"), (F.col("first") + i + window).alias("to")))
     )
     # The ranges of one text are at most as many as its words.
-    return C.materialize(
+    out = C.materialize(
         found.select("k1", "k2", "first", ranges.alias("r")).dropDuplicates(["k1", "k2", "first"]).groupBy("k1", "k2").agg(F.flatten(F.collect_list("r")).alias("ranges")), "substring-ranges"
     )
+    index.drop()
+    return out
 
 
 DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"

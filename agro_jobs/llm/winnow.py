@@ -51,6 +51,28 @@ def with_key(docs: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, k: int = K) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, one row per row of docs."""
+    base, verdicts = _verdicts(docs, benchmark, n, k)
+    none = F.sha2(F.lit("").cast("binary"), 256)
+    return base.select("doc_id", "k1", "k2", "n_words").join(verdicts, ["k1", "k2"], "left").select(
+        "doc_id",
+        "n_words",
+        F.coalesce(F.col("n_hit"), F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.when(F.col("items").isNull(), none).otherwise(F.sha2(F.concat_ws(",", "items").cast("binary"), 256)).alias("items_sha256"),
+        (F.coalesce(F.col("n_hit"), F.lit(0)) > 0).alias("contaminated"),
+    )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, n: int = N, k: int = K) -> DataFrame:
+    """The documents that hold no benchmark window, with all their columns."""
+    _, verdicts = _verdicts(docs, benchmark, n, k)
+    hit = verdicts.select(F.col("k1").alias("_a"), F.col("k2").alias("_b"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.join(hit, (F.xxhash64(text) == F.col("_a")) & (F.xxhash64(F.lit(7), text) == F.col("_b")), "left_anti")
+
+
+def _verdicts(docs: DataFrame, benchmark: DataFrame, n: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Words and keys of every document; n_hit and items of the texts that are hit."""
     base = materialize(
         with_fingerprints(with_grams(with_key(docs.select("doc_id", "text")).withColumn("words", words(F.col("text"))), k), n, k).select(
             "doc_id", "k1", "k2", F.size("words").cast("long").alias("n_words"), "fingerprints"
@@ -105,13 +127,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, k: int = K)
         hits.select("k1", "k2", "window").distinct().join(windows.select("window", "item"), "window")
         .groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
-    verdicts = materialize(covered.join(found, ["k1", "k2"]), "winnow-verdicts")
-    none = F.sha2(F.lit("").cast("binary"), 256)
-    return base.select("doc_id", "k1", "k2", "n_words").join(verdicts, ["k1", "k2"], "left").select(
-        "doc_id",
-        "n_words",
-        F.coalesce(F.col("n_hit"), F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.when(F.col("items").isNull(), none).otherwise(F.sha2(F.concat_ws(",", "items").cast("binary"), 256)).alias("items_sha256"),
-        (F.coalesce(F.col("n_hit"), F.lit(0)) > 0).alias("contaminated"),
-    )
+    return base, materialize(covered.join(found, ["k1", "k2"]), "winnow-verdicts")
