@@ -1,4 +1,4 @@
 """Every registered query of the weather and question-log jobs."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from agro_jobs.plans import weather  # noqa: F401
+from agro_jobs.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
