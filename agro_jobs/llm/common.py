@@ -148,9 +148,12 @@ def bounded(df: DataFrame, key: str, most: int, seed: int = 11) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, modulus: int, remainder: int, positive: int, most: int, seed: int = 11) -> DataFrame:
-    """Texts of a bounded sample of rows whose label is `positive` and which are not held out."""
+    """Texts of a bounded sample of rows whose label is `positive` and which are not held out.
+
+    The ids are about `most` at most, so they are broadcast and no text is moved to find theirs.
+    """
     rows = labels.where((F.col(column) == positive) & ~held_out(F.col("doc_id"), modulus, remainder)).select("doc_id").distinct()
-    return docs.select("doc_id", "text").join(bounded(rows, "doc_id", most, seed), "doc_id", "left_semi")
+    return docs.select("doc_id", "text").join(F.broadcast(bounded(rows, "doc_id", most, seed)), "doc_id", "left_semi")
 
 
 def with_columns(batch: pa.RecordBatch, columns: dict[str, np.ndarray], drop: str = "text") -> pa.RecordBatch:
