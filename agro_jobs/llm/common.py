@@ -14,7 +14,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import SparkFiles  # noqa: F401  (imported so that workers load pyspark once)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 

@@ -5,8 +5,8 @@ of its word GRAM-grams, so consecutive windows mostly share one: they form a str
 (h, g): h the fingerprint, g an independent hash of all the stretch's words. Equal windows have
 equal h, so two windows can only be equal inside stretches of equal h.
 
-The index keeps (h, g, n) in immutable runs, bucketed and sorted by h. A new batch becomes a
-run; runs are merge-joined bucket by bucket without a shuffle, and compacted into one when
+The index keeps (h, g, n) in immutable runs, bucketed and sorted by h and g. A new batch becomes a
+run; runs are merge-joined bucket by bucket without a shuffle and compacted into one when
 there are FANOUT of them. Verification: a stretch with n >= 2 repeats whole; where one h has
 several g, the stretches' windows are compared one by one (by a 64-bit hash of all their words
 next to the 64-bit h).
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from agro_jobs.llm import common as C
 
-WINDOW, GRAM, FANOUT, BITS = 35, 6, 2, 1 << 23
+WINDOW, GRAM, FANOUT, BITS = 35, 14, 2, 1 << 23
 POSTING = "h long, g long, k1 long, k2 int, first int, count int"
 
 
@@ -44,9 +44,10 @@ def _stretches(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.n
     if n <= 0:
         return (z.astype(np.uint64),) * 2 + (z,) * 4 + (z.astype(np.uint64),)
     word, check = C.spans_hash(data, s, e), C.spans_hash(data, s, e, C._B2)
-    at = np.arange(len(s) - GRAM + 1)
-    grams = C.spans_hash(word, at, at + GRAM)
-    anchor = C.sliding_argmin(grams, window - GRAM + 1)[:n]
+    gram = min(GRAM, window)
+    at = np.arange(len(s) - gram + 1)
+    grams = C.spans_hash(word, at, at + gram)
+    anchor = C.sliding_argmin(grams, window - gram + 1)[:n]
     ok = np.flatnonzero(doc[:n] == doc[window - 1 :])
     if not len(ok):
         return (z.astype(np.uint64),) * 2 + (z,) * 4 + (z.astype(np.uint64),)
@@ -138,7 +139,7 @@ def bitmap(df: DataFrame, column: str):
 
 
 class FingerprintIndex:
-    """Runs of (h, g, n): tables bucketed and sorted by h."""
+    """Runs of (h, g, n): tables bucketed and sorted by h and g."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout, self.runs = spark, fanout, []
@@ -146,25 +147,25 @@ class FingerprintIndex:
 
     def _write(self, df: DataFrame) -> str:
         name = f"fingerprints_{uuid.uuid4().hex}"
-        df.write.bucketBy(self.buckets, "h").sortBy("h", "g").format("parquet").saveAsTable(name)  # in the shared warehouse
+        df.write.bucketBy(self.buckets, "h", "g").sortBy("h", "g").format("parquet").saveAsTable(name)  # in the shared warehouse
         return name
 
     def append(self, counts: DataFrame) -> None:
         """Add a batch (h, g, n) as a run of its own; compact when there are `fanout` runs."""
-        counts = counts.repartition(self.buckets, "h").groupBy("h", "g").agg(F.sum("n").alias("n"))
+        counts = counts.repartition(self.buckets, "h", "g").groupBy("h", "g").agg(F.sum("n").alias("n"))
         self.runs.append(self._write(counts))
         if len(self.runs) >= self.fanout:
             self.compact()
 
     def compact(self) -> None:
-        """Merge all runs into one: sorted buckets meet their like, nothing is shuffled."""
+        """Merge all runs into one: sorted buckets meet their like without a shuffle; the result is dealt to its buckets once."""
         if len(self.runs) < 2:
             return
         merged = self.spark.table(self.runs[0])
         for run in self.runs[1:]:
             other = self.spark.table(run).withColumnRenamed("n", "m")
             merged = merged.join(other.hint("merge"), ["h", "g"], "full").select("h", "g", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
-        merged = self._write(merged)
+        merged = self._write(merged.repartition(self.buckets, "h", "g"))
         self.drop()
         self.runs = [merged]
 
