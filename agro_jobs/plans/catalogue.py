@@ -1,4 +1,4 @@
 """Every registered query of the weather and question-log jobs."""
 
-from agro_jobs.plans import atlas, log, moving, texts, weather  # noqa: F401
+from agro_jobs.plans import atlas, log, more, moving, texts, weather  # noqa: F401
 from agro_jobs.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
