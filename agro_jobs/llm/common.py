@@ -45,6 +45,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns as one struct, so that they can't clash with those of an operator; `row.*` brings them back."""
+    return F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, LOWER_FROM, LOWER_TO)
 

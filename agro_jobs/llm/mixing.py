@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agro_jobs.llm.common import materialize
+from agro_jobs.llm.common import materialize, packed
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROWS_PER_CHUNK = 50_000
@@ -90,15 +90,15 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budge
     A document is emitted once for each pass of which at least half its words are served.
     Rows are range-partitioned by finish time, so the files, read in order, are the mix.
     """
-    cols = docs.columns
     served = fair_mix(docs, weights, budget, cap, seed).where("taken > 0").groupBy("doc_id").agg(
-        F.max("size").alias("_size"), F.max("taken").alias("_taken"), F.max("finish").alias("_finish"), F.max(F.col("source_size") / F.col("target")).alias("_pass")
+        F.max("size").alias("size"), F.max("taken").alias("taken"), F.max("finish").alias("finish"), F.max(F.col("source_size") / F.col("target")).alias("pass")
     )
-    copies = F.floor(F.col("_taken") / F.col("_size") + 0.5).cast("int")
+    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    rows = docs.select(packed(docs), docs["doc_id"].alias("id"))
     out = (
-        docs.join(served.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
+        rows.join(served, F.col("id").eqNullSafe(F.col("doc_id")))
         .where(copies > 0)
-        .withColumn("_k", F.explode(F.sequence(F.lit(0), copies - 1)))
-        .withColumn("_at", F.col("_finish") + F.col("_k") * F.col("_pass"))
+        .select("row", "id", "finish", "pass", F.explode(F.sequence(F.lit(0), copies - 1)).alias("k"))
+        .withColumn("at", F.col("finish") + F.col("k") * F.col("pass"))
     )
-    return out.repartitionByRange("_at", "doc_id").sortWithinPartitions("_at", "doc_id").select(*cols)
+    return out.repartitionByRange("at", "id").sortWithinPartitions("at", "id").select("row.*")

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,9 +160,20 @@ def score(docs: DataFrame, net: dict) -> DataFrame:
     return rows.mapInArrow(_map_score(net), "doc_id long, held_out boolean, score double, predicted int")
 
 
+def _map_keep(net: dict):
+    score_rows = _map_score(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = pc.struct_field(b.column("row"), "text")
+            good = [x.column("predicted") for x in score_rows(iter([pa.RecordBatch.from_arrays([text], names=["text"])]))]
+            if good:
+                yield b.filter(pc.equal(pa.concat_arrays(good), 1))
+
+    return run
+
+
 def keep_good(docs: DataFrame, net: dict) -> DataFrame:
-    """The documents that score at least a half, with all their columns."""
-    rows = docs.withColumn("_text", F.col("text")).withColumnRenamed("text", "_kept").withColumnRenamed("_text", "text")
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.drop("text").dtypes) + ", score double, predicted int"
-    out = rows.mapInArrow(_map_score(net), schema).where("predicted = 1").withColumnRenamed("_kept", "text")
-    return out.select(*docs.columns)
+    """The documents that score at least a half, with all their columns, whatever their names."""
+    rows = docs.select(C.packed(docs))
+    return rows.mapInArrow(_map_keep(net), rows.schema).select("row.*")

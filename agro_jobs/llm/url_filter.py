@@ -87,8 +87,8 @@ def segmented(pieces: DataFrame) -> DataFrame:
 
 
 def judged(urls: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
-    """urls with host, path, rule, verdict, score (log-odds of block)."""
-    rows = host_and_path(urls)
+    """page_id, url, host, path, rule, verdict, score (log-odds of block), one row per row of urls."""
+    rows = host_and_path(urls.select("page_id", "url"))
     sites = materialize(rows.select("host", "path").distinct(), "url-sites")
     letters = F.expr(r"regexp_extract_all(lower(concat(host, ' ', path)), '[a-z]+', 0)")
     pieces = sites.withColumn("piece", F.explode(letters))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agro_jobs.llm.common import lower_ascii, materialize
+from agro_jobs.llm.common import lower_ascii, materialize, packed
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 N, K = 10, 5
@@ -66,9 +66,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, k: int = K)
 def keep_clean(docs: DataFrame, benchmark: DataFrame, n: int = N, k: int = K) -> DataFrame:
     """The documents that hold no benchmark window, with all their columns."""
     _, verdicts = _verdicts(docs, benchmark, n, k)
-    hit = verdicts.select(F.col("k1").alias("_a"), F.col("k2").alias("_b"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.join(hit, (F.xxhash64(text) == F.col("_a")) & (F.xxhash64(F.lit(7), text) == F.col("_b")), "left_anti")
+    text = F.coalesce(docs["text"], F.lit(""))
+    rows = docs.select(packed(docs), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"))
+    return rows.join(verdicts, ["k1", "k2"], "left_anti").select("row.*")
 
 
 def _verdicts(docs: DataFrame, benchmark: DataFrame, n: int, k: int) -> tuple[DataFrame, DataFrame]:

@@ -13,7 +13,7 @@ import pytest
 from agro_jobs.llm import common, fingerprint_index, icws, kd_shards, mixing, pii_tagger, toxic_segments, url_filter, winnow
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, node long, shard int, _key string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, k1 long, predicted int, row string"
 
 
 def docs(spark, rows):
