@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agro_jobs.functions import dims
-from agro_jobs.operators import asked, generate
+from agro_jobs.operators import asked, generate, spans
 from agro_jobs.plans.registry import query
 from agro_jobs.plans.views import clean_readings, table, view, with_clean
 from agro_jobs.sources import feeds
@@ -106,3 +106,32 @@ def _(spark, d):
 @query("generated_chats")
 def _(spark, d):
     return generate.chats(_generated(spark, d)[0])
+
+
+# ---------------------------------------------------------------- spans and labels
+
+
+@query("length_quartiles", "SELECT intent, quantile_cont(n, 0.25) AS q1, quantile_cont(n, 0.5) AS q2, quantile_cont(n, 0.75) AS q3 FROM (SELECT CASE WHEN doc_id % 4 = 0 THEN 'ADVICE' WHEN doc_id % 4 = 1 THEN 'FORECAST' WHEN doc_id % 4 = 2 THEN 'HISTORY' ELSE 'GREETING' END AS intent, len(string_split_regex(trim(substr(text, 1, 60)), '\\s+')) AS n FROM documents) GROUP BY 1")
+def _(spark, d):
+    return spans.length_quartiles(view(spark, d, "corpus"), "intent")
+
+
+@query("slot_presence", "SELECT 'paraphrase' AS slot, CAST(count(*) FILTER (doc_id % 6 = 0) AS DOUBLE) / count(*) AS share FROM documents UNION ALL SELECT 'activity', 1.0 FROM documents GROUP BY 1")
+def _(spark, d):
+    return spans.slot_presence(view(spark, d, "corpus"), ("paraphrase", "activity"))
+
+
+@query("places_in_text", "WITH w AS (SELECT p_partkey AS id, unnest(string_split('rain in ' || p_name, ' ')) AS word, unnest(range(0, len(string_split('rain in ' || p_name, ' ')))) AS i FROM part), g AS (SELECT lower(split_part(p_name, ' ', 1)) AS word, min(p_partkey) AS place_id FROM part GROUP BY 1), h AS (SELECT w.id, g.place_id, min(i) AS i FROM w JOIN g USING (word) GROUP BY 1, 2) SELECT id, place_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i, place_id) AS r FROM h) WHERE r <= 2")
+def _(spark, d):
+    p = table(spark, d, "part")
+    texts, names = p.selectExpr("p_partkey AS id", "'rain in ' || p_name AS text"), p.selectExpr("p_partkey AS id", "split_part(p_name, ' ', 1) AS name")
+    return spans.find_in(texts, names).select("id", "place_id")
+
+
+@query("capped_places", "SELECT question, span, CASE WHEN place_id IS NULL THEN 'unresolved' WHEN sum(CAST(place_id IS NOT NULL AS INT)) OVER (PARTITION BY question ORDER BY span) <= 3 THEN 'kept' ELSE 'dropped' END AS fate FROM (SELECT l_orderkey AS question, l_linenumber AS span, CASE WHEN l_partkey % 5 > 0 THEN l_partkey END AS place_id FROM lineitem WHERE l_linenumber <= 6) QUALIFY count(*) OVER (PARTITION BY question, span) = 1")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    rows = table(spark, d, "lineitem").where("l_linenumber <= 6").selectExpr("l_orderkey AS question", "l_linenumber AS span", "CASE WHEN l_partkey % 5 > 0 THEN l_partkey END AS place_id")
+    rows = spans.capped_places(rows).withColumn("k", F.count("*").over(Window.partitionBy("question", "span"))).where("k = 1")
+    return rows.select("question", "span", "fate")

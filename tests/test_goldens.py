@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from agro_jobs.functions import clean, dims, text, timex
-from agro_jobs.operators import advice, audit, convo, places, quality, runs, stats
+from agro_jobs.operators import advice, audit, convo, places, quality, runs, spans, stats
 from agro_jobs.sources import feeds
 
 DAY = dt.datetime(2025, 8, 1)
@@ -161,3 +161,16 @@ def test_forecast_files_and_writes(spark, tmp_path):
     assert (r.Rainfall, r.SunSD, r.ts) == (2.5, 0.5, DAY)
     rows = spark.createDataFrame([(1, "a")], "id long, text string")
     assert feeds.write_rows(rows, f"file://{tmp_path}/out", ["text"]) == 1
+
+
+def test_spans_and_labels(spark):
+    df = spark.createDataFrame([("Guntur, Andhra Pradesh", '{"intent": "X", "variables": ["RAIN", "Y"], "places": ["guntur", "Vizag"]}'), ("a, b, c, d", None)], "s string, j string")
+    rows = df.select(spans.split_span(F.col("s")).alias("p"), spans.coerced(F.col("j"), F.col("s"), ("FORECAST", "ADVICE"), ("RAIN", "WIND")).alias("c")).collect()
+    assert [r.p for r in rows] == [["Guntur, Andhra Pradesh"], ["a", "b", "c", "d"]]
+    assert (rows[0].c.intent, rows[0].c.variables, rows[0].c.places) == ("FORECAST", ["RAIN"], ["guntur"])
+    now = F.lit("2026-03-10 06:00:00").cast("timestamp")
+    got = spark.range(1).select(spans.from_duration(F.lit(3), "DAY", F.lit("the last 3 days"), now).alias("b"), spans.run_label(now, F.lit(2.0)).alias("l")).first()
+    assert (str(got.b.start), str(got.b.end), got.l) == ("2026-03-07 06:00:00", "2026-03-10 06:00:00", "10 Mar 06:00 to 08:00")
+    cue = spark.range(1).select(spans.activity_of(F.lit("should I spray cotton"), {"spray": "SPRAY", "spray cotton": "SPRAY", "cot": "SOW"}, F.lit(None)).alias("a")).first()
+    assert cue.a == "SPRAY"
+    assert spans.vocabulary_report(spark).where("shared > 0").count() == 0
