@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from agro_jobs.llm.common import materialize
 
-TOP, DEGREE, BLOCK, PROJECTIONS, ROUNDS, ENOUGH = 5, 20, 384, 6, 6, 0.02
+TOP, DEGREE, BLOCK, PROJECTIONS, ROUNDS, ENOUGH = 5, 40, 384, 8, 6, 0.02
 BEAM, EXPAND, STEPS, SALTS = 128, 24, 6, 64
 
 
@@ -53,14 +53,23 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 1))
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    return (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32)
+def _map_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors of length one in single precision: half the bytes, enough to compare neighbours by."""
+    for b in batches:
+        x = _matrix(b.column("vec"))
+        x = (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "vec"])
+
+
+def _units(column) -> np.ndarray:
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), -1) if rows else np.zeros((0, 1), np.float32)
 
 
 def _map_blocks(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _matrix(b.column("vec"))
+            x = _units(b.column("vec"))
             for k in range(PROJECTIONS):
                 planes = np.random.default_rng(100 + k).normal(size=(x.shape[1], max(bits, 1)))
                 code = ((x @ planes > 0) @ (1 << np.arange(max(bits, 1)))) if bits else np.zeros(len(x), np.int64)
@@ -84,7 +93,7 @@ def _nearest(node: np.ndarray, sims: np.ndarray, floor: np.ndarray | None = None
 
 
 def _block_edges(t: pa.Table) -> pa.Table:
-    x = _unit(_matrix(t.column("vec")))
+    x = _units(t.column("vec"))
     node, first = np.unique(t.column("node").to_numpy(), return_index=True)
     x = x[first]
     return _nearest(node, x @ x.T)
@@ -93,7 +102,7 @@ def _block_edges(t: pa.Table) -> pa.Table:
 def _join_edges(t: pa.Table) -> pa.Table:
     """The neighbours of one node among each other: edges nearer than what they have."""
     node, first = np.unique(t.column("node").to_numpy(), return_index=True)
-    x = _unit(_matrix(t.column("vec").combine_chunks().take(pa.array(first))))
+    x = _units(t.column("vec").combine_chunks().take(pa.array(first)))
     return _nearest(node, x @ x.T, t.column("worst").to_numpy()[first])
 
 
@@ -106,6 +115,7 @@ def _best(edges: DataFrame) -> DataFrame:
 
 def build(vecs: DataFrame) -> DataFrame:
     """The graph: a, b, sim."""
+    vecs = materialize(vecs.mapInArrow(_map_unit, "node long, vec binary"), "ann-units")
     n = vecs.count()
     bits = max(0, int(np.ceil(np.log2(max(n, 1) / BLOCK))))
     blocks = vecs.mapInArrow(_map_blocks(bits), "block long, node long, vec binary")
