@@ -10,11 +10,17 @@ have both kinds, so any two similar texts share a kind. A pair with similarity 0
 band with probability 1 - (1 - 0.8**4)**20 = 0.99997.
 
 Texts of a bucket are compared with each other if there are at most SMALL of them. A larger
-bucket is compared with its leader, the text that meets the most others. Texts that the leader
-does not explain are compared further, in the bucket's intersections with other bands, where
-the triangle inequality of Jaccard distance rules out partners. Every compared pair is verified
-on its whole texts: weighted Jaccard or plain Jaccard of the shingle sets of at least 0.8 is a
-link, and linked texts form a class. Equal texts are one node, keyed by a 64-bit hash.
+bucket is compared with its leader, the text that meets the most others. A text that is then in
+another class than its leader is open: it is held against all that large buckets have left (less
+what the triangle inequality of Jaccard distance rules out) by an exact prefix join. Shingles are
+put in one order, rare ones first; the first shingle that two linked texts share lies in a short
+prefix of the smaller text and a longer one of the other, under either similarity, so no link
+between texts of different classes is missed, however large a bucket is. Every compared pair is
+verified on its whole texts: weighted Jaccard or plain Jaccard of the shingle sets of at least 0.8
+is a link, and linked texts form a class. Equal texts are one node, keyed by a 64-bit hash.
+
+n_links counts the links verified on the way to the classes: all of a text's links in small
+buckets, but in large ones only those to leaders and those that could join two classes.
 
 Nulls: a null text is the empty one; empty texts are one class. class_id is the smallest doc_id of
 the class (null only where it has none). Empty tables give no rows; other columns are ignored.
@@ -237,20 +243,85 @@ def _links(verified: DataFrame, similarity: float) -> DataFrame:
     return verified.where((F.col("similarity") >= similarity) | (F.col("plain") >= similarity))
 
 
-def _unexplained(star: DataFrame, verified: DataFrame, labels: DataFrame, bands: DataFrame, similarity: float) -> DataFrame:
-    """key, k1 for what large buckets have left to compare: their intersections with other bands.
+def _unexplained(star: DataFrame, verified: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """k1, c (its class), open, for the texts that large buckets have left to compare.
 
-    A bucket is left if a member is in another class than its leader. Of such a bucket, a member
-    m can only be linked to an unexplained x if d(m, leader) >= d(x, leader) - (1 - similarity).
+    A bucket is left if a member is in another class than its leader; such members are open. A
+    member m can only be linked to an open x if d(m, leader) >= d(x, leader) - (1 - similarity),
+    for the distance by which they are linked, so both are kept apart.
     """
-    d = verified.select("a", "b", (1 - F.greatest("similarity", "plain")).alias("d"))
-    far = star.withColumns({"a": F.least("k1", "leader"), "b": F.greatest("k1", "leader")}).join(d, ["a", "b"], "left").select("key", "k1", "leader", F.coalesce("d", F.lit(0.0)).alias("d"))
+    d = verified.select("a", "b", (1 - F.col("similarity")).alias("dw"), (1 - F.col("plain")).alias("dp"))
+    far = star.withColumns({"a": F.least("k1", "leader"), "b": F.greatest("k1", "leader")}).join(d, ["a", "b"], "left")
+    far = far.select("key", "k1", "leader", F.coalesce("dw", F.lit(0.0)).alias("dw"), F.coalesce("dp", F.lit(0.0)).alias("dp"))
     own, its = labels.select(F.col("id").alias("k1"), F.col("label").alias("c")), labels.select(F.col("id").alias("leader"), F.col("label").alias("lc"))
     classed = far.join(own, "k1", "left").join(its, "leader", "left").withColumn("other", (F.col("k1") != F.col("leader")) & ~F.coalesce(F.col("c") == F.col("lc"), F.lit(False)))
-    left = classed.where("other").groupBy("key").agg(F.min("d").alias("least"))
-    some = C.materialize(classed.join(left, "key").where(F.col("d") >= F.col("least") - (1 - similarity)).select("key", "k1"), "near-left")
-    other = bands.select("k1", F.explode("bands").alias("other"))
-    return some.join(other, "k1").where("key != other").select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "k1").distinct()
+    left = classed.where("other").groupBy("key").agg(*[(F.min(x) - (1 - similarity) - 1e-9).alias(f"least_{x}") for x in ("dw", "dp")])
+    some = classed.join(left, "key").where("dw >= least_dw or dp >= least_dp")
+    return C.materialize(some.groupBy("k1").agg(F.coalesce(F.first("c"), "k1").alias("c"), F.max("other").alias("open")), "near-left")
+
+
+def _map_shingle_counts(idf):
+    """(bucket, n): how many of the task's distinct shingles of texts fall in a bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(IDF_BUCKETS, np.int64)
+        for b in batches:
+            for _, _, data, off in C.text_chunks(b, "text"):
+                seen += np.bincount((shingles(data, off, idf.value)[1] & np.uint64(IDF_BUCKETS - 1)).astype(np.int64), minlength=IDF_BUCKETS)
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["bucket", "n"])
+
+    return run
+
+
+def _map_prefixes(idf, counts, similarity: float):
+    """token, k1, c, open, size, short: the shingles of a text's prefix, for either similarity.
+
+    A shingle is in the prefix if what follows from it on could still be enough overlap: a share
+    `similarity` of the text's own size, or (short) what the smaller one of a pair must share.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, n, data, off in C.text_chunks(b, "text"):
+                d, h, w = shingles(data, off, idf.value)
+                many = counts.value[(h & np.uint64(IDF_BUCKETS - 1)).astype(np.int64)]
+                order = np.lexsort((h, many, d))
+                d, h, w, many = d[order], h[order], w[order], many[order]
+                for kind, x in enumerate((np.ones(len(d)), w)):
+                    size = np.bincount(d, x, n)
+                    ends = np.cumsum(size)
+                    rest = ends[d] - (np.cumsum(x) - x)
+                    least = rest + 1e-9 * ends[-1] if len(ends) else rest
+                    use = np.flatnonzero((least >= similarity * size[d]) & (many > 1))  # what occurs once has no partner
+                    token = C.mix(h[use] * np.uint64(2) + np.uint64(kind)).view(np.int64)
+                    part = b.slice(at, n).select(["k1", "c", "open"]).take(pa.array(d[use]))
+                    short = least[use] >= 2 * similarity / (1 + similarity) * size[d[use]]
+                    yield pa.RecordBatch.from_arrays([pa.array(token), *part.columns, pa.array(size[d[use]]), pa.array(short)], names=["token", "k1", "c", "open", "size", "short"])
+
+    return run
+
+
+def _prefix_pairs(left: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different classes, one of them open, that can reach the similarity: no such pair is left out."""
+    from agro_jobs.llm.fingerprint_index import _map_flagged, bitmap  # noqa: PLC0415
+
+    near = texts.mapInArrow(_map_flagged(bitmap(left, "k1")), "k1 long, text string").join(left, "k1").dropDuplicates(["k1"])
+    near = C.materialize(near, "near-left-texts")
+    rows = near.select("text").mapInArrow(_map_shingle_counts(idf), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most IDF_BUCKETS rows
+    counts = np.zeros(IDF_BUCKETS, np.int64)
+    counts[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    held = left.sparkSession.sparkContext.broadcast(counts)
+    tokens = C.materialize(near.mapInArrow(_map_prefixes(idf, held, similarity), "token long, k1 long, c long, open boolean, size double, short boolean"), "near-prefixes")
+    shared = tokens.groupBy("token").agg(F.max("short").alias("s"), F.max("open").alias("o"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("s and o and c0 != c1").select("token")
+    tokens = C.materialize(tokens.join(shared, "token", "left_semi"), "near-tokens")
+    sides = []
+    for smaller, larger in (("short and open", "true"), ("short and not open", "open")):
+        x = tokens.where(smaller).select("token", F.col("k1").alias("x"), F.col("c").alias("cx"), F.col("size").alias("sx"))
+        y = tokens.where(larger).select("token", F.col("k1").alias("y"), F.col("c").alias("cy"), F.col("size").alias("sy"))
+        fits = (F.col("cx") != F.col("cy")) & (F.col("sx") <= F.col("sy") * (1 + 1e-9)) & (F.col("sx") >= F.col("sy") * (similarity - 1e-9))
+        sides.append(x.join(y, "token").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    return sides[0].union(sides[1]).distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -268,13 +339,9 @@ def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     verified = _verified(pairs, texts, idf, "near")
     links = _links(verified, similarity)
     labels = components(links)
-    more = C.materialize(_unexplained(star, verified, labels, bands, similarity), "near-more")
-    if more.limit(1).count():
-        pairs2, star2 = _pairs(more, "near2")
-        pairs2 = pairs2.join(pairs, ["a", "b"], "left_anti")
-        mine = labels.select(F.col("id").alias("a"), F.col("label").alias("ca"))
-        its = labels.select(F.col("id").alias("b"), F.col("label").alias("cb"))
-        apart = pairs2.join(mine, "a", "left").join(its, "b", "left").where(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).select("a", "b")
+    left = _unexplained(star, verified, labels, similarity)
+    if left.limit(1).count():
+        apart = _prefix_pairs(left, texts, idf, similarity).join(pairs, ["a", "b"], "left_anti")
         verified2 = _verified(C.materialize(apart, "near2-apart"), texts, idf, "near2")
         links = links.unionByName(_links(verified2, similarity))
         labels = components(links)

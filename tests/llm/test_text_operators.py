@@ -145,6 +145,21 @@ def test_near_duplicates_against_all_pairs(spark):
     assert icws.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_inside_a_template_family(spark):
+    """Buckets of a template stay large whatever they are met with; the pairs inside must be found all the same."""
+    boilerplate = [f"b{i}" for i in range(160)]
+    rows = []
+    for g in range(600):
+        own = [f"g{g}x{i}" for i in range(23)]
+        rows.append((2 * g, " ".join(boilerplate + own), "s"))
+        if g % 6 == 0:  # a true partner, with eight of these words
+            rows.append((2 * g + 1, " ".join(boilerplate + own[:8] + [f"g{g}y{i}" for i in range(15)]), "s"))
+    sets = {i: shingle_set(t) for i, t, _ in rows}
+    assert len(sets[0] & sets[2]) / len(sets[0] | sets[2]) < 0.8 < len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+    got = {r.doc_id: r.class_id for r in icws.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i in sets}
+
+
 def test_luhn_and_base_spans():
     t = "mail a.b+c@d-e.co.uk, 10.0.0.256 10.0.0.25; 4111 1111 1111 1111, +1 (415) 555-2671 +12"
     assert [(k, t[a:b]) for k, a, b in pii_tagger.base_spans(t)] == [("email", "a.b+c@d-e.co.uk"), ("ip", "10.0.0.25"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (415) 555-2671")]
