@@ -1,8 +1,10 @@
 """URL filtering: rules, then host word segmentation and naive Bayes.
 
 Pieces of a host or path (runs of letters) are cut into words by a unigram Viterbi search. The
-unigram counts come from the pieces of all urls, with a few pseudo-counts for the seed words;
-candidate words reach a piece by a join, so the vocabulary has no bound. Urls whose words hold
+unigram counts come from the pieces of all urls, with a few pseudo-counts for the seed words: a
+piece counts once for every site name it is used under, whatever the number of hosts, suffixes
+and pages of that site, and a site's name is no evidence that this name is a word of its own.
+Candidate words reach a piece by a join, so the vocabulary has no bound. Urls whose words hold
 a block seed teach the block class, all others the allow class; a multinomial naive Bayes over
 the words of all urls then scores each url. Rules decide first, the longest that fits.
 
@@ -29,6 +31,7 @@ BLOCK_SEEDS = ("adult", "ads", "bet", "bets", "betting", "bingo", "casino", "che
 ALLOW_SEEDS = ("about", "blog", "book", "books", "docs", "farm", "forum", "health", "help", "home", "info", "library", "mail", "market", "museum", "music", "news", "online", "page", "paper", "school", "science", "shop",
                "store", "university", "weather", "web", "wiki", "world")
 SEED_COUNT, LONGEST, SMOOTHING = 5, 20, 1.0
+SITE = r"([^.@:]+)(?:\.(?:ac|co|com|edu|gov|net|org))?\.[^.:]+(?::[0-9]*)?$"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -37,6 +40,12 @@ def host_and_path(urls: DataFrame) -> DataFrame:
     return urls.withColumns({"host": lower_ascii(F.regexp_extract(url, PARTS, 1)), "path": F.regexp_extract(url, PARTS, 2)})
 
 
+def site_name(host: Column) -> Column:
+    """The letters of the label before the public suffix; those of the whole host where there is none."""
+    label = F.regexp_extract(host, SITE, 1)
+    return F.regexp_replace(F.when(label == "", host).otherwise(label), "[^a-z]", "")
+
+
 def rule_columns(rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
     """The longest fitting rule, as a string, and its action; null where none fits."""
     rule, action = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -72,7 +81,7 @@ def viterbi(piece: str, known: Sequence[dict], total: float) -> list[str]:
 
 
 def segmented(pieces: DataFrame) -> DataFrame:
-    """piece, words: pieces has piece and n, how often it occurs."""
+    """piece, words: pieces has piece and n, under how many other site names it occurs."""
     seeds = pieces.sparkSession.createDataFrame([(w,) for w in sorted({*BLOCK_SEEDS, *ALLOW_SEEDS})], "word string").withColumn("n", F.lit(SEED_COUNT).cast("long"))
     counts = materialize(pieces.select(F.col("piece").alias("word"), "n").where("n > 1").unionByName(seeds).groupBy("word").agg(F.sum("n").alias("n")), "url-unigrams")
     total = float(counts.agg(F.sum("n")).first()[0] or 1)
@@ -92,7 +101,9 @@ def judged(urls: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
     sites = materialize(rows.select("host", "path").distinct(), "url-sites")
     letters = F.expr(r"regexp_extract_all(lower(concat(host, ' ', path)), '[a-z]+', 0)")
     pieces = sites.withColumn("piece", F.explode(letters))
-    split = materialize(segmented(pieces.groupBy("piece").agg(F.count("*").alias("n"))), "url-pieces")
+    named = pieces.select("piece", site_name(F.col("host")).alias("name")).distinct()
+    uses = materialize(named.groupBy("piece").agg(F.sum((F.col("piece") != F.col("name")).cast("long")).alias("n")), "url-uses")
+    split = materialize(segmented(uses), "url-pieces")
     tokens = materialize(pieces.join(split, "piece").select("host", "path", F.explode("words").alias("word")), "url-tokens")
     seeded = tokens.groupBy("host", "path").agg(F.max(F.col("word").isin(*BLOCK_SEEDS).cast("int")).alias("block"))
     taught = tokens.join(seeded, ["host", "path"]).groupBy("word").agg(F.sum("block").alias("b"), F.sum(1 - F.col("block")).alias("a"))

@@ -272,6 +272,13 @@ def test_urls(spark):
     assert url_filter.judged(df.select("page_id", "url").limit(0)).count() == 0
 
 
+def test_a_site_name_is_cut_whatever_its_pages(spark):
+    mine = [f"http://{h}/p{k}" for h in ("cheappills.org", "www.cheappills.com", "cheappills24.co.uk:80") for k in range(40)]
+    rows = list(enumerate(mine + [f"http://site{i}.org/{w}/{i}" for i in range(30) for w in ("news", "gardening")]))
+    got = {r.url: r.verdict for r in url_filter.judged(spark.createDataFrame(rows, "page_id long, url string"), ()).collect()}
+    assert {u for u, v in got.items() if v == "block"} == set(mine)
+
+
 def test_viterbi_prefers_known_words():
     known = [{"start": 0, "length": 5, "n": 50}, {"start": 5, "length": 5, "n": 50}]
     assert url_filter.viterbi("cheappills", known, 1000.0) == ["cheap", "pills"]
