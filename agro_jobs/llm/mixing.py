@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agro_jobs.llm.common import materialize, packed
@@ -50,17 +50,19 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], budget: float, ca
 
 def fair_mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, cap: int = 2, seed: int = 17) -> DataFrame:
     """doc_id, size, source, source_size, target, taken, finish (virtual, of the first pass), one row per row of docs."""
-    return _served(
-        materialize(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes"),
-        weights, budget, cap, seed,
-    )
+    return _served(materialize(docs.select("doc_id", "source", _words(docs["text"]).alias("size")), "mix-sizes"), weights, budget, cap, seed)
+
 
+def _words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
-def _served(sizes: DataFrame, weights: Sequence[float], budget: float, cap: int, seed: int) -> DataFrame:
+
+def _served(sizes: DataFrame, weights: Sequence[float], budget: float, cap: int, seed: int, ids: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """fair_mix of rows that the columns `ids` tell apart."""
     targets = materialize(source_targets(sizes, weights, budget, cap), "mix-targets")
     rows = targets.agg(F.sum("n_rows")).first()[0] or 0
     chunks = max(1, -(-rows // ROWS_PER_CHUNK))
-    shuffled = sizes.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn(
+    shuffled = sizes.withColumn("h", F.xxhash64(*ids, F.lit(seed))).withColumn(
         "chunk", F.least(F.lit(chunks - 1), F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * chunks).cast("int"))
     )
     per_chunk = shuffled.groupBy("source", "chunk").agg(F.sum("size").alias("chunk_size"))
@@ -68,7 +70,7 @@ def _served(sizes: DataFrame, weights: Sequence[float], budget: float, cap: int,
     starts = per_chunk.select(
         F.col("source").alias("s"), F.col("chunk").alias("c"), F.coalesce(F.sum("chunk_size").over(ahead), F.lit(0)).alias("start")
     ).join(targets.withColumnRenamed("source", "s2"), F.col("s").eqNullSafe(F.col("s2")))
-    inside = Window.partitionBy("source", "chunk").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "chunk").orderBy("h", *ids, "size").rowsBetween(Window.unboundedPreceding, 0)
     queued = (
         shuffled.withColumn("run", F.sum("size").over(inside))
         .join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c")))
@@ -79,7 +81,7 @@ def _served(sizes: DataFrame, weights: Sequence[float], budget: float, cap: int,
     for k in range(cap):
         taken = taken + F.least(F.col("size"), F.greatest(F.lit(0), stop - k * F.col("source_size") - F.col("before")))
     return queued.select(
-        "doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"),
+        *ids, "size", "source", "source_size", "target", taken.cast("long").alias("taken"),
         F.try_divide(F.col("before") + F.col("size"), F.col("target")).alias("finish"),
     )
 
@@ -88,17 +90,22 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budge
     """The mix itself: docs' own columns, whole documents repeated as served, in order of virtual finish time.
 
     A document is emitted once for each pass of which at least half its words are served.
-    Rows are range-partitioned by finish time, so the files, read in order, are the mix.
+    Rows are range-partitioned by finish time, so the files, read in order, are the mix. Every row
+    has its own share, whatever ids repeat: a row is known by its id and 128 bits over its columns.
+    Rows alike in all columns are the same row served several times.
     """
-    served = fair_mix(docs, weights, budget, cap, seed).where("taken > 0").groupBy("doc_id").agg(
-        F.max("size").alias("size"), F.max("taken").alias("taken"), F.max("finish").alias("finish"), F.max(F.col("source_size") / F.col("target")).alias("pass")
-    )
+    others = [F.to_json(F.struct(F.struct(docs[f"`{c}`"]).alias("c"))) for c in docs.columns if c not in ("doc_id", "source", "text")]
+    keys, ids = [F.xxhash64(F.lit(k), "text", "source", F.lit(k), *others).alias(f"key{k}") for k in (1, 2)], ["doc_id", "key1", "key2"]
+    sizes = materialize(docs.select("doc_id", "source", _words(docs["text"]).alias("size"), *keys), "mix-sizes")
+    served = _served(sizes, weights, budget, cap, seed, ids).where("taken > 0").withColumn("pass", F.col("source_size") / F.col("target"))
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    rows = docs.select(packed(docs), docs["doc_id"].alias("id"))
+    rows = docs.select(packed(docs), docs["doc_id"].alias("id"), *[k.alias(f"row_key{i}") for i, k in enumerate(keys, 1)])
+    if sizes.groupBy(*ids).count().where("count > 1").limit(1).count():
+        rows = rows.dropDuplicates(["id", "row_key1", "row_key2"])
     out = (
-        rows.join(served, F.col("id").eqNullSafe(F.col("doc_id")))
+        rows.join(served.select(*ids, "size", "taken", "finish", "pass"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("row_key1") == F.col("key1")) & (F.col("row_key2") == F.col("key2")))
         .where(copies > 0)
-        .select("row", "id", "finish", "pass", F.explode(F.sequence(F.lit(0), copies - 1)).alias("k"))
+        .select("row", *ids, "finish", "pass", F.explode(F.sequence(F.lit(0), copies - 1)).alias("k"))
         .withColumn("at", F.col("finish") + F.col("k") * F.col("pass"))
     )
-    return out.repartitionByRange("at", "id").sortWithinPartitions("at", "id").select("row.*")
+    return out.repartitionByRange("at", *ids).sortWithinPartitions("at", *ids).select("row.*")

@@ -244,6 +244,19 @@ def test_mix_reaches_its_targets(spark):
     assert mixing.fair_mix(docs(spark, [])).count() == 0
 
 
+def test_mixed_rows_keep_their_own_share(spark):
+    rows = [(None if i % 3 == 0 else i % 7, f"w{i} " * (5 + i % 11), "abc"[i % 3 if i % 2 else i % 5 % 3]) for i in range(600)] + [(None, "same words here", "a")] * 30
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    target = mixing.fair_mix(docs(spark, rows)).groupBy("source").agg({"target": "max"}).collect()
+    mixed = Counter()
+    for r in mixing.mixed_documents(docs(spark, rows)).collect():
+        mixed[r.source] += len(r.text.split())
+    for s, t in target:
+        assert abs(mixed[s] - t) <= 15, (s, mixed[s], t, sizes[s])
+
+
 @pytest.mark.parametrize("n", [1, 5, 16])
 def test_shards_are_even(spark, n):
     rnd = random.Random(6)
