@@ -4,10 +4,8 @@ A text's shingles are its runs of five lower-cased words (all its words, if fewe
 weighs (1 + ln tf) * (1 + mean idf of its words) / 2, the idf scaled to 0..1. Word document
 frequencies come from all texts, in a table of IDF_BUCKETS hashed counts, a fixed size.
 
-SAMPLES consistent weighted samples (Ioffe) make BANDS band keys. Long texts spread their
-shingles over SAMPLES bins and draw once in each; texts between LONG_FROM and SHORT_TO shingles
-have both kinds, so any two similar texts share a kind. A pair with similarity 0.8 shares a
-band with probability 1 - (1 - 0.8**4)**20 = 0.99997.
+SAMPLES consistent weighted samples (Ioffe) make BANDS band keys, for texts of any length. A
+pair with similarity 0.8 shares a band with probability 1 - (1 - 0.8**4)**20 = 0.99997.
 
 Texts of a bucket are compared with each other if there are at most SMALL of them. A larger
 bucket is compared with its leader, the text that meets the most others. A text that is then in
@@ -19,9 +17,6 @@ between texts of different classes is missed, however large a bucket is. Every c
 verified on its whole texts: weighted Jaccard or plain Jaccard of the shingle sets of at least 0.8
 is a link, and linked texts form a class. Equal texts are one node, keyed by a 64-bit hash.
 
-n_links counts the links verified on the way to the classes: all of a text's links in small
-buckets, but in large ones only those to leaders and those that could join two classes.
-
 Nulls: a null text is the empty one; empty texts are one class. class_id is the smallest doc_id of
 the class (null only where it has none). Empty tables give no rows; other columns are ignored.
 """
@@ -32,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +35,8 @@ from agro_jobs.llm import common as C
 from agro_jobs.llm.graph import components
 
 SHINGLE, SIMILARITY, SAMPLES, BANDS, SMALL = 5, 0.8, 80, 20, 32
-LONG_FROM, SHORT_TO, IDF_BUCKETS, DRAWS = 384, 480, 1 << 18, 1 << 12
+IDF_BUCKETS, DRAW_BITS, LOW, HUB = 1 << 18, 12, 0.125, 256
+DRAWS = 1 << DRAW_BITS
 SEPARATOR = np.ones(256, bool)
 SEPARATOR[48:58] = SEPARATOR[97:123] = SEPARATOR[128:] = False
 
@@ -81,66 +78,77 @@ _DRAWN: list[np.ndarray] = []
 
 
 def _draws() -> list[np.ndarray]:
-    """r, ln c and beta of the sampling scheme, DRAWS of each for every sample, and odd multipliers."""
+    """Of DRAWS draws for every sample: r, beta, ln c + r (beta - 1), ln c - r; odd multipliers; which are low, and above what the others are."""
     if not _DRAWN:
         rng = np.random.default_rng(20)
         shape = (SAMPLES, DRAWS)
-        _DRAWN.extend([rng.gamma(2, 1, shape), np.log(rng.gamma(2, 1, shape)), rng.random(shape), rng.integers(1, 1 << 62, SAMPLES).astype(np.uint64) * np.uint64(2) + np.uint64(1)])
+        r, logc, beta = rng.gamma(2, 1, shape), np.log(rng.gamma(2, 1, shape)), rng.random(shape)
+        least = logc - r
+        edge = np.quantile(least, LOW, axis=1)
+        odd = rng.integers(1, 1 << 62, SAMPLES).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        _DRAWN.extend([r, beta, logc + r * (beta - 1), odd, least <= edge[:, None], edge])
     return _DRAWN
 
 
-def _draw(h: np.ndarray, logw: np.ndarray, k: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-    """ln a and the sample's identity; ln a carries a trace of the hash, so ties break alike everywhere."""
-    r_, c_, b_, odd = _draws()
-    at = ((h * odd[k]) >> np.uint64(52)).astype(np.int64)
-    r, beta = r_[k, at], b_[k, at]
-    t = np.floor(logw / r + beta)
-    return c_[k, at] - r * (t - beta) - r + (h & np.uint64(0xFFFFF)).astype(np.float64) * 1e-10, t
-
-
-def _smallest(a: np.ndarray, group_start: np.ndarray) -> np.ndarray:
-    """Index of the smallest a in every group."""
-    low = np.minimum.reduceat(a, group_start)
-    size = np.diff(np.append(group_start, len(a)))
-    hit = np.flatnonzero(a == np.repeat(low, size))
-    return hit[np.searchsorted(hit, group_start)]
-
-
-def band_keys(doc: np.ndarray, h: np.ndarray, w: np.ndarray, docs: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(documents, keys of shape documents x BANDS), for the short kind and the long kind."""
-    n, logw, out = np.bincount(doc, minlength=docs), np.log(w), []
-    few = np.flatnonzero((n > 0) & (n <= SHORT_TO))
-    if len(few):
-        pick = np.flatnonzero(n[doc] <= SHORT_TO)
-        hh, ll = h[pick], logw[pick]
-        start = np.cumsum(n[few]) - n[few]
-        got = np.empty((len(few), SAMPLES), np.uint64)
-        for k in range(SAMPLES):
-            a, t = _draw(hh, ll, k)
-            i = _smallest(a, start)
-            got[:, k] = hh[i] + t[i].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        out.append((few, got))
-    many = np.flatnonzero(n >= LONG_FROM)
-    if len(many):
-        pick = np.flatnonzero(n[doc] >= LONG_FROM)
-        hh, ll = h[pick], logw[pick]
-        kth = (C.mix(hh) % np.uint64(SAMPLES)).astype(np.int64)
-        a, t = _draw(hh, ll, kth)
-        row = np.searchsorted(many, doc[pick])
-        cell = row * SAMPLES + kth
-        order = np.lexsort((a, cell))
-        first = order[np.flatnonzero(np.append([True], cell[order][1:] != cell[order][:-1]))]
-        got = np.full((len(many), SAMPLES), 1, np.uint64)
-        got[row[first], kth[first]] = hh[first] + t[first].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        out.append((many, C.mix(got)))
-    rows = SAMPLES // BANDS
-    result = []
-    for ids, got in out:
-        key = np.zeros((len(ids), BANDS), np.uint64)
-        for j in range(rows):
-            key = C.mix(key * np.uint64(31) + C.mix(got[:, j::rows]) + np.arange(BANDS, dtype=np.uint64))
-        result.append((ids, key))
-    return result
+def _draw(h: np.ndarray, logw: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """ln a and t of sample k; ln a carries a trace of the hash, so ties break alike everywhere."""
+    r_, beta, shifted = _draws()[:3]
+    r = r_[k][at]
+    t = np.floor(logw / r + beta[k][at])
+    return shifted[k][at] - r * t + (h & np.uint64(0xFFFFF)).astype(np.float64) * 1e-10, t
+
+
+def _smallest(a: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Index of the smallest a in every group; groups are sorted and adjacent."""
+    start = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+    if not len(start):
+        return start
+    size = np.diff(np.append(start, len(a)))
+    hit = np.flatnonzero(a == np.repeat(np.minimum.reduceat(a, start), size))
+    return hit[np.searchsorted(hit, start)]
+
+
+def samples(doc: np.ndarray, h: np.ndarray, w: np.ndarray, docs: int) -> np.ndarray:
+    """The SAMPLES consistent weighted samples of each document that has shingles, in order of document.
+
+    ln a is at least ln c - r - ln w. A draw that isn't low can therefore only win where no low one
+    falls below `edge` less the document's greatest ln w: low draws are tried first, all draws where
+    they don't settle it. The result is the same as with all draws.
+    """
+    n, logw = np.bincount(doc, minlength=docs), np.log(w)
+    some = np.flatnonzero(n)
+    out = np.empty((len(some), SAMPLES), np.uint64)
+    if not len(some):
+        return out
+    start = np.cumsum(n[some]) - n[some]
+    row = np.repeat(np.arange(len(some)), n[some])
+    most = np.maximum.reduceat(logw, start)
+    _, _, _, odd, low, edge = _draws()
+    for k in range(SAMPLES):
+        at = ((h * odd[k]) >> np.uint64(64 - DRAW_BITS)).astype(np.int64)
+
+        def fill(pick: np.ndarray, at=at, k=k) -> tuple[np.ndarray, np.ndarray]:
+            a, t = _draw(h[pick], logw[pick], at[pick], k)
+            i = _smallest(a, row[pick])
+            won = row[pick[i]]
+            out[won, k] = h[pick[i]] + t[i].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            return won, a[i]
+
+        won, best = fill(np.flatnonzero(low[k][at]))
+        open_ = np.ones(len(some), bool)
+        open_[won[best <= edge[k] - most[won]]] = False
+        if open_.any():
+            fill(np.flatnonzero(open_[row]))
+    return out
+
+
+def band_keys(doc: np.ndarray, h: np.ndarray, w: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents that have shingles, and their keys (documents x BANDS)."""
+    got = samples(doc, h, w, docs)
+    key = np.zeros((len(got), BANDS), np.uint64)
+    for j in range(SAMPLES // BANDS):
+        key = C.mix(key * np.uint64(31) + C.mix(got[:, j :: SAMPLES // BANDS]) + np.arange(BANDS, dtype=np.uint64))
+    return np.flatnonzero(np.bincount(doc, minlength=docs)), key
 
 
 def _fresh(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -169,21 +177,29 @@ def _map_bands(idf):
             k1 = b.column("k1").to_numpy()
             for at, n, data, off in C.text_chunks(b, "text"):
                 doc, h, w = shingles(data, off, idf.value)
-                for ids, keys in band_keys(doc, h, w, n):
-                    flat = pa.array(keys.view(np.int64).ravel())
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * BANDS, pa.int32()), flat)
-                    yield pa.RecordBatch.from_arrays([pa.array(k1[at + ids]), lists], names=["k1", "bands"])
+                ids, keys = band_keys(doc, h, w, n)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * BANDS, pa.int32()), pa.array(keys.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(k1[at + ids]), lists], names=["k1", "bands"])
 
     return run
 
 
+def _pair_slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of pairs whose texts have CHUNK_BYTES together, or of one pair."""
+    size = np.cumsum(pc.add(pc.binary_length(b.column("ta")), pc.binary_length(b.column("tb"))).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(b):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + C.CHUNK_BYTES, "right")))
+        yield b.slice(at, end - at)
+        at = end
+
+
 def _map_verify(idf):
     """Adds similarity (weighted) and plain (of the sets) to pairs with both texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, len(b), 64):
-                part = b.slice(at, 64)
+            for part in _pair_slices(b):
                 (_, n, da, oa), (_, _, db, ob) = (next(C.text_chunks(part, c, 1 << 60)) for c in ("ta", "tb"))
                 d1, h1, w1 = shingles(da, oa, idf.value)
                 d2, h2, w2 = shingles(db, ob, idf.value)
@@ -235,7 +251,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, name: str) -> DataFrame:
     ids = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
     near = texts.mapInArrow(_map_flagged(bitmap(ids, "k1")), "k1 long, text string").join(ids, "k1", "left_semi").dropDuplicates(["k1"])
     near = C.materialize(near, f"{name}-texts")
-    both = pairs.join(near.select(F.col("k1").alias("a"), F.col("text").alias("ta")), "a").join(near.select(F.col("k1").alias("b"), F.col("text").alias("tb")), "b")
+    # A leader meets many texts: its own text goes to as many places as it has HUB pairs, so that no task holds them all.
+    degrees = pairs.select("a").union(pairs.select("b")).groupBy("a").agg(F.ceil(F.count("*") / HUB).cast("int").alias("places"))
+    hubs = degrees.where("places > 1").select(F.col("a").alias("k1"), "places")
+    spread = C.materialize(near.join(hubs, "k1", "left").select("k1", "text", F.coalesce("places", F.lit(1)).alias("places")), f"{name}-spread")
+    copies = spread.select("k1", "places", "text", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"))
+    placed = pairs.join(hubs.select(F.col("k1").alias("a"), F.col("places").alias("pa")), "a", "left").join(hubs.select(F.col("k1").alias("b"), F.col("places").alias("pb")), "b", "left")
+    placed = placed.select("a", "b", *[F.pmod(F.xxhash64(other), F.coalesce(p, F.lit(1))).cast("int").alias(p) for other, p in (("b", "pa"), ("a", "pb"))])
+    both = placed.join(copies.select(F.col("k1").alias("a"), F.col("place").alias("pa"), F.col("text").alias("ta")), ["a", "pa"]).join(
+        copies.select(F.col("k1").alias("b"), F.col("place").alias("pb"), F.col("text").alias("tb")), ["b", "pb"]
+    )
     return C.materialize(both.select("a", "b", "ta", "tb").mapInArrow(_map_verify(idf), "a long, b long, similarity double, plain double"), f"{name}-verified")
 
 
@@ -275,10 +300,11 @@ def _map_shingle_counts(idf):
 
 
 def _map_prefixes(idf, counts, similarity: float):
-    """token, k1, c, open, size, short: the shingles of a text's prefix, for either similarity.
+    """token, k1, c, open, size, rest, short: the shingles of a text's prefix, for either similarity.
 
-    A shingle is in the prefix if what follows from it on could still be enough overlap: a share
-    `similarity` of the text's own size, or (short) what the smaller one of a pair must share.
+    rest is the weight from a shingle on. A shingle is in the prefix if the rest could still be
+    enough overlap: a share `similarity` of the text's own size, or (short) what the smaller one
+    of a pair must share.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +323,7 @@ def _map_prefixes(idf, counts, similarity: float):
                     token = C.mix(h[use] * np.uint64(2) + np.uint64(kind)).view(np.int64)
                     part = b.slice(at, n).select(["k1", "c", "open"]).take(pa.array(d[use]))
                     short = least[use] >= 2 * similarity / (1 + similarity) * size[d[use]]
-                    yield pa.RecordBatch.from_arrays([pa.array(token), *part.columns, pa.array(size[d[use]]), pa.array(short)], names=["token", "k1", "c", "open", "size", "short"])
+                    yield pa.RecordBatch.from_arrays([pa.array(token), *part.columns, pa.array(size[d[use]]), pa.array(least[use]), pa.array(short)], names=["token", "k1", "c", "open", "size", "rest", "short"])
 
     return run
 
@@ -312,21 +338,23 @@ def _prefix_pairs(left: DataFrame, texts: DataFrame, idf, similarity: float) ->
     counts = np.zeros(IDF_BUCKETS, np.int64)
     counts[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     held = left.sparkSession.sparkContext.broadcast(counts)
-    tokens = C.materialize(near.mapInArrow(_map_prefixes(idf, held, similarity), "token long, k1 long, c long, open boolean, size double, short boolean"), "near-prefixes")
+    tokens = C.materialize(near.mapInArrow(_map_prefixes(idf, held, similarity), "token long, k1 long, c long, open boolean, size double, rest double, short boolean"), "near-prefixes")
     shared = tokens.groupBy("token").agg(F.max("short").alias("s"), F.max("open").alias("o"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("s and o and c0 != c1").select("token")
     tokens = C.materialize(tokens.join(shared, "token", "left_semi"), "near-tokens")
     sides = []
     for smaller, larger in (("short and open", "true"), ("short and not open", "open")):
-        x = tokens.where(smaller).select("token", F.col("k1").alias("x"), F.col("c").alias("cx"), F.col("size").alias("sx"))
-        y = tokens.where(larger).select("token", F.col("k1").alias("y"), F.col("c").alias("cy"), F.col("size").alias("sy"))
+        x = tokens.where(smaller).select("token", F.col("k1").alias("x"), F.col("c").alias("cx"), F.col("size").alias("sx"), F.col("rest").alias("rx"))
+        y = tokens.where(larger).select("token", F.col("k1").alias("y"), F.col("c").alias("cy"), F.col("size").alias("sy"), F.col("rest").alias("ry"))
         fits = (F.col("cx") != F.col("cy")) & (F.col("sx") <= F.col("sy") * (1 + 1e-9)) & (F.col("sx") >= F.col("sy") * (similarity - 1e-9))
+        # At the first shingle that two texts share, no more than either's rest can be shared.
+        fits = fits & (F.least("rx", "ry") >= similarity / (1 + similarity) * (1 - 1e-9) * (F.col("sx") + F.col("sy")))
         sides.append(x.join(y, "token").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
     return sides[0].union(sides[1]).distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, n_copies (rows of the same text), n_links (other texts it is linked to), one row per row of docs."""
-    return _classes(docs, similarity).select("doc_id", "class_id", "n_copies", "n_links")
+    """doc_id, class_id, n_copies (rows of the same text), one row per row of docs."""
+    return _classes(docs, similarity).select("doc_id", "class_id", "n_copies")
 
 
 def _classes(docs: DataFrame, similarity: float) -> DataFrame:
@@ -345,13 +373,12 @@ def _classes(docs: DataFrame, similarity: float) -> DataFrame:
         verified2 = _verified(C.materialize(apart, "near2-apart"), texts, idf, "near2")
         links = links.unionByName(_links(verified2, similarity))
         labels = components(links)
-    degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_links"))
     rows = C.materialize(keyed.select("doc_id", "k1"), "near-rows")
     nodes = rows.groupBy("k1").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"))
-    nodes = nodes.join(labels.withColumnRenamed("id", "k1"), "k1", "left").join(degree.withColumnRenamed("a", "k1"), "k1", "left")
-    nodes = C.materialize(nodes.select("k1", "first", "n_copies", F.coalesce("label", "k1").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "near-nodes")
+    nodes = nodes.join(labels.withColumnRenamed("id", "k1"), "k1", "left")
+    nodes = C.materialize(nodes.select("k1", "first", "n_copies", F.coalesce("label", "k1").alias("label")), "near-nodes")
     least = nodes.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "k1")).alias("head"))
-    ids = nodes.join(least, "label").select("k1", F.col("head.first").alias("class_id"), F.col("head.k1").alias("class_key"), "n_copies", "n_links")
+    ids = nodes.join(least, "label").select("k1", F.col("head.first").alias("class_id"), F.col("head.k1").alias("class_key"), "n_copies")
     return rows.join(C.materialize(ids, "near-classes"), "k1")
 
 
