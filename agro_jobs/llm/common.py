@@ -143,21 +143,24 @@ def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
     return best[:n]
 
 
-def bounded(df: DataFrame, key: str, most: int, seed: int = 11) -> DataFrame:
-    """About `most` rows of df at most, chosen by a hash of the key: the same rows whatever the partitioning."""
-    n = df.count()
-    if n <= most:
-        return df
-    return df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+def bounded(df: DataFrame, most: int, seed: int = 11) -> DataFrame:
+    """About `most` distinct rows of df at most, chosen by a hash of the row: the same whatever the partitioning.
+
+    Rows are counted by distinct hashes (within 1 %), so that neither an id nor a row that repeats can fill the sample or
+    vanish from it.
+    """
+    n = df.agg(F.approx_count_distinct(F.xxhash64(*df.columns), 0.01)).first()[0]
+    share = F.pmod(F.xxhash64(*df.columns, F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, most / max(n, 1)) * (1 << 30))
+    return (df if n <= most else df.where(share)).distinct()
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, modulus: int, remainder: int, positive: int, most: int, seed: int = 11) -> DataFrame:
-    """Texts of a bounded sample of rows whose label is `positive` and which are not held out.
+    """doc_id, text: a bounded sample of distinct rows whose label is `positive` and which are not held out.
 
     The ids are about `most` at most, so they are broadcast and no text is moved to find theirs.
     """
-    rows = labels.where((F.col(column) == positive) & ~held_out(F.col("doc_id"), modulus, remainder)).select("doc_id").distinct()
-    return docs.select("doc_id", "text").join(F.broadcast(bounded(rows, "doc_id", most, seed)), "doc_id", "left_semi")
+    ids = bounded(labels.where((F.col(column) == positive) & ~held_out(F.col("doc_id"), modulus, remainder)).select("doc_id"), most, seed)
+    return bounded(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi"), most, seed)
 
 
 def with_columns(batch: pa.RecordBatch, columns: dict[str, np.ndarray], drop: str = "text") -> pa.RecordBatch:

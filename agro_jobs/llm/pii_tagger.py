@@ -252,7 +252,7 @@ def _map_examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fit(docs: DataFrame) -> dict | None:
     """The trained tagger, or None if no text holds a digit or an @."""
     texts = docs.select("text").where(F.col("text").rlike("[0-9@]"))
-    rows = C.bounded(texts, "text", MAX_TEXTS).mapInArrow(_map_examples, "window string, labels array<bigint>").toPandas()
+    rows = C.bounded(texts, MAX_TEXTS).mapInArrow(_map_examples, "window string, labels array<bigint>").toPandas()
     rows = rows.sort_values("window")[: 6 * MAX_TEXTS]  # very long texts may give many windows
     if not len(rows):
         return None

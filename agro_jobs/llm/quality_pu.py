@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     prior = known.agg(F.avg("quality")).first()[0]
     positive = _matrix(C.labelled(docs, labels, "quality", MODULUS, REMAINDER, 1, MAX_POSITIVE))
     rest = docs.select("doc_id", "text").where(~C.held_out(F.col("doc_id"), MODULUS, REMAINDER))
-    unlabelled = _matrix(C.bounded(rest, "doc_id", MAX_UNLABELLED, seed=12))
+    unlabelled = _matrix(C.bounded(rest, MAX_UNLABELLED, seed=12))
     if prior is None or not 0 < prior < 1 or not len(positive) or not len(unlabelled):
         return {"constant": 0.5 if prior is None else float(prior)}
     return train(positive, unlabelled, float(prior))
