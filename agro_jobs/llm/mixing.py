@@ -3,18 +3,21 @@
 Every source is a queue of its documents in a seeded shuffle. A document's virtual finish time
 is the words its source has served up to its end, divided by the source's target; a second
 pass over the source continues the count. All sources therefore reach virtual time 1 exactly
-when the total budget is spent, so ordering copies by finish time and cutting at time 1 cuts
-at the budget. The document in service at the cut is taken in part, to the word.
+when the total budget is spent: ordered by finish time, the mix is cut there. Of a document in
+service at the cut (one a source) the words served till then are taken; they follow from by how
+much its finish time passes the cut.
 
-Running sums are taken in two steps (sums of bounded chunks, then inside a chunk), so a source
-with a third of all rows is spread over as many tasks as its size asks for.
+Running sums are taken in two steps (sums of chunks, then inside a chunk), so a source with a
+third of all rows is spread over many tasks.
 
 Nulls: a null text has size 0; a null source is a source of its own, ranked last. Empty
-tables give no rows; repeated rows are separate documents; other columns are ignored.
+tables give no rows; repeated rows are separate documents; other columns are ignored, whatever
+their names. Texts are only counted, whatever their length.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from agro_jobs.llm.common import materialize, packed
 
 WORD = r"[^\x20\x09-\x0D]+"
-ROWS_PER_CHUNK = 50_000
+PILE = 1 << 16  # rows of a pile that are dealt out at a time
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], budget: float, cap: float) -> DataFrame:
@@ -50,40 +53,51 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], budget: float, ca
 
 def fair_mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, cap: int = 2, seed: int = 17) -> DataFrame:
     """doc_id, size, source, source_size, target, taken, finish (virtual, of the first pass), one row per row of docs."""
-    return _served(materialize(docs.select("doc_id", "source", _words(docs["text"]).alias("size")), "mix-sizes"), weights, budget, cap, seed)
+    served = _served(docs.select("doc_id", "source", _words(docs["text"]).alias("size"), _key(seed)), weights, budget, cap)
+    return served.select("doc_id", "size", "source", "source_size", "target", "taken", "finish")
 
 
 def _words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _served(sizes: DataFrame, weights: Sequence[float], budget: float, cap: int, seed: int, ids: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """fair_mix of rows that the columns `ids` tell apart."""
-    targets = materialize(source_targets(sizes, weights, budget, cap), "mix-targets")
-    rows = targets.agg(F.sum("n_rows")).first()[0] or 0
-    chunks = max(1, -(-rows // ROWS_PER_CHUNK))
-    shuffled = sizes.withColumn("h", F.xxhash64(*ids, F.lit(seed))).withColumn(
-        "chunk", F.least(F.lit(chunks - 1), F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * chunks).cast("int"))
-    )
-    per_chunk = shuffled.groupBy("source", "chunk").agg(F.sum("size").alias("chunk_size"))
+def _key(seed: int, *others: Column) -> Column:
+    """A row's place in the shuffle, and what tells it from others: a hash of seed, id, source, text and what else is given."""
+    parts = [F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.col("source"), F.lit("-")), F.coalesce(F.col("text"), F.lit("")), *others]
+    return F.md5(F.concat_ws(":", *parts).cast("binary")).alias("key")
+
+
+def _served(rows: DataFrame, weights: Sequence[float], budget: float, cap: int) -> DataFrame:
+    """The rows (doc_id, key, source, size) with what the mix takes of each.
+
+    Rows that nothing tells apart are one pile: it has one place in the queue and is dealt
+    out again afterwards, so no pile is ever sorted, and reruns agree.
+    """
+    piles = materialize(rows.groupBy("doc_id", "key", "source", "size").agg(F.count("*").alias("n")), "mix-piles")
+    targets = materialize(source_targets(piles.select("source", (F.col("size") * F.col("n")).alias("size")), weights, budget, cap), "mix-targets")
+    # As many chunks of a queue as rows in a chunk: neither a chunk nor the list of chunks grows with the queue itself.
+    chunks = max(1, math.isqrt(piles.count()))
+    queue = piles.withColumn("words", F.col("size") * F.col("n")).withColumn("chunk", F.expr(f"cast(conv(left(key, 8), 16, 10) as long) * {chunks} div 4294967296"))
+    per_chunk = queue.groupBy("source", "chunk").agg(F.sum("words").alias("words"))
     ahead = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_chunk.select(
-        F.col("source").alias("s"), F.col("chunk").alias("c"), F.coalesce(F.sum("chunk_size").over(ahead), F.lit(0)).alias("start")
-    ).join(targets.withColumnRenamed("source", "s2"), F.col("s").eqNullSafe(F.col("s2")))
-    inside = Window.partitionBy("source", "chunk").orderBy("h", *ids, "size").rowsBetween(Window.unboundedPreceding, 0)
-    queued = (
-        shuffled.withColumn("run", F.sum("size").over(inside))
+    starts = per_chunk.select(F.col("source").alias("s"), F.col("chunk").alias("c"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("base")).join(
+        targets.withColumnRenamed("source", "s2"), F.col("s").eqNullSafe(F.col("s2"))
+    )
+    inside = Window.partitionBy("source", "chunk").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = (
+        queue.withColumn("ahead", F.coalesce(F.sum("words").over(inside), F.lit(0)))
         .join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c")))
-        .withColumn("before", F.col("start") + F.col("run") - F.col("size"))
+        .withColumn("first", F.col("base") + F.col("ahead"))
     )
-    stop = F.floor(F.col("target") + 1e-6)  # a float's last digits must not cost a word
-    taken = F.lit(0)
+    parts = placed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PILE))))
+    each = parts.withColumn("i", F.explode(F.sequence(F.col("part") * PILE, F.least(F.col("n"), (F.col("part") + 1) * PILE) - 1)))
+    each = each.withColumn("served", F.col("first") + (F.col("i") + 1) * F.col("size"))  # words of the source up to the document's end
+    # The budget is spent at virtual time 1, when a source has served its target: what of a pass ends later is cut off.
+    stop, taken = F.floor(F.col("target") + 1e-6), F.lit(0)  # a float's last digits must not cost a word
     for k in range(cap):
-        taken = taken + F.least(F.col("size"), F.greatest(F.lit(0), stop - k * F.col("source_size") - F.col("before")))
-    return queued.select(
-        *ids, "size", "source", "source_size", "target", taken.cast("long").alias("taken"),
-        F.try_divide(F.col("before") + F.col("size"), F.col("target")).alias("finish"),
-    )
+        late = F.greatest(F.lit(0), k * F.col("source_size") + F.col("served") - stop)
+        taken = taken + F.greatest(F.lit(0), F.col("size") - late)
+    return each.select("doc_id", "key", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), F.try_divide("served", "target").alias("finish"))
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, cap: int = 2, seed: int = 17) -> DataFrame:
@@ -91,21 +105,19 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budge
 
     A document is emitted once for each pass of which at least half its words are served.
     Rows are range-partitioned by finish time, so the files, read in order, are the mix. Every row
-    has its own share, whatever ids repeat: a row is known by its id and 128 bits over its columns.
+    has its own share, whatever ids repeat: a row is known by 128 bits over all its columns.
     Rows alike in all columns are the same row served several times.
     """
-    others = [F.to_json(F.struct(F.struct(docs[f"`{c}`"]).alias("c"))) for c in docs.columns if c not in ("doc_id", "source", "text")]
-    keys, ids = [F.xxhash64(F.lit(k), "text", "source", F.lit(k), *others).alias(f"key{k}") for k in (1, 2)], ["doc_id", "key1", "key2"]
-    sizes = materialize(docs.select("doc_id", "source", _words(docs["text"]).alias("size"), *keys), "mix-sizes")
-    served = _served(sizes, weights, budget, cap, seed, ids).where("taken > 0").withColumn("pass", F.col("source_size") / F.col("target"))
+    key = _key(seed, *[F.to_json(F.struct(F.struct(docs[f"`{c}`"]).alias("c"))) for c in docs.columns if c not in ("doc_id", "source", "text")])
+    sizes = materialize(docs.select("doc_id", "source", _words(docs["text"]).alias("size"), key), "mix-sizes")
+    served = _served(sizes, weights, budget, cap).where("taken > 0").withColumn("pass", F.col("source_size") / F.col("target"))
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    rows = docs.select(packed(docs), docs["doc_id"].alias("id"), *[k.alias(f"row_key{i}") for i, k in enumerate(keys, 1)])
-    if sizes.groupBy(*ids).count().where("count > 1").limit(1).count():
-        rows = rows.dropDuplicates(["id", "row_key1", "row_key2"])
+    rows = docs.select(packed(docs), key.alias("row_key"))
+    if sizes.groupBy("key").count().where("count > 1").limit(1).count():
+        rows = rows.dropDuplicates(["row_key"])
     out = (
-        rows.join(served.select(*ids, "size", "taken", "finish", "pass"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("row_key1") == F.col("key1")) & (F.col("row_key2") == F.col("key2")))
-        .where(copies > 0)
-        .select("row", *ids, "finish", "pass", F.explode(F.sequence(F.lit(0), copies - 1)).alias("k"))
+        rows.join(served.where(copies > 0).select("key", copies.alias("copies"), "finish", "pass"), F.col("row_key") == F.col("key"))
+        .select("row", "key", "finish", "pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("k"))
         .withColumn("at", F.col("finish") + F.col("k") * F.col("pass"))
     )
-    return out.repartitionByRange("at", *ids).sortWithinPartitions("at", *ids).select("row.*")
+    return out.repartitionByRange("at", "key").sortWithinPartitions("at", "key").select("row.*")
