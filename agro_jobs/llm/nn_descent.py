@@ -2,17 +2,21 @@
 
 Nodes are the distinct vectors. The graph starts from the best neighbours inside small blocks
 (random hyperplanes; crowded blocks are split by a hash), and each round joins every node's
-neighbours and reverse neighbours with each other: neighbours of neighbours that are nearer than
-a node's worst neighbour replace it. Rounds end when few edges change. A query walks the graph
-from its start nodes, always expanding the nearest nodes not yet expanded, each step one join.
+neighbours and reverse neighbours with each other, if one of the two is new since the last
+round: neighbours of neighbours that are nearer than a node's worst neighbour replace it. Rounds
+end when few edges change, whatever their number. A query walks the graph from its own node,
+always expanding the nearest nodes not yet expanded, each step one join, until all of its BEAM
+nearest are expanded.
 
 Only the smallest TOP + 1 ids of a vector can be among a query's TOP nearest, so a vector keeps
 those; it is exact, as ties go to the smaller id. The graph search is approximate; tests hold
-its recall against brute force. A hub's reverse list is cut to the DEGREE nearest, which decides
-only the order in which candidates are tried.
+its recall against brute force. A hub's reverse list is cut to the DEGREE nearest, in building
+and in searching; each of its neighbours still leads to it.
 
-Vectors that are null, zero or hold null or non-finite components, and rows without an id, take
-no part. Empty tables give no rows. A repeated row is a candidate of its own.
+Vectors are scaled by a power of two before they are measured, which changes no digit of a cosine
+and keeps squares from overflowing. Vectors of different lengths are never compared. Vectors that
+are null, zero or hold null or non-finite components, and rows without an id, take no part. Empty
+tables give no rows. A repeated row is a candidate of its own. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,13 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agro_jobs.llm.common import materialize
 
-TOP, DEGREE, BLOCK, PROJECTIONS, ROUNDS, ENOUGH = 5, 40, 384, 8, 6, 0.02
-BEAM, EXPAND, STEPS, SALTS = 128, 24, 6, 64
+TOP, DEGREE, BLOCK, PROJECTIONS, ENOUGH = 5, 40, 384, 8, 0.02
+BEAM, EXPAND, SALTS = 128, 32, 64
 
 
 def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -48,32 +53,49 @@ def _map_pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([np.asarray(x, np.float64).tobytes() for x in rows], pa.binary())], names=["node", "vec"])
 
 
-def _matrix(column) -> np.ndarray:
+def _matrix(column, kind: type = np.float64) -> np.ndarray:
+    """Vectors of one length as rows."""
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 1))
+    return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1)
 
 
-def _map_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors of length one in single precision: half the bytes, enough to compare neighbours by."""
+def _by_length(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches, split by the length of their vectors."""
     for b in batches:
-        x = _matrix(b.column("vec"))
-        x = (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "vec"])
+        size = pc.binary_length(b.column(column)).to_numpy(zero_copy_only=False)
+        for n in np.unique(size):
+            yield b.filter(pa.array(size == n))
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, so that the largest component of each is at least a half and below one."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
+def _map_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors of length one in half precision: a quarter of the bytes, enough to compare neighbours by."""
+    for b in _by_length(batches, "vec"):
+        x = _scaled(_matrix(b.column("vec")))
+        x = (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float16)
+        dim = pa.array(np.full(len(b), x.shape[1], np.int32))
+        yield pa.RecordBatch.from_arrays([b.column("node"), dim, pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "dim", "vec"])
 
 
 def _units(column) -> np.ndarray:
-    rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), -1) if rows else np.zeros((0, 1), np.float32)
+    return _matrix(column, np.float16).astype(np.float32)
+
 
+def _map_blocks(many: dict[int, int]):
+    """Blocks of about BLOCK vectors; many: how many vectors there are of a length."""
 
-def _map_blocks(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _by_length(batches, "vec"):
             x = _units(b.column("vec"))
+            bits = int(np.ceil(np.log2(max(many[x.shape[1]] / BLOCK, 1))))
             for k in range(PROJECTIONS):
-                planes = np.random.default_rng(100 + k).normal(size=(x.shape[1], max(bits, 1)))
-                code = ((x @ planes > 0) @ (1 << np.arange(max(bits, 1)))) if bits else np.zeros(len(x), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(code * PROJECTIONS + k), b.column("node"), b.column("vec")], names=["block", "node", "vec"])
+                planes = np.random.default_rng(100 + k).normal(size=(x.shape[1], bits))
+                code = (x @ planes > 0) @ (1 << np.arange(bits))
+                yield pa.RecordBatch.from_arrays([pa.array(code * PROJECTIONS + k), *(b.column(c) for c in ("dim", "node", "vec"))], names=["block", "dim", "node", "vec"])
 
     return run
 
@@ -100,71 +122,74 @@ def _block_edges(t: pa.Table) -> pa.Table:
 
 
 def _join_edges(t: pa.Table) -> pa.Table:
-    """The neighbours of one node among each other: edges nearer than what they have."""
-    node, first = np.unique(t.column("node").to_numpy(), return_index=True)
-    x = _units(t.column("vec").combine_chunks().take(pa.array(first)))
-    return _nearest(node, x @ x.T, t.column("worst").to_numpy()[first])
+    """The neighbours of one node among each other, one of the two being new: edges nearer than what they have."""
+    node, x, new = t.column("node").to_numpy(), _units(t.column("vec")), t.column("new").to_numpy()
+    sims = x @ x.T
+    sims[np.ix_(~new, ~new)] = -2
+    return _nearest(node, sims, t.column("worst").to_numpy())
 
 
 def _best(edges: DataFrame) -> DataFrame:
-    """The DEGREE nearest b of each a."""
-    near = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    """The DEGREE nearest b of each a; an edge found again is not new."""
+    near = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
     return near.withColumn("r", rank).where(F.col("r") <= DEGREE).drop("r")
 
 
+def _reverse(graph: DataFrame) -> DataFrame:
+    """The DEGREE nearest edges into each node, turned round."""
+    rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("sim"), "a"))
+    return graph.withColumn("r", rank).where(F.col("r") <= DEGREE).select(F.col("b").alias("a"), F.col("a").alias("b"), "new")
+
+
 def build(vecs: DataFrame) -> DataFrame:
-    """The graph: a, b, sim."""
-    vecs = materialize(vecs.mapInArrow(_map_unit, "node long, vec binary"), "ann-units")
-    n = vecs.count()
-    bits = max(0, int(np.ceil(np.log2(max(n, 1) / BLOCK))))
-    blocks = vecs.mapInArrow(_map_blocks(bits), "block long, node long, vec binary")
-    sizes = materialize(blocks.groupBy("block").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("long").alias("parts")), "ann-blocks")
-    dealt = blocks.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("node", "block"), F.col("parts")))
-    graph = materialize(_best(dealt.select("block", "part", "node", "vec").groupBy("block", "part").applyInArrow(_block_edges, EDGES)), "ann-graph")
-    for _ in range(ROUNDS if n > 2 * BLOCK else 0):
-        worst = graph.groupBy(F.col("a").alias("node")).agg(F.min("sim").alias("worst"))
-        known = vecs.join(worst, "node", "left").select("node", "vec", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"))
-        rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("sim"), "a"))
-        back = graph.withColumn("r", rank).where(F.col("r") <= DEGREE)
-        lists = graph.select(F.col("a").alias("at"), F.col("b").alias("node")).union(back.select(F.col("b").alias("at"), F.col("a").alias("node"))).distinct()
+    """The graph: a, b, sim, new."""
+    vecs = materialize(vecs.mapInArrow(_map_unit, "node long, dim int, vec binary"), "ann-units")
+    many = {r["dim"]: r["count"] for r in vecs.groupBy("dim").count().collect()}  # a row for each length of vector
+    blocks = vecs.mapInArrow(_map_blocks(many), "block long, dim int, node long, vec binary")
+    sizes = materialize(blocks.groupBy("block", "dim").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("long").alias("parts")), "ann-blocks")
+    dealt = blocks.join(sizes, ["block", "dim"]).withColumn("part", F.pmod(F.xxhash64("node", "block"), F.col("parts")))
+    first = dealt.select("block", "dim", "part", "node", "vec").groupBy("block", "dim", "part").applyInArrow(_block_edges, EDGES)
+    graph = materialize(_best(first.withColumn("new", F.lit(True))), "ann-graph")
+    while True:
+        worst = graph.groupBy(F.col("a").alias("node")).agg(F.when(F.count("*") >= DEGREE, F.min("sim")).otherwise(-2).cast("float").alias("worst"))
+        known = vecs.join(worst, "node").select("node", "vec", "worst")
+        lists = graph.select("a", "b", "new").union(_reverse(graph)).groupBy(F.col("a").alias("at"), F.col("b").alias("node")).agg(F.max("new").alias("new"))
+        fresh = F.max("new").over(Window.partitionBy("at"))
+        lists = lists.withColumn("fresh", fresh).where("fresh").drop("fresh")
         found = lists.join(known, "node").groupBy("at").applyInArrow(_join_edges, EDGES)
-        better = _best(graph.withColumn("old", F.lit(1)).unionByName(found.withColumn("old", F.lit(0))).groupBy("a", "b").agg(F.max("sim").alias("sim")))
-        new = materialize(better, "ann-graph")
-        kept = new.join(graph, ["a", "b"], "left_semi").count()
-        graph, total = new, new.count()
-        if total - kept <= ENOUGH * total:
-            break
-    return graph
+        graph = materialize(_best(graph.withColumn("new", F.lit(False)).unionByName(found.withColumn("new", F.lit(True)))), "ann-graph")
+        total, changed = graph.agg(F.count("*"), F.coalesce(F.sum(F.col("new").cast("long")), F.lit(0))).first()
+        if changed <= ENOUGH * total:
+            return graph
 
 
 def _map_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        x, y = _matrix(b.column("qvec")), _matrix(b.column("vec"))
-        s = np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y))) if len(b) else np.zeros(0)
+    for b in _by_length(batches, "vec"):
+        x, y = _scaled(_matrix(b.column("qvec"))), _scaled(_matrix(b.column("vec")))
+        s = np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
         yield pa.RecordBatch.from_arrays([b.column("q"), b.column("node"), pa.array(s)], names=["q", "node", "score"])
 
 
 def search(queries: DataFrame, graph: DataFrame, vecs: DataFrame, starts: DataFrame) -> DataFrame:
     """q, node, score: the beam of every query. queries: q, qvec; starts: q, node."""
-    links = graph.select("a", "b").union(graph.select("b", "a")).distinct()
+    links = materialize(graph.select("a", "b").union(_reverse(graph).select("a", "b")).distinct(), "ann-links")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "node"))
 
     def scored(pairs: DataFrame) -> DataFrame:
         return pairs.join(vecs, "node").join(queries, "q").select("q", "qvec", "node", "vec").mapInArrow(_map_scores, "q long, node long, score double")
 
     beam = materialize(scored(starts.distinct()).withColumn("open", F.lit(True)), "ann-beam")
-    for _ in range(STEPS):
+    while True:
         turn = F.row_number().over(Window.partitionBy("q", "open").orderBy(F.desc("score"), "node"))
         marked = materialize(beam.withColumn("go", F.col("open") & (turn <= EXPAND)), "ann-marked")
         go = marked.where("go")
         if not go.limit(1).count():
-            break
+            return beam.select("q", "node", "score")
         reached = go.select("q", F.col("node").alias("a")).join(links, "a").select("q", F.col("b").alias("node")).distinct()
         fresh = scored(reached.join(marked, ["q", "node"], "left_anti")).withColumn("open", F.lit(True))
         seen = marked.select("q", "node", "score", (F.col("open") & ~F.col("go")).alias("open"))
         beam = materialize(seen.unionByName(fresh).withColumn("r", rank).where(F.col("r") <= BEAM).drop("r"), "ann-beam")
-    return beam.select("q", "node", "score")
 
 
 def nearest(vectors: DataFrame, every: int = 50, top: int = TOP) -> DataFrame:
