@@ -201,18 +201,70 @@ def test_personal_data(spark):
 
 
 def test_segments_are_maximal():
-    found = toxic_segments.segments(np.array([0, 1, 5, 30]), np.array([1.0, 2, 3, 1]))
-    assert found == [(0, 5, 4.5), (30, 30, 1.0)]
+    found = toxic_segments.segments(np.array([0, 1, 3, 30]), np.array([1.0, 2, 6, 1]))
+    assert found == [(0, 3, 8.0), (30, 30, 1.0)]
     rnd = random.Random(2)
     for _ in range(200):
         n = rnd.randint(1, 14)
-        x = [rnd.choice([-toxic_segments.DRIFT, 1.0, 0.75]) for _ in range(n)]
+        x = [rnd.choice([-toxic_segments.DRIFT, 1.5, 0.75]) for _ in range(n)]
         at = [i for i, v in enumerate(x) if v > 0]
         best = max((sum(x[i : j + 1]) for i in range(n) for j in range(i, n)), default=0)
         got = toxic_segments.segments(np.array(at, int), np.array([x[i] for i in at]))
         assert abs(max((s for _, _, s in got), default=best if not at else 0) - best) < 1e-9 or not at
 
 
+def test_log_odds_are_those_of_the_prior(spark):
+    rnd = random.Random(9)
+    plain = [f"{a}{b}en" for a in ("riv", "sto", "fie", "clo", "mea", "cal") for b in "abcdef"]
+    rows = [(" ".join(rnd.choice(plain) if i % 5 or rnd.random() < 0.6 else "réeux" + rnd.choice("abc") for _ in range(9)), int(i % 5 == 0), i % 2) for i in range(300)]
+    rows += rows[3:9] + [("", 1, 0), ("", 0, 1)]
+    keys, odds = toxic_segments.log_odds(toxic_segments.counts(spark.createDataFrame(rows, "text string, toxic int, half int")), (0, 1))
+    contexts = {0: set(), 1: set()}
+    for t, y, half in rows:
+        w = ["", *t.split(), ""]
+        contexts[y] |= {(half, *w[k - 1 : k + 2]) for k in range(1, len(w) - 1)}
+    seen = {y: Counter(f for _, _, w, _ in found for f in {(0, w), (4, w[:4]), (5, w[:5])}) for y, found in contexts.items()}
+    total = {y: sum(c.values()) for y, c in seen.items()}
+    share, want = total[1] / (total[0] + total[1]), []
+    for f in seen[0] | seen[1]:
+        t, c = seen[1][f] + toxic_segments.PRIOR * share, seen[0][f] + toxic_segments.PRIOR * (1 - share)
+        delta = np.log(t / share) - np.log(c / (1 - share))
+        if delta > toxic_segments.DRIFT and delta >= toxic_segments.SIGNIFICANT * np.sqrt(1 / t + 1 / c):
+            want.append(delta)
+    assert len(want) >= 2
+    assert np.allclose(sorted(odds), sorted(want))
+    assert (np.sort(keys) == keys).all()
+
+
+def test_toxicity_of_odd_rows(spark):
+    rnd = random.Random(1)
+    plain = [f"{a}{b}en" for a in ("riv", "sto", "fie", "clo", "mea", "cal") for b in "abcdef"]
+    rows = [(i, " ".join(rnd.choice(plain) if k % 3 or i % 3 else rnd.choice(["idiot", "clown"]) for k in range(12)), "s") for i in range(150)]
+    rows += [(None, None, None), (0, "", "s"), (0, "another text of one id", "s"), (0, "another text of one id", "s"), (200, "calm water " * 60_000 + "idiot clown and idiot and clown clown", "s")]
+    d = docs(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), None) for i in range(150)] + [(None, 1, 1), (200, None, None)], "doc_id long, toxic int, quality int")
+    got = toxic_segments.score(d, *toxic_segments.fit(d, labels)).collect()
+    assert len(got) == len(rows)
+    said = {r.doc_id: r for r in got if r.doc_id not in (None, 0)}
+    assert all(said[i].predicted == int(i % 3 == 0) for i in said if i < 150)
+    assert all(r.score == 0 and r.evidence is None for r in got if r.doc_id is None)
+    long = said[200]
+    assert long.passages and long.passages[0].first >= 120_000
+    assert toxic_segments.score(d.limit(0), *toxic_segments.fit(d, labels)).count() == 0
+
+
+def test_samples_are_bounded_by_rows(spark):
+    """Neither an id with many texts nor a row that repeats fills the sample or vanishes from it."""
+    same = [(1, f"text {i}") for i in range(4000)] + [(2, "again")] * 4000 + [(None, "nobody")] * 50 + [(i, "x") for i in range(10, 400)]
+    d = spark.createDataFrame(same, "doc_id long, text string")
+    got = common.bounded(d, 500).collect()
+    assert 350 < len(got) < 650
+    assert len(set(got)) == len(got)
+    assert {tuple(r) for r in common.bounded(d, 10_000).collect()} == set(same)
+    labels = spark.createDataFrame([(1, 1)] * 100 + [(2, 1), (3, 0)], "doc_id long, toxic int")
+    assert 350 < common.labelled(d, labels, "toxic", 4, 2, 1, 500).count() < 650
+
+
 def test_mix_reaches_its_targets(spark):
     rnd = random.Random(4)
     rows = [(i, "w " * rnd.randint(0, 60), rnd.choice(["a", "b", "c", "d"]) if i % 3 else "a") for i in range(400)] + [(None, None, None), (1, "w w w", None), (1, "w w w", None)]
@@ -238,6 +290,18 @@ def test_mix_reaches_its_targets(spark):
         k = None if k == "none" else k
         assert abs(part["target"].iloc[0] - target[k]) < 1e-6
         assert abs(part["taken"].sum() - target[k]) <= 1
+    queue: dict = {}
+    for i, t, src in rows:
+        said = ":".join(["17", "-" if i is None else str(i), "-" if src is None else src, t or ""])
+        queue.setdefault(src, []).append((hashlib.md5(said.encode()).hexdigest(), -1 if i is None else i, len((t or "").split())))
+    want = []
+    for src, line in queue.items():  # each document is served in turn until the source's target is reached, twice round at most
+        left, share = int(target[src] + 1e-6), Counter()
+        for k, (_, _, n) in list(enumerate(sorted(line))) * 2:
+            share[k] += min(n, left)
+            left -= min(n, left)
+        want += [(i, n, share[k]) for k, (_, i, n) in enumerate(sorted(line))]
+    assert sorted(want) == sorted((int(i) if i == i else -1, int(n), int(k)) for i, n, k in got[["doc_id", "size", "taken"]].astype(float).values.tolist())
     again = mixing.fair_mix(docs(spark, rows).repartition(7)).toPandas()
     assert sorted(map(str, got[["doc_id", "size", "taken"]].values.tolist())) == sorted(map(str, again[["doc_id", "size", "taken"]].values.tolist()))
     assert mixing.mixed_documents(docs(spark, rows)).columns == docs(spark, []).columns
