@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,6 +27,11 @@ PLACE_BACK = ("there", "that place", "same place", "that city", "that town", "sa
 DATE_BACK = ("same day", "that day", "same date", "then", "that time")
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), with c worked out once: inside f it is a variable, not an expression to be repeated for every element."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def clean_text(c: Column) -> Column:
     """What a classifier reads: lower case, letters, digits and colons, single spaces."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9:]+", " "), " +", " "))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from agro_jobs.functions.text import bound
+
 #: Phrases that talk about the machinery, reverse a verdict, or hedge.
 SCAFFOLDING = ("the data show", "the data indicate", "according to", "based on the reading", "based on the data", "as an ai", "i cannot provide", "here is the", "here's the", "in summary", "to summarize", "the provided", "the system", "the conclusion", "retrieved", "the readings show", "the figures show", "the evidence")
 REVERSALS = {
@@ -41,8 +43,11 @@ def words(c: Column) -> Column:
 
 
 def grams(w: Column, n: int = RUN) -> Column:
-    """All runs of n words, as strings."""
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.concat_ws(" ", F.slice(w, i, n)))).otherwise(F.array().cast("array<string>"))
+    """The hashes of all distinct runs of n words. The words are bound once, not found anew for every run."""
+    def runs(x: Column) -> Column:
+        return F.when(F.size(x) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(x) - n + 1), lambda i: F.xxhash64(F.slice(x, i, n))))).otherwise(F.array().cast("array<bigint>"))
+
+    return bound(w, runs)
 
 
 def echoed(said: Column, source: Column) -> Column:

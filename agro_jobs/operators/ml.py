@@ -10,20 +10,21 @@ from pyspark.ml.feature import IDF, HashingTF, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agro_jobs.functions.text import clean_text, tokens
+from agro_jobs.functions.text import bound, clean_text, tokens
 
 
 def grams(rows: DataFrame, text: str = "text") -> DataFrame:
     """rows with words (one and two) and chars (three to five inside word boundaries)."""
-    w = F.split(clean_text(F.col(text)), " ")
-    two = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.slice(w, i, 2)))).otherwise(F.array().cast("array<string>"))
 
-    def inside(word):
-        padded = F.concat(F.lit(" "), word, F.lit(" "))
+    def pairs(w):
+        return F.concat(w, F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.slice(w, i, 2)))).otherwise(F.array().cast("array<string>")))
+
+    def inside(padded):
         parts = [F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i, n=n: padded.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in (3, 4, 5)]
         return F.concat(*parts)
 
-    return rows.withColumns({"words": F.concat(w, two), "chars": F.flatten(F.transform(w, inside))})
+    said = F.split(clean_text(F.col(text)), " ")
+    return rows.withColumns({"words": bound(said, pairs), "chars": F.flatten(F.transform(F.transform(said, lambda w: F.concat(F.lit(" "), w, F.lit(" "))), inside))})
 
 
 def tfidf(rows: DataFrame, features: int = 1 << 14) -> tuple[PipelineModel, DataFrame]:

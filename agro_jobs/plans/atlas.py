@@ -20,7 +20,7 @@ GAZ = {
 }
 GSQL = "gaz AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in GAZ.items()) + " FROM part)"
 SPANS = {"span_id": "p_partkey", "span": "CASE p_partkey % 3 WHEN 0 THEN p_name || ' north' WHEN 1 THEN substr(p_name, 1, 6) ELSE p_name || ', somewhere' END"}
-SSQL = "spans AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in SPANS.items()) + " FROM part WHERE p_size <= 5)"
+SSQL = "spans AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in SPANS.items()) + " FROM part)"
 
 
 def gaz(spark, d):
@@ -28,7 +28,7 @@ def gaz(spark, d):
 
 
 def spans(spark, d):
-    return table(spark, d, "part").where("p_size <= 5").selectExpr(*[f"{e} AS {c}" for c, e in SPANS.items()])
+    return table(spark, d, "part").selectExpr(*[f"{e} AS {c}" for c, e in SPANS.items()])
 
 
 def names(spark, d):
@@ -60,10 +60,10 @@ def _(spark, d):
 KM = "sqrt(pow((a.lon - b.lon) * cos(radians((a.lat + b.lat) / 2)) * 111.32, 2) + pow((a.lat - b.lat) * 111.32, 2))"
 
 
-@query("geo_match", f"WITH {GSQL} SELECT id, code_id, round(km, 6) AS km FROM (SELECT a.id, b.id AS code_id, {KM} AS km, row_number() OVER (PARTITION BY a.id ORDER BY b.population DESC, b.id) AS r FROM (SELECT * FROM gaz WHERE id % 10 = 3) a JOIN (SELECT * FROM gaz WHERE id % 2 = 0) b ON lower(trim(a.name)) = lower(trim(b.name)) AND {KM} <= 400) WHERE r = 1")
+@query("geo_match", f"WITH {GSQL} SELECT id, code_id, round(km, 6) AS km FROM (SELECT a.id, b.id AS code_id, {KM} AS km, row_number() OVER (PARTITION BY a.id ORDER BY b.population DESC, b.id) AS r FROM gaz a JOIN gaz b ON lower(trim(a.name)) = lower(trim(b.name)) AND {KM} <= 400) WHERE r = 1")
 def _(spark, d):
     g = gaz(spark, d)
-    return P.geo_match(g.where("id % 10 = 3"), g.where("id % 2 = 0"), 400.0).withColumn("km", F.round("km", 6))
+    return P.geo_match(g, g, 400.0).withColumn("km", F.round("km", 6))
 
 
 @query("holdout_split", f"WITH {GSQL} SELECT id, CASE WHEN (row_number() OVER (ORDER BY lower(name), id) - 1) % 5 = 4 THEN 'eval' ELSE 'train' END AS split FROM gaz")
@@ -103,12 +103,12 @@ def _(spark, d):
 
 @query(
     "resolve_fuzzy",
-    f"WITH {GSQL}, {ONE}, s AS (SELECT p_partkey AS span_id, CASE WHEN p_partkey % 2 = 0 THEN substr(p_name, 1, 6) ELSE substr(p_name, 1, 4) || substr(p_name, 6) END AS span FROM part WHERE p_size <= 3), "
+    f"WITH {GSQL}, {ONE}, s AS (SELECT p_partkey AS span_id, CASE WHEN p_partkey % 2 = 0 THEN substr(p_name, 1, 6) ELSE substr(p_name, 1, 4) || substr(p_name, 6) END AS span FROM part), "
     "near AS (SELECT span_id, id, CASE WHEN starts_with(lower(name), lower(span)) THEN 'prefix' WHEN levenshtein(lower(name), lower(span)) <= 1 THEN 'edit' END AS how FROM s JOIN one ON substr(lower(span), 1, 1) = substr(lower(name), 1, 1)), "
     "k AS (SELECT *, max(how) OVER (PARTITION BY span_id) AS best FROM near WHERE how IS NOT NULL) SELECT span_id, id, how FROM k WHERE how = best",
 )
 def _(spark, d):
-    s = table(spark, d, "part").where("p_size <= 3").selectExpr("p_partkey AS span_id", "CASE WHEN p_partkey % 2 = 0 THEN substr(p_name, 1, 6) ELSE substr(p_name, 1, 4) || substr(p_name, 6) END AS span")
+    s = table(spark, d, "part").selectExpr("p_partkey AS span_id", "CASE WHEN p_partkey % 2 = 0 THEN substr(p_name, 1, 6) ELSE substr(p_name, 1, 4) || substr(p_name, 6) END AS span")
     return P.resolve_fuzzy(s, names(spark, d))
 
 

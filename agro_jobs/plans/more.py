@@ -76,9 +76,9 @@ def _(spark, d):
     return feeds.with_daily(rows, days, ["Rainfall"]).select("place_id", "event_id", "Rainfall", "day_Rainfall")
 
 
-@query("model_disagreements", "SELECT question, 'intent' AS field FROM (SELECT user_id % 50 AS question, event_type AS intent FROM events WHERE event_id % 20 < 2) GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT intent) > 1")
+@query("model_disagreements", "SELECT question, 'intent' AS field FROM (SELECT user_id AS question, CASE WHEN user_id % 3 = 0 THEN 'view' ELSE event_type END AS intent FROM events) GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT intent) > 1")
 def _(spark, d):
-    answers = table(spark, d, "events").where("event_id % 20 < 2").selectExpr("user_id % 50 AS question", "event_type AS intent")
+    answers = table(spark, d, "events").selectExpr("user_id AS question", "CASE WHEN user_id % 3 = 0 THEN 'view' ELSE event_type END AS intent")
     return asked.disagreements(answers, ["intent"])
 
 
@@ -111,7 +111,7 @@ def _(spark, d):
 # ---------------------------------------------------------------- spans and labels
 
 
-@query("length_quartiles", "SELECT intent, quantile_cont(n, 0.25) AS q1, quantile_cont(n, 0.5) AS q2, quantile_cont(n, 0.75) AS q3 FROM (SELECT CASE WHEN doc_id % 4 = 0 THEN 'ADVICE' WHEN doc_id % 4 = 1 THEN 'FORECAST' WHEN doc_id % 4 = 2 THEN 'HISTORY' ELSE 'GREETING' END AS intent, len(string_split_regex(trim(substr(text, 1, 60)), '\\s+')) AS n FROM documents) GROUP BY 1")
+@query("length_quartiles", "SELECT intent, quantile_cont(n, 0.25) AS q1, quantile_cont(n, 0.5) AS q2, quantile_cont(n, 0.75) AS q3 FROM (SELECT CASE WHEN doc_id % 4 = 0 THEN 'ADVICE' WHEN doc_id % 4 = 1 THEN 'FORECAST' WHEN doc_id % 4 = 2 THEN 'HISTORY' ELSE 'GREETING' END AS intent, len(string_split_regex(trim(text), '\\s+')) AS n FROM documents) GROUP BY 1")
 def _(spark, d):
     return spans.length_quartiles(view(spark, d, "corpus"), "intent")
 

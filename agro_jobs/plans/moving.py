@@ -131,4 +131,4 @@ def _(spark, d):
 
 @query("folded_names")
 def _(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", X.folded(F.substring("text", 1, 40)).alias("key"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", X.folded("text").alias("key"))

@@ -65,9 +65,9 @@ def _(spark, d):
 # ---------------------------------------------------------------- text
 
 
-@query("clean_text", "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9:]+', ' ', 'g'), ' +', ' ', 'g')) AS text FROM documents WHERE lang = 'en'")
+@query("clean_text", "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9:]+', ' ', 'g'), ' +', ' ', 'g')) AS text FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", X.clean_text(F.substring("text", 1, 200)).alias("text"))
+    return table(spark, d, "documents").select("doc_id", X.clean_text(F.col("text")).alias("text"))
 
 
 @query("tokens", r"SELECT item_id, len(regexp_extract_all(text, '([A-Za-z]+(?:''[a-z]+)?|\d+(?:[:.]\d+)*|[^\sA-Za-z0-9])')) AS n, regexp_extract_all(text, '([A-Za-z]+(?:''[a-z]+)?|\d+(?:[:.]\d+)*|[^\sA-Za-z0-9])')[1] AS first FROM benchmark")
@@ -114,9 +114,9 @@ def _(spark, d):
 W = "regexp_extract_all(lower(text), '([a-z0-9.]+)')"
 
 
-@query("echo_8gram", f"WITH d AS (SELECT doc_id, {W} AS w FROM documents WHERE lang = 'en'), b AS (SELECT DISTINCT array_to_string(w[i:i+7], ' ') AS g FROM (SELECT {W} AS w, unnest(range(1, len({W}) - 6)) AS i FROM benchmark)) SELECT doc_id, count(DISTINCT g) AS shared FROM (SELECT doc_id, array_to_string(w[i:i+7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)) JOIN b USING (g) GROUP BY 1")
+@query("echo_8gram", f"WITH d AS (SELECT doc_id, {W} AS w FROM documents), b AS (SELECT DISTINCT array_to_string(w[i:i+7], ' ') AS g FROM (SELECT {W} AS w, unnest(range(1, len({W}) - 6)) AS i FROM benchmark)) SELECT doc_id, count(DISTINCT g) AS shared FROM (SELECT doc_id, array_to_string(w[i:i+7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)) JOIN b USING (g) GROUP BY 1")
 def _(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.explode(audit.grams(audit.words(F.col("text")))).alias("g"))
+    docs = table(spark, d, "documents").select("doc_id", F.explode(audit.grams(audit.words(F.col("text")))).alias("g"))
     items = table(spark, d, "benchmark").select(F.explode(audit.grams(audit.words(F.col("text")))).alias("g")).distinct()
     return docs.join(items, "g", "left_semi").groupBy("doc_id").agg(F.countDistinct("g").alias("shared"))
 
@@ -124,10 +124,10 @@ def _(spark, d):
 # ---------------------------------------------------------------- corpus
 
 def skeleton():
-    return F.regexp_replace(F.lower(F.substring("text", 1, 12)), "[aeiou]+", "@")
+    return F.regexp_replace(F.lower("text"), "[aeiou]+", "@")
 
 
-SKELETON_SQL = "regexp_replace(lower(substr(text, 1, 12)), '[aeiou]+', '@', 'g')"
+SKELETON_SQL = "regexp_replace(lower(text), '[aeiou]+', '@', 'g')"
 
 
 def csql(body: str, *more: str) -> str:

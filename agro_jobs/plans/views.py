@@ -41,7 +41,7 @@ TURNS = {
     "chat_id": "conv_id",
     "session": "conv_id % 37",
     "turn": "turn",
-    "text": "CASE WHEN turn % 4 = 0 THEN '[m' || CAST(conv_id % 3 AS STRING) || '] ' || substr(text, 1, 40) ELSE substr(text, 1, 12) END",
+    "text": "CASE WHEN turn % 4 = 0 THEN '[m' || CAST(conv_id % 3 AS STRING) || '] ' || text ELSE text END",
     "role": "role",
     "day": "date_add(DATE '2024-01-01', CAST(conv_id * 3 % 40 AS INT))",
     "intent": "CASE WHEN (conv_id + turn) % 5 = 0 THEN 'ADVICE' WHEN (conv_id + turn) % 5 = 1 THEN 'FORECAST' WHEN (conv_id + turn) % 5 = 2 THEN 'HISTORY' WHEN (conv_id + turn) % 5 = 3 THEN 'GREETING' ELSE 'OUT_OF_SCOPE' END",
@@ -62,7 +62,7 @@ FEEDBACK = {
 #: documents -> rows of a labelled corpus.
 CORPUS = {
     "row_id": "doc_id",
-    "text": "substr(text, 1, 60)",
+    "text": "text",
     "split": "CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 9 THEN 'test' ELSE 'eval' END",
     "source": "source",
     "intent": "CASE WHEN doc_id % 4 = 0 THEN 'ADVICE' WHEN doc_id % 4 = 1 THEN 'FORECAST' WHEN doc_id % 4 = 2 THEN 'HISTORY' ELSE 'GREETING' END",
