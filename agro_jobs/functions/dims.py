@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 #: The measurements, the sentinels for a missing one, and the share of clean values a field needs.
 FIELDS = ("Rainfall", "Tmin", "Tmax", "Tavg", "RH", "RH_max", "RH_min", "DPT", "Wind_Speed", "Wind_max", "Wind_Direction", "SunSD", "DayLength", "Lowcloud", "Soilm10", "Soilm40", "Soilt10")
 SENTINELS = (-999.0, -9999.0, 999.0, 9999.0)
-MISSING_TEXT = ("", "na", "n/a", "null", "none", "-", "nan")
 USABLE, GOOD = 0.60, 0.90
 
 #: What may be asked of what.
@@ -49,7 +48,12 @@ TIMED = (
     ("TRAVEL", "Rainfall < 1.0 AND Wind_Speed < 14.0", 1.0, 0.0),
     ("HARVEST", "Rainfall < 1.0", 72.0, 0.0),
 )
-SUB_TIMED = (("OUTDOOR_ACTIVITY", "VEHICLE_WASHING", "Rainfall < 1.0", 2.0, 0.0), ("OUTDOOR_ACTIVITY", "SPORTS", "Rainfall < 1.0 AND Tmax < 38.0 AND coalesce(SunSD > 0, hour(ts) BETWEEN 6 AND 18)", 2.0, 0.0))
+SUB_TIMED = (("DRYING", "VEHICLE_WASHING", "Rainfall < 0.2", 2.0, 0.0), ("OUTDOOR_ACTIVITY", "SPORTS", "Rainfall < 1.0 AND Tmax < 38.0 AND coalesce(SunSD > 0, hour(ts) BETWEEN 6 AND 18)", 2.0, 0.0))
+#: The readings a verdict can't do without.
+NEEDS = {
+    "RAIN_PROTECTION": ("Rainfall",), "SUN_PROTECTION": ("SunSD",), "CLOTHING": ("Tmin", "Tmax"), "FERTILIZE": ("Rainfall",), "IRRIGATE": ("Soilm10", "Rainfall"), "SOW": ("Soilm10", "Rainfall"),
+    "SPRAY": ("Rainfall", "Wind_Speed"), "DRYING": ("Rainfall", "RH"), "OUTDOOR_ACTIVITY": ("Rainfall", "Tmax"), "TRAVEL": ("Rainfall", "Wind_Speed"), "HARVEST": ("Rainfall", "RH"),
+}
 NOT_DAMP, DRY = "Rainfall < 0.2", "Rainfall < 1.0"
 
 

@@ -114,4 +114,4 @@ def label_counts(rows: DataFrame, labels: Sequence[str]) -> DataFrame:
 
 def sampled(rows: DataFrame, n: int, seed: int) -> DataFrame:
     """n rows in the order of a seeded hash."""
-    return rows.orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id").limit(n)
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("row_id").cast("string")).cast("binary")), "row_id").limit(n)

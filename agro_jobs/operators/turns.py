@@ -53,8 +53,10 @@ def last_state(turns: DataFrame) -> DataFrame:
     return turns.where(F.col("state").isNotNull()).groupBy("chat_id").agg(F.max_by("state", "id").alias("state"))
 
 
-def conversation(turns: DataFrame, chat: int) -> DataFrame:
-    return turns.where(F.col("chat_id") == chat).orderBy("id")
+def conversations(turns: DataFrame, decoded: dict[str, str]) -> DataFrame:
+    """Every chat's turns with pos, their place in it; JSON columns are decoded by their types."""
+    pos = F.row_number().over(Window.partitionBy("chat_id").orderBy("id")).cast("long")
+    return turns.withColumns({"pos": pos} | {c: F.from_json(c, kind) for c, kind in decoded.items()})
 
 
 def recent(turns: DataFrame, n: int = 3) -> DataFrame:

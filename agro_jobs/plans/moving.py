@@ -15,7 +15,8 @@ from agro_jobs.plans.views import ansi, clean_readings, view, with_clean
 from agro_jobs.streaming import jobs
 
 
-def _shared(spark: SparkSession) -> str:
+def shared(spark: SparkSession) -> str:
+    """A new folder that all executors see."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="spark-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
@@ -53,7 +54,7 @@ def _(spark, d):
 
 @query("stream_conversation")
 def _(spark, d):
-    at, backend = _shared(spark), "spark.sql.streaming.stateStore.providerClass"
+    at, backend = shared(spark), "spark.sql.streaming.stateStore.providerClass"
     was = spark.conf.get(backend)
     spark.conf.set(backend, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
@@ -64,7 +65,7 @@ def _(spark, d):
 
 @query("stream_alerts", with_clean("SELECT place_id, CAST(ts AS DATE) AS day, field, count(*) AS n FROM (SELECT place_id, ts, 'Rainfall' AS field FROM clean WHERE Rainfall >= 10 UNION ALL SELECT place_id, ts, 'Tmax' FROM clean WHERE Tmax >= 40 UNION ALL SELECT place_id, ts, 'Tmin' FROM clean WHERE Tmin <= 10 UNION ALL SELECT place_id, ts, 'Wind_Speed' FROM clean WHERE Wind_Speed >= 11 UNION ALL SELECT place_id, ts, 'RH' FROM clean WHERE RH >= 90) GROUP BY 1, 2, 3"))
 def _(spark, d):
-    at = _shared(spark)
+    at = shared(spark)
     out = _run(jobs.alerts(_as_stream(clean_readings(spark, d), at)), at)
     return out.groupBy("place_id", F.to_date("ts").alias("day"), "field").agg(F.count("*").alias("n"))
 
@@ -74,7 +75,7 @@ def _(spark, d):
     with_clean("SELECT place_id, day, n, rain, peak, wet FROM (SELECT place_id, CAST(ts AS DATE) AS day, count(*) AS n, CAST(sum(CAST(Rainfall AS DECIMAL(18,4))) AS DOUBLE) AS rain, max(Rainfall) AS peak, count(*) FILTER (Rainfall >= 0.2) AS wet FROM clean GROUP BY 1, 2) WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM clean) - INTERVAL 2 DAY"),
 )
 def _(spark, d):
-    at = _shared(spark)
+    at = shared(spark)
     return _run(jobs.daily_rain(_as_stream(clean_readings(spark, d).select("place_id", "ts", "Rainfall"), at, 1)), at)
 
 
@@ -83,13 +84,13 @@ FOLDED = "SELECT turn_id, count(*) - 1 AS revisions, arg_max(kind, struct_pack(t
 
 @query("stream_feedback", f"WITH {ansi('feedback')} {FOLDED}")
 def _(spark, d):
-    at = _shared(spark)
+    at = shared(spark)
     stream = _as_stream(view(spark, d, "feedback"), at)
     stream.writeStream.foreachBatch(jobs.feedback_sink(f"{at}/table")).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return jobs.feedback_state(spark, f"{at}/table").select("turn_id", "revisions", "kind")
 
 
-@query("tfidf")
+@query("tfidf", f"WITH {ansi('corpus')}, w AS (SELECT row_id, string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9:]+', ' ', 'g'), ' +', ' ', 'g')), ' ') AS w FROM corpus) SELECT row_id, CAST(len(w) + greatest(len(w) - 1, 0) AS INT) AS words, CAST(list_sum(list_transform(w, lambda x: greatest(len(x), 0) + greatest(len(x) - 1, 0) + greatest(len(x) - 2, 0))) AS INT) AS chars FROM w")
 def _(spark, d):
     rows = view(spark, d, "corpus").select("row_id", "text")
     return ml.tfidf(rows)[1].select("row_id", F.size("words").alias("words"), F.size("chars").alias("chars"))
@@ -127,8 +128,3 @@ def _(spark, d):
 def _(spark, d):
     p = spark.read.parquet(f"{d}/part.parquet")
     return p.select("p_partkey", X.misspelt(F.col("p_name"), F.col("p_partkey")).alias("misspelt"))
-
-
-@query("folded_names")
-def _(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", X.folded("text").alias("key"))

@@ -277,24 +277,36 @@ def _(spark, d):
 
 
 STATE = (
-    f"agg AS (SELECT place_id, count(*) AS n, {SUM.format('Rainfall')} AS rain, {SUM.format('SunSD')} AS sun, {SUM.format('DayLength')} AS daylight, count(SunSD) AS n_sun, min(Tmin) AS low, min(Tavg) AS mid, {SUM.format('Soilm10')} / count(Soilm10) AS soil, {SUM.format('Soilt10')} / count(Soilt10) AS soilt, max(Rainfall) AS peak FROM clean GROUP BY 1), "
-    "f AS (SELECT *, coalesce(sun / nullif(CASE WHEN coalesce(daylight, 0) > 0 THEN daylight ELSE n_sun END, 0), 0) AS frac, coalesce(low, mid) AS cold, coalesce(rain, 0) AS total FROM agg)"
+    f"agg AS (SELECT place_id, count(*) AS n, {SUM.format('Rainfall')} AS rain, {SUM.format('SunSD')} AS sun, {SUM.format('DayLength')} AS daylight, count(SunSD) AS n_sun, min(Tmin) AS low, min(Tavg) AS mid, round({SUM.format('Soilm10')} / count(Soilm10), 1) AS soil, round({SUM.format('Soilt10')} / count(Soilt10), 1) AS soilt, max(Rainfall) AS peak FROM clean GROUP BY 1), "
+    "f AS (SELECT *, round(coalesce(sun / nullif(CASE WHEN coalesce(daylight, 0) > 0 THEN daylight ELSE n_sun END, 0), 0), 2) AS frac, round(coalesce(low, mid), 1) AS cold, round(coalesce(rain, 0), 1) AS total FROM agg), "
+    "state AS (SELECT place_id, 'RAIN_PROTECTION' AS activity, CASE WHEN peak >= 1 THEN 'YES/spells of rain' ELSE 'NO/not much rain' END AS said FROM f UNION ALL SELECT place_id, 'SUN_PROTECTION', CASE WHEN frac >= 0.75 THEN 'YES/strong sun' WHEN frac >= 0.5 THEN 'YES/half the possible sunshine' ELSE 'NO/little sunshine' END FROM f UNION ALL "
+    "SELECT place_id, 'CLOTHING', CASE WHEN cold IS NULL THEN 'UNKNOWN/no temperature reading' WHEN cold <= 15 THEN 'YES/something warm' WHEN cold <= 20 THEN 'CAUTION/a light layer' ELSE 'NO/not cold' END FROM f UNION ALL "
+    "SELECT place_id, 'FERTILIZE', CASE WHEN total >= 25 THEN 'NO/will wash off' WHEN total >= 2 THEN 'YES/enough to carry it in' WHEN soil < 0.15 THEN 'CAUTION/dry ground' ELSE 'CAUTION/too little rain' END FROM f UNION ALL "
+    "SELECT place_id, 'IRRIGATE', CASE WHEN total >= 10 THEN 'NO/rain is coming' WHEN soil >= 0.3 THEN 'NO/soil is wet' WHEN soil <= 0.15 THEN 'YES/soil is dry' ELSE 'CAUTION/borderline' END FROM f UNION ALL "
+    "SELECT place_id, 'SOW', CASE WHEN soil >= 0.15 AND total >= 10 THEN 'YES/moist and rain to come' WHEN total < 5 AND (soil IS NULL OR soil < 0.15) THEN 'NO/too dry' WHEN soilt < 15 THEN 'CAUTION/ground is cold' ELSE 'CAUTION/borderline' END FROM f)"
 )
 
 
+@query("advice_state", with_clean("SELECT place_id, activity, split_part(said, '/', 1) AS verdict, split_part(said, '/', 2) AS reason FROM state", STATE))
+def _(spark, d):
+    return advice.state(clean_readings(spark, d), BY).select("place_id", "activity", "verdict", "reason")
+
+
+#: Places of a day with an hour of readings each: thin enough for some to be undecidable.
+DAILY = with_clean("SELECT 1", STATE).removesuffix(" SELECT 1").replace("SELECT place_id, ts, event_id,", "SELECT place_id * 100 + day(ts) AS place_id, ts, event_id,")
+SHARES = "cover AS (SELECT place_id, " + ", ".join(f"CAST(count({f}) AS DOUBLE) / count(*) AS {f}" for f in ("Rainfall", "SunSD", "Tmin", "Tmax", "Soilm10")) + " FROM clean GROUP BY 1)"
+NEEDED = "CASE activity WHEN 'SUN_PROTECTION' THEN ['SunSD'] WHEN 'CLOTHING' THEN ['Tmin', 'Tmax'] WHEN 'IRRIGATE' THEN ['Soilm10', 'Rainfall'] WHEN 'SOW' THEN ['Soilm10', 'Rainfall'] ELSE ['Rainfall'] END"
+
+
 @query(
-    "advice_state",
-    with_clean(
-        "SELECT place_id, 'RAIN_PROTECTION' AS activity, CASE WHEN peak >= 1 THEN 'YES' ELSE 'NO' END AS verdict FROM f UNION ALL SELECT place_id, 'SUN_PROTECTION', CASE WHEN frac >= 0.5 THEN 'YES' ELSE 'NO' END FROM f UNION ALL "
-        "SELECT place_id, 'CLOTHING', CASE WHEN cold IS NULL THEN 'UNKNOWN' WHEN cold <= 15 THEN 'YES' WHEN cold <= 20 THEN 'CAUTION' ELSE 'NO' END FROM f UNION ALL "
-        "SELECT place_id, 'FERTILIZE', CASE WHEN total >= 25 THEN 'NO' WHEN total >= 2 THEN 'YES' ELSE 'CAUTION' END FROM f UNION ALL "
-        "SELECT place_id, 'IRRIGATE', CASE WHEN total >= 10 OR soil >= 0.3 THEN 'NO' WHEN soil <= 0.15 THEN 'YES' ELSE 'CAUTION' END FROM f UNION ALL "
-        "SELECT place_id, 'SOW', CASE WHEN soil >= 0.15 AND total >= 10 THEN 'YES' WHEN total < 5 AND (soil IS NULL OR soil < 0.15) THEN 'NO' ELSE 'CAUTION' END FROM f",
-        STATE,
-    ),
+    "advice_judged",
+    f"{DAILY}, {SHARES}, g AS (SELECT state.place_id, activity, said, {NEEDED} AS needs, map {{'Rainfall': Rainfall, 'SunSD': SunSD, 'Tmin': Tmin, 'Tmax': Tmax, 'Soilm10': Soilm10}} AS share FROM state JOIN cover USING (place_id)), "
+    "j AS (SELECT *, list_filter(needs, lambda f: share[f] < 0.6) AS missing, list_min(list_transform(needs, lambda f: share[f])) AS worst FROM g) "
+    "SELECT place_id, activity, CASE WHEN len(missing) > 0 THEN 'UNKNOWN' ELSE split_part(said, '/', 1) END AS verdict, CASE WHEN len(missing) > 0 THEN 'missing the readings this needs: ' || array_to_string(missing, ', ') WHEN worst < 0.9 THEN 'partial data: ' || CAST(CAST(round(worst * 100) AS INT) AS VARCHAR) || '% coverage on the thinnest reading' ELSE '' END AS caveat FROM j",
 )
 def _(spark, d):
-    return advice.state(clean_readings(spark, d), BY).select("place_id", "activity", "verdict")
+    rows = clean_readings(spark, d).withColumn("place_id", F.col("place_id") * 100 + F.day("ts"))
+    return advice.judged(advice.state(rows, BY), rows, BY).select("place_id", "activity", "verdict", "caveat")
 
 
 # ---------------------------------------------------------------- comparison

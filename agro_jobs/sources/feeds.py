@@ -14,6 +14,8 @@ READING = "Date_time STRING, " + ", ".join(f"{f} DOUBLE" for f in FIELDS)
 ARCHIVE = {"rainfall_mm": "Rainfall", "temp_max_c": "Tmax", "temp_min_c": "Tmin", "humidity_pct": "RH", "wind_ms": "Wind_Speed", "day_length_hrs": "DayLength"}
 NORMALS = {f"normal_{k}": f"Normal_{v}" for k, v in ARCHIVE.items()}
 CITIES = "id BIGINT, name STRING, ascii STRING, alternates STRING, lat DOUBLE, lon DOUBLE, class STRING, code STRING, country STRING, cc2 STRING, admin1 STRING, admin2 STRING, admin3 STRING, admin4 STRING, population BIGINT, elevation STRING, dem STRING, zone STRING, modified STRING"
+OTHER_NAMES = "other_id BIGINT, id BIGINT, lang STRING, name STRING, preferred STRING, short STRING, colloquial STRING, historic STRING, since STRING, until STRING"
+COUNTRIES = "iso STRING, iso3 STRING, number STRING, fips STRING, country STRING, capital STRING, area STRING, population STRING, continent STRING, tld STRING, currency STRING, currency_name STRING, phone STRING, postal STRING, postal_regex STRING, languages STRING, id STRING, neighbours STRING, equivalent STRING"
 
 
 def forecast(spark: SparkSession, path: str, envelope: str = "Forecast data") -> DataFrame:
@@ -78,17 +80,32 @@ def seeds(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns({c: F.expr(f"filter({c}, s -> contains(text, s))") for c in ("location", "time")})
 
 
-def packed_csv(spark: SparkSession, path: str, schema: str, split: str | None = None) -> DataFrame:
-    """Packed training rows: pipes become arrays, JSON becomes arrays; an optional split is filtered in the scan."""
+def packed_csv(spark: SparkSession, path: str, schema: str, split: str | None = None, source: str | None = None, lang: str | None = None) -> DataFrame:
+    """Packed training rows: pipes become arrays, JSON becomes arrays; split, source and language are filtered in the scan where given."""
     rows = spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
-    rows = rows.where(F.col("split") == split) if split else rows
+    for column, wanted in (("split", split), ("source", source), ("lang", lang)):
+        rows = rows.where(F.col(column) == wanted) if wanted is not None else rows
     packed = {"variables": F.split("variables", r"\|")} if "variables" in rows.columns else {}
     return rows.withColumns(packed | {c: F.from_json(c, "array<string>") for c in ("locations", "times") if c in rows.columns})
 
 
+def _dump(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("sep", "\t").option("comment", "#").option("quote", "").csv(path)
+
+
 def cities(spark: SparkSession, path: str) -> DataFrame:
     """A tab-separated gazetteer dump."""
-    return spark.read.schema(CITIES).option("sep", "\t").option("comment", "#").option("quote", "").csv(path)
+    return _dump(spark, path, CITIES)
+
+
+def other_names(spark: SparkSession, path: str) -> DataFrame:
+    """The dump of names in other languages, codes and abbreviations."""
+    return _dump(spark, path, OTHER_NAMES)
+
+
+def countries(spark: SparkSession, path: str) -> DataFrame:
+    """The dump of countries, whose heading is a comment."""
+    return _dump(spark, path, COUNTRIES)
 
 
 def vocabulary(spark: SparkSession, path: str, key: str) -> DataFrame:
