@@ -58,6 +58,15 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {"op1_url_filter": op1_url_filter, "op2_mix_sources": op2_mix_sources, "op3_kd_shards": op3_kd_shards, "op5_substring_dedup": op5_substring_dedup, "op4_quality_pu": op4_quality_pu, "op6_toxic_segments": op6_toxic_segments, "op7_pii_tagger": op7_pii_tagger, "op8_winnowing": op8_winnowing, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op10_nn_descent": op10_nn_descent}
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE_SQL: dict[str, str] = {
+    "op2_mix_sources": r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || coalesce(source, '-') || ':' || coalesce(text, '')) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, CAST([3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) + 1] AS DOUBLE) AS weight FROM s),
+l AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2.0::DOUBLE * source_size) OVER before, 0) AS words_left, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS weight_left FROM w WINDOW before AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, max(greatest(words_left, 0) / weight_left) OVER () * weight) AS target FROM l),
+q AS (SELECT doc_id, size, d.source, source_size, target, floor(target + 1e-6) AS stop, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS served FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(greatest(0, size - greatest(0, served - stop)) + greatest(0, size - greatest(0, source_size + served - stop)) AS BIGINT) AS taken, source, CASE WHEN target > 0 THEN served / target END AS finish FROM q
+""",
     "op5_substring_dedup": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT r, k, array_to_string(w[k:k+34], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS k FROM d)),
