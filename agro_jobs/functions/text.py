@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -70,8 +70,20 @@ def reference(c: Column) -> Column:
     return F.when(t.rlike("|".join(PLACE_BACK)), "LOCATION").when(t.rlike("|".join(DATE_BACK)), "DATE").otherwise("NONE")
 
 
+#: Fixed value: how a fragment that leans on the turn before begins.
+LEANS = r"(?i)^\s*(and|but|ok|okay|so)?\s*(what|how)?\s*(about|abt)\b|^\s*(and|what about)\b"
+#: Words that ask to compare or to be warned.
+ACTIONS = ("compare", "vs", "versus", "against", "difference", "between", "alert", "warn", "notify", "remind", "ping", "watch", "tell")
+
+
 def follow_up(c: Column) -> Column:
-    return F.trim(c).rlike(r"(?i)^\s*(and|but|ok|okay|so)?\s*(what|how)?\s*(about|abt)\b|^\s*(and|what about)\b")
+    return F.trim(c).rlike(LEANS)
+
+
+def mentions_any(c: Column, words: Sequence[str]) -> Column:
+    """Whether a text has one of the words, whatever stands around them."""
+    said = F.transform(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: F.btrim(w, F.lit(" ,.?!")))
+    return F.arrays_overlap(said, F.array(*map(F.lit, words)))
 
 
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("changes", T.ArrayType(T.StringType()))]))
@@ -97,18 +109,6 @@ def folded(texts: pd.Series) -> pd.Series:
     return texts.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii").str.lower().str.strip()
 
 
-def nearest_time_word(spans: Column, vocabulary: tuple[str, ...], least: float = 0.82) -> Column:
-    """The vocabulary entry a misspelt span is nearest to, else the span; meant for distinct spans."""
-
-    @F.pandas_udf(T.StringType())
-    def near(s: pd.Series) -> pd.Series:
-        import difflib
-
-        return s.map(lambda x: None if x is None else (difflib.get_close_matches(x.lower(), vocabulary, 1, least) or [x.lower()])[0])
-
-    return near(spans)
-
-
 @F.pandas_udf(T.StringType())
 def misspelt(texts: pd.Series, seeds: pd.Series) -> pd.Series:
     """One keyboard slip in a word of at least four letters, chosen by the seed: the same for the same input."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agro_jobs.functions import text as X
-from agro_jobs.functions import timex
+from agro_jobs.functions import timewords, timex
 from agro_jobs.operators import asked, convo, corpus, evaluate, ml, places, spans, turns
 from agro_jobs.plans.registry import query
 from agro_jobs.plans.texts import AS_OF, ASKED, csql, gsql
@@ -44,6 +44,52 @@ def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey", spans.run_label(F.col("o_orderdate"), F.col("o_orderkey") % 40).alias("label"))
 
 
+#: Spans as people write them, and what they mean.
+WRITTEN = (
+    ("on Friday", "friday"), ("5 pm to 8:30pm", "17:00-20:30"), ("at 6:45 PM", "18:45"), ("12 am", "00:00"), ("next 6 hrs", "next 6 hours"), ("in 3 weeks", "next 3 weeks"), ("the whole day", "today"), ("entire weekend", "this weekend"),
+    ("previous records", "last 7 days"), ("tmrw!", "tomorrow"), ("weekand", "this weekend"), ("yesterdy", "yesterday"), ("for", ""), ("25:10", "25:10"), ("some odd words", "some odd words"), ("tonigth", "tonight"), ("12:30", "12:30"),
+)
+
+
+@query("normalize_time", "SELECT event_id, ([" + ", ".join(f"'{m}'" for _, m in WRITTEN) + f"])[CAST(event_id % {len(WRITTEN)} AS INT) + 1] AS meant FROM events")
+def _(spark, d):
+    said = F.element_at(F.array(*[F.lit(s) for s, _ in WRITTEN]), (F.col("event_id") % len(WRITTEN)).cast("int") + 1)
+    return table(spark, d, "events").select("event_id", timewords.canonical(said).alias("meant"))
+
+
+HOURS = "CASE event_id % 6 WHEN 0 THEN '07:30-11:00' WHEN 1 THEN '18:45' WHEN 2 THEN 'early morning' WHEN 3 THEN '2024-01-02t06:00 to 2024-01-02t11:59' WHEN 4 THEN 'next 3 days' ELSE 'whenever' END"
+
+
+@query(
+    "resolve_hours",
+    "SELECT event_id, CASE k WHEN 0 THEN day + to_days(CAST(hour(ts) > 11 AS INT)) + INTERVAL 7 HOUR WHEN 1 THEN day + to_days(CAST(ts > day + INTERVAL 1125 MINUTE AS INT)) + INTERVAL 1125 MINUTE WHEN 2 THEN day + INTERVAL 4 HOUR WHEN 3 THEN TIMESTAMP '2024-01-02 06:00:00' ELSE day END AS start, "
+    "CASE k WHEN 0 THEN day + to_days(CAST(hour(ts) > 11 AS INT)) + INTERVAL 719 MINUTE WHEN 1 THEN day + to_days(CAST(ts > day + INTERVAL 1125 MINUTE AS INT)) + INTERVAL 1185 MINUTE WHEN 2 THEN day + INTERVAL 479 MINUTE WHEN 3 THEN TIMESTAMP '2024-01-02 11:59:00' WHEN 4 THEN day + INTERVAL 2 DAY ELSE day + INTERVAL 6 DAY END AS stop, "
+    "CASE WHEN k < 4 THEN 'hourly' ELSE 'daily' END AS granularity, k < 5 AS understood FROM (SELECT event_id, event_id % 6 AS k, CAST(ts AS TIMESTAMP) AS ts, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day FROM events)",
+)
+def _(spark, d):
+    w = timewords.moments(F.expr(HOURS), F.col("ts"))
+    return table(spark, d, "events").select("event_id", w.alias("w")).select("event_id", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "w.granularity", "w.understood")
+
+
+@query("time_spans", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN '4:15 pm to 6 pm|next 3 days' WHEN 1 THEN '7 hrs' ELSE '' END AS spans FROM events")
+def _(spark, d):
+    said = F.expr("CASE event_id % 3 WHEN 0 THEN 'rain next 3 days at 4:15 pm to 6 pm' WHEN 1 THEN 'dry for 7 hrs' ELSE 'at 12 or 2024' END")
+    return table(spark, d, "events").select("event_id", F.array_join(timewords.time_spans(said), "|").alias("spans"))
+
+
+@query("qualified_spans", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'the Last 7 days' WHEN 1 THEN '7 days' WHEN 2 THEN 'coming 7 days' ELSE '7 days' END AS span, CASE event_id % 4 WHEN 1 THEN 'History' WHEN 2 THEN 'historical data' END AS noun FROM events")
+def _(spark, d):
+    said = F.expr("CASE event_id % 4 WHEN 0 THEN 'rain in the Last 7 days' WHEN 1 THEN 'History of 7 days' WHEN 2 THEN 'historical data for coming 7 days' ELSE 'for 7 days (last)' END")
+    return table(spark, d, "events").select("event_id", timewords.with_qualifier(said, F.lit("7 days")).alias("span"), timewords.history_noun(said).alias("noun"))
+
+
+@query("joined_spans", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN '11 jan 2026 and 17 jan 2026' WHEN 1 THEN '2024-01-02 - 2024-01-05|monday' ELSE 'monday|friday' END AS spans FROM events")
+def _(spark, d):
+    said = F.expr("CASE event_id % 3 WHEN 0 THEN 'rain 11 jan 2026 and 17 jan 2026' WHEN 1 THEN 'from 2024-01-02 - 2024-01-05, then again on monday' ELSE 'monday, in Guntur if it is dry; friday' END")
+    parts = F.expr("CASE event_id % 3 WHEN 0 THEN array('11', '2026 and 17 jan 2026') WHEN 1 THEN array('2024-01-02', '2024-01-05', 'monday') ELSE array('monday', 'friday') END")
+    return table(spark, d, "events").select("event_id", F.array_join(timewords.joined_spans(said, parts), "|").alias("spans"))
+
+
 # ---------------------------------------------------------------- what is read and shown
 
 
@@ -139,7 +185,7 @@ def _(spark, d):
     return evaluate.cut_points(evaluate.bands(view(spark, d, "gold"), F.col("gold") == F.col("predicted")))
 
 
-@query("references", f"WITH {ansi('turns')}, t AS (SELECT id, turn, CASE turn % 4 WHEN 0 THEN 'And over There' WHEN 1 THEN 'the same day' WHEN 2 THEN 'what about wind' ELSE 'rain please' END AS said FROM turns) SELECT id, CASE turn % 4 WHEN 0 THEN 'LOCATION' WHEN 1 THEN 'LOCATION' ELSE 'NONE' END AS kind, turn % 4 IN (0, 2) AS follows FROM t")
+@query("references", f"WITH {ansi('turns')}, t AS (SELECT id, turn, CASE turn % 4 WHEN 0 THEN 'And over There' WHEN 1 THEN 'the same day' WHEN 2 THEN 'what about wind' ELSE 'rain please' END AS said FROM turns) SELECT id, CASE turn % 4 WHEN 0 THEN 'LOCATION' WHEN 1 THEN 'LOCATION' ELSE 'NONE' END AS kind, turn % 4 IN (0, 2) AS follows, turn % 4 IN (2, 3) AS measures, FALSE AS acts FROM t")
 def _(spark, d):
     said = F.expr("CASE turn % 4 WHEN 0 THEN 'And over There' WHEN 1 THEN 'the same day' WHEN 2 THEN 'what about wind' ELSE 'rain please' END")
-    return view(spark, d, "turns").select("id", X.reference(said).alias("kind"), X.follow_up(said).alias("follows"))
+    return view(spark, d, "turns").select("id", X.reference(said).alias("kind"), X.follow_up(said).alias("follows"), X.mentions_any(said, ("rain", "wind")).alias("measures"), X.mentions_any(said, X.ACTIONS).alias("acts"))

@@ -116,14 +116,6 @@ def _(spark, d):
     return view(spark, d, "turns").select("id", n.alias("n")).select("id", "n.text", F.size("n.changes").alias("changes"))
 
 
-@query("normalize_time")
-def _(spark, d):
-    words = ("tomorrow", "today", "tonight", "yesterday", "weekend", "next week", "this month")
-    said = spark.read.parquet(f"{d}/events.parquet").select(F.expr("CASE event_id % 4 WHEN 0 THEN 'tommorow' WHEN 1 THEN 'toady' WHEN 2 THEN 'weekand' ELSE event_type END").alias("span"))
-    distinct = said.distinct()
-    return distinct.select("span", X.nearest_time_word(F.col("span"), words).alias("meant"))
-
-
 @query("misspellings")
 def _(spark, d):
     p = spark.read.parquet(f"{d}/part.parquet")
