@@ -1,11 +1,11 @@
 """Personal data: fixed patterns, and a character BiLSTM with CRF transitions that adds to them.
 
 Base spans follow four patterns with checks. The tagger is trained in numpy on the driver, from
-windows of at most MAX_TEXTS texts (the documented bound) labelled by their base spans, with
-copies in other spellings (a phone without its country code, a card with dots). Every kind needs a
-digit or an @, so only stretches around those are tagged; that skips no possible span. Windows
-of a stretch overlap, their label posteriors are averaged character by character, and one
-Viterbi pass over the whole stretch reconciles them. A tagged span is added if it overlaps no
+windows (about MAX_WINDOWS of about MAX_TEXTS distinct texts, the documented bounds) labelled by their
+base spans, with copies in other spellings (a phone without its country code, a card with dots).
+Every kind needs a digit or an @, so only stretches around those are tagged. Windows of a stretch
+overlap; their scores are averaged character by character, and one Viterbi pass with the learned
+transitions over the whole stretch reconciles them. A tagged span is added if it overlaps no
 base span, is confident and passes its kind's check.
 
 Nulls: a null text is the empty one. Empty tables give no rows; repeated rows are separate;
@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from agro_jobs.llm import common as C
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TEXTS, WINDOW, STRIDE, MARGIN, GAP, CONFIDENT = 1_500, 48, 24, 12, 8, 0.9
+MAX_TEXTS, MAX_WINDOWS, WINDOW, STRIDE, MARGIN, GAP, CONFIDENT = 1_500, 9_000, 48, 24, 12, 8, 0.9
 LOCAL, DOMAIN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"), re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP, CARD, PHONE = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]")
+TRIGGER, RUN = re.compile(r"[0-9@]"), re.compile(r"\S+")
 Span = tuple[str, int, int]
 
 
@@ -74,12 +74,20 @@ def base_spans(text: str) -> list[Span]:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Where a span could be: digits and @ with MARGIN characters around, near ones together."""
+    """Where a span could be: digits with MARGIN characters around, an @ with all that stands next to it, near ones together."""
     out: list[list[int]] = []
+    run = 0, 0
     for m in TRIGGER.finditer(text):
         a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
+        if m.group() == "@":
+            if m.start() >= run[1]:
+                start = m.start()
+                while start > run[1] and not text[start - 1].isspace():
+                    start -= 1
+                run = start, RUN.match(text, m.start()).end()
+            a, b = min(a, run[0]), max(b, run[1])
         if out and a <= out[-1][1] + GAP:
-            out[-1][1] = b
+            out[-1] = [min(a, out[-1][0]), max(b, out[-1][1])]
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]
@@ -252,8 +260,9 @@ def _map_examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fit(docs: DataFrame) -> dict | None:
     """The trained tagger, or None if no text holds a digit or an @."""
     texts = docs.select("text").where(F.col("text").rlike("[0-9@]"))
-    rows = C.bounded(texts, MAX_TEXTS).mapInArrow(_map_examples, "window string, labels array<bigint>").toPandas()
-    rows = rows.sort_values("window")[: 6 * MAX_TEXTS]  # very long texts may give many windows
+    windows = C.materialize(C.bounded(texts, MAX_TEXTS).mapInArrow(_map_examples, "window string, labels array<bigint>"), "pii-windows")
+    rows = C.bounded(windows, MAX_WINDOWS).toPandas()
+    rows = rows.iloc[sorted(range(len(rows)), key=lambda i: (rows["window"][i], list(rows["labels"][i])))]  # one order, whatever the partitioning
     if not len(rows):
         return None
     codes, gold = np.zeros((len(rows), WINDOW), np.int64), np.zeros((len(rows), WINDOW), np.int64)
@@ -288,21 +297,24 @@ def tag(net: dict, texts: list[str]) -> list[list[tuple[str, int, int, float]]]:
             w[: len(code[s : s + WINDOW])] = code[s : s + WINDOW]
             slots.append((j, s))
             windows.append(w)
-    sums = [np.zeros((b - a, LABELS)) for _, a, b in jobs]
-    weight = 1.0 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])  # a window knows its middle best
+    sums, scores, held = [np.zeros((b - a, LABELS)) for _, a, b in jobs], [np.zeros((b - a, LABELS)) for _, a, b in jobs], [np.zeros((b - a, 1)) for _, a, b in jobs]
+    weight = (1.0 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]))[:, None]  # a window knows its middle best
     for at in range(0, len(windows), 256):
-        p = posteriors(emissions(net, np.stack(windows[at : at + 256]))[0], net["trans"])[0]
-        for (j, s), q in zip(slots[at : at + 256], p * weight[None, :, None], strict=True):
+        em = emissions(net, np.stack(windows[at : at + 256]))[0]
+        p = posteriors(em, net["trans"])[0]
+        for (j, s), e, q in zip(slots[at : at + 256], em, p, strict=True):
             n = min(WINDOW, len(sums[j]) - s)
-            sums[j][s : s + n] += q[:n]
-    legal = np.zeros((LABELS, LABELS))
+            sums[j][s : s + n] += (q * weight)[:n]
+            scores[j][s : s + n] += (e * weight)[:n]
+            held[j][s : s + n] += weight[:n]
+    trans = net["trans"].copy()
     for k in range(len(KINDS)):
         inside = 2 + 2 * k
-        legal[[x for x in range(LABELS) if x not in (inside, inside - 1)], inside] = -1e9
+        trans[[x for x in range(LABELS) if x not in (inside, inside - 1)], inside] = -1e9
     out: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
-    for (i, a, _), q in zip(jobs, sums, strict=True):
-        q = q / q.sum(1, keepdims=True)
-        path = _viterbi(np.log(q + 1e-9), legal)
+    for (i, a, _), q, e, h in zip(jobs, sums, scores, held, strict=True):
+        q = q / h
+        path = _viterbi(e / h, trans)
         starts = np.flatnonzero(path % 2 == 1)
         for s in starts:
             e = s + 1
