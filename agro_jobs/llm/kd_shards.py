@@ -11,7 +11,7 @@ at most BINS bins each, the bin that holds the median is refined next, and only
 bounds reach the driver. No row is sorted or moved for it, and no value can be hot.
 
 Nulls: a null text has 0 bytes and a null source or language comes first. Empty tables give
-no rows; repeated rows are separate documents; other columns are ignored.
+no rows; repeated rows are separate documents, split like others; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from agro_jobs.llm.common import materialize
 
 BINS = 1 << 16
 TOLERANCE = 0.0005  # of a node's bytes: a median this near is taken, so that ties need no breaking
-ROWS_PER_CHUNK = 50_000
+ROWS_PER_CHUNK, PILE = 50_000, 1 << 16
 DIMS = ("source_key", "lang_key", "size")
 KEYS = ("text_crc32", "row_key")  # 32 bits each; ties are broken by these, in this order
 
@@ -37,16 +37,14 @@ def _ranked(rows: DataFrame, name: str) -> DataFrame:
 def points(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32 and the coordinates of every document; small rows, kept in the shared folder."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = materialize(
-        docs.select(
-            "doc_id", "source", "lang",
-            (F.octet_length(text) + 1).cast("long").alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.xxhash64(text).alias("text_hash"),
-            F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(5)), 32).alias("row_key"),
-        ),
-        "shard-rows",
-    )
+    keys = docs.select(
+        "doc_id", "source", "lang", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash")
+    )
+    # Rows that repeat are counted and dealt out again, each with a key of its own.
+    piles = keys.groupBy(*keys.columns).agg(F.count("*").alias("n"))
+    parts = piles.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PILE))))
+    each = parts.withColumn("i", F.explode(F.sequence(F.col("part") * PILE, F.least(F.col("n"), (F.col("part") + 1) * PILE) - 1)))
+    rows = materialize(each.select(*keys.columns, F.shiftrightunsigned(F.xxhash64("doc_id", "i", F.lit(5)), 32).alias("row_key")), "shard-rows")
     ranked = _ranked(_ranked(rows, "source"), "lang")
     # Only texts with copies need a common point; the rest keep their own.
     groups = ranked.groupBy("text_hash", "size").agg(F.min("source_key").alias("sk"), F.min("lang_key").alias("lk"), F.count("*").alias("n"))

@@ -335,6 +335,34 @@ def test_shards_are_even(spark, n):
     assert kd_shards.kd_shards(docs(spark, []), n).count() == 0
 
 
+def test_a_pile_of_one_row_is_split(spark):
+    rows = [(7, "the same row", "a")] * 500 + [(None, None, None)] * 100 + [(i, "x" * (i % 90), "b") for i in range(200)]
+    got = kd_shards.kd_shards(docs(spark, rows), 4).toPandas()
+    assert len(got) == len(rows)
+    per = got.groupby("shard")["size"].sum()
+    assert per.max() - per.min() <= 120
+    assert all(sorted(part["slot"]) == list(range(len(part))) for _, part in got.groupby("shard"))
+
+
+def test_stretches_hold_whole_addresses():
+    t = "write to a.very.long.local-part@some-very-long-domain.example.org, or 12 then"
+    (a, b), *rest = pii_tagger.stretches(t)
+    assert t[a:b].startswith("a.very") or "a.very.long.local-part@some-very-long-domain.example.org" in t[a:b]
+    assert pii_tagger.stretches("@" * 100_000) == [(0, 100_000)]
+    assert not pii_tagger.stretches("nothing here")
+
+
+def test_tagging_very_long_and_repeated_texts(spark):
+    rows = [(i, f"call +1 (415) 555-{2000 + i} or user{i}@mail.com", "s") for i in range(40)] + [(None, "1 " * 40_000 + "x@y.zz", "s")] + [(3, "call +1 (415) 555-2003 now", "s")] * 200
+    d = docs(spark, rows)
+    net = pii_tagger.fit(d)
+    got = pii_tagger.digests(pii_tagger.find(d, net)).collect()
+    assert len(got) == len(rows)
+    assert sum(r.n_email for r in got) == 41
+    again = pii_tagger.fit(d.repartition(5))
+    assert all(np.array_equal(v, again[k]) for k, v in net.items())
+
+
 def test_urls(spark):
     rows = [
         (1, "https://www.Example.com/en/5?x", "www.example.com", "/en/5", "www.example.com/en/", "allow"), (2, "http://m.example.com/en/#a", "m.example.com", "/en/", "example.com/en/", "block"),
