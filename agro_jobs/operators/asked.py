@@ -16,6 +16,9 @@ ADDITIVE = ("Rainfall", "SunSD")
 SPOKEN = (("total", "SUM"), ("average", "AVG"), ("mean", "AVG"), ("median", "MEDIAN"), ("highest", "MAX"), ("hottest", "MAX"), ("lowest", "MIN"), ("coldest", "MIN"), ("range", "RANGE"), ("trend", "TREND"), ("how many", "COUNT"), ("how often", "FREQUENCY"))
 #: Words that name one column of a variable.
 NAMED = (("day length", "DayLength"), ("daylight", "DayLength"), ("direction", "Wind_Direction"), ("gust", "Wind_max"), ("maximum humidity", "RH_max"), ("minimum humidity", "RH_min"))
+#: The column a statistic of a variable reads, where it isn't the middle one.
+COLUMN_FOR = {("TEMPERATURE", "MAX"): "Tmax", ("TEMPERATURE", "MIN"): "Tmin", ("HUMIDITY", "MAX"): "RH_max", ("HUMIDITY", "MIN"): "RH_min", ("WIND", "MAX"): "Wind_max"}
+MIDDLE = {"TEMPERATURE": "Tavg", "RAIN": "Rainfall", "HUMIDITY": "RH", "WIND": "Wind_Speed", "CLOUD": "Lowcloud", "SUNSHINE": "SunSD", "UV": "SunSD", "SOIL_MOISTURE": "Soilm10", "SOIL_TEMPERATURE": "Soilt10"}
 #: Default windows of an activity that named no period.
 DEFAULT_WINDOW = {"RAIN_PROTECTION": "today", "SUN_PROTECTION": "today", "CLOTHING": "today", "OUTDOOR_ACTIVITY": "today", "TRAVEL": "today", "DRYING": "today", "SPRAY": "next 2 days", "FERTILIZE": "next 3 days", "IRRIGATE": "next 3 days", "HARVEST": "next 5 days", "SOW": "next 7 days"}
 
@@ -129,3 +132,43 @@ def disagreements(answers: DataFrame, fields: Sequence[str], lists: Sequence[str
     per = answers.groupBy("question").agg(F.count("*").alias("models"), *[F.countDistinct(of(f)).alias(f) for f in fields])
     return per.where("models >= 2").unpivot(["question"], list(fields), "field", "kinds").where("kinds > 1").select("question", "field")
 
+
+def table_rows(rows: DataFrame, by: Sequence[str], fields: Sequence[str], hourly: bool) -> DataFrame:
+    """by, time and a cell for every field, as a table shows them."""
+    return rows.select(*by, F.date_format("ts", "dd MMM HH:mm" if hourly else "dd MMM").alias("time"), *[formatted(f, F.col(f)).alias(f) for f in fields])
+
+
+def summary(rows: DataFrame, by: Sequence[str], field: str, name: str, unit: str) -> DataFrame:
+    """by, said: one sentence on a series; of rain how often and how much at once, of anything else its range and mean."""
+    v = F.col(field)
+    agg = rows.groupBy(*by).agg(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), (F.sum(v.cast(EXACT)).cast("double") / F.count(v)).alias("mean"), F.count_if(v >= 1.0).alias("wet"))
+
+    def one(c: str) -> Column:
+        return F.format_string("%.1f", F.col(c))
+
+    wet = F.when(F.col("wet") == 0, F.concat(F.lit("little to no rain, at most "), one("high"), F.lit(f"{unit} in a reading"))).otherwise(
+        F.concat(F.lit("rain on "), F.col("wet").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" readings, up to "), one("high"), F.lit(f"{unit} in one"))
+    )
+    ranged = F.concat(F.lit(f"{name} "), one("low"), F.lit("-"), one("high"), F.lit(f"{unit} (avg "), one("mean"), F.lit(f"{unit})"))
+    single = F.concat(F.lit(f"{name} "), one("high"), F.lit(unit))
+    said = F.when(F.col("n") == 0, f"no {name} values").when(F.col("n") == 1, single).otherwise(wet if field == "Rainfall" else ranged)
+    return agg.select(*by, said.alias("said"))
+
+
+def reduced(long: DataFrame, by: Sequence[str], asked: DataFrame, gates: DataFrame) -> DataFrame:
+    """by, id, pos, variable, field, statistic, value: all that a question asks for, in its order, each on its own column.
+
+    asked: id, variables, statistics (arrays), text. A column that the text names is read; else the
+    statistic chooses among the variable's: the high one for a maximum, the low one for a minimum,
+    the middle or only one otherwise. What means nothing has no row.
+    """
+    from agro_jobs.operators.stats import gated
+
+    each = pairs(asked, gates).join(asked.select("id", column_named(F.col("text")).alias("named")), "id")
+    suits = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(s).alias("s"), F.lit(f).alias("f")) for (v, s), f in sorted(COLUMN_FOR.items())])
+    chosen = F.get(F.filter(suits, lambda x: (x.v == F.col("variable")) & (x.s == F.col("statistic"))), F.lit(0)).f
+    plain = F.create_map(*[F.lit(x) for kv in MIDDLE.items() for x in kv])[F.col("variable")]
+    each = each.withColumn("field", F.coalesce("named", chosen, plain)).drop("named")
+    wanted = each.select("variable", "statistic").distinct()
+    values = gated(long, by, wanted, gates)
+    return values.join(each, ["variable", "statistic", "field"]).select(*by, "id", "pos", "variable", "field", "statistic", "value")

@@ -115,3 +115,48 @@ def label_counts(rows: DataFrame, labels: Sequence[str]) -> DataFrame:
 def sampled(rows: DataFrame, n: int, seed: int) -> DataFrame:
     """n rows in the order of a seeded hash."""
     return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("row_id").cast("string")).cast("binary")), "row_id").limit(n)
+
+
+def row_faults(rows: DataFrame, intents: Sequence[str], actions: Sequence[str], aggregations: Sequence[str]) -> DataFrame:
+    """rows with fault: the first rule a row breaks, null for none. rows: text, intent, action, aggregation, location, time (arrays of spans)."""
+    def stray(spans: str) -> Column:
+        return F.exists(spans, lambda s: ~F.contains("text", s))
+
+    preposition = F.exists("time", lambda s: s.rlike(r"(?i)^(on|at|in|from|for|during|by|over)\s"))
+    fault = (
+        F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "empty text").when(~F.col("intent").isin(*intents), "bad intent").when(~F.col("action").isin(*actions), "bad action")
+        .when(~F.col("aggregation").isin(*aggregations), "bad aggregation").when(F.col("location").isNull(), "location is not a list").when(stray("location"), "location span not verbatim")
+        .when(F.col("time").isNull(), "time is not a list").when(stray("time"), "time span not verbatim").when(preposition, "time span includes a preposition")
+        .when((F.col("action") == "COMPARE") & (F.size("location") + F.size("time") < 2), "COMPARE needs two spans")
+    )
+    return rows.withColumn("fault", fault)
+
+
+def corpus_stats(rows: DataFrame, skeleton: Column) -> DataFrame:
+    """n, distinct_texts, templates, rows_per_template, busiest."""
+    per = rows.groupBy(skeleton.alias("_s")).agg(F.count("*").alias("_n")).agg(F.count("*").alias("templates"), F.max("_n").alias("busiest"))
+    texts = rows.agg(F.count("*").alias("n"), F.countDistinct(F.lower("text")).alias("distinct_texts"))
+    return texts.join(per).withColumn("rows_per_template", F.col("n").cast("double") / F.col("templates"))  # one row beside one row
+
+
+def balance(rows: DataFrame, a: str, a_values: Sequence[str], b: str, b_values: Sequence[str], least: float = 0.8) -> DataFrame:
+    """cells, empty, low, high, balanced: whether all cells of the grid are there and the rarest has a share `least` of the fullest."""
+    grid = coverage_grid(rows, a, a_values, b, b_values)
+    low, high = F.min("n"), F.max("n")
+    return grid.agg(F.count("*").alias("cells"), F.count_if(F.col("n") == 0).alias("empty"), low.alias("low"), high.alias("high"), ((low > 0) & (low >= least * high)).alias("balanced"))
+
+
+def merged(sources: Sequence[tuple[str, DataFrame]], by: Sequence[str] = ("chat_id", "turn")) -> DataFrame:
+    """The rows of all sources, named in `origin`; of rows with one key, those of the first source."""
+    out = None
+    for k, (name, rows) in enumerate(sources):
+        part = rows.withColumns({"origin": F.lit(name), "_o": F.lit(k)})
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_o"))).where("_r = 1").drop("_o", "_r")
+
+
+def relabelled(rows: DataFrame, labels: dict[str, str], tense: Column) -> DataFrame:
+    """rows with intent in the newer scheme: by the map of old labels, and by tense where the old one only said data."""
+    table = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+    new = table[F.col("intent")]
+    return rows.withColumn("intent", F.when(new == "DATA", F.when(tense == "HISTORICAL", "HISTORY").otherwise("FORECAST")).otherwise(new))

@@ -96,3 +96,23 @@ def kfold(rows: DataFrame, label: str, key: str, k: int = 5) -> DataFrame:
 def confusion(rows: DataFrame, gold: str, predicted: str) -> DataFrame:
     """gold, predicted, n without the diagonal."""
     return rows.where(F.col(gold) != F.col(predicted)).groupBy(gold, predicted).agg(F.count("*").alias("n"))
+
+
+def macro_f1(rows: DataFrame, gold: str, predicted: str) -> DataFrame:
+    """macro_f1 over the classes of the gold, and baseline, the share of the commonest."""
+    scores = per_class(rows, gold, predicted).where("support > 0")
+    return scores.agg(F.avg("f1").alias("macro_f1"), (F.max("support").cast("double") / F.sum("support")).alias("baseline"))
+
+
+def misrouted(rows: DataFrame, gold: str, predicted: str, data: Sequence[str]) -> DataFrame:
+    """turns that ask for no data, and how many of them were taken to."""
+    none = ~F.col(gold).isin(*data)
+    return rows.agg(F.count_if(none).alias("turns"), F.count_if(none & F.col(predicted).isin(*data)).alias("misrouted"))
+
+
+def learning_subsets(rows: DataFrame, label: str, key: str, shares: Sequence[float]) -> DataFrame:
+    """share, key: nested subsets of each class for a learning curve, the first of a fixed shuffle."""
+    w = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string").cast("binary")), key)
+    at = (F.row_number().over(w) - 1) / F.count("*").over(Window.partitionBy(label))
+    some = rows.select(key, at.alias("at")).withColumn("share", F.explode(F.array(*[F.lit(float(x)) for x in shares])))
+    return some.where(F.col("at") < F.col("share")).select("share", key)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agro_jobs.functions.text import folded
+from agro_jobs.sources.shared import written
 
 #: The box that counts as inside, the levels from broad to local, and their ranks.
 BOX = {"lat": (6.5, 37.5), "lon": (68.0, 97.5)}
@@ -40,15 +41,21 @@ def quota(places: DataFrame, by: Sequence[str], n: int) -> DataFrame:
 
 
 def capped_cities(cities: DataFrame, per_country: int = 4) -> DataFrame:
-    """The biggest cities: one per name (the biggest), then at most so many per country.
+    """The biggest cities: one per name, at most so many per country, the biggest first.
 
-    The windowed form of a greedy pass: a name refused by its country's cap does not come back
-    for another country.
+    What a single greedy pass gives, in rounds: every name stands with its biggest city left, every
+    country keeps the biggest that stand for it, and the ones it refuses free their names for
+    another country. Both sides prefer by one order, so the rounds end where the pass does.
     """
     by_name = Window.partitionBy(F.lower("name")).orderBy(F.desc("population"), "id")
     by_country = Window.partitionBy("country").orderBy(F.desc("population"), "id")
-    one = cities.withColumn("_r", F.row_number().over(by_name)).where("_r = 1").drop("_r")
-    return one.withColumn("_r", F.row_number().over(by_country)).where(F.col("_r") <= per_country).drop("_r")
+    left = cities
+    while True:
+        standing = left.withColumn("_n", F.row_number().over(by_name)).where("_n = 1").withColumn("_c", F.row_number().over(by_country))
+        standing = written(standing.select("id", "_c"), "cities")
+        if not standing.where(F.col("_c") > per_country).limit(1).count():
+            return left.join(standing.select("id"), "id", "left_semi")
+        left = written(left.join(standing.where(F.col("_c") > per_country), "id", "left_anti"), "cities")
 
 
 def flat_distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -58,12 +65,89 @@ def flat_distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Col
 
 
 def geo_match(rows: DataFrame, codes: DataFrame, radius: float) -> DataFrame:
-    """id, code_id, km: the biggest code of the same name (folded) within the radius."""
-    a = rows.select("id", F.lower(F.trim("name")).alias("key"), "lat", "lon")
-    b = codes.select(F.col("id").alias("code_id"), F.lower(F.trim("name")).alias("key"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "population")
+    """id, code_id, km: of the codes with the same name (folded; their ascii name counts too) within the radius, the one of the wanted class, then the biggest.
+
+    rows: id, name, class, lat, lon; codes: id, name, ascii, class, lat, lon, population.
+    """
+    a = rows.select("id", folded("name").alias("key"), F.col("class").alias("wanted"), "lat", "lon")
+    b = codes.select(
+        F.col("id").alias("code_id"), F.explode(F.array_distinct(F.array(folded("name"), folded(F.coalesce("ascii", "name"))))).alias("key"), "class",
+        F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "population",
+    )
     near = a.join(b, "key").withColumn("km", flat_distance(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).where(F.col("km") <= radius)
-    w = Window.partitionBy("id").orderBy(F.desc("population"), "code_id")
-    return near.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("id", "code_id", "km")
+    order = F.struct((F.col("class") == F.col("wanted")).cast("int").alias("right"), "population", (-F.col("code_id")).alias("first"))
+    best = near.groupBy("id").agg(F.max_by(F.struct("code_id", "km"), order).alias("m"))
+    return best.select("id", "m.code_id", "m.km")
+
+
+def codes_of(matched: DataFrame, others: DataFrame, langs: Sequence[str] = ("abbr", "iata")) -> DataFrame:
+    """id, codes: the short forms of each matched place (id, name, code_id), but for its own name. others: id, lang, name."""
+    some = others.where(F.col("lang").isin(*langs)).groupBy(F.col("id").alias("code_id")).agg(F.collect_set("name").alias("raw"))
+    out = matched.join(some, "code_id").select("id", F.filter(clean_codes(F.col("raw")), lambda c: F.lower(c) != F.lower("name")).alias("codes"))
+    return out.where(F.size("codes") > 0)
+
+
+def parents_text(names: Column) -> Column:
+    """The names above a place, without what is no name (all capitals or digits, or UNKNOWN), joined by spaced pipes."""
+    kept = F.filter(names, lambda p: p.isNotNull() & (p != "") & (F.upper(p) != F.lower(p)) & ~F.upper(p).contains("UNKNOWN"))
+    return F.array_join(kept, " | ")
+
+
+def gazetteer_report(places: DataFrame) -> DataFrame:
+    """n, inside, villages, coded, fits: what a gazetteer holds; it fits if four fifths lie inside the box. places: inside, level, codes."""
+    share = F.avg(F.col("inside").cast("int"))
+    return places.agg(F.count("*").alias("n"), share.alias("inside"), F.avg((F.col("level") == "village").cast("int")).alias("villages"), F.avg((F.size("codes") > 0).cast("int")).alias("coded"), (share >= 0.8).alias("fits"))
+
+
+def _said(c: Column) -> Column:
+    return F.btrim(F.trim(F.regexp_replace(F.lower(c), r"\s+", " ")), F.lit(" ,.?!"))
+
+
+def aliased(name: Column, aliases: dict[str, str]) -> Column:
+    """The name an alias stands for, else the name without marks around it; aliases is a small vocabulary."""
+    table = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
+    return F.coalesce(table[_said(name)], F.btrim(name, F.lit(" ,.?!")))
+
+
+def canonical_state(name: Column, states: dict[str, str], self_named: Sequence[str] = ()) -> Column:
+    """A state however it is spelt, with or without its spaces; null for what is none."""
+    table, key = F.create_map(*[F.lit(x) for kv in states.items() for x in kv]), _said(name)
+    return F.coalesce(table[key], table[F.replace(key, F.lit(" "), F.lit(""))], F.when(key.isin(*self_named), F.initcap(key)))
+
+
+def relative_in(text: Column, phrases: Sequence[str]) -> Column:
+    """The longest phrase of a text that only the asker's own position can resolve; null where there is none."""
+    low, out = F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), F.lit(None).cast("string")
+    for phrase in sorted(phrases, key=len):
+        out = F.when(low.rlike(rf"\b\Q{phrase}\E\b"), phrase).otherwise(out)
+    return out
+
+
+def resolve_qualified(spans: DataFrame, gazetteer: DataFrame, states: dict[str, str]) -> DataFrame:
+    """span_id, attempt, head, qualifier and the gazetteer rows of the first attempt with a hit.
+
+    A span is tried as the part before its comma, as a whole, and cut after every word, the longest
+    first; what is cut off must be the place's state, however spelt, or its district.
+    """
+    t = F.btrim(F.trim(F.lower("span")), F.lit(" ,.?!"))
+    words = F.split(t, r"\s+")
+    comma = F.transform(F.filter(F.split(t, ","), lambda p: F.trim(p) != ""), F.trim)
+    none = F.lit(None).cast("string")
+
+    def attempt(head: Column, qualifier: Column) -> Column:
+        return F.struct(head.alias("head"), qualifier.alias("qualifier"))
+
+    cuts = F.when(F.size(words) > 1, F.transform(F.sequence(F.size(words) - 1, F.lit(1), F.lit(-1)), lambda n: attempt(F.concat_ws(" ", F.slice(words, 1, n)), F.concat_ws(" ", F.slice(words, n + 1, F.size(words))))))
+    first = F.when(t.contains(","), F.array(attempt(F.get(comma, F.lit(0)), F.array_join(F.slice(comma, 2, F.size(comma)), ", "))))
+    empty = F.array().cast("array<struct<head:string,qualifier:string>>")
+    tries = F.concat(F.coalesce(first, empty), F.array(attempt(t, none)), F.coalesce(cuts, empty))
+    rows = spans.select("span_id", F.posexplode(tries).alias("attempt", "x")).select("span_id", "attempt", "x.*").where("head != ''")
+    state = F.lower(canonical_state(F.col("qualifier"), states))
+    hits = rows.withColumn("_state", state).join(gazetteer.withColumn("head", F.lower("name")), "head")
+    fits = F.when(F.col("_state").isNotNull(), F.lower("state") == F.col("_state")).otherwise((F.lower("district") == F.col("qualifier")) | (F.lower("state") == F.col("qualifier")))
+    hits = hits.where(F.coalesce(F.col("qualifier"), F.lit("")).isin("") | fits).drop("_state")
+    best = hits.groupBy("span_id").agg(F.min("attempt").alias("attempt"))
+    return hits.join(best, ["span_id", "attempt"])
 
 
 def clean_codes(raw: Column) -> Column:

@@ -59,11 +59,11 @@ def conversations(turns: DataFrame, decoded: dict[str, str]) -> DataFrame:
     return turns.withColumns({"pos": pos} | {c: F.from_json(c, kind) for c, kind in decoded.items()})
 
 
-def recent(turns: DataFrame, n: int = 3) -> DataFrame:
-    """chat_id, exchanges: the last n answered turns, the oldest first."""
+def recent(turns: DataFrame, n: int = 3, answer: str = "answer") -> DataFrame:
+    """chat_id, exchanges: question and answer of the last n answered turns, the oldest first."""
     w = Window.partitionBy("chat_id").orderBy(F.desc("id"))
     rows = turns.where("outcome = 'answered'").withColumn("r", F.row_number().over(w)).where(F.col("r") <= n)
-    return rows.groupBy("chat_id").agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("x")).select("chat_id", F.transform("x", lambda e: e.text).alias("exchanges"))
+    return rows.groupBy("chat_id").agg(F.array_sort(F.collect_list(F.struct("id", F.col("text").alias("question"), F.col(answer).alias("answer")))).alias("x")).select("chat_id", F.transform("x", lambda e: F.struct(e.question, e.answer)).alias("exchanges"))
 
 
 def usage(turns: DataFrame) -> DataFrame:
@@ -128,16 +128,21 @@ def active_days(turns: DataFrame, feedback: DataFrame, days: int = 7) -> DataFra
 
 
 def without_retries(turns: DataFrame) -> DataFrame:
-    """id, retry_of: the newest of turns that ask the same in one chat, and the ids of the others."""
-    rows = turns.select("id", "chat_id", F.lower(untagged(F.col("text"))).alias("said"))
-    groups = rows.groupBy("chat_id", "said").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    """id, retry_of: the newest of rows that ask the same in one turn of a chat, and the ids of the others."""
+    rows = turns.select("id", "chat_id", "turn", F.lower(untagged(F.col("text"))).alias("said"))
+    groups = rows.groupBy("chat_id", "turn", "said").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     return groups.select(F.element_at("ids", -1).alias("id"), F.array_join(F.slice("ids", 1, F.size("ids") - 1).cast("array<string>"), ",").alias("retry_of"))
 
 
 def unique_questions(turns: DataFrame) -> DataFrame:
-    """said, id, times, first: every distinct question, its newest turn, and how often it was asked."""
+    """said, id, times, first, ids: every distinct question, its newest turn, how often it was asked, and all its turns."""
     rows = turns.withColumn("said", F.lower(untagged(F.col("text"))))
-    return rows.groupBy("said").agg(F.max("id").alias("id"), F.count("*").alias("times"), F.min("id").alias("first"))
+    return rows.groupBy("said").agg(F.max("id").alias("id"), F.count("*").alias("times"), F.min("id").alias("first"), F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ",").alias("ids"))
+
+
+def feedback_kinds(feedback: DataFrame) -> DataFrame:
+    """kind, n."""
+    return feedback.groupBy("kind").agg(F.count("*").alias("n"))
 
 
 def outcomes(turns: DataFrame) -> DataFrame:

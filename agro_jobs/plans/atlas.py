@@ -51,7 +51,17 @@ def _(spark, d):
     return P.quota(rows, ["level", "inside"], 20).select("id", "level", "inside")
 
 
-@query("world_cities_cap", "WITH c AS (SELECT c_custkey AS id, 'city ' || CAST(c_custkey * 31 % 900 AS VARCHAR) AS name, c_nationkey AS country, c_custkey * 7919 % 100003 AS population FROM customer) SELECT id, country FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY population DESC, id) AS q FROM (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY population DESC, id) AS r FROM c) WHERE r = 1) WHERE q <= 4")
+#: The greedy pass itself: the cities from the biggest on, with the names and the number of each country taken so far.
+GREEDY = (
+    "WITH RECURSIVE c AS (SELECT id, name, country, row_number() OVER (ORDER BY population DESC, id) AS r FROM (SELECT c_custkey AS id, 'city ' || CAST(c_custkey * 31 % 900 AS VARCHAR) AS name, c_nationkey AS country, c_custkey * 7919 % 100003 AS population FROM customer)), "
+    "g AS (SELECT 0::BIGINT AS r, 0::BIGINT AS id, -1::INT AS country, false AS taken, []::VARCHAR[] AS names, []::INT[] AS countries UNION ALL "
+    "SELECT c.r, c.id, c.country, NOT list_contains(g.names, c.name) AND len(list_filter(g.countries, lambda x: x = c.country)) < 4, "
+    "CASE WHEN NOT list_contains(g.names, c.name) AND len(list_filter(g.countries, lambda x: x = c.country)) < 4 THEN list_append(g.names, c.name) ELSE g.names END, "
+    "CASE WHEN NOT list_contains(g.names, c.name) AND len(list_filter(g.countries, lambda x: x = c.country)) < 4 THEN list_append(g.countries, c.country) ELSE g.countries END FROM g JOIN c ON c.r = g.r + 1) SELECT id, country FROM g WHERE taken"
+)
+
+
+@query("world_cities_cap", GREEDY)
 def _(spark, d):
     c = table(spark, d, "customer").selectExpr("c_custkey AS id", "'city ' || CAST(c_custkey * 31 % 900 AS STRING) AS name", "c_nationkey AS country", "c_custkey * 7919 % 100003 AS population")
     return P.capped_cities(c).select("id", "country")
@@ -60,9 +70,9 @@ def _(spark, d):
 KM = "sqrt(pow((a.lon - b.lon) * cos(radians((a.lat + b.lat) / 2)) * 111.32, 2) + pow((a.lat - b.lat) * 111.32, 2))"
 
 
-@query("geo_match", f"WITH {GSQL} SELECT id, code_id, round(km, 6) AS km FROM (SELECT a.id, b.id AS code_id, {KM} AS km, row_number() OVER (PARTITION BY a.id ORDER BY b.population DESC, b.id) AS r FROM gaz a JOIN gaz b ON lower(trim(a.name)) = lower(trim(b.name)) AND {KM} <= 400) WHERE r = 1")
+@query("geo_match", f"WITH {GSQL} SELECT id, code_id, round(km, 6) AS km FROM (SELECT a.id, b.id AS code_id, {KM} AS km, row_number() OVER (PARTITION BY a.id ORDER BY CAST(b.level = a.level AS INT) DESC, b.population DESC, b.id) AS r FROM gaz a JOIN gaz b ON lower(trim(a.name)) = lower(trim(b.name)) AND {KM} <= 400) WHERE r = 1")
 def _(spark, d):
-    g = gaz(spark, d)
+    g = gaz(spark, d).withColumns({"class": F.col("level"), "ascii": F.upper("name")})
     return P.geo_match(g, g, 400.0).withColumn("km", F.round("km", 6))
 
 

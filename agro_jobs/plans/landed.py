@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agro_jobs.plans.moving import shared
 from agro_jobs.plans.registry import query
 from agro_jobs.plans.views import ansi, table, view
 from agro_jobs.sources import feeds
+from agro_jobs.sources.shared import shared
 
 
 def _envelopes(spark, d, key: str = "Forecast data", sun: str = "SunSD") -> str:

@@ -42,9 +42,9 @@ def _(spark, d):
     return T.last_state(_turns(spark, d))
 
 
-@query("recent_exchanges", sql("SELECT chat_id, string_agg(text, ' / ' ORDER BY id) AS exchanges FROM (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY id DESC) AS r FROM turns WHERE outcome = 'answered') WHERE r <= 3 GROUP BY 1"))
+@query("recent_exchanges", sql("SELECT chat_id, string_agg(text || ' > ' || coalesce(state, '-'), ' / ' ORDER BY id) AS exchanges FROM (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY id DESC) AS r FROM turns WHERE outcome = 'answered') WHERE r <= 3 GROUP BY 1"))
 def _(spark, d):
-    return T.recent(_turns(spark, d)).withColumn("exchanges", F.array_join("exchanges", " / "))
+    return T.recent(_turns(spark, d), answer="state").withColumn("exchanges", F.array_join(F.transform("exchanges", lambda e: F.concat(e.question, F.lit(" > "), F.coalesce(e.answer, F.lit("-")))), " / "))
 
 
 @query("turn_stats", sql("SELECT outcome, count(*) AS turns, count(DISTINCT session) AS sessions, count(DISTINCT chat_id) AS chats, CAST(sum(CAST(confidence AS DECIMAL(18,4))) AS DOUBLE) / count(confidence) AS confidence, CAST(sum(latency_ms) AS DOUBLE) / count(*) AS latency FROM turns GROUP BY ROLLUP (outcome)"))
@@ -89,16 +89,21 @@ def _(spark, d):
     return T.active_days(_turns(spark, d), _fb(spark, d))
 
 
-@query("collapse_retries", sql(f"SELECT max(id) AS id, array_to_string(list_sort(list(id))[:-2], ',') AS retry_of FROM (SELECT id, chat_id, lower({CLEAN}) AS said FROM turns) GROUP BY chat_id, said"))
+@query("collapse_retries", sql(f"SELECT max(id) AS id, array_to_string(list_sort(list(id))[:-2], ',') AS retry_of FROM (SELECT id, chat_id, turn % 3 AS turn, lower({CLEAN}) AS said FROM turns) GROUP BY chat_id, turn, said"))
 def _(spark, d):
-    return T.without_retries(_turns(spark, d))
+    return T.without_retries(_turns(spark, d).withColumn("turn", F.col("turn") % 3))
 
 
-@query("unique_questions", sql(f"SELECT lower({CLEAN}) AS said, max(id) AS id, count(*) AS times, min(id) AS first FROM turns GROUP BY 1"))
+@query("unique_questions", sql(f"SELECT lower({CLEAN}) AS said, max(id) AS id, count(*) AS times, min(id) AS first, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM turns GROUP BY 1"))
 def _(spark, d):
     return T.unique_questions(_turns(spark, d))
 
 
+@query("feedback_kinds", sql("SELECT kind, count(*) AS n FROM fb GROUP BY 1"))
+def _(spark, d):
+    return T.feedback_kinds(_fb(spark, d))
+
+
 @query("turn_outcome", sql("SELECT id, CASE WHEN intent IN ('ADVICE', 'FORECAST', 'HISTORY') THEN 'data' WHEN intent = 'GREETING' THEN 'conversational' WHEN intent = 'OUT_OF_SCOPE' THEN 'declined' ELSE 'control' END AS family, CASE WHEN confidence < 0.45 THEN 'too thin' WHEN confidence < 0.95 THEN 'uncertain' ELSE 'certain' END AS certainty FROM turns"))
 def _(spark, d):
     return T.outcomes(_turns(spark, d))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,18 +9,10 @@ from agro_jobs.functions import text as X
 from agro_jobs.operators import convo, ml
 from agro_jobs.plans.registry import query
 from agro_jobs.plans.views import ansi, clean_readings, view, with_clean
+from agro_jobs.sources.shared import shared
 from agro_jobs.streaming import jobs
 
 
-def shared(spark: SparkSession) -> str:
-    """A new folder that all executors see."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _as_stream(rows: DataFrame, at: str, files: int = 2) -> DataFrame:
     rows.repartition(files).write.parquet(f"{at}/in")
     return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
