@@ -117,7 +117,7 @@ def time_spans(text: Column) -> Column:
     """Clock times, ranges of them and lengths of time, as written; the clock's first."""
     clock = r"(\b\d{1,2}(?::\d{2})?\s*(?:am|pm)(?:\s*to\s*\d{1,2}(?::\d{2})?\s*(?:am|pm))?\b)"
     length = r"(\b(?:next\s+)?\d+\s*(?:days?|hours?|hrs?|minutes?|mins?|weeks?|months?)\b)"
-    return F.concat(*[F.transform(F.regexp_extract_all(text, F.lit("(?i)" + p), F.lit(1)), F.trim) for p in (clock, length)])
+    return F.concat(*[F.transform(F.regexp_extract_all(text, F.lit("(?i)" + p), F.lit(1)), lambda s: F.trim(s)) for p in (clock, length)])
 
 
 def with_qualifier(text: Column, span: Column) -> Column:

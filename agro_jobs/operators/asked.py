@@ -144,7 +144,7 @@ def summary(rows: DataFrame, by: Sequence[str], field: str, name: str, unit: str
     agg = rows.groupBy(*by).agg(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), (F.sum(v.cast(EXACT)).cast("double") / F.count(v)).alias("mean"), F.count_if(v >= 1.0).alias("wet"))
 
     def one(c: str) -> Column:
-        return F.format_string("%.1f", F.col(c))
+        return F.format_string("%.1f", F.bround(c, 1))
 
     wet = F.when(F.col("wet") == 0, F.concat(F.lit("little to no rain, at most "), one("high"), F.lit(f"{unit} in a reading"))).otherwise(
         F.concat(F.lit("rain on "), F.col("wet").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" readings, up to "), one("high"), F.lit(f"{unit} in one"))

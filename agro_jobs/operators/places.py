@@ -131,7 +131,7 @@ def resolve_qualified(spans: DataFrame, gazetteer: DataFrame, states: dict[str,
     """
     t = F.btrim(F.trim(F.lower("span")), F.lit(" ,.?!"))
     words = F.split(t, r"\s+")
-    comma = F.transform(F.filter(F.split(t, ","), lambda p: F.trim(p) != ""), F.trim)
+    comma = F.transform(F.filter(F.split(t, ","), lambda p: F.trim(p) != ""), lambda p: F.trim(p))
     none = F.lit(None).cast("string")
 
     def attempt(head: Column, qualifier: Column) -> Column:

@@ -76,7 +76,7 @@ def _(spark, d):
     return asked.summary(clean_readings(spark, d).withColumn("day", F.to_date("ts")), ["place_id", "day"], "Rainfall", "rain", "mm")
 
 
-@query("range_summary", with_clean("SELECT place_id, 'humidity ' || printf('%.1f', min(RH)) || '-' || printf('%.1f', max(RH)) || '% (avg ' || printf('%.1f', CAST(sum(CAST(RH AS DECIMAL(18,4))) AS DOUBLE) / count(RH)) || '%)' AS said FROM clean GROUP BY 1 HAVING count(RH) > 1"))
+@query("range_summary", with_clean("SELECT place_id, 'humidity ' || printf('%.1f', min(RH)) || '-' || printf('%.1f', max(RH)) || '% (avg ' || printf('%.1f', round_even(CAST(sum(CAST(RH AS DECIMAL(18,4))) AS DOUBLE) / count(RH), 1)) || '%)' AS said FROM clean GROUP BY 1 HAVING count(RH) > 1"))
 def _(spark, d):
     rows = clean_readings(spark, d)
     many = rows.groupBy("place_id").agg(F.count("RH").alias("n")).where("n > 1").select("place_id")
