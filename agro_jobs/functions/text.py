@@ -19,9 +19,20 @@ ENTITIES = {
     "clothing": ("jacket", "sweater", "raincoat", "umbrella", "woollens", "sweatshirt", "hoodie", "blanket", "blankets", "bedsheet", "bedsheets", "saree", "sarees", "shoes", "white clothes", "woollen clothes", "heavy clothes", "winter clothes", "shawl"),
     "event": ("wedding", "marriage", "function", "party", "picnic", "festival", "procession", "outdoor shoot", "photo shoot", "farmers market", "exhibition", "rally", "fair", "housewarming", "get together", "reunion", "concert"),
 }
-#: Chat shorthand and its words.
-SHORTHAND = {"u": "you", "ur": "your", "r": "are", "pls": "please", "plz": "please", "thx": "thanks", "abt": "about", "bcz": "because", "coz": "because", "wat": "what", "wthr": "weather", "wether": "weather", "weathr": "weather", "wheather": "weather"}
-CONTRACTIONS = {"can't": "cannot", "won't": "will not", "what's": "what is", "it's": "it is", "don't": "do not", "i'm": "i am"}
+#: Words and what they are rewritten to.
+LEXICON = {
+    "summerize": "summarize", "sumarize": "summarize", "summarise": "summarize", "summarize": "summarize", "summry": "summary", "sumary": "summary", "summerise": "summarize", "sumup": "sum up",
+    "u": "you", "ur": "your", "r": "are", "pls": "please", "plz": "please", "thx": "thanks", "da": "the", "dis": "this", "n": "and", "abt": "about", "bcz": "because", "coz": "because", "wud": "would", "shud": "should", "cud": "could", "wat": "what", "wats": "whats", "hw": "how", "y": "why", "k": "ok",
+    "wthr": "weather", "wether": "weather", "weathr": "weather", "wheather": "weather", "temp": "temperature", "tempature": "temperature", "temprature": "temperature", "tempreture": "temperature", "temparature": "temperature", "humidty": "humidity", "humdity": "humidity", "humididty": "humidity",
+    "forcast": "forecast", "forecaste": "forecast", "forcaste": "forecast", "rian": "rain", "rainfal": "rainfall", "precipitaion": "precipitation", "sunshien": "sunshine", "sunlite": "sunlight", "cloudness": "cloudiness", "wnd": "wind", "windspeed": "wind speed", "dewpoit": "dew point", "moistur": "moisture", "moisure": "moisture", "mositure": "moisture",
+    "tmrw": "tomorrow", "tmr": "tomorrow", "tomm": "tomorrow", "tomo": "tomorrow", "2moro": "tomorrow", "2morrow": "tomorrow", "tomorow": "tomorrow", "tommorow": "tomorrow", "tommorrow": "tomorrow", "tomarrow": "tomorrow", "2day": "today", "2nite": "tonight", "tonite": "tonight", "rn": "right now", "nxt": "next", "yest": "yesterday", "wk": "week", "mrng": "morning", "evng": "evening", "aftrnoon": "afternoon", "nite": "night",
+}
+CONTRACTIONS = {
+    "what's": "what is", "whats": "what is", "whatis": "what is", "hows": "how is", "how's": "how is", "it's": "it is", "isn't": "is not", "won't": "will not", "don't": "do not", "doesn't": "does not", "can't": "can not", "i'm": "i am",
+    "there's": "there is", "let's": "let us", "we're": "we are", "you're": "you are", "gonna": "going to", "wanna": "want to", "gimme": "give me",
+}
+#: Marks that are written in plain ones.
+PLAIN_MARKS = {"\u2019": "'", "\u2018": "'", "\u201c": '"', "\u201d": '"', "\u2013": "-", "\u2014": "-", "\u00a0": " ", "\u00b0": " degrees "}
 #: Phrases that point back at the turn before.
 PLACE_BACK = ("there", "that place", "same place", "that city", "that town", "same location", "that village", "the same", "over there", "same spot", "that area")
 DATE_BACK = ("same day", "that day", "same date", "then", "that time")
@@ -86,21 +97,31 @@ def mentions_any(c: Column, words: Sequence[str]) -> Column:
     return F.arrays_overlap(said, F.array(*map(F.lit, words)))
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("changes", T.ArrayType(T.StringType()))]))
-def normalized(texts: pd.Series) -> pd.DataFrame:
-    """Shorthand and contractions spelled out, letters repeated more than twice squeezed; with the list of changes."""
-    words = SHORTHAND | CONTRACTIONS
-    out = []
-    for text in texts:
-        said, changes = [], []
-        for w in (text or "").replace("’", "'").split():
-            core = re.sub(r"^\W+|\W+$", "", w)
-            new = words.get(core.lower(), re.sub(r"([A-Za-z])\1{2,}", r"\1\1", core))
-            if new != core:
-                changes.append(f"{core}>{new}")
-            said.append(w.replace(core, new) if core else w)
-        out.append((" ".join(said), changes))
-    return pd.DataFrame(out, columns=["text", "changes"])
+def normalized(c: Column) -> Column:
+    """STRUCT<text, changes>: plain marks, shorthand and contractions spelled out, letters repeated more than twice squeezed, spaces set anew; with each word changed and what it became."""
+    def table(words: dict[str, str]) -> Column:
+        return F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
+
+    t, short, long = F.coalesce(c, F.lit("")), table(LEXICON), table(CONTRACTIONS)
+    for mark, plain in PLAIN_MARKS.items():
+        t = F.replace(t, F.lit(mark), F.lit(plain))
+
+    def rewritten(w: Column) -> Column:
+        low = F.lower(w)
+        squeezed = F.regexp_replace(low, r"([a-z])\1{2,}", "$1$1")
+        loud = w.rlike("^[^a-z]*[A-Z][^a-z]*$") & (F.length(w) > 1)
+        spelt = F.when(loud, F.upper(short[squeezed])).otherwise(short[squeezed])
+        new = F.coalesce(long[low], F.when(squeezed != low, F.coalesce(spelt, squeezed)).otherwise(spelt))
+        return F.struct(w.alias("said"), new.alias("new"))
+
+    words = F.transform(F.regexp_extract_all(t, F.lit(r"([A-Za-z]+(?:'[A-Za-z]+)?|\d+(?::\d+)?|[^\sA-Za-z\d])"), F.lit(1)), rewritten)
+
+    def told(ws: Column) -> Column:
+        text = F.array_join(F.transform(ws, lambda w: F.coalesce(w.new, w.said)), " ")
+        changes = F.transform(F.filter(ws, lambda w: w.new.isNotNull()), lambda w: F.concat(w.said, F.lit(">"), w.new))
+        return F.struct(F.regexp_replace(text, " ([,.?!:;'])", "$1").alias("text"), changes.alias("changes"))
+
+    return bound(words, told)
 
 
 @F.pandas_udf(T.StringType())

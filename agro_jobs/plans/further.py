@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agro_jobs.functions import dims
+from agro_jobs.functions import text as X
 from agro_jobs.operators import asked, corpus, evaluate, places
 from agro_jobs.plans.atlas import GSQL, gaz
 from agro_jobs.plans.registry import query
 from agro_jobs.plans.texts import SKELETON_SQL, csql, gsql, skeleton
-from agro_jobs.plans.views import clean_readings, long_readings, table, view, with_clean
+from agro_jobs.plans.views import ansi, clean_readings, long_readings, table, view, with_clean
 
 # ---------------------------------------------------------------- places
 
@@ -144,3 +145,19 @@ def _(spark, d):
 def _(spark, d):
     tense = F.when(F.col("row_id") % 2 == 0, "HISTORICAL").otherwise("CURRENT")
     return corpus.relabelled(view(spark, d, "corpus"), {"ADVICE": "ADVICE", "FORECAST": "DATA", "HISTORY": "DATA"}, tense).select("row_id", "intent")
+
+
+# ---------------------------------------------------------------- wording
+
+#: Messages as people type them, as they should read, and the number of changes.
+TYPED = (
+    ("WTHR in Guntur tmrw ?", "WEATHER in Guntur tomorrow?", 2), ("what\u2019s the temp", "what is the temperature", 2), ("soooo hot , isn't it", "soo hot, is not it", 2), ("rain at 5:30 pm !", "rain at 5:30 pm!", 0),
+    ("35\u00b0 wnd", "35 degrees wind", 1), ("I can't go", "I can not go", 1), ("  plain   words  ", "plain words", 0), ("tommmorow rian", "tomorrow rain", 2), ("", "", 0), ("gonna be wet; k", "going to be wet; ok", 2),
+)
+
+
+@query("normalize_text", f"WITH {ansi('turns')} SELECT id, ([{', '.join(repr(m) for _, m, _ in TYPED)}])[CAST(id % {len(TYPED)} AS INT) + 1] AS text, ([{', '.join(str(n) for _, _, n in TYPED)}])[CAST(id % {len(TYPED)} AS INT) + 1] AS changes FROM turns")
+def _(spark, d):
+    said = F.element_at(F.array(*[F.lit(t) for t, _, _ in TYPED]), (F.col("id") % len(TYPED)).cast("int") + 1)
+    return view(spark, d, "turns").select("id", X.normalized(said).alias("n")).select("id", "n.text", F.size("n.changes").alias("changes"))
+

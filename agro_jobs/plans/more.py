@@ -97,13 +97,24 @@ def _generated(spark, d):
     return generate.filled(keys, frames, places, times), frames
 
 
-@query("generated_rows")
+def picked(n, key: str, seed: int = 0) -> str:
+    return f"(CAST('0x' || left(md5('{seed}:' || CAST({key} AS VARCHAR)), 8) AS BIGINT) % {n})"
+
+
+GENERATED = (
+    "frames AS (SELECT *, row_number() OVER (ORDER BY frame) - 1 AS pos, row_number() OVER (PARTITION BY activity ORDER BY frame) - 1 AS k FROM (VALUES " + ", ".join(f"('{f}', '{t}', '{a}')" for f, t, a in FRAMES) + ") v(frame, template, activity)), "
+    "p AS (SELECT n_name AS place, row_number() OVER (ORDER BY n_name) - 1 AS pos FROM nation), t AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS pos FROM (VALUES ('today'), ('tomorrow'), ('next week')) v(time)), "
+    f"rows_ AS (SELECT doc_id AS row_id, frame, k, activity, place, time, replace(replace(template, '{{place}}', place), '{{time}}', time) AS text FROM documents JOIN frames ON frames.pos = {picked(4, 'doc_id', 0)} JOIN p ON p.pos = {picked('(SELECT count(*) FROM nation)', 'doc_id', 1)} JOIN t ON t.pos = {picked(3, 'doc_id', 2)})"
+)
+
+
+@query("generated_rows", f"WITH {GENERATED} SELECT row_id, frame, text, activity, CASE WHEN {picked(100, 'row_id', 77)} < 30 THEN row_id END AS paraphrase FROM rows_ UNION ALL SELECT row_id, f.frame, replace(replace(f.template, '{{place}}', place), '{{time}}', time), r.activity, row_id FROM rows_ r JOIN frames f ON f.activity = r.activity AND f.k = (r.k + 1) % 2 WHERE {picked(100, 'row_id', 77)} < 30")
 def _(spark, d):
     rows, frames = _generated(spark, d)
     return generate.paraphrased(rows, frames).select("row_id", "frame", "text", "activity", "paraphrase")
 
 
-@query("generated_chats")
+@query("generated_chats", f"WITH {GENERATED} SELECT row_id AS chat_id, CAST(turn AS INT) AS turn, CASE WHEN turn = 0 THEN text ELSE (['what about tomorrow?', 'and there next week?', 'and the wind?'])[CAST({picked(3, 'row_id || chr(58) || turn')} AS INT) + 1] END AS text, place FROM rows_ CROSS JOIN (SELECT unnest([0, 1, 2]) AS turn)")
 def _(spark, d):
     return generate.chats(_generated(spark, d)[0])
 

@@ -36,12 +36,25 @@ def slots(spark, d) -> DataFrame:
     return view(spark, d, "turns").withColumn("reference", X.reference(F.col("text"))).selectExpr(*[f"{e} AS {c}" for c, e in TURN.items()], "reference")
 
 
-@query("conversation_fold")
+OPERATION = "CASE WHEN compares THEN 'COMPARE' WHEN f.k = 0 THEN 'SET' WHEN reference = 'LOCATION' AND p IS NULL THEN CASE WHEN t IS NULL THEN 'INHERIT' ELSE 'MODIFY' END WHEN follow_up AND (p IS NULL) <> (t IS NULL) THEN CASE WHEN p IS NULL THEN 'MODIFY' ELSE 'REPLACE' END WHEN p IS NOT NULL THEN CASE WHEN t IS NULL THEN 'REPLACE' ELSE 'SET' END WHEN t IS NOT NULL THEN 'MODIFY' ELSE 'INHERIT' END"
+BACK = " OR ".join(f"contains(said, '{x}')" for x in X.PLACE_BACK)
+#: The fold, turn after turn, as a recursion.
+FOLD_SQL = (
+    f"WITH RECURSIVE {ansi('turns')}, s AS (SELECT chat_id, turn, intent, CASE WHEN (chat_id + turn) % 3 = 0 THEN 'P' || CAST((chat_id + turn) % 11 AS VARCHAR) END AS p, CASE WHEN (chat_id * 2 + turn) % 4 = 0 THEN 'T' || CAST(turn AS VARCHAR) END AS t, turn % 3 = 1 AS follow_up, (chat_id + turn) % 17 = 0 AS compares, turn % 2 = 1 AS silent, "
+    f"CASE WHEN {BACK} THEN 'LOCATION' ELSE 'NONE' END AS reference, row_number() OVER (PARTITION BY chat_id ORDER BY turn) AS k FROM (SELECT *, regexp_replace(lower(text), '\\s+', ' ', 'g') AS said FROM turns)), "
+    "f AS (SELECT DISTINCT chat_id, 0::BIGINT AS k, 0::BIGINT AS turn, NULL::VARCHAR AS operation, NULL::VARCHAR AS intent, NULL::VARCHAR AS places, NULL::VARCHAR AS time FROM s UNION ALL "
+    "SELECT chat_id, k, turn, op, CASE WHEN op IN ('MODIFY', 'REPLACE', 'INHERIT') AND old_intent IS NOT NULL AND silent THEN old_intent ELSE intent END, CASE WHEN p IS NOT NULL AND op IN ('SET', 'COMPARE', 'REPLACE') THEN p ELSE old_places END, "
+    "CASE WHEN t IS NOT NULL AND op IN ('SET', 'COMPARE', 'MODIFY', 'INHERIT') THEN t WHEN op = 'SET' THEN NULL ELSE old_time END "
+    f"FROM (SELECT s.*, f.intent AS old_intent, f.places AS old_places, f.time AS old_time, {OPERATION} AS op FROM f JOIN s ON s.chat_id = f.chat_id AND s.k = f.k + 1)) SELECT chat_id, turn, operation, intent, places, time FROM f WHERE k > 0"
+)
+
+
+@query("conversation_fold", FOLD_SQL)
 def _(spark, d):
     return convo.fold(slots(spark, d))
 
 
-@query("stream_conversation")
+@query("stream_conversation", FOLD_SQL)
 def _(spark, d):
     at, backend = shared(spark), "spark.sql.streaming.stateStore.providerClass"
     was = spark.conf.get(backend)
@@ -99,12 +112,6 @@ def _(spark, d):
     return ml.decoded(ml.token_rows(rows, "row_id", "text", "spans"), "row_id")
 
 
-@query("normalize_text")
-def _(spark, d):
-    n = X.normalized(F.col("text"))
-    return view(spark, d, "turns").select("id", n.alias("n")).select("id", "n.text", F.size("n.changes").alias("changes"))
-
-
 @query("misspellings")
 def _(spark, d):
     p = spark.read.parquet(f"{d}/part.parquet")
