@@ -97,3 +97,28 @@ def test_pipeline(spark, data):
             items = [tuple(r) for r in table(spark, data, "benchmark").select("item_id", "text").collect()]
             assert not any(r[5] for r in brute_leaks(left, items))
     assert corpus_pipeline.STAGES[-1][1](spark, d, data).count() == d.count()
+
+
+def test_pipeline_of_odd_rows(spark, data):
+    """Nulls in any column, empty and repeated rows, one id for many texts, columns with clashing names, and no rows at all."""
+    passage = next(r.text for r in table(spark, data, "benchmark").collect() if len((r.text or "").split()) > 20)
+    good = [r.text for r in table(spark, data, "documents").limit(30).collect()]
+    rows = [(i, t, "a" if i % 2 else None) for i, t in enumerate(good)] + [(None, t, "b") for t in good[:5]] + [(None, None, None), (3, "", "a"), (3, "", "a"), (4, "word " * 50_000, "c"), (5, passage, "b"), (5, passage, "b")]
+    odd = docs(spark, rows).withColumnRenamed("row", "at")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, data)
+        if name != "shard":
+            assert got.columns == odd.columns
+        kept = got.collect()
+        assert stage(spark, odd.limit(0), data).count() == 0
+        if name == "shard":
+            assert len(kept) == len(rows)
+        if name == "near":
+            texts = [r.text or "" for r in kept]
+            assert len(texts) == len(set(texts))
+        if name == "leaks":
+            assert not any(r.text == passage for r in kept)
+            assert len(kept) >= len(rows) - 6
+        if name == "mix":
+            budget = 1.5 * sum(len((t or "").split()) for _, t, _ in rows)
+            assert abs(sum(len((r.text or "").split()) for r in kept) - budget) <= 50_000

@@ -160,6 +160,69 @@ def test_near_duplicates_inside_a_template_family(spark):
     assert got == {i: i - i % 2 for i in sets}
 
 
+def test_near_duplicates_just_below_the_limit(spark):
+    """One large family of edited copies, most pairs of which miss the limit: the classes are those of all pairs."""
+    rnd = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(300)]
+    base = [rnd.choice(vocabulary) for _ in range(60)]
+    rows = []
+    for i in range(500):
+        t = list(base)
+        for _ in range(rnd.randint(0, 3)):
+            t[rnd.randrange(len(t))] = rnd.choice(vocabulary)
+        rows.append((i, " ".join(t[: rnd.randint(52, 60)]), "s"))
+    d = docs(spark, rows)
+    texts = sorted({t for _, t, _ in rows})
+    idf = icws.document_frequencies(d.select("text"))
+    raw = [t.encode() for t in texts]
+    doc, h, w = icws.shingles(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]), idf)
+    n = len(texts)
+    plain, heavy = np.zeros((n, n)), np.zeros((n, n))
+    for x in np.unique(h):
+        at = np.flatnonzero(h == x)
+        plain[np.ix_(doc[at], doc[at])] += 1
+        heavy[np.ix_(doc[at], doc[at])] += np.minimum.outer(w[at], w[at])
+    link = np.zeros((n, n), bool)
+    for m in (plain, heavy):
+        size = np.diag(m)
+        link |= m / (size[:, None] + size[None] - m) >= 0.8
+    label = np.arange(n)
+    while True:
+        new = np.array([label[link[i]].min() for i in range(n)])
+        if (new == label).all():
+            break
+        label = new
+    at = {t: i for i, t in enumerate(texts)}
+    first: dict = {}
+    for i, t, _ in rows:
+        first.setdefault(label[at[t]], i)
+    got = {r.doc_id: r.class_id for r in icws.near_duplicates(d).collect()}
+    assert len(set(label)) > 20
+    assert got == {i: first[label[at[t]]] for i, t, _ in rows}
+
+
+def test_samples_are_those_of_all_draws():
+    rng = np.random.default_rng(0)
+    n = [3, 5, 40, 130, 900]
+    doc, h, w = np.repeat(np.arange(5), n), rng.integers(1, 1 << 62, sum(n)).astype(np.uint64), rng.uniform(0.5, 1.5, sum(n))
+    some = icws.samples(doc, h, w, 5)
+    draws = icws._draws()
+    low, draws[4] = draws[4], np.ones_like(draws[4])
+    everything = icws.samples(doc, h, w, 5)
+    draws[4] = low
+    assert (some == everything).all()
+
+
+def test_long_items_cost_their_words(spark):
+    """An item of thousands of words is split once, not once for each of its windows."""
+    rnd = random.Random(2)
+    words = [f"w{rnd.randint(0, 400)}" for _ in range(3000)]
+    items = [(1, " ".join(words)), (2, " ".join(words[500:530])), (3, "alone here")]
+    rows = [(1, "x y z " + " ".join(words[100:140]), "s"), (2, "he is alone here", "s"), (3, " ".join(words), "s"), (4, "nothing of it", "s"), (5, "q " * 300_000 + " ".join(words[7:17]), "s")]
+    got = [tuple(r) for r in winnow.contamination(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()]
+    assert sorted(got, key=str) == brute_leaks(rows, items)
+
+
 def test_luhn_and_base_spans():
     t = "mail a.b+c@d-e.co.uk, 10.0.0.256 10.0.0.25; 4111 1111 1111 1111, +1 (415) 555-2671 +12"
     assert [(k, t[a:b]) for k, a, b in pii_tagger.base_spans(t)] == [("email", "a.b+c@d-e.co.uk"), ("ip", "10.0.0.25"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (415) 555-2671")]
