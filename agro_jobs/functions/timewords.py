@@ -103,14 +103,13 @@ def moments(said: Column, now: Column) -> Column:
     ranged = F.date_add(today, (h1 < F.hour(now)).cast("int"))
     point = at(today, h0, m0)
     point = F.when(point < now, F.timestamp_add("DAY", F.lit(1), point)).otherwise(point)
-    days = timex.window(t, today)
-    return (
+    return bound(timex.window(t, today), lambda days: (
         F.when(first.isNotNull() & last.isNotNull(), span(first, last, F.concat(F.date_format(first, "dd MMM HH:mm"), F.lit(" to "), F.date_format(last, "HH:mm")), "hourly", yes))
         .when(t.rlike(r"^\d{1,2}:\d{2}-\d{1,2}:\d{2}$"), span(at(ranged, h0, F.lit(0)), at(ranged, F.least(h1, F.lit(23)), F.lit(59)), t, "hourly", yes))
         .when(t.rlike(r"^\d{1,2}:\d{2}$"), span(point, F.timestamp_add("HOUR", F.lit(1), point), t, "hourly", yes))
         .when(t == "early morning", span(at(today, F.lit(4), F.lit(0)), at(today, F.lit(7), F.lit(59)), t, "hourly", yes))
         .otherwise(span(days["start"].cast("timestamp_ntz"), days["end"].cast("timestamp_ntz"), days["label"], "daily", days["understood"]))
-    )
+    ))
 
 
 def time_spans(text: Column) -> Column:

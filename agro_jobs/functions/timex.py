@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from agro_jobs.functions.text import bound
+
 SEP, ORD, YEAR = r"\s*[/.-]\s*", r"(?:\s*(?:st|nd|rd|th))?", r"(?:19|20)\d{2}"
 #: The four written forms of a date; a year is required.
 WRITTEN = (
@@ -72,16 +74,22 @@ def tense(canonical: Column, as_of: Column) -> Column:
 
 def window(canonical: Column, as_of: Column) -> Column:
     """STRUCT<start DATE, end DATE, label, understood>: the days an expression covers; nothing said is the next seven days."""
-    t = F.lower(F.trim(F.coalesce(canonical, F.lit(""))))
+    said = F.lower(F.trim(F.coalesce(canonical, F.lit(""))))
+    names = "|".join(MONTH_NAMES)
+    years = F.transform(F.regexp_extract_all(said, F.lit(rf"({YEAR})"), F.lit(1)), lambda x: x.cast("int"))
+    month = F.array_position(F.array(*map(F.lit, MONTH_NAMES)), F.regexp_extract(said, rf"\b({names})\b", 1)).cast("int")
+    read = F.struct(said.alias("t"), dates_in(said).alias("found"), years.alias("years"), month.alias("month"))
+    return bound(read, lambda r: _ladder(r["t"], r["found"], r["years"], r["month"], as_of))
+
+
+def _ladder(t: Column, found: Column, years: Column, month: Column, as_of: Column) -> Column:
+    """`window` of a text whose dates, years and month are known; the first case that holds decides."""
 
     def span(a: Column, b: Column, label: Column, understood: bool = True) -> Column:
         return F.struct(a.alias("start"), b.alias("end"), label.alias("label"), F.lit(understood).alias("understood"))
 
-    found = dates_in(t)
-    years = F.transform(F.regexp_extract_all(t, F.lit(rf"({YEAR})"), F.lit(1)), lambda x: x.cast("int"))
     lo, hi = F.array_min(years), F.array_max(years)
     names = "|".join(MONTH_NAMES)
-    month = F.array_position(F.array(*map(F.lit, MONTH_NAMES)), F.regexp_extract(t, rf"\b({names})\b", 1)).cast("int")
     month_year = F.make_date(F.get(years, F.lit(0)), F.nullif(month, F.lit(0)), F.lit(1))
     bare_ok = (month > 0) & (~month.isin(3, 5) | t.rlike(r"\b(?:last|in|of|during|for)\s+(?:may|march)\b"))
     recent = F.make_date(F.year(as_of) - (month > F.month(as_of)).cast("int"), F.nullif(month, F.lit(0)), F.lit(1))

@@ -18,27 +18,29 @@ def _total(c: str) -> F.Column:
 
 
 def timed(rows: DataFrame, by: Sequence[str], specs: Sequence[tuple[str, str, float, float]] = TIMED) -> DataFrame:
-    """by, activity, verdict, n_runs, best (hours), share, start: activities that need a stretch of good weather.
+    """by, activity, verdict, reason, n_runs, best (hours), share, start: activities that need a stretch of good weather.
 
     A run long enough, and settled where the activity needs it, is YES; long enough but
-    unsettled NO; any shorter run CAUTION (fragmented or tight); none NO.
+    unsettled NO; any shorter run CAUTION (fragmented or tight); none NO. Every reading is
+    unfolded into what it means for each activity, so all of them share one pass.
     """
-    out = None
-    for name, during, hours, settle in specs:
-        held = runs.held(rows, during, by, hours)
-        long_ones = runs.runs(rows, during, by).where(F.col("hours") >= hours)
-        if settle:
-            ok = runs.settled(rows, during, NOT_DAMP, by, hours, settle).where("settled")
-        else:
-            ok = long_ones
-        picked = ok.groupBy(*by).agg(F.min_by("start", F.struct(-F.col("hours"), F.col("start"))).alias("start"))
-        long_any = long_ones.select(*by).distinct().withColumn("long", F.lit(True))
-        verdict = F.when(F.col("start").isNotNull(), "YES").when(F.col("long") & F.lit(settle > 0), "NO").when(F.col("n_runs") > 0, "CAUTION").otherwise("NO")
-        reason = F.when(F.col("start").isNotNull(), F.when(F.col("share") >= 0.99, "clear right through").otherwise("pick the window")).when(
-            F.col("long") & F.lit(settle > 0), "rain follows too soon").when(F.col("fragmented"), "breaks up").when(F.col("n_runs") > 0, "tight").otherwise("no clear spell")
-        part = held.join(picked, list(by), "left").join(long_any, list(by), "left").select(*by, F.lit(name).alias("activity"), verdict.alias("verdict"), reason.alias("reason"), "n_runs", "best", "share", "start")
-        out = part if out is None else out.unionByName(part)
-    return out
+    by, keys, roof = list(by), [*by, "activity"], "shelter"
+    gaps = runs.spacing(rows, by)
+    means = [(name, during) for name, during, _, _ in specs] + [(roof, NOT_DAMP)]
+    each = rows.select(*by, "ts", F.inline(F.array(*[F.struct(F.lit(name).alias("activity"), F.coalesce(F.expr(during), F.lit(False)).alias("suits")) for name, during in means])))
+    spells = runs.runs(each, "suits", keys, gaps)
+    doing, settle = (F.create_map(*[F.lit(x) for spec in specs for x in (spec[0], float(spec[k]))])[F.col("activity")] for k in (2, 3))
+    size = rows.groupBy(*by).agg(F.count("*").alias("n")).join(gaps, by).withColumn("activity", F.explode(F.array(*[F.lit(s[0]) for s in specs])))
+    held = runs.measured(size, spells, keys, doing)
+    enough = spells.where(F.col("activity") != roof).withColumns({"doing": doing, "settle": settle}).where("hours >= doing").select(*keys, "start", "hours", "doing", "settle")
+    jobs = runs.sheltered(enough.where("settle > 0"), spells.where(F.col("activity") == roof), runs.last_moment(rows, gaps, by), by).select(*keys, "start", "hours", "settled")
+    good = enough.where("settle = 0").select(*keys, "start", "hours", F.lit(True).alias("settled")).unionByName(jobs)
+    picked = good.groupBy(*keys).agg(F.min_by(F.when(F.col("settled"), F.col("start")), F.struct(~F.col("settled"), -F.col("hours"), F.col("start"))).alias("start"), F.lit(True).alias("long"))
+    out = held.join(picked, keys, "left")
+    fits, soaked = F.col("start").isNotNull(), F.coalesce("long", F.lit(False)) & F.col("start").isNull()
+    verdict = F.when(fits, "YES").when(soaked, "NO").when(F.col("n_runs") > 0, "CAUTION").otherwise("NO")
+    reason = F.when(fits, F.when(F.col("share") >= 0.99, "clear right through").otherwise("pick the window")).when(soaked, "rain follows too soon").when(F.col("fragmented"), "breaks up").when(F.col("n_runs") > 0, "tight").otherwise("no clear spell")
+    return out.select(*keys, verdict.alias("verdict"), reason.alias("reason"), "n_runs", "best", "share", "start")
 
 
 def sub_timed(rows: DataFrame, by: Sequence[str], name: str) -> DataFrame:

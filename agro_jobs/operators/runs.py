@@ -31,35 +31,54 @@ def islands(rows: DataFrame, condition: str, by: Sequence[str], order: str = "ts
     return ok.where("ok").groupBy(*by, "run").agg(F.count("*").alias("readings"), F.min("ts").alias("start"), F.max("ts").alias("last"))
 
 
-def runs(rows: DataFrame, condition: str, by: Sequence[str]) -> DataFrame:
-    """by, start, last, readings, hours, spacing: an island lasts until its last reading's own spacing is over."""
-    gaps = spacing(rows, by)
-    out = islands(rows, condition, by).join(gaps, list(by))
+def runs(rows: DataFrame, condition: str, by: Sequence[str], gaps: DataFrame | None = None) -> DataFrame:
+    """by, start, last, readings, hours, spacing: an island lasts until its last reading's own spacing is over.
+
+    gaps is the spacing where it is known already, by some of the columns of `by`.
+    """
+    gaps = spacing(rows, by) if gaps is None else gaps
+    out = islands(rows, condition, by).join(gaps, [c for c in by if c in gaps.columns])
     return out.withColumn("hours", _hours("last") - _hours("start") + F.col("spacing")).drop("run")
 
 
-def held(rows: DataFrame, condition: str, by: Sequence[str], needed: float) -> DataFrame:
-    """by, n_runs, best, share, fragmented: how much of the period the condition holds, and whether it keeps breaking up."""
-    size = rows.groupBy(*by).agg(F.count("*").alias("n")).join(spacing(rows, by), list(by))
-    got = runs(rows, condition, by).groupBy(*by).agg(F.count("*").alias("n_runs"), F.max("hours").alias("best"), F.sum("hours").alias("total"), F.max("readings").alias("longest"))
+def measured(size: DataFrame, spells: DataFrame, by: Sequence[str], needed: F.Column) -> DataFrame:
+    """size (by, n, spacing) with n_runs, best, share, fragmented of its spells."""
+    got = spells.groupBy(*by).agg(F.count("*").alias("n_runs"), F.max("hours").alias("best"), F.sum("hours").alias("total"), F.max("readings").alias("longest"))
     out = size.join(got, list(by), "left").withColumn("share", F.coalesce(F.try_divide("total", F.col("spacing") * F.col("n")), F.lit(0.0)))
     broken = (F.col("best") < needed) & (F.col("share") >= 0.25) & (F.col("longest") < F.col("n"))
     return out.select(*by, F.coalesce("n_runs", F.lit(0)).alias("n_runs"), F.coalesce("best", F.lit(0.0)).alias("best"), "share", F.coalesce(broken, F.lit(False)).alias("fragmented"))
 
 
-def settled(rows: DataFrame, during: str, shelter: str, by: Sequence[str], doing: float, settle: float) -> DataFrame:
-    """by, start, hours, settled, unconfirmed: runs of at least `doing` hours, and whether the shelter lasts long enough after the job.
+def held(rows: DataFrame, condition: str, by: Sequence[str], needed: float) -> DataFrame:
+    """by, n_runs, best, share, fragmented: how much of the period the condition holds, and whether it keeps breaking up."""
+    gaps = spacing(rows, by)
+    size = rows.groupBy(*by).agg(F.count("*").alias("n")).join(gaps, list(by))
+    return measured(size, runs(rows, condition, by, gaps), by, F.lit(needed))
+
 
-    The first shelter in which the job fits decides; one that reaches the last reading's end
-    passes, unconfirmed.
+def sheltered(jobs: DataFrame, roofs: DataFrame, horizon: DataFrame, by: Sequence[str]) -> DataFrame:
+    """jobs with settled, unconfirmed: whether a shelter lasts long enough after the job.
+
+    jobs: by, activity, start, hours, doing, settle; roofs: by, start, hours; horizon: by, horizon.
+    The first shelter in which the job fits decides; one that reaches the horizon passes, unconfirmed.
     """
     keys = list(by)
+    work = jobs.withColumns({"a": _hours("start"), "b": _hours("start") + F.col("hours")})
+    roof = roofs.select(*by, _hours("start").alias("ra"), (_hours("start") + F.col("hours")).alias("rb")).join(horizon, keys)
+    cut = work.join(roof, keys).where((F.col("a") < F.col("rb")) & (F.col("b") > F.col("ra")))
+    begin, end, enough = F.greatest("a", "ra"), F.least("b", "rb"), F.col("doing") + F.col("settle")
+    fits = cut.where(end - begin >= F.col("doing")).withColumn("open", F.col("rb") >= F.col("horizon")).where((F.col("rb") - begin >= enough) | F.col("open"))
+    first = fits.groupBy(*by, "activity", "start").agg(F.min_by((F.col("rb") - begin < enough) & F.col("open"), "ra").alias("unconfirmed"))
+    return jobs.join(first, [*keys, "activity", "start"], "left").withColumns({"settled": F.col("unconfirmed").isNotNull(), "unconfirmed": F.coalesce("unconfirmed", F.lit(False))})
+
+
+def last_moment(rows: DataFrame, gaps: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, horizon: when the last reading's own spacing is over."""
+    return rows.groupBy(*by).agg(F.max(_hours("ts")).alias("h")).join(gaps, list(by)).select(*by, (F.col("h") + F.col("spacing")).alias("horizon"))
+
+
+def settled(rows: DataFrame, during: str, shelter: str, by: Sequence[str], doing: float, settle: float) -> DataFrame:
+    """by, start, hours, settled, unconfirmed: runs of at least `doing` hours, and whether the shelter lasts long enough after the job."""
     gaps = spacing(rows, by)
-    horizon = rows.groupBy(*by).agg(F.max(_hours("ts")).alias("h")).join(gaps, keys).select(*by, (F.col("h") + F.col("spacing")).alias("horizon"))
-    jobs = runs(rows, during, by).where(F.col("hours") >= doing).select(*by, "start", _hours("start").alias("a"), (_hours("start") + F.col("hours")).alias("b"), "hours")
-    roofs = runs(rows, shelter, by).select(*by, _hours("start").alias("ra"), (_hours("start") + F.col("hours")).alias("rb")).join(horizon, keys)
-    cut = jobs.join(roofs, keys).where((F.col("a") < F.col("rb")) & (F.col("b") > F.col("ra")))
-    begin, end = F.greatest("a", "ra"), F.least("b", "rb")
-    fits = cut.where(end - begin >= doing).withColumn("open", F.col("rb") >= F.col("horizon")).where((F.col("rb") - begin >= doing + settle) | F.col("open"))
-    first = fits.groupBy(*by, "start").agg(F.min_by((F.col("rb") - begin < doing + settle) & F.col("open"), "ra").alias("unconfirmed"))
-    return jobs.join(first, [*keys, "start"], "left").select(*by, "start", "hours", F.col("unconfirmed").isNotNull().alias("settled"), F.coalesce("unconfirmed", F.lit(False)).alias("unconfirmed"))
+    jobs = runs(rows, during, by, gaps).where(F.col("hours") >= doing).select(*by, F.lit("").alias("activity"), "start", "hours", F.lit(doing).alias("doing"), F.lit(settle).alias("settle"))
+    return sheltered(jobs, runs(rows, shelter, by, gaps), last_moment(rows, gaps, by), by).select(*by, "start", "hours", "settled", "unconfirmed")

@@ -276,6 +276,24 @@ def _(spark, d):
     return advice.timed(clean_readings(spark, d), BY).select("place_id", "activity", "verdict", F.col("n_runs").alias("windows"))
 
 
+SUB = {kind: (during, hours) for _, kind, during, hours, _ in dims.SUB_TIMED}
+
+
+@query(
+    "advice_sub_timed",
+    with_clean(" UNION ALL ".join(_ladder(n, h) for n, (_, h) in SUB.items()), GAPS, *[islands_sql(f"{n.lower()}_w", during) for n, (during, _) in SUB.items()]),
+)
+def _(spark, d):
+    rows = clean_readings(spark, d)
+    out = advice.sub_timed(rows, BY, "VEHICLE_WASHING").unionByName(advice.sub_timed(rows, BY, "SPORTS"))
+    return out.select("place_id", "activity", "verdict", F.col("n_runs").alias("windows"))
+
+
+@query("wet_spells", with_clean("SELECT place_id, wet, first_wet, round(clear_hours, 5) AS clear_hours FROM (SELECT place_id, count(*) AS wet, min(start) AS first_wet FROM soaked GROUP BY 1) FULL JOIN (SELECT place_id, max(hours) AS clear_hours FROM dry GROUP BY 1) USING (place_id)", GAPS, islands_sql("dry", "Rainfall < 1.0"), islands_sql("soaked", "NOT (Rainfall < 1.0)")))
+def _(spark, d):
+    return advice.wet_spells(clean_readings(spark, d), BY).withColumn("clear_hours", _r(F.col("clear_hours"), 5))
+
+
 STATE = (
     f"agg AS (SELECT place_id, count(*) AS n, {SUM.format('Rainfall')} AS rain, {SUM.format('SunSD')} AS sun, {SUM.format('DayLength')} AS daylight, count(SunSD) AS n_sun, min(Tmin) AS low, min(Tavg) AS mid, round({SUM.format('Soilm10')} / count(Soilm10), 1) AS soil, round({SUM.format('Soilt10')} / count(Soilt10), 1) AS soilt, max(Rainfall) AS peak FROM clean GROUP BY 1), "
     "f AS (SELECT *, round(coalesce(sun / nullif(CASE WHEN coalesce(daylight, 0) > 0 THEN daylight ELSE n_sun END, 0), 0), 2) AS frac, round(coalesce(low, mid), 1) AS cold, round(coalesce(rain, 0), 1) AS total FROM agg), "
