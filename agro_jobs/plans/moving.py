@@ -81,7 +81,10 @@ def _(spark, d):
     return _run(jobs.daily_rain(_as_stream(clean_readings(spark, d).select("place_id", "ts", "Rainfall"), at, 1)), at)
 
 
-FOLDED = "SELECT turn_id, count(*) - 1 AS revisions, arg_max(kind, struct_pack(t := ts, i := id)) AS kind FROM feedback WHERE kind IS NOT NULL GROUP BY 1"
+FOLDED = (
+    "SELECT turn_id, arg_min(id, struct_pack(t := ts, i := id)) AS id, min(ts) AS first_ts, max(ts) AS updated_at, count(*) - 1 AS revisions, arg_max(kind, struct_pack(t := ts, i := id)) AS kind, "
+    "arg_max(intent, struct_pack(t := ts, i := id)) FILTER (intent IS NOT NULL) AS intent, arg_max(note, struct_pack(t := ts, i := id)) FILTER (note IS NOT NULL) AS note FROM feedback WHERE kind IS NOT NULL GROUP BY 1"
+)
 
 
 @query("stream_feedback", f"WITH {ansi('feedback')} {FOLDED}")
@@ -89,7 +92,7 @@ def _(spark, d):
     at = shared(spark)
     stream = _as_stream(view(spark, d, "feedback"), at)
     stream.writeStream.foreachBatch(jobs.feedback_sink(f"{at}/table")).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return jobs.feedback_state(spark, f"{at}/table").select("turn_id", "revisions", "kind")
+    return jobs.feedback_state(spark, f"{at}/table")
 
 
 @query("tfidf", f"WITH {ansi('corpus')}, w AS (SELECT row_id, string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9:]+', ' ', 'g'), ' +', ' ', 'g')), ' ') AS w FROM corpus) SELECT row_id, CAST(len(w) + greatest(len(w) - 1, 0) AS INT) AS words, CAST(list_sum(list_transform(w, lambda x: greatest(len(x), 0) + greatest(len(x) - 1, 0) + greatest(len(x) - 2, 0))) AS INT) AS chars FROM w")

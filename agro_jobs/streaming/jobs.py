@@ -36,28 +36,40 @@ def alerts(readings: DataFrame) -> DataFrame:
     return readings.select("place_id", "ts", F.inline(F.array_compact(cells)))
 
 
+def _parts(events: DataFrame) -> DataFrame:
+    """What is known of each turn's feedback, in a form that later events are merged into."""
+    at = [F.col("ts"), F.col("id")]
+    return events.where(F.col("kind").isNotNull()).groupBy("turn_id").agg(
+        F.min(F.struct(*at)).alias("first"), F.max(F.struct(*at, "kind")).alias("last"), F.count("*").alias("n"),
+        *[F.max(F.when(F.col(c).isNotNull(), F.struct(*at, c))).alias(c) for c in ("intent", "note")],
+    )
+
+
 def feedback_sink(path: str):
     """A foreachBatch function that folds feedback events into the table at path, kept as numbered versions.
 
-    The events of a batch are folded with what the newest version holds; replaying a batch
-    gives the same version again.
+    A batch is merged with the newest versions of the turns it touches, so earlier events are never
+    read again; replaying a batch gives the same version again.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        events = batch
+        new = _parts(batch)
         if number > 0:
-            events = events.unionByName(spark.read.parquet(f"{path}/events").where(F.col("batch") < number).drop("batch"))
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/events")
-        touched = batch.select("turn_id").distinct()
-        turns.folded(events.join(touched, "turn_id", "left_semi")).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/folded")
+            before = batch.sparkSession.read.parquet(path).where(F.col("batch") < number).join(batch.select("turn_id").distinct(), "turn_id", "left_semi")
+            before = turns.newest_per(before, "turn_id", "batch").drop("batch")
+            new = before.unionByName(new).groupBy("turn_id").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"), F.max("intent").alias("intent"), F.max("note").alias("note"))
+        new.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     return write
 
 
 def feedback_state(spark, path: str) -> DataFrame:
-    """The newest folded row of every turn."""
-    return turns.newest_per(spark.read.parquet(f"{path}/folded"), "turn_id", "batch").drop("batch")
+    """turn_id, id, first_ts, updated_at, revisions, kind, intent, note: the newest version of every turn."""
+    rows = turns.newest_per(spark.read.parquet(path), "turn_id", "batch")
+    return rows.select(
+        "turn_id", F.col("first.id").alias("id"), F.col("first.ts").alias("first_ts"), F.col("last.ts").alias("updated_at"), (F.col("n") - 1).alias("revisions"),
+        F.col("last.kind").alias("kind"), F.col("intent.intent").alias("intent"), F.col("note.note").alias("note"),
+    )
 
 
 class ChatFold(StatefulProcessor):
