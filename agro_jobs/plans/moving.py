@@ -115,7 +115,14 @@ def _(spark, d):
     return ml.decoded(ml.token_rows(rows, "row_id", "text", "spans"), "row_id")
 
 
-@query("misspellings")
+SLIP = "CASE (p_partkey // 3) % 3 WHEN 0 THEN left(w, i) || substr(w, i + 2) WHEN 1 THEN left(w, i) || substr(w, i + 1, 1) || substr(w, i + 1) ELSE left(w, i) || substr(w, i + 2, 1) || substr(w, i + 1, 1) || substr(w, i + 3) END"
+
+
+@query(
+    "misspellings",
+    "WITH a AS (SELECT p_partkey, p_name, regexp_extract_all(p_name, '[A-Za-z]{4,}') AS ws FROM part), b AS (SELECT *, ws[CAST(p_partkey % greatest(len(ws), 1) AS INT) + 1] AS w FROM a), c AS (SELECT *, CAST(1 + (p_partkey // 7) % (len(w) - 2) AS INT) AS i FROM b) "
+    f"SELECT p_partkey, CASE WHEN len(ws) = 0 THEN p_name ELSE replace(p_name, w, {SLIP}) END AS misspelt FROM c",
+)
 def _(spark, d):
     p = spark.read.parquet(f"{d}/part.parquet")
     return p.select("p_partkey", X.misspelt(F.col("p_name"), F.col("p_partkey")).alias("misspelt"))
