@@ -13,9 +13,10 @@ from agro_jobs.sources.shared import shared
 from agro_jobs.streaming import jobs
 
 
-def _as_stream(rows: DataFrame, at: str, files: int = 2) -> DataFrame:
-    rows.repartition(files).write.parquet(f"{at}/in")
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+def _as_stream(rows: DataFrame, at: str) -> DataFrame:
+    """The rows as files that land, in Spark's own partitioning; they may be followed by more."""
+    rows.write.mode("append").parquet(f"{at}/in")
+    return rows.sparkSession.readStream.schema(rows.schema).parquet(f"{at}/in")
 
 
 def _run(stream: DataFrame, at: str) -> DataFrame:
@@ -60,7 +61,7 @@ def _(spark, d):
     was = spark.conf.get(backend)
     spark.conf.set(backend, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return _run(jobs.conversation(_as_stream(slots(spark, d), at, 1)), at)
+        return _run(jobs.conversation(_as_stream(slots(spark, d), at)), at)
     finally:
         spark.conf.set(backend, was)
 
@@ -78,7 +79,7 @@ def _(spark, d):
 )
 def _(spark, d):
     at = shared(spark)
-    return _run(jobs.daily_rain(_as_stream(clean_readings(spark, d).select("place_id", "ts", "Rainfall"), at, 1)), at)
+    return _run(jobs.daily_rain(_as_stream(clean_readings(spark, d).select("place_id", "ts", "Rainfall"), at)), at)
 
 
 FOLDED = (
@@ -90,8 +91,9 @@ FOLDED = (
 @query("stream_feedback", f"WITH {ansi('feedback')} {FOLDED}")
 def _(spark, d):
     at = shared(spark)
-    stream = _as_stream(view(spark, d, "feedback"), at)
-    stream.writeStream.foreachBatch(jobs.feedback_sink(f"{at}/table")).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    for half in (0, 1):  # as events would arrive on two days: the second run goes on where the first one ended
+        stream = _as_stream(view(spark, d, "feedback").where(F.col("id") % 2 == half), at)
+        stream.writeStream.foreachBatch(jobs.feedback_sink(f"{at}/table")).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return jobs.feedback_state(spark, f"{at}/table")
 
 
