@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from agro_jobs.llm import fingerprint_index, icws, kd_shards, mixing, nn_descent, pii_tagger, quality_pu, toxic_segments, url_filter, winnow
+from agro_jobs.llm import byte_bpe, fingerprint_index, icws, kd_shards, mixing, nn_descent, pii_tagger, quality_pu, spelling, term_search, toxic_segments, url_filter, winnow
 from agro_jobs.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,7 +56,20 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-QUERIES: dict[str, Query] = {"op1_url_filter": op1_url_filter, "op2_mix_sources": op2_mix_sources, "op3_kd_shards": op3_kd_shards, "op5_substring_dedup": op5_substring_dedup, "op4_quality_pu": op4_quality_pu, "op6_toxic_segments": op6_toxic_segments, "op7_pii_tagger": op7_pii_tagger, "op8_winnowing": op8_winnowing, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op10_nn_descent": op10_nn_descent}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def op13_term_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {"op1_url_filter": op1_url_filter, "op2_mix_sources": op2_mix_sources, "op3_kd_shards": op3_kd_shards, "op5_substring_dedup": op5_substring_dedup, "op4_quality_pu": op4_quality_pu, "op6_toxic_segments": op6_toxic_segments, "op7_pii_tagger": op7_pii_tagger, "op8_winnowing": op8_winnowing, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op10_nn_descent": op10_nn_descent, "op11_spelling_variants": op11_spelling_variants, "op12_byte_bpe": op12_byte_bpe, "op13_term_search": op13_term_search}
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": r"""
@@ -85,5 +99,16 @@ hit AS (SELECT r, k, dw.n, item FROM dw JOIN bw ON dw.n = bw.n AND dw.s = bw.s),
 cov AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM hit) GROUP BY r),
 its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN cov USING (r) LEFT JOIN its USING (r)
+""",
+    "op13_term_search": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+it AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+al AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d),
+we AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, al GROUP BY term, n_docs),
+dm AS (SELECT r, doc_id, 100 - 90 + ((90 * len(w) * n_docs) // n_terms) AS m FROM d, al WHERE len(w) > 0),
+sc AS (SELECT item_id, r, doc_id, CAST(sum(we.w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM tf JOIN it USING (term) JOIN we USING (term) JOIN dm USING (r) GROUP BY ALL),
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank FROM sc WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM rk WHERE rank <= 10
 """,
 }
