@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 MOST = 1 << 19  # transitions that a worker remembers
+PAIRS = 1 << 16  # answers about tokens that it remembers
 LATELY, SHORT = 1 << 17, 48  # words it remembers, of at most so many characters
+BYTES_AT_ONCE = 1 << 20
 CHARACTERS_AT_ONCE = 1 << 20
 CUT = re.compile(r"(?<=\S)(?= )")  # no piece of a pattern like the public ones goes on from a printed character into a space
 TOKENS_AT_ONCE = 1 << 14
@@ -67,67 +69,100 @@ class Transducer:
                     node = self.trie[step] = len(self.token_at)
                     self.token_at.append(NONE)
             self.token_at[node] = rank
-        self.apart = lru_cache(LATELY)(self._apart)
+        self.apart, self.halves, self.made = lru_cache(PAIRS)(self._apart), lru_cache(PAIRS)(self._halves), lru_cache(PAIRS)(self._made)
         self._forget()
 
     def _forget(self) -> None:
         """Back to the start state: a leaf at the root of the trie with no token before it."""
-        start = ((ROOT, NONE, DEAD),)
-        self.states, self.numbers = [start], {start: 0}
-        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.rests: dict[int, tuple[int, ...]] = {}
+        self.states: list[bytes] = []
+        self.numbers: dict[bytes, int] = {}
+        self.steps: dict[int, int | tuple[int, tuple[int, ...]]] = {}  # the next state, with the tokens that are certain then if there are any
+        self._number([ROOT, NONE, DEAD])
+
+    def _halves(self, token: bytes) -> tuple[bytes, bytes]:
+        """The two tokens whose merge makes this one."""
+        cuts = list(range(len(token) + 1))
+        while len(cuts) > 3:
+            del cuts[min((self.ranks.get(token[a:c], 1 << 62), k) for k, (a, c) in enumerate(zip(cuts, cuts[2:], strict=False)))[1] + 1]
+        return token[: cuts[1]], token[cuts[1] :]
 
     def _apart(self, left: int, right: int) -> bool:
-        """Do the merges of both tokens' bytes end in exactly these two tokens (left may be NONE)?"""
-        before = self.tokens[left] if left != NONE else b""
-        data, cuts = before + self.tokens[right], list(range(len(before) + len(self.tokens[right]) + 1))
+        """Do two tokens stay apart when their bytes are merged together (left may be NONE)?
+
+        Merges happen by rising rank, the leftmost first. Undone from the last on, they show every pair of parts that
+        ever met at the boundary, with the ranks at which each part was merged away; a pair that would have merged earlier crosses it.
+        """
+        a, b = self.tokens.get(left, b""), self.tokens[right]
+        gone_a = gone_b = 1 << 62
+        while a:
+            rank = self.ranks.get(a + b)
+            if rank is not None and rank < gone_a and rank <= gone_b:
+                return False
+            if len(a) > 1 and (len(b) == 1 or self.ranks[a] > self.ranks[b]):
+                gone_a, a = self.ranks[a], self.halves(a)[1]
+            elif len(b) > 1:
+                gone_b, b = self.ranks[b], self.halves(b)[0]
+            else:
+                return True
+        return self.made(right)
+
+    def _made(self, token: int) -> bool:
+        """Whether merges lead to the token at all."""
+        data = self.tokens[token]
+        cuts = list(range(len(data) + 1))
         while len(cuts) > 2:
             rank, at = min((self.ranks.get(data[a:c], 1 << 62), k) for k, (a, c) in enumerate(zip(cuts, cuts[2:], strict=False)))
             if rank == 1 << 62:
-                break
-            if before and cuts[at + 1] == len(before):
                 return False
             del cuts[at + 1]
-        return cuts == ([0, len(before), len(data)] if before else [0, len(data)])
-
-    def _path(self, tree: list, leaf: int) -> list[int]:
-        """Entries from below the tree's root down to the leaf."""
-        out = []
-        while tree[leaf][2] != DEAD:
-            out.append(leaf)
-            leaf = tree[leaf][2]
-        return out[::-1]
+        return True
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The state after one more byte, and the tokens that are certain then.
+    def _tree(self, state: int) -> list[tuple[int, int, int]]:
+        """(trie node or DEAD, last token, place of the parent) of every entry; the first one is the root."""
+        flat = memoryview(self.states[state]).cast("i").tolist()
+        return list(zip(flat[::3], flat[1::3], flat[2::3], strict=True))
 
-        A tree is a tuple of (trie node or DEAD, last token, place of the parent); the first entry is its root.
-        """
+    def _step(self, state: int, byte: int) -> int | tuple[int, tuple[int, ...]]:
+        """What follows a state on one more byte, as `steps` keeps it."""
         if len(self.steps) >= MOST:
-            tree = self.states[state]
+            tree = [x for entry in self._tree(state) for x in entry]
             self._forget()
             state = self._number(tree)
-        tree, grown = [], None
-        for at, (node, token, parent) in enumerate(self.states[state]):
-            node = self.trie.get(node << 8 | byte, DEAD) if node != DEAD else DEAD
-            tree.append((node, token, parent))
-            if grown is None and node != DEAD and self.token_at[node] != NONE and self.apart(token, self.token_at[node]):
-                grown = (ROOT, self.token_at[node], at)
-        tree.append(grown)
+        trie, token_at = self.trie, self.token_at
+        nodes, tokens, parents, grown = [], [], [], None
+        for at, (node, token, parent) in enumerate(self._tree(state)):
+            if node != DEAD:
+                node = trie.get(node << 8 | byte, DEAD)
+                if grown is None and node != DEAD and (new := token_at[node]) != NONE and self.apart(token, new) and self.made(new):
+                    grown = (new, at)
+            nodes.append(node)
+            tokens.append(token)
+            parents.append(parent)
+        nodes.append(ROOT)
+        tokens.append(grown[0])
+        parents.append(grown[1])
+        # Entries that lead to a living leaf, and how many such entries hang on each.
+        needed, children = [n != DEAD for n in nodes], [0] * len(nodes)
+        for k in range(len(nodes) - 1, 0, -1):
+            if needed[k]:
+                needed[parents[k]] = True
+                children[parents[k]] += 1
         # What all living leaves have in common is certain.
-        paths = [self._path(tree, k) for k, x in enumerate(tree) if x[0] != DEAD]
-        shared = 0
-        while all(len(p) > shared and p[shared] == paths[0][shared] for p in paths):
-            shared += 1
-        emitted = tuple(tree[k][1] for k in paths[0][:shared])
-        top = paths[0][shared - 1] if shared else 0
-        kept = [top, *sorted({k for p in paths for k in p[shared:]})]
+        top, emitted = 0, []
+        while nodes[top] == DEAD and children[top] == 1:
+            top = next(k for k in range(top + 1, len(nodes)) if needed[k] and parents[k] == top)
+            emitted.append(tokens[top])
+        kept = [k for k in range(top, len(nodes)) if needed[k]]
         place = {k: i for i, k in enumerate(kept)}
-        new = tuple((tree[k][0], NONE if k == top and tree[k][0] == DEAD else tree[k][1], DEAD if k == top else place[tree[k][2]]) for k in kept)
-        found = self.steps[state << 8 | byte] = (self._number(new), emitted)
+        new: list[int] = []
+        for k in kept:
+            new += (nodes[k], NONE if k == top and nodes[k] == DEAD else tokens[k], DEAD if k == top else place[parents[k]])
+        number = self._number(new)
+        found = self.steps[state << 8 | byte] = (number, tuple(emitted)) if emitted else number
         return found
 
-    def _number(self, tree: tuple) -> int:
+    def _number(self, flat: list[int]) -> int:
+        tree = array("i", flat).tobytes()
         number = self.numbers.setdefault(tree, len(self.states))
         if number == len(self.states):
             self.states.append(tree)
@@ -138,16 +173,23 @@ class Transducer:
         if whole is not None:  # also a token that no merges lead to
             return (whole,)
         out: list[int] = []
-        state = 0
+        state, known = 0, self.steps
         for byte in piece:
-            state, emitted = self.steps.get(state << 8 | byte) or self._step(state, byte)
-            if emitted:
+            then = known.get(state << 8 | byte)
+            if then is None:
+                then = self._step(state, byte)
+                known = self.steps
+            if type(then) is int:
+                state = then
+            else:
+                state, emitted = then
                 out += emitted
-        rest = self.rests.get(state)
-        if rest is None:
-            tree = self.states[state]
-            rest = self.rests[state] = tuple(tree[k][1] for k in self._path(tree, len(tree) - 1))
-        return (*out, *rest)
+        tree, rest = self._tree(state), []
+        leaf = len(tree) - 1
+        while tree[leaf][2] != DEAD:
+            rest.append(tree[leaf][1])
+            leaf = tree[leaf][2]
+        return (*out, *reversed(rest))
 
 
 class Encoder:
@@ -267,22 +309,35 @@ def _decoder(content: bytes) -> Decoder:
     return Decoder(ranks_of(content))
 
 
-def _mapped(df: DataFrame, source: str, target: str, kind, work) -> DataFrame:
-    """df with the column `target` made of `source` by `work`, an Arrow batch at a time."""
-    fields = [f for f in df.schema.fields if f.name != target]
+def _mapped(df: DataFrame, source: str, made: list[tuple[str, object]], work) -> DataFrame:
+    """df with the columns `made` of `source` by `work` (a value to a tuple), about a MB of values at a time."""
+    fields = [f for f in df.schema.fields if f.name not in [n for n, _ in made]]
     kept = [f.name for f in fields]
-    schema = StructType([*fields, StructField(target, kind, False)])
-    arrow = pa.binary() if isinstance(kind, BinaryType) else pa.string()
+    schema = StructType([*fields, *[StructField(n, t, False) for n, t in made]])
+    types = [pa.binary() if isinstance(t, BinaryType) else pa.string() for _, t in made]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = work()
         for batch in batches:
-            made = pa.array([each(x.as_py()) for x in batch.column(source)], arrow)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), made], names=[*kept, target])
+            values, at = batch.column(source), 0
+            while at < batch.num_rows:
+                rows, size = [], 0
+                while at + len(rows) < batch.num_rows and size < BYTES_AT_ONCE:
+                    value = values[at + len(rows)].as_py()
+                    size += len(value or "")
+                    rows.append(each(value))
+                part = batch.slice(at, len(rows))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), *columns], names=[*kept, *[n for n, _ in made]])
+                at += len(rows)
 
     return df.mapInArrow(run, schema)
 
 
+def _packed(ids: array) -> bytes:
+    return np.frombuffer(ids, np.uint32).astype("<u4").tobytes()
+
+
 def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with `ids`: the tokens of the text as little-endian unsigned 32-bit integers, in binary.
 
@@ -292,9 +347,9 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids:
 
     def work():
         encoder = _encoder(*shared.value)
-        return lambda t: np.frombuffer(encoder.encode(t or ""), np.uint32).astype("<u4").tobytes()
+        return lambda t: (_packed(encoder.encode(t or "")),)
 
-    return _mapped(docs, text, ids, BinaryType(), work)
+    return _mapped(docs, text, [(ids, BinaryType())], work)
 
 
 def decode(rows: DataFrame, ranks: bytes, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -303,15 +358,30 @@ def decode(rows: DataFrame, ranks: bytes, ids: str = "ids", text: str = "decoded
 
     def work():
         decoder = _decoder(shared.value)
-        return lambda x: decoder.decode(np.frombuffer(x or b"", "<u4"))
+        return lambda x: (decoder.decode(np.frombuffer(x or b"", "<u4")),)
+
+    return _mapped(rows, ids, [(text, StringType())], work)
+
+
+def there_and_back(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """docs with `ids` and with `decoded`, the text made of the ids again, in one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
+
+    def work():
+        encoder, decoder = _encoder(*shared.value), _decoder(shared.value[0])
+
+        def both(value: str | None) -> tuple[bytes, str]:
+            coded = _packed(encoder.encode(value or ""))
+            return coded, decoder.decode(np.frombuffer(coded, "<u4"))
+
+        return both
 
-    return _mapped(rows, ids, text, StringType(), work)
+    return _mapped(docs, text, [(ids, BinaryType()), (decoded, StringType())], work)
 
 
 def digests(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, one row per row of docs."""
-    coded = decode(encode(docs.select("doc_id", "text"), ranks, pattern).select("doc_id", "ids"), ranks)
-    return coded.select(
+    return there_and_back(docs.select("doc_id", "text"), ranks, pattern).select(
         "doc_id",
         F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
