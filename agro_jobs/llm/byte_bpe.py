@@ -23,8 +23,9 @@ from __future__ import annotations
 import base64
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-MOST = 1 << 19  # transitions that a worker remembers
-PAIRS = 1 << 16  # answers about tokens that it remembers
-LATELY, SHORT = 1 << 17, 48  # words it remembers, of at most so many characters
+MOST = 1 << 20  # transitions that a worker remembers
+PAIRS = 1 << 18  # answers about tokens that it remembers
+WORDS, PIECES, SHORT = 1 << 19, 1 << 18, 48  # words and pieces it remembers, of at most so many characters
 BYTES_AT_ONCE = 1 << 20
 CHARACTERS_AT_ONCE = 1 << 20
+BLANKS = re.compile(r"\s ")
 CUT = re.compile(r"(?<=\S)(?= )")  # no piece of a pattern like the public ones goes on from a printed character into a space
 TOKENS_AT_ONCE = 1 << 14
 NONE, ROOT, DEAD = -1, 0, -1
@@ -53,6 +55,20 @@ def ranks_of(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines()) if token}
 
 
+class Memory(dict):
+    """Answers of a function, kept until there are too many and then forgotten together: a look into it is one look into a dict."""
+
+    def __init__(self, answer: Callable, most: int):
+        super().__init__()
+        self.answer, self.most = answer, most
+
+    def __missing__(self, question):
+        if len(self) >= self.most:
+            self.clear()
+        found = self[question] = self.answer(question)
+        return found
+
+
 class Transducer:
     """Tokens of one piece at a time. All 256 single bytes must be tokens."""
 
@@ -69,12 +85,13 @@ class Transducer:
                     node = self.trie[step] = len(self.token_at)
                     self.token_at.append(NONE)
             self.token_at[node] = rank
-        self.apart, self.halves, self.made = lru_cache(PAIRS)(self._apart), lru_cache(PAIRS)(self._halves), lru_cache(PAIRS)(self._made)
+        self.apart, self.halves, self.made = Memory(self._apart, PAIRS), Memory(self._halves, PAIRS), Memory(self._made, PAIRS)
         self._forget()
 
     def _forget(self) -> None:
         """Back to the start state: a leaf at the root of the trie with no token before it."""
         self.states: list[bytes] = []
+        self.rests: list[tuple[int, ...] | None] = []  # of the states in which a piece has ended
         self.numbers: dict[bytes, int] = {}
         self.steps: dict[int, int | tuple[int, tuple[int, ...]]] = {}  # the next state, with the tokens that are certain then if there are any
         self._number([ROOT, NONE, DEAD])
@@ -86,25 +103,26 @@ class Transducer:
             del cuts[min((self.ranks.get(token[a:c], 1 << 62), k) for k, (a, c) in enumerate(zip(cuts, cuts[2:], strict=False)))[1] + 1]
         return token[: cuts[1]], token[cuts[1] :]
 
-    def _apart(self, left: int, right: int) -> bool:
-        """Do two tokens stay apart when their bytes are merged together (left may be NONE)?
+    def _apart(self, pair: int) -> bool:
+        """Do two tokens (left + 1 and right, 32 bits each) stay apart when their bytes are merged together (left may be NONE)?
 
         Merges happen by rising rank, the leftmost first. Undone from the last on, they show every pair of parts that
         ever met at the boundary, with the ranks at which each part was merged away; a pair that would have merged earlier crosses it.
         """
-        a, b = self.tokens.get(left, b""), self.tokens[right]
+        right = pair & 0xFFFFFFFF
+        a, b = self.tokens.get((pair >> 32) - 1, b""), self.tokens[right]
         gone_a = gone_b = 1 << 62
         while a:
             rank = self.ranks.get(a + b)
             if rank is not None and rank < gone_a and rank <= gone_b:
                 return False
             if len(a) > 1 and (len(b) == 1 or self.ranks[a] > self.ranks[b]):
-                gone_a, a = self.ranks[a], self.halves(a)[1]
+                gone_a, a = self.ranks[a], self.halves[a][1]
             elif len(b) > 1:
-                gone_b, b = self.ranks[b], self.halves(b)[0]
+                gone_b, b = self.ranks[b], self.halves[b][0]
             else:
                 return True
-        return self.made(right)
+        return self.made[right]
 
     def _made(self, token: int) -> bool:
         """Whether merges lead to the token at all."""
@@ -133,7 +151,7 @@ class Transducer:
         for at, (node, token, parent) in enumerate(self._tree(state)):
             if node != DEAD:
                 node = trie.get(node << 8 | byte, DEAD)
-                if grown is None and node != DEAD and (new := token_at[node]) != NONE and self.apart(token, new) and self.made(new):
+                if grown is None and node != DEAD and (new := token_at[node]) != NONE and self.apart[token + 1 << 32 | new] and self.made[new]:
                     grown = (new, at)
             nodes.append(node)
             tokens.append(token)
@@ -166,6 +184,7 @@ class Transducer:
         number = self.numbers.setdefault(tree, len(self.states))
         if number == len(self.states):
             self.states.append(tree)
+            self.rests.append(None)
         return number
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
@@ -184,33 +203,59 @@ class Transducer:
             else:
                 state, emitted = then
                 out += emitted
+        out += self.rests[state] or self._rest(state)
+        return tuple(out)
+
+    def _rest(self, state: int) -> tuple[int, ...]:
+        """The tokens that a piece which ends in this state still has to get."""
         tree, rest = self._tree(state), []
         leaf = len(tree) - 1
         while tree[leaf][2] != DEAD:
             rest.append(tree[leaf][1])
             leaf = tree[leaf][2]
-        return (*out, *reversed(rest))
+        found = self.rests[state] = tuple(reversed(rest))
+        return found
 
 
 class Encoder:
-    """Ids of whole texts, word by word; words seen lately come from memory.
+    """Ids of whole texts, word by word; words and pieces seen lately come from memory.
 
     A text is cut before spaces that follow a printed character, where no match of the pattern can
     cross, and every such word is matched alone.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        machine, split = Transducer(ranks), regex.compile(pattern)
-        self.word = lambda word: tuple(i for m in split.finditer(word) for i in machine.encode(m[0].encode()))
-        self.known = lru_cache(LATELY)(self.word)
+        machine, self.split = Transducer(ranks), regex.compile(pattern)
+        self.machine = machine
+        self.piece = Memory(lambda piece: machine.encode(piece.encode()), PIECES)
+        self.known = Memory(self.word, PIECES)
+        self.known_after_space = Memory(lambda word: self.word(" " + word), WORDS)
+
+    def word(self, word: str) -> tuple[int, ...]:
+        if len(word) > SHORT:
+            return tuple(i for m in self.split.finditer(word) for i in self.machine.encode(m[0].encode()))
+        out: list[int] = []
+        for piece in self.split.findall(word):
+            out += self.piece[piece]
+        return tuple(out)
 
     def encode(self, text: str) -> array:
         out, at = array("I"), 0
         while at < len(text):
             end = CUT.search(text, at + CHARACTERS_AT_ONCE) if at + CHARACTERS_AT_ONCE < len(text) else None
             end = end.start() if end else len(text)
-            for word in CUT.split(text[at:end]):
-                out.extend(self.known(word) if len(word) <= SHORT else self.word(word))
+            block = text[at:end]
+            if BLANKS.search(block) or block[0] == " ":
+                words, known = CUT.split(block), self.known
+            else:  # every space begins a word
+                first, *words = block.split(" ")
+                out.extend(self.known[first] if len(first) <= SHORT else self.word(first))
+                known = self.known_after_space
+            if max(map(len, words), default=0) <= SHORT:
+                out.extend(chain.from_iterable(map(known.__getitem__, words)))
+            else:
+                for word in words:
+                    out.extend(known[word] if len(word) <= SHORT else known.answer(word))
             at = end
         return out
 
