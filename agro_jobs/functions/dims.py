@@ -28,6 +28,14 @@ VARIABLE_FIELDS = {
     "SOIL_MOISTURE": ("Soilm10", "Soilm40"),
     "SOIL_TEMPERATURE": ("Soilt10",),
 }
+#: The columns of a variable where more or less than usual is asked for.
+MINIMAL_FIELDS = {"GENERAL": ("Tavg",), "TEMPERATURE": ("Tavg",), "RAIN": ("Rainfall",), "HUMIDITY": ("RH",), "WIND": ("Wind_Speed",), "CLOUD": ("Lowcloud",), "SUNSHINE": ("SunSD",), "UV": ("SunSD",), "SOIL_MOISTURE": ("Soilm10",), "SOIL_TEMPERATURE": ("Soilt10",)}
+FULL_FIELDS = {
+    "GENERAL": ("Tmin", "Tmax", "Tavg", "Rainfall", "RH", "RH_min", "RH_max", "DPT", "Wind_Speed", "Wind_max", "Wind_Direction", "SunSD", "DayLength", "Lowcloud", "Soilm10", "Soilm40", "Soilt10"),
+    "TEMPERATURE": ("Tmin", "Tmax", "Tavg", "DPT"), "RAIN": ("Rainfall", "RH", "Lowcloud"), "HUMIDITY": ("RH", "RH_max", "RH_min", "DPT"), "WIND": ("Wind_Speed", "Wind_max", "Wind_Direction"), "CLOUD": ("Lowcloud", "SunSD"),
+    "SUNSHINE": ("SunSD", "DayLength", "Lowcloud"), "UV": ("SunSD", "DayLength", "Lowcloud"), "SOIL_MOISTURE": ("Soilm10", "Soilm40", "Rainfall"), "SOIL_TEMPERATURE": ("Soilt10", "Tavg"),
+}
+FIELD_CAP, FULL_CAP = 8, 20  # fixed values: columns of an answer, and of one that asks for everything
 POINTS = ("N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW", "WSW", "W", "WNW", "NW", "NNW")
 
 #: Limits worth a remark (field, limit, phrase, low side counts).

@@ -59,12 +59,20 @@ def _alternation() -> str:
 
 
 def entities(c: Column) -> Column:
-    """MAP<type, spans>: vocabulary terms, the longest first, without overlap, as written."""
+    """MAP<type, spans>: vocabulary terms as written, each span once, longer ones first.
+
+    At every place the longest term is taken, from left to right; `marks.entities` takes the longest of the whole text first.
+    """
     kind = F.create_map(*[F.lit(x) for k, ts in ENTITIES.items() for t in ts for x in (t, k)])
     found = F.regexp_extract_all(c, F.lit(_alternation()), F.lit(1))
     typed = F.transform(found, lambda s: F.struct(kind[F.lower(s)].alias("type"), s.alias("span")))
     types = F.array(*map(F.lit, ENTITIES))
-    per = F.transform(types, lambda t: F.struct(t, F.transform(F.filter(typed, lambda x: x["type"] == t), lambda x: x["span"])))
+    def spans(t: Column) -> Column:
+        once = F.array_distinct(F.transform(F.filter(typed, lambda x: x["type"] == t), lambda x: x["span"]))
+        ranked = F.array_sort(F.transform(once, lambda s, i: F.struct((-F.char_length(s)).alias("size"), i.alias("i"), s.alias("span"))))
+        return F.transform(ranked, lambda x: x["span"])
+
+    per = F.transform(types, lambda t: F.struct(t, spans(t)))
     return F.map_from_entries(F.filter(per, lambda e: F.size(e["col2"]) > 0))
 
 

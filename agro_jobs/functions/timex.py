@@ -14,6 +14,8 @@ WRITTEN = (
 )
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 MONTH_NAMES = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+#: Fixed value: the month of every spelling people use.
+MONTH_OF = {w: i + 1 for names in (MONTH_NAMES, MONTHS) for i, w in enumerate(names)} | {"sept": 9}
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 PAST = ("last", "past", "yesterday", "previous", "ago", "history")
 #: In this order, the first that occurs decides.
@@ -73,39 +75,53 @@ def tense(canonical: Column, as_of: Column) -> Column:
 
 
 def window(canonical: Column, as_of: Column) -> Column:
-    """STRUCT<start DATE, end DATE, label, understood>: the days an expression covers; nothing said is the next seven days."""
+    """STRUCT<start DATE, end DATE, label, understood>: the days an expression covers; nothing said is the next seven days.
+
+    What is not understood gets those days too, with its own wording as the label.
+    """
     said = F.lower(F.trim(F.coalesce(canonical, F.lit(""))))
-    names = "|".join(MONTH_NAMES)
-    years = F.transform(F.regexp_extract_all(said, F.lit(rf"({YEAR})"), F.lit(1)), lambda x: x.cast("int"))
-    month = F.array_position(F.array(*map(F.lit, MONTH_NAMES)), F.regexp_extract(said, rf"\b({names})\b", 1)).cast("int")
-    read = F.struct(said.alias("t"), dates_in(said).alias("found"), years.alias("years"), month.alias("month"))
-    return bound(read, lambda r: _ladder(r["t"], r["found"], r["years"], r["month"], as_of))
+    number = F.create_map(*[F.lit(x) for kv in MONTH_OF.items() for x in kv])
+    # "may" and "march" are months only after a preposition; of a text's month words the first that may be one counts.
+    taken = {w: said.rlike(rf"\b(?:last|in|of|during|for)\s+{w}\b") for w in ("may", "march")}
+    words = F.filter(F.regexp_extract_all(said, F.lit("([a-z]+)"), F.lit(1)), lambda w: number[w].isNotNull() & F.when(w == "may", taken["may"]).when(w == "march", taken["march"]).otherwise(True))
+    word = F.get(words, F.lit(0))
+    pair = [F.regexp_extract(said, rf"({YEAR})\s*(?:to|-|and|until)\s*({YEAR})", k).try_cast("int") for k in (1, 2)]
+    dated, month_word = rf"([a-z]+)\s+({YEAR})", F.regexp_extract(said, rf"([a-z]+)\s+({YEAR})", 1)
+    read = F.struct(
+        said.alias("t"), dates_in(said).alias("found"), F.least(*pair).alias("first"), F.greatest(*pair).alias("last"), F.regexp_extract(said, rf"\b({YEAR})\b", 1).try_cast("int").alias("year"),
+        number[month_word].alias("month"), F.regexp_extract(said, dated, 2).try_cast("int").alias("of"), F.regexp_extract(said, dated, 0).alias("month_said"), word.alias("word"), number[word].alias("bare"),
+    )
+    return bound(read, lambda r: _ladder(r, as_of))
+
 
+def _told(start: Column, end: Column) -> Column:
+    return F.when(start == end, F.date_format(start, "dd MMM yyyy")).otherwise(F.concat(F.date_format(start, "dd MMM"), F.lit(" to "), F.date_format(end, "dd MMM yyyy")))
 
-def _ladder(t: Column, found: Column, years: Column, month: Column, as_of: Column) -> Column:
-    """`window` of a text whose dates, years and month are known; the first case that holds decides."""
+
+def _ladder(r: Column, as_of: Column) -> Column:
+    """`window` of a text whose dates, years and months are known; the first case that holds decides."""
+    t, found = r["t"], r["found"]
 
     def span(a: Column, b: Column, label: Column, understood: bool = True) -> Column:
         return F.struct(a.alias("start"), b.alias("end"), label.alias("label"), F.lit(understood).alias("understood"))
 
-    lo, hi = F.array_min(years), F.array_max(years)
-    names = "|".join(MONTH_NAMES)
-    month_year = F.make_date(F.get(years, F.lit(0)), F.nullif(month, F.lit(0)), F.lit(1))
-    bare_ok = (month > 0) & (~month.isin(3, 5) | t.rlike(r"\b(?:last|in|of|during|for)\s+(?:may|march)\b"))
-    recent = F.make_date(F.year(as_of) - (month > F.month(as_of)).cast("int"), F.nullif(month, F.lit(0)), F.lit(1))
+    def day(year: Column, month: Column | int, of: int) -> Column:
+        return F.make_date(year, F.lit(month) if isinstance(month, int) else month, F.lit(of))
+
     n = F.regexp_extract(t, r"^next (\d+) days$", 1).try_cast("int")
-    week = F.date_add(as_of, 6)
+    week, low, high = F.date_add(as_of, 6), F.array_min(found), F.array_max(found)
+    whole, recent = day(r["of"], r["month"], 1), day(F.year(as_of) - (r["bare"] > F.month(as_of)).cast("int"), r["bare"], 1)
     return (
-        F.when(t == "", span(as_of, week, F.lit("next 7 days")))
+        F.when(t == "", span(as_of, week, F.lit("next few days")))
         .when(t == "today", span(as_of, as_of, F.lit("today")))
         .when(n.isNotNull(), span(as_of, F.date_add(as_of, n - 1), t))
-        .when(F.size(found) >= 1, span(F.array_min(found), F.array_max(found), F.concat_ws(" to ", F.array_min(found).cast("string"), F.array_max(found).cast("string"))))
-        .when(t.rlike(rf"{YEAR}\s*(?:to|-|and|until)\s*{YEAR}"), span(F.make_date(lo, F.lit(1), F.lit(1)), F.make_date(hi, F.lit(12), F.lit(31)), F.concat_ws("-", lo.cast("string"), hi.cast("string"))))
-        .when(t.rlike(rf"\b({names})\s+{YEAR}"), span(month_year, F.last_day(month_year), F.date_format(month_year, "yyyy-MM")))
+        .when(F.size(found) >= 1, span(low, high, _told(low, high)))
+        .when(r["first"].isNotNull(), span(day(r["first"], 1, 1), day(r["last"], 12, 31), F.concat_ws("-", r["first"].cast("string"), r["last"].cast("string"))))
+        .when(r["month"].isNotNull(), span(whole, F.last_day(whole), r["month_said"]))
         .when(t.contains("decade"), span(F.date_sub(as_of, 3653), as_of, F.lit("the last decade")))
-        .when(F.size(years) >= 1, span(F.make_date(F.get(years, F.lit(0)), F.lit(1), F.lit(1)), F.make_date(F.get(years, F.lit(0)), F.lit(12), F.lit(31)), F.get(years, F.lit(0)).cast("string")))
-        .when(bare_ok, span(recent, F.least(F.last_day(recent), as_of), F.date_format(recent, "yyyy-MM")))
-        .otherwise(span(as_of, week, F.lit("next 7 days"), False))
+        .when(r["year"].isNotNull(), span(day(r["year"], 1, 1), day(r["year"], 12, 31), r["year"].cast("string")))
+        .when(r["word"].isNotNull(), span(recent, F.least(F.last_day(recent), as_of), F.concat_ws(" ", r["word"], F.year(recent).cast("string"))))
+        .otherwise(span(as_of, week, t, False))
     )
 
 

@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from agro_jobs.functions.dims import VARIABLE_FIELDS
+from agro_jobs.functions.dims import FIELD_CAP, FULL_CAP, FULL_FIELDS, MINIMAL_FIELDS, VARIABLE_FIELDS
 from agro_jobs.operators.stats import bearing
 
 EXACT = "decimal(18,4)"
 ADDITIVE = ("Rainfall", "SunSD")
-#: Words that name a statistic, the more specific first.
-SPOKEN = (("total", "SUM"), ("average", "AVG"), ("mean", "AVG"), ("median", "MEDIAN"), ("highest", "MAX"), ("hottest", "MAX"), ("lowest", "MIN"), ("coldest", "MIN"), ("range", "RANGE"), ("trend", "TREND"), ("how many", "COUNT"), ("how often", "FREQUENCY"))
+#: The words that support a statistic.
+CUES = {
+    "SUM": ("total", "cumulative", "sum", "add up", "overall", "how much", "altogether"), "AVG": ("average", "avg", "mean", "typical", "on average"),
+    "MAX": ("peak", "highest", "max", "hottest", "strongest", "worst", "how high", "how hot", "warmest", "most"), "MIN": ("lowest", "minimum", "min", "coldest", "weakest", "how low", "least"),
+    "TREND": ("start", "starts", "rise", "rising", "drop", "dropping", "fall", "falling", "change", "changing", "increase", "increasing", "decrease", "stop", "pick up", "when will", "what time"),
+    "MEDIAN": ("median", "middle", "midpoint"), "RANGE": ("range", "spread", "vary", "varies", "variation", "lowest to highest", "low to high", "swing"),
+    "STDDEV": ("steady", "consistent", "variable", "variability", "standard deviation", "how much does it move", "stable"), "CHANGE": ("change", "changed", "difference", "how much has", "moved", "start to end", "since"),
+    "CUMULATIVE": ("running total", "accumulated", "accumulating", "building up", "so far", "cumulative", "adding up"), "COUNT": ("how many", "count", "number of", "how many days", "how many hours", "how many times"),
+    "RUN_COUNT": ("how many spells", "spells", "bursts", "separate", "how many periods", "how many times"), "FREQUENCY": ("how often", "frequency", "frequently", "what share", "percentage of time", "share of the time", "how regular"),
+    "INTENSITY": ("intensity", "how heavy", "how hard", "how intense", "when it comes"), "MODE": ("mostly", "dominant", "prevailing", "usually from", "mainly from", "most common direction", "where does it come from"),
+    "DISTRIBUTION": ("breakdown", "spread across", "rose", "distribution", "by direction", "each direction"),
+    "PEAK_DATE": ("hottest", "wettest", "windiest", "sunniest", "muggiest", "warmest", "highest", "peak", "worst", "most", "at its peak", "at its highest", "largest day", "longest day", "biggest"),
+    "LOW_DATE": ("coldest", "driest", "calmest", "coolest", "quietest", "least", "lowest", "at its lowest", "cloudiest"),
+    "PEAK_PERIOD": ("which stretch", "heaviest", "wettest period", "wettest stretch", "at its heaviest", "worst period"), "LOW_PERIOD": ("which stretch", "driest", "lightest", "driest period", "quietest period", "calmest period"),
+    "LONGEST_RUN": ("unbroken", "stretch", "spell", "spells", "run of", "in a row", "back to back", "consecutive", "continuous", "how long is"),
+}
+#: The words that name a statistic where none was predicted, in this order.
+PROMOTES = {
+    "SUM": ("total", "cumulative", "sum", "add up", "altogether"), "AVG": ("average", "avg", "mean", "on average"),
+    "PEAK_DATE": ("largest day", "longest day", "biggest day", "hottest day", "wettest day", "windiest day", "sunniest day", "warmest day"), "LOW_DATE": ("shortest day", "coldest day", "driest day", "calmest day", "coolest day"),
+}
 #: Words that name one column of a variable.
 NAMED = (("day length", "DayLength"), ("daylight", "DayLength"), ("direction", "Wind_Direction"), ("gust", "Wind_max"), ("maximum humidity", "RH_max"), ("minimum humidity", "RH_min"))
 #: The column a statistic of a variable reads, where it isn't the middle one.
@@ -28,10 +48,18 @@ def variable_fields(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(v, f, i) for v, fs in VARIABLE_FIELDS.items() for i, f in enumerate(fs)], "variable string, field string, pos int")
 
 
-def fields_for(asked: DataFrame, most: int = 8) -> DataFrame:
-    """id, fields: the columns of an array of variables in asked order, once each, at most so many; Tavg where none is known."""
-    dim = F.create_map(*[x for v, fs in VARIABLE_FIELDS.items() for x in (F.lit(v), F.array(*map(F.lit, fs)))])
-    got = F.slice(F.array_distinct(F.flatten(F.transform("variables", lambda v: F.coalesce(dim[v], F.array().cast("array<string>"))))), 1, most)
+def fields_for(asked: DataFrame, most: int = FIELD_CAP, detail: Column | None = None) -> DataFrame:
+    """id, fields: the columns of an array of variables in asked order, once each, at most so many; Tavg where none is known.
+
+    detail is NORMAL unless it is given; FULL has wider columns and a cap of its own, as what it leaves out can't be told from what is missing.
+    """
+    def table(fields: dict[str, tuple[str, ...]]) -> Column:
+        return F.create_map(*[x for v, fs in fields.items() for x in (F.lit(v), F.array(*map(F.lit, fs)))])
+
+    width = F.lit("NORMAL") if detail is None else F.coalesce(detail, F.lit("NORMAL"))
+    dims = {"FULL": table(FULL_FIELDS), "MINIMAL": table(MINIMAL_FIELDS), "NORMAL": table(VARIABLE_FIELDS)}
+    listed = F.transform("variables", lambda v: F.coalesce(F.when(width == "FULL", dims["FULL"][v]).when(width == "MINIMAL", dims["MINIMAL"][v]).otherwise(dims["NORMAL"][v]), F.array().cast("array<string>")))
+    got = F.slice(F.array_distinct(F.flatten(listed)), F.lit(1), F.when(width == "FULL", F.lit(max(most, FULL_CAP))).otherwise(F.lit(most)))
     return asked.select("id", F.when(F.size(got) > 0, got).otherwise(F.array(F.lit("Tavg"))).alias("fields"))
 
 
@@ -57,14 +85,19 @@ def variable_of(field: Column) -> Column:
 
 
 def spoken_statistic(text: Column, predicted: Column) -> Column:
-    """The statistic the words support: a predicted one needs a word for it, RAW is promoted by one."""
-    low, first = F.lower(text), F.lit(None).cast("string")
-    said = F.lit(False)
-    for word, s in reversed(SPOKEN):
-        hit = low.rlike(rf"(?<!\w){word}(?!\w)")
-        first = F.when(hit, s).otherwise(first)
-        said = said | (hit & (predicted == s))
-    return F.when(said, predicted).otherwise(F.coalesce(first, F.lit("RAW")))
+    """The statistic that the words support: a predicted one needs a word for it, else it is RAW; RAW gives way only to a word that can mean nothing else."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+
+    def says(words: Sequence[str]) -> Column:
+        return low.rlike(rf"(?<!\w)(?:{'|'.join(map(re.escape, words))})(?!\w)")
+
+    named = F.lit("RAW")
+    for kind, words in reversed(PROMOTES.items()):
+        named = F.when(says(words), kind).otherwise(named)
+    kept = F.lit("RAW")
+    for kind, words in CUES.items():
+        kept = F.when((predicted == kind) & says(words), kind).otherwise(kept)
+    return F.when(F.coalesce(predicted, F.lit("RAW")) == "RAW", named).otherwise(kept)
 
 
 def column_named(text: Column) -> Column:
@@ -91,14 +124,29 @@ def formatted(field: str, c: Column) -> Column:
     return F.when(c.isNull(), "-").otherwise(plain)
 
 
-def selected(rows: DataFrame, windows: DataFrame, by: str, most: int = 7) -> DataFrame:
-    """Rows inside each group's window (start, end dates); the first rows where that leaves none and no exact day was asked for."""
+NEXT_HOURS, NEXT_DAYS = 12, 7  # fixed values: rows where no time is understood
+
+
+def selected(rows: DataFrame, windows: DataFrame, by: str, most: int = NEXT_DAYS, as_of: Column | None = None) -> DataFrame:
+    """Rows inside each group's window (start, end dates); the first rows where that leaves none and no exact day was asked for.
+
+    With as_of, a window that does not look back loses the rows before it (unless nothing is left then). windows may carry
+    `understood`: where that is false the first hours or days are taken (hours, if any of a group's first 24 rows is off midnight).
+    """
     day = F.to_date("ts")
-    both = rows.join(windows, by).withColumn("inside", day.between(F.col("start"), F.col("end")))
+    both = rows.join(windows, by)
+    if "understood" not in windows.columns:
+        both = both.withColumn("understood", F.lit(True))
     w = Window.partitionBy(by)
-    both = both.withColumns({"any": F.max("inside").over(w), "r": F.row_number().over(w.orderBy("ts"))})
-    keep = F.col("inside") | (~F.col("any") & (F.col("start") != F.col("end")) & (F.col("r") <= most))
-    return both.where(keep).drop("inside", "any", "r", "start", "end")
+    both = both.withColumns({"r": F.row_number().over(w.orderBy("ts")), "known": F.coalesce("understood", F.lit(False))})
+    # What is over, where the window looks ahead and something is still to come.
+    late = F.lit(False) if as_of is None else (F.col("start") >= as_of) & (day < as_of) & F.max(day >= as_of).over(w)
+    both = both.withColumns({"hourly": F.max((F.col("r") <= 24) & (F.date_format("ts", "HH") != "00")).over(w), "late": late & F.col("known")})
+    both = both.withColumn("inside", day.between(F.col("start"), F.col("end")) & ~F.col("late"))
+    both = both.withColumns({"any": F.max("inside").over(w), "left": F.sum((~F.col("late")).cast("int")).over(w.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))})
+    floor = F.when(F.col("hourly"), NEXT_HOURS).otherwise(NEXT_DAYS)
+    known = F.col("inside") | (~F.col("any") & (F.col("start") != F.col("end")) & ~F.col("late") & (F.col("left") <= most))
+    return both.where(F.when(F.col("known"), known).otherwise(F.col("r") <= floor)).select(*rows.columns)
 
 
 def headline(rows: DataFrame, by: Sequence[str], field: str, statistic: str) -> DataFrame:

@@ -50,6 +50,40 @@ def notes(rows: DataFrame, by: Sequence[str], ranges: Sequence[str], most: int =
     return every.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
 
 
+def remarks(rows: DataFrame, question: Sequence[str], place: str, field: str, total: bool = False, most: int = 4) -> DataFrame:
+    """question, pos, kind, place, text: at most `most` remarks on a question's field, what compares its places first.
+
+    Then, place by place: mean and range, limits crossed, dry readings (of rain). One aggregate over the readings.
+    """
+    v, one = F.col(field), lambda c: F.format_string("%.1f", F.bround(c, 1))
+    limit = next(((t, said, low) for f, t, said, low in NOTABLE if f == field), None)
+    crossed = (v <= limit[0] if limit[2] else v >= limit[0]) if limit else F.lit(False)
+    mean = F.sum(v.cast(EXACT)).cast("double") / F.count(v)
+    per = rows.groupBy(*question, place).agg(
+        F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), mean.alias("mean"), F.sum(v.cast(EXACT)).cast("double").alias("total"), F.count_if(crossed).alias("over"), F.count_if(v < 1.0).alias("dry")
+    ).where("n > 0")
+    figure, first = F.col("total" if total else "mean"), Window.partitionBy(*question)
+    lead = per.groupBy(*question).agg(F.count("*").alias("k"), F.min_by(place, F.struct(-figure, place)).alias("a"), F.max_by(place, F.struct(-figure, place)).alias("b"), (F.max(figure) - F.min(figure)).alias("gap")).where("k > 1")
+    word = "total" if total else "mean"
+    lead = lead.select(*question, F.lit(0).alias("at"), F.lit(0).alias("o"), F.lit("COMPARISON").alias("kind"), F.lit(None).cast("string").alias("place"), F.concat(F.col("a").cast("string"), F.lit(" leads "), F.col("b").cast("string"), F.lit(" by "), one("gap"), F.lit(f" on {word} {field}")).alias("text"))
+    said = [
+        F.when(F.lit(not total) & (F.col("n") > 1), F.struct(F.lit(1).alias("o"), F.lit("RANGE").alias("kind"), F.concat(F.lit("mean "), one("mean"), F.lit(", range "), one("low"), F.lit("-"), one("high")).alias("text"))),
+        F.when(F.col("over") > 0, F.struct(F.lit(2).alias("o"), F.lit("THRESHOLD").alias("kind"), F.concat(F.lit(f"{limit[1] if limit else ''} on "), F.col("over").cast("string"), F.lit(" of "), F.col("n").cast("string")).alias("text"))),
+        F.when(F.lit(field == "Rainfall") & (F.col("n") > 2) & (F.col("dry") > 0), F.struct(F.lit(3).alias("o"), F.lit("DRY_SPELL").alias("kind"), F.concat(F.col("dry").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" dry")).alias("text"))),
+    ]
+    each = per.withColumn("at", F.dense_rank().over(first.orderBy(place))).select(*question, "at", F.col(place).cast("string").alias("place"), F.explode(F.array_compact(F.array(*said))).alias("s"))
+    each = each.select(*question, "at", "s.o", "s.kind", "place", "s.text")
+    pos = F.row_number().over(first.orderBy("at", "o"))
+    return lead.unionByName(each).withColumn("pos", pos).where(F.col("pos") <= most).select(*question, "pos", "kind", "place", "text")
+
+
+def watching(rows: DataFrame, by: Sequence[str], field: str) -> DataFrame:
+    """by, said: what an alert on a field says first: its peak in the rows there are."""
+    peak = rows.groupBy(*by).agg(F.max(field).alias("peak"))
+    said = F.when(F.col("peak").isNull(), F.lit(f"no {field} values")).otherwise(F.concat(F.lit(f"watching {field}, peak in range "), F.format_string("%.1f", F.bround("peak", 1))))
+    return peak.select(*by, said.alias("said"))
+
+
 def band(rows: DataFrame, low: str, high: str, by: Sequence[str]) -> DataFrame:
     """by, day, low, high, mid."""
     return rows.groupBy(*by, F.to_date("ts").alias("day")).agg(F.min(low).alias("low"), F.max(high).alias("high"), ((F.min(low) + F.max(high)) / 2).alias("mid"))

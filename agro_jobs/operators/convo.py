@@ -1,64 +1,69 @@
-"""Folding a conversation's turns into its state: the one true sequential fold, grouped by chat."""
+"""Folding a conversation's turns into its state, as window functions over each chat.
+
+What a turn does depends on the turn itself and on whether it is the first one; what the chat then holds is,
+for each slot, the last turn that set it. So no state is carried by hand, and a chat of any length streams
+through its window.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 FRAGMENT = ("MODIFY", "REPLACE", "INHERIT")
-STATE = "chat_id long, turn long, operation string, intent string, places string, time string"
-
-
-def operation(turns: int, has_place: bool, has_time: bool, reference: str, compares: bool, follow_up: bool) -> str:
-    """What a turn does to the state; the most specific case first."""
-    if compares:
-        return "COMPARE"
-    if not turns:
-        return "SET"
-    if reference == "LOCATION" and not has_place:
-        return "MODIFY" if has_time else "INHERIT"
-    if follow_up and has_place != has_time:
-        return "REPLACE" if has_place else "MODIFY"
-    if has_place:
-        return "SET" if has_time else "REPLACE"
-    return "MODIFY" if has_time else "INHERIT"
-
-
-def step(state: dict, row: dict) -> tuple[dict, str]:
-    """The state after one turn. Turns that name no measurement keep the intent of the one before."""
-    place, time = row["places"] or "", row["time"] or ""
-    op = operation(state["turns"], bool(place), bool(time), row["reference"], bool(row["compares"]), bool(row["follow_up"]))
-    new = dict(state, turns=state["turns"] + 1)
-    if not (op in FRAGMENT and state["intent"] and row["silent"]):
-        new["intent"] = row["intent"]
-    if place and op in ("SET", "COMPARE", "REPLACE"):
-        new["places"] = place
-    if op in ("SET", "COMPARE", "MODIFY", "INHERIT") and time:
-        new["time"] = time
-    elif op == "SET":
-        new["time"] = None
-    return new, op
-
-
-def empty() -> dict:
-    return {"turns": 0, "intent": None, "places": None, "time": None}
-
-
-def _fold(chat: pd.DataFrame) -> pd.DataFrame:
-    state, out = empty(), []
-    for row in chat.sort_values("turn").to_dict("records"):
-        state, op = step(state, row)
-        out.append((row["chat_id"], row["turn"], op, state["intent"], state["places"], state["time"]))
-    return pd.DataFrame(out, columns=["chat_id", "turn", "operation", "intent", "places", "time"])
-
-
-def fold(turns: DataFrame) -> DataFrame:
+
+
+def operation(first: Column) -> Column:
+    """What a turn (places, time, reference, compares, follow_up) does to the state: the first rule of the table that holds."""
+    place, time = _said("places").isNotNull(), _said("time").isNotNull()
+    back, leans = F.col("reference") == "LOCATION", F.col("follow_up")
+    table = (
+        (F.col("compares"), "COMPARE"), (first, "SET"), (back & ~place & time, "MODIFY"), (back & ~place, "INHERIT"), (leans & place & ~time, "REPLACE"), (leans & time & ~place, "MODIFY"),
+        (place & time, "SET"), (place, "REPLACE"), (time, "MODIFY"),
+    )
+    out = F.lit("INHERIT")
+    for condition, name in reversed(table):
+        out = F.when(F.coalesce(condition, F.lit(False)), name).otherwise(out)
+    return out
+
+
+def _said(slot: str) -> Column:
+    """The slot's value; an empty one is none."""
+    return F.nullif(F.col(slot), F.lit(""))
+
+
+def sets(op: Column, slot: str) -> Column:
+    """Whether a turn sets the slot: to what it says, or, for a time that a SET leaves out, to nothing."""
+    if slot == "places":
+        return op.isin("SET", "COMPARE", "REPLACE") & _said("places").isNotNull()
+    return (op == "SET") | (op.isin("COMPARE", "MODIFY", "INHERIT") & _said("time").isNotNull())
+
+
+def sessions(turns: DataFrame, idle: float) -> DataFrame:
+    """turns (with ts) with session: a chat starts anew after more than `idle` seconds without a turn."""
+    order = Window.partitionBy("chat_id").orderBy("turn")
+    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(order)
+    return turns.withColumn("_gap", gap > int(idle * 1e6)).withColumn("session", F.sum(F.coalesce("_gap", F.lit(False)).cast("int")).over(order)).drop("_gap")
+
+
+def fold(turns: DataFrame, idle: float | None = None) -> DataFrame:
     """chat_id, turn, operation, intent, places, time after every turn.
 
-    turns: chat_id, turn, intent, places, time, reference, follow_up, compares, silent. A chat is
-    one group: its turns are as many as one person typed.
+    turns: chat_id, turn, intent, places, time, reference, follow_up, compares, silent, and ts if a chat is to
+    start anew after `idle` seconds. Turns that name no measurement keep the intent of the one before.
     """
-    return turns.groupBy("chat_id").applyInPandas(_fold, STATE)
+    rows = turns.withColumn("session", F.lit(0)) if idle is None else sessions(turns, idle)
+    chat = ["chat_id", "session"]
+    order = Window.partitionBy(*chat).orderBy("turn")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("operation", operation(F.row_number().over(order) == 1))
+    op, silent = F.col("operation"), F.coalesce(F.col("silent"), F.lit(False))
+    keeps = op.isin(*FRAGMENT) & silent
+    rows = rows.withColumn("_since", F.sum((~keeps).cast("int")).over(upto))
+    since = Window.partitionBy(*chat, "_since").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    held = {slot: F.last(F.when(sets(op, slot), F.struct(_said(slot).alias("v"))), ignorenulls=True).over(upto)["v"] for slot in ("places", "time")}
+    intent = F.coalesce(F.first(_said("intent"), ignorenulls=True).over(since), F.col("intent"))
+    return rows.select("chat_id", "turn", "operation", intent.alias("intent"), held["places"].alias("places"), held["time"].alias("time"))
 
 
 def missing_slots(folded: DataFrame) -> DataFrame:

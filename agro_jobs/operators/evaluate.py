@@ -23,6 +23,27 @@ def accuracy(rows: DataFrame, targets: Sequence[tuple[str, str]]) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), *[_share(r).alias(g) for r, (g, _) in zip(right, targets, strict=True)], _share(every).alias("everything"))
 
 
+def target_shares(rows: DataFrame, single: Sequence[tuple[str, str]], sets: Sequence[tuple[str, str]] = (), spans: Sequence[tuple[str, str]] = (), only: dict[str, Column] | None = None) -> DataFrame:
+    """target, n, share: how often each target is right, and all of them at once (`everything`).
+
+    Sets are right with the same members, spans with the same spellings as often, in any order and case. A target in `only` counts
+    (also in everything) where its condition holds.
+    """
+    def told(c: str) -> Column:
+        return F.array_sort(F.transform(F.coalesce(c, F.array().cast("array<string>")), F.lower))
+
+    right = {g: F.col(g).eqNullSafe(F.col(p)) for g, p in single}
+    right |= {g: F.array_sort(F.array_distinct(F.coalesce(F.col(g), F.array().cast("array<string>")))) == F.array_sort(F.array_distinct(F.coalesce(F.col(p), F.array().cast("array<string>")))) for g, p in sets}
+    right |= {g: told(g) == told(p) for g, p in spans}
+    asked = {g: F.coalesce((only or {}).get(g, F.lit(True)), F.lit(False)) for g in right}
+    every = F.lit(True)
+    for g, ok in right.items():
+        every = every & (ok | ~asked[g])
+    cells = [F.struct(F.lit(g).alias("target"), F.count_if(asked[g]).alias("n"), F.count_if(asked[g] & ok).alias("hits")) for g, ok in right.items()]
+    cells.append(F.struct(F.lit("everything").alias("target"), F.count("*").alias("n"), F.count_if(every).alias("hits")))
+    return rows.agg(F.array(*cells).alias("c")).select(F.inline("c")).select("target", "n", F.try_divide(F.col("hits").cast("double"), F.col("n")).alias("share"))
+
+
 def set_f1(rows: DataFrame, gold: str, predicted: str) -> DataFrame:
     """tp, fp, fn, f1 over label sets, summed over all rows."""
     sums = rows.agg(

@@ -32,10 +32,87 @@ def filled(keys: DataFrame, frames: DataFrame, places: DataFrame, times: DataFra
     return out.select("row_id", "frame", text.alias("text"), F.array("place", "time").alias("spans"), "activity")
 
 
-def surface(place: Column, code: Column, key: Column, seed: int = 0) -> Column:
-    """How a place is written: its code, lower case, or as it is, at fixed rates."""
+SLOT = r"\{([a-z0-9_]+)\}"
+#: Percent of places that are written as a code, misspelt, qualified; and of all others in lower case.
+CODE, MISSPELT, QUALIFIED, LOWER = 8, 24, 20, 25
+
+
+def surface(place: Column, qualified: Column, codes: Column, misspellings: Column, key: Column, seed: int = 0) -> Column:
+    """STRUCT<span, form>: how a place is written: by one of its codes, misspelt, with what it lies in, or as it is; all but codes in lower case at a rate.
+
+    A place without codes or misspellings is written as if the draw had fallen on the next form.
+    """
+    def one(options: Column, seed: int) -> Column:
+        return F.get(options, pick(F.greatest(F.size(options), F.lit(1)), key, seed=seed).cast("int"))
+
     u = pick(F.lit(100), key, seed=seed)
-    return F.when((u < 10) & code.isNotNull(), code).when(u < 40, F.lower(place)).otherwise(place)
+    form = (
+        F.when((F.size(codes) > 0) & (u < CODE), "code").when((F.size(misspellings) > 0) & (u < CODE + MISSPELT), "misspelt")
+        .when(u < CODE + MISSPELT + QUALIFIED, "qualified").otherwise("plain")
+    )
+    written = F.when(form == "code", one(codes, seed + 1)).when(form == "misspelt", one(misspellings, seed + 2)).when(form == "qualified", qualified).otherwise(place)
+    lowered = (pick(F.lit(100), key, seed=seed + 3) < LOWER) & (form != "code")
+    return F.struct(F.when(lowered, F.lower(written)).otherwise(written).alias("span"), form.alias("form"))
+
+
+def phrased(keys: DataFrame, frames: DataFrame, places: DataFrame, words: dict[str, tuple[str, ...]], seed: int = 0) -> DataFrame:
+    """row_id, the columns of its frame, text, marks: every key takes a frame by its hash, and each slot of the frame a value of its own.
+
+    frames: frame, template and labels. A slot {place}, {place2}, ... takes a place; any other one a word of
+    words[slot]. marks is ARRAY<STRUCT<slot, span, start, end>> in code points, end exclusive: offsets come from the
+    lengths of what stands before, so a span that occurs twice is still told apart. Places are joined on the picked
+    position; words are closed vocabularies and travel in the plan.
+    """
+    dim, n = numbered(frames, "frame"), frames.count()
+    out = keys.withColumn("pos", pick(F.lit(n), F.col("row_id"), seed=seed)).join(F.broadcast(dim), "pos").drop("pos")
+    wanted = sorted(r["s"] for r in frames.select(F.explode(F.regexp_extract_all("template", F.lit(SLOT), F.lit(1))).alias("s")).distinct().collect())
+    spots, many = numbered(places.select("place"), "place"), places.count()
+    named = [s for s in wanted if s.startswith("place")]
+    for i, slot in enumerate(named):
+        out = out.withColumn("pos", pick(F.lit(many), F.col("row_id"), seed=seed + 1 + i)).join(spots.withColumnRenamed("place", f"_{slot}"), "pos", "left").drop("pos")
+    slots, literals = F.regexp_extract_all("template", F.lit(SLOT), F.lit(1)), F.split("template", SLOT)
+
+    def value(slot: Column, i: Column) -> Column:
+        said = F.lit(None).cast("string")
+        for w in wanted:
+            if w in named:
+                said = F.when(slot == w, F.col(f"_{w}")).otherwise(said)
+            else:
+                said = F.when(slot == w, F.get(F.array(*map(F.lit, words[w])), pick(F.lit(len(words[w])), F.col("row_id"), i, slot, seed=seed).cast("int"))).otherwise(said)
+        return F.struct(slot.alias("slot"), said.alias("span"), F.get("_literals", i + 1).alias("after"))
+
+    out = out.withColumn("_literals", literals).withColumn("_values", F.transform(slots, value))
+    empty = F.array().cast("array<struct<slot:string,span:string,start:int,end:int>>")
+
+    def add(acc: Column, v: Column) -> Column:
+        start = F.char_length(acc["text"])
+        mark = F.struct(v["slot"].alias("slot"), v["span"].alias("span"), start.alias("start"), (start + F.char_length(v["span"])).alias("end"))
+        return F.struct(F.concat(acc["text"], v["span"], v["after"]).alias("text"), F.concat(acc["marks"], F.array(mark)).alias("marks"))
+
+    made = F.aggregate("_values", F.struct(F.get("_literals", F.lit(0)).alias("text"), empty.alias("marks")), add)
+    labels = [c for c in frames.columns if c != "template"]
+    return out.withColumn("_made", made).select("row_id", *labels, F.col("_made.text").alias("text"), F.col("_made.marks").alias("marks"))
+
+
+def spans_of(marks: str, slots: str) -> Column:
+    """The spans of the slots whose name begins so, in order."""
+    return F.transform(F.filter(marks, lambda m: m["slot"].startswith(slots)), lambda m: m["span"])
+
+
+def conversations(openings: DataFrame, follow: DataFrame, places: DataFrame, times: tuple[str, ...], most: int = 3, seed: int = 0) -> DataFrame:
+    """chat_id, turn, text, operation, place, time, ctx_place, ctx_time: each opening (row_id, text, marks) is turn 0 of a chat that goes on for 1 to `most` turns.
+
+    follow: frame, template, operation (REPLACE with {place}, MODIFY with {time}, INHERIT with neither). The context is
+    the last place and the last time that were said.
+    """
+    chat = F.col("row_id")
+    first = openings.select(chat.alias("chat_id"), F.lit(0).alias("turn"), "text", F.lit("SET").alias("operation"), F.get(spans_of("marks", "place"), F.lit(0)).alias("place"), F.get(spans_of("marks", "time"), F.lit(0)).alias("time"))
+    turns = openings.select(chat.alias("chat_id"), F.explode(F.sequence(F.lit(1), (pick(F.lit(most), chat, seed=seed + 50) + 1).cast("int"))).alias("turn"))
+    keys = turns.withColumn("row_id", F.concat_ws("/", "chat_id", "turn"))
+    later = phrased(keys.select("row_id"), follow, places, {"time": times}, seed + 60).join(keys, "row_id")
+    later = later.select("chat_id", "turn", "text", "operation", F.get(spans_of("marks", "place"), F.lit(0)).alias("place"), F.get(spans_of("marks", "time"), F.lit(0)).alias("time"))
+    upto = Window.partitionBy("chat_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    return first.unionByName(later).withColumns({f"ctx_{c}": F.last(c, ignorenulls=True).over(upto) for c in ("place", "time")})
 
 
 def chats(rows: DataFrame, turns: int = 3) -> DataFrame:

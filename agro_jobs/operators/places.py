@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agro_jobs.functions.text import folded
+from agro_jobs.functions.text import bound, folded
+from agro_jobs.operators import nearwords
+from agro_jobs.operators.generate import pick
 from agro_jobs.sources.shared import written
 
 #: The box that counts as inside, the levels from broad to local, and their ranks.
@@ -215,37 +217,94 @@ def squeezed(c: Column) -> Column:
 
 
 def resolve_fuzzy(spans: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """span_id, id, how: names that start with the span (prefix), else one edit away (edit), inside one block."""
-    a = spans.select("span_id", F.lower(F.trim("span")).alias("said")).withColumn("block", squeezed(F.col("said")))
-    b = gazetteer.select("id", F.lower("name").alias("key")).withColumn("block", squeezed(F.col("key")))
-    both = a.join(b, "block")
-    how = F.when(F.col("key").startswith(F.col("said")), "prefix").when(F.levenshtein("key", "said", 1).between(0, 1), "edit")
-    hits = both.withColumn("how", how).where("how IS NOT NULL")
+    """span_id, id, how: names that start with the span (prefix), else one edit away (edit); both must agree in their first three letters, squeezed.
+
+    Prefixes are joined on the names' own prefixes, edits on a deletion index: neither pairs all names of a block.
+    """
+    a = spans.select("span_id", F.lower(F.trim("span")).alias("said"))
+    b = gazetteer.select("id", F.lower("name").alias("key"))
+    begun = b.withColumn("said", F.explode(F.expr("transform(sequence(least(char_length(key), 1), char_length(key)), i -> left(key, i))")))
+    prefix = a.join(begun, "said").select("span_id", "id", "key", "said", F.lit("prefix").alias("how"))
+    edit = within_edits(a, b, 1).select("span_id", "id", "key", "said", F.lit("edit").alias("how"))
+    hits = prefix.union(edit).where(squeezed(F.col("key")) == squeezed(F.col("said"))).groupBy("span_id", "id").agg(F.max("how").alias("how"))
     best = hits.groupBy("span_id").agg(F.max("how").alias("best"))
     return hits.join(best, "span_id").where(F.col("how") == F.col("best")).select("span_id", "id", "how")
 
 
-def suggestions(spans: DataFrame, gazetteer: DataFrame, n: int = 3) -> DataFrame:
-    """span_id, id, distance: the nearest names of the span's block."""
-    a = spans.select("span_id", F.lower(F.trim("span")).alias("said")).withColumn("block", squeezed(F.col("said")))
-    b = gazetteer.select("id", F.lower("name").alias("key")).withColumn("block", squeezed(F.col("key")))
-    rows = a.join(b, "block").withColumn("distance", F.levenshtein("key", "said"))
+def within_edits(said: DataFrame, names: DataFrame, edits: int) -> DataFrame:
+    """span_id, said, id, key, distance: all pairs of said (span_id, said) and names (id, key) at most `edits` apart.
+
+    Distinct spellings are joined on their deletions and verified; ids are put back afterwards, so
+    spellings that repeat cost nothing more.
+    """
+    pairs = nearwords.near(said.select("said").distinct(), names.select("key").distinct(), "said", "key", edits)
+    close = pairs.withColumn("distance", F.levenshtein("said", "key", edits)).where(F.col("distance") >= 0)
+    return said.join(close, "said").join(names, "key").select("span_id", "said", "id", "key", "distance")
+
+
+def suggestions(spans: DataFrame, gazetteer: DataFrame, n: int = 3, edits: int = 2, shortest: int = 4) -> DataFrame:
+    """span_id, id, distance: the n nearest names within `edits`, whatever letters they begin with, for spans of at least `shortest` letters.
+
+    A span takes names in the order of distance, then id; no guard says that a name is safe to answer with.
+    """
+    a = spans.select("span_id", F.lower(F.trim("span")).alias("said")).where(F.char_length("said") >= shortest)
+    near = within_edits(a, gazetteer.select("id", F.lower("name").alias("key")), edits)
     w = Window.partitionBy("span_id").orderBy("distance", "id")
-    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).select("span_id", "id", "distance")
+    return near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).select("span_id", "id", "distance")
 
 
 def nearest_place(points: DataFrame, places: DataFrame, cell: float = 1.0) -> DataFrame:
-    """point_id, id, km: the nearest place within the nine grid cells around a point."""
-
-    def grid(c: str) -> Column:
-        return F.floor(F.col(c) / cell).cast("int")
+    """point_id, id, km: the nearest place of each point, ties to the smaller id; a null id where there are no places.
 
+    Points look into the nine grid cells around them. What they find is final if it is nearer than anything
+    outside those cells can be; the other points look again with cells twice as wide, so
+    only points in empty country see wide cells. A point that could see everything ends.
+    """
+    left, done = points.select("point_id", "lat", "lon"), None
     step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    a = points.withColumn("dy", F.explode(step)).withColumn("dx", F.explode(step)).select("point_id", "lat", "lon", (grid("lat") + F.col("dy")).alias("cy"), (grid("lon") + F.col("dx")).alias("cx"))
-    b = places.select("id", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), grid("lat").alias("cy"), grid("lon").alias("cx"))
+    spots = places.where("lat IS NOT NULL AND lon IS NOT NULL").select("id", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    km = F.round(flat_distance(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), 6)
+    while True:
+        everything = cell >= 360
+
+        def grid(c: str, cell: float = cell) -> Column:
+            return F.floor(F.col(c) / cell).cast("int")
+
+        around = left.withColumn("dy", F.explode(step)).withColumn("dx", F.explode(step)).withColumns({"cy": grid("lat") + F.col("dy"), "cx": grid("lon") + F.col("dx")})
+        near = around.join(spots.withColumns({"cy": grid("lat2"), "cx": grid("lon2")}), ["cy", "cx"]).groupBy("point_id").agg(F.min(F.struct(km.alias("km"), "id")).alias("m"))
+        # Outside the cells a place is at least `cell` degrees away, north or south or, on a circle that may be shorter, east or west.
+        farthest = F.least(F.lit(89.999), F.abs("lat") + 2 * cell) if not everything else F.lit(0.0)
+        edge = F.lit(float("inf")) if everything else F.lit(111.32 * cell) * F.cos(F.radians(farthest))
+        seen = written(left.join(near, "point_id", "left").select("point_id", "lat", "lon", "m.id", "m.km", edge.alias("edge")), "nearest")
+        final = seen.where(F.lit(everything) | (F.col("km") < F.col("edge"))).select("point_id", "id", "km")
+        done = final if done is None else done.unionByName(final)
+        left = seen.where(~(F.lit(everything) | F.coalesce(F.col("km") < F.col("edge"), F.lit(False)))).select("point_id", "lat", "lon")
+        if everything or not left.limit(1).count():
+            return done
+        cell *= 2
+
+
+def named_point(points: DataFrame, places: DataFrame, unknown: str = "your location", within: float = 25.0) -> DataFrame:
+    """point_id, name: the most local name at a point: of the places within `within` km the lowest level's nearest, without notes in brackets; `unknown` if there is none.
+
+    Places and points meet in grid cells as wide as the radius, so no point sees more than nine of them.
+    """
+    def cells(lat: str, lon: str) -> tuple[Column, Column]:
+        wide = within / 111.32
+        return F.floor(F.col(lat) / wide), F.floor(F.col(lon) * F.cos(F.radians(F.floor(F.col(lat) / wide) * wide)) / wide)
+
+    cy, cx = cells("lat", "lon")
+    spots = places.select("name", "level", "id", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    spots = spots.withColumn("cy", F.floor(F.col("lat2") / (within / 111.32)))
+    # A circle of latitude is cut by the row it is looked at from: three rows see a place, each with its own cut.
+    spots = spots.withColumn("row", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)))
+    spots = spots.withColumn("cx", F.floor(F.col("lon2") * F.cos(F.radians(F.col("row") * (within / 111.32))) / (within / 111.32))).drop("cy")
+    around = points.select("point_id", "lat", "lon", cy.alias("row"), cx.alias("at")).withColumn("cx", F.explode(F.sequence(F.col("at") - 2, F.col("at") + 2)))
     km = F.round(flat_distance(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), 6)
-    near = a.join(b, ["cy", "cx"]).groupBy("point_id").agg(F.min(F.struct(km.alias("km"), "id")).alias("m"))
-    return near.select("point_id", "m.id", "m.km")
+    rank = F.coalesce(F.create_map(*[F.lit(x) for kv in LEVEL_RANK.items() for x in kv])[F.col("level")], F.lit(-1))
+    best = around.join(spots, ["row", "cx"]).where(km <= within).groupBy("point_id").agg(F.min_by("name", F.struct(-rank, km, "id")).alias("name"))
+    plain = F.nullif(F.trim(F.regexp_replace("name", r"\s*\([^)]*\)", "")), F.lit(""))
+    return points.select("point_id").join(best, "point_id", "left").select("point_id", F.coalesce(plain, F.lit(unknown)).alias("name"))
 
 
 def folded_names(places: DataFrame) -> DataFrame:
@@ -262,3 +321,52 @@ def ancestors(places: DataFrame, parents: DataFrame, levels: int = 3) -> DataFra
         out = out.join(p, "_up", "left").drop("_up").withColumnRenamed(f"_p{k}", "_up")
         names.append(f"_n{k}")
     return out.withColumn("parents", F.array_compact(F.array(*names))).drop("_up", *names)
+
+
+def chains(parents: DataFrame) -> DataFrame:
+    """id, chain: the names above every row of parents (id, parent_id, name), nearest first, however deep the tree is.
+
+    Each round joins the paths with themselves, so paths double and the rounds grow with the logarithm of the depth. What
+    hangs on a circle of parents has no top and is left out.
+    """
+    named = parents.select("id", "name")
+    at = parents.select("id", F.col("parent_id").alias("next")).join(named.select(F.col("id").alias("next"), F.col("name").alias("_n")), "next", "left")
+    at = written(at.select("id", F.when(F.col("_n").isNotNull(), F.col("next")).alias("next"), F.array_compact(F.array("_n")).alias("chain")), "chains")
+    rounds = max(1, at.count().bit_length())
+    for _ in range(rounds):
+        if not at.where("next IS NOT NULL").limit(1).count():
+            break
+        up = at.select(F.col("id").alias("next"), F.col("next").alias("_then"), F.col("chain").alias("_more"))
+        at = written(at.join(up, "next", "left").select("id", F.col("_then").alias("next"), F.concat("chain", F.coalesce("_more", F.array().cast("array<string>"))).alias("chain")), "chains")
+    return at.where("next IS NULL").select("id", "chain")
+
+
+#: Percent of names that get an address, of addresses that skip the level right above, that have no commas; and how many levels are kept.
+ADDRESSED, SKIPS, BARE, KEEP = 55, 60, 33, (60, 25, 15)
+
+
+def address(name: Column, chain: Column, key: Column, seed: int = 0) -> Column:
+    """A partial or full address of a place, drawn by its key; null where nothing but its own name stands above it.
+
+    A level that only repeats the name below it is passed over.
+    """
+    def differing(names: Column) -> Column:
+        return F.filter(names, lambda n, i: F.when(i == 0, F.lower(n) != F.lower(name)).otherwise(F.lower(n) != F.lower(F.get(names, i - 1))) & (n != ""))
+
+    def of(tail: Column) -> Column:
+        cut = F.when((F.size(tail) >= 2) & (pick(F.lit(100), key, seed=seed) < SKIPS), F.slice(tail, F.lit(2), F.size(tail))).otherwise(tail)
+        n = F.least(F.size(cut), F.lit(len(KEEP)))
+        total = F.when(n == 1, KEEP[0]).when(n == 2, KEEP[0] + KEEP[1]).otherwise(sum(KEEP))
+        u = pick(total, key, seed=seed + 1)
+        kept = F.when(u < KEEP[0], 1).when(u < KEEP[0] + KEEP[1], 2).otherwise(3)
+        between = F.when(pick(F.lit(100), key, seed=seed + 2) < BARE, " ").otherwise(", ")
+        parts = F.concat(F.array(name), F.slice(cut, F.lit(1), kept))
+        return F.when(F.size(tail) > 0, F.when(between == " ", F.array_join(parts, " ")).otherwise(F.array_join(parts, ", ")))
+
+    return bound(differing(F.coalesce(chain, F.array().cast("array<string>"))), of)
+
+
+def written_as(places: DataFrame, seed: int = 0) -> DataFrame:
+    """places (id, name, chain) with written: the address of a share of them, the bare name of the others."""
+    said = address(F.col("name"), F.col("chain"), F.col("id"), seed)
+    return places.withColumn("written", F.coalesce(F.when(pick(F.lit(100), F.col("id"), seed=seed + 3) < ADDRESSED, said), F.col("name")))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HOUR = 3600.0
+BIN = 24.0  # hours of a bin in which jobs and shelters meet
 
 
 def _hours(c: str) -> F.Column:
@@ -56,7 +57,23 @@ def held(rows: DataFrame, condition: str, by: Sequence[str], needed: float) -> D
     return measured(size, runs(rows, condition, by, gaps), by, F.lit(needed))
 
 
-def sheltered(jobs: DataFrame, roofs: DataFrame, horizon: DataFrame, by: Sequence[str]) -> DataFrame:
+def binned(rows: DataFrame, begin: str, end: str, width: float = BIN) -> DataFrame:
+    """rows with bin: one row for each bin that [begin, end] touches."""
+    return rows.withColumn("bin", F.explode(F.sequence(F.floor(F.col(begin) / width), F.floor(F.col(end) / width))))
+
+
+def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], width: float = BIN) -> DataFrame:
+    """Pairs of left (keys, a, b) and right (keys, ra, rb) that share more than a moment.
+
+    Both are cut into bins of time and joined on (keys, bin), so a place's history is compared bin by bin
+    instead of all with all; a pair that shares several bins is kept in the first of them only.
+    """
+    both = binned(left, "a", "b", width).join(binned(right, "ra", "rb", width), [*keys, "bin"])
+    begins = F.greatest("a", "ra")
+    return both.where((F.col("a") < F.col("rb")) & (F.col("b") > F.col("ra")) & (F.col("bin") == F.floor(begins / width))).drop("bin")
+
+
+def sheltered(jobs: DataFrame, roofs: DataFrame, horizon: DataFrame, by: Sequence[str], width: float = BIN) -> DataFrame:
     """jobs with settled, unconfirmed: whether a shelter lasts long enough after the job.
 
     jobs: by, activity, start, hours, doing, settle; roofs: by, start, hours; horizon: by, horizon.
@@ -65,9 +82,8 @@ def sheltered(jobs: DataFrame, roofs: DataFrame, horizon: DataFrame, by: Sequenc
     keys = list(by)
     work = jobs.withColumns({"a": _hours("start"), "b": _hours("start") + F.col("hours")})
     roof = roofs.select(*by, _hours("start").alias("ra"), (_hours("start") + F.col("hours")).alias("rb")).join(horizon, keys)
-    cut = work.join(roof, keys).where((F.col("a") < F.col("rb")) & (F.col("b") > F.col("ra")))
     begin, end, enough = F.greatest("a", "ra"), F.least("b", "rb"), F.col("doing") + F.col("settle")
-    fits = cut.where(end - begin >= F.col("doing")).withColumn("open", F.col("rb") >= F.col("horizon")).where((F.col("rb") - begin >= enough) | F.col("open"))
+    fits = overlapping(work, roof, keys, width).where(end - begin >= F.col("doing")).withColumn("open", F.col("rb") >= F.col("horizon")).where((F.col("rb") - begin >= enough) | F.col("open"))
     first = fits.groupBy(*by, "activity", "start").agg(F.min_by((F.col("rb") - begin < enough) & F.col("open"), "ra").alias("unconfirmed"))
     return jobs.join(first, [*keys, "activity", "start"], "left").withColumns({"settled": F.col("unconfirmed").isNotNull(), "unconfirmed": F.coalesce("unconfirmed", F.lit(False))})
 

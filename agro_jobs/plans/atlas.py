@@ -122,10 +122,51 @@ def _(spark, d):
     return P.resolve_fuzzy(s, names(spark, d))
 
 
-@query("nearest_place", f"WITH {GSQL}, pts AS (SELECT s_suppkey AS id, 8 + CAST(s_suppkey * 29 % 2800 AS DOUBLE) / 100 AS lat, 70 + CAST(s_suppkey * 41 % 2500 AS DOUBLE) / 100 AS lon FROM supplier) SELECT point_id, arg_min(id, struct_pack(k := km, i := id)) AS id, min(km) AS km FROM (SELECT a.id AS point_id, b.id, round({KM}, 6) AS km FROM pts a JOIN gaz b ON abs(floor(a.lat) - floor(b.lat)) <= 1 AND abs(floor(a.lon) - floor(b.lon)) <= 1) GROUP BY 1")
+#: Points inside the country of places and, every tenth, far away from it.
+POINTS = {"point_id": "s_suppkey", "lat": "CASE WHEN s_suppkey % 10 = 0 THEN -60 + CAST(s_suppkey % 97 AS DOUBLE) / 2 ELSE 8 + CAST(s_suppkey * 29 % 2800 AS DOUBLE) / 100 END", "lon": "CASE WHEN s_suppkey % 20 = 0 THEN -150 ELSE 70 END + CAST(s_suppkey * 41 % 2500 AS DOUBLE) / 100"}
+PSQL = "pts AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in POINTS.items()) + " FROM supplier)"
+
+
+def points(spark, d):
+    return table(spark, d, "supplier").selectExpr(*[f"{e} AS {c}" for c, e in POINTS.items()])
+
+
+@query("nearest_place", f"WITH {GSQL}, {PSQL} SELECT point_id, arg_min(id, struct_pack(k := km, i := id)) AS id, min(km) AS km FROM (SELECT point_id, b.id, round({KM}, 6) AS km FROM pts a CROSS JOIN gaz b) GROUP BY 1")
+def _(spark, d):
+    return P.nearest_place(points(spark, d), gaz(spark, d))
+
+
+@query(
+    "named_point",
+    f"WITH {GSQL}, {PSQL}, near AS (SELECT point_id, arg_min(b.name || CASE WHEN b.id % 5 = 0 THEN ' (CT)' ELSE '' END, struct_pack(l := CASE level WHEN 'village' THEN 0 WHEN 'sub_district' THEN 1 WHEN 'district' THEN 2 ELSE 3 END, k := round({KM}, 6), i := b.id)) AS name FROM pts a JOIN gaz b ON {KM} <= 25.0 GROUP BY 1) "
+    "SELECT point_id, coalesce(regexp_replace(name, '\\s*\\([^)]*\\)', '', 'g'), 'your location') AS name FROM pts LEFT JOIN near USING (point_id)",
+)
+def _(spark, d):
+    return P.named_point(points(spark, d), gaz(spark, d).withColumn("name", F.expr("name || CASE WHEN id % 5 = 0 THEN ' (CT)' ELSE '' END")))
+
+
+# A tree of unknown depth: every part hangs on the one whose key is half its own.
+@query("address_chain", "WITH RECURSIVE up AS (SELECT p_partkey AS id, p_partkey AS tip, [] :: VARCHAR[] AS chain FROM part UNION ALL SELECT up.id, p.p_partkey, list_append(chain, p.p_name) FROM up JOIN part p ON tip > 0 AND p.p_partkey = tip // 2) SELECT id, array_to_string(arg_max(chain, len(chain)), ' | ') AS chain FROM up GROUP BY 1")
+def _(spark, d):
+    tree = table(spark, d, "part").selectExpr("p_partkey AS id", "CASE WHEN p_partkey > 0 THEN p_partkey DIV 2 END AS parent_id", "p_name AS name")
+    return P.chains(tree).select("id", F.array_join("chain", " | ").alias("chain"))
+
+
+def _drawn(n, seed):
+    return f"(CAST('0x' || left(md5('{seed}:' || CAST(id AS VARCHAR)), 8) AS BIGINT) % {n})"
+
+
+@query(
+    "address_forms",
+    "WITH RECURSIVE up AS (SELECT p_partkey AS id, p_name AS name, p_partkey AS tip, [] :: VARCHAR[] AS chain FROM part UNION ALL SELECT up.id, up.name, p.p_partkey, list_append(chain, p.p_name) FROM up JOIN part p ON tip > 0 AND p.p_partkey = tip // 2), "
+    "c AS (SELECT id, any_value(name) AS name, arg_max(chain, len(chain)) AS chain FROM up GROUP BY 1), f AS (SELECT *, list_transform(list_filter(range(1, len(chain) + 1), lambda i: lower(chain[i]) <> lower(CASE WHEN i = 1 THEN name ELSE chain[i - 1] END)), lambda i: chain[i]) AS tail FROM c), "
+    f"g AS (SELECT *, CASE WHEN len(tail) >= 2 AND {_drawn(100, 0)} < 60 THEN tail[2:] ELSE tail END AS cut FROM f), "
+    f"h AS (SELECT *, {_drawn('(CASE least(len(cut), 3) WHEN 1 THEN 60 WHEN 2 THEN 85 ELSE 100 END)', 1)} AS u FROM g) "
+    f"SELECT id, CASE WHEN {_drawn(100, 3)} < 55 AND len(tail) > 0 THEN CASE WHEN {_drawn(100, 2)} < 33 THEN array_to_string(parts, ' ') ELSE array_to_string(parts, ', ') END ELSE name END AS written FROM (SELECT *, list_concat([name], cut[1:CASE WHEN u < 60 THEN 1 WHEN u < 85 THEN 2 ELSE 3 END]) AS parts FROM h)",
+)
 def _(spark, d):
-    pts = table(spark, d, "supplier").selectExpr("s_suppkey AS point_id", "8 + CAST(s_suppkey * 29 % 2800 AS DOUBLE) / 100 AS lat", "70 + CAST(s_suppkey * 41 % 2500 AS DOUBLE) / 100 AS lon")
-    return P.nearest_place(pts, gaz(spark, d))
+    tree = table(spark, d, "part").selectExpr("p_partkey AS id", "CASE WHEN p_partkey > 0 THEN p_partkey DIV 2 END AS parent_id", "p_name AS name")
+    return P.written_as(tree.join(P.chains(tree), "id")).select("id", "written")
 
 
 @query("ancestor_chain", "SELECT s_suppkey AS id, n_name || ' | ' || r_name AS parents FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey")

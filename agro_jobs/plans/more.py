@@ -35,7 +35,7 @@ def _(spark, d):
     return asked.pairs(q, dims.gates(spark))
 
 
-@query("spoken_statistic", f"SELECT id, CASE id % 5 WHEN 0 THEN 'SUM' WHEN 1 THEN 'AVG' WHEN 2 THEN 'MAX' ELSE 'RAW' END AS statistic, CASE id % 5 WHEN 1 THEN 'Wind_Direction' WHEN 3 THEN 'Wind_max' END AS column_name FROM ({ASKED})")
+@query("spoken_statistic", f"SELECT id, CASE WHEN id % 5 = 0 AND id % 3 = 0 THEN 'SUM' WHEN id % 5 = 1 AND id % 3 = 1 THEN 'AVG' ELSE 'RAW' END AS statistic, CASE id % 5 WHEN 1 THEN 'Wind_Direction' WHEN 3 THEN 'Wind_max' END AS column_name FROM ({ASKED})")
 def _(spark, d):
     return questions(spark, d).select("id", asked.spoken_statistic(F.col("text"), F.col("statistic")).alias("statistic"), asked.column_named(F.col("text")).alias("column_name"))
 

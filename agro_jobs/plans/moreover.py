@@ -136,10 +136,13 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(spans.split_span(span), "|").alias("parts"))
 
 
-@query("near_names", "WITH s AS (SELECT s_suppkey AS span_id, lower(trim(substr(s_name, 1, 15) || CAST(s_suppkey % 7 AS VARCHAR))) AS said FROM supplier) SELECT span_id, id, distance FROM (SELECT span_id, n.s_suppkey AS id, levenshtein(lower(n.s_name), said) AS distance, row_number() OVER (PARTITION BY span_id ORDER BY levenshtein(lower(n.s_name), said), n.s_suppkey) AS r FROM s JOIN supplier n ON left(lower(n.s_name), 3) = left(said, 3)) WHERE r <= 3")
+NEAR = "CASE s_suppkey % 3 WHEN 0 THEN substr(s_name, 2) WHEN 1 THEN 'X' || substr(s_name, 3) ELSE s_name || '7' END"
+
+
+@query("near_names", f"WITH s AS (SELECT s_suppkey AS span_id, lower({NEAR}) AS said FROM supplier) SELECT span_id, id, distance FROM (SELECT span_id, n.s_suppkey AS id, levenshtein(lower(n.s_name), said) AS distance, row_number() OVER (PARTITION BY span_id ORDER BY levenshtein(lower(n.s_name), said), n.s_suppkey) AS r FROM s JOIN supplier n ON levenshtein(lower(n.s_name), said) <= 2) WHERE r <= 3")
 def _(spark, d):
     s = table(spark, d, "supplier")
-    got = places.suggestions(s.selectExpr("s_suppkey AS span_id", "substr(s_name, 1, 15) || CAST(s_suppkey % 7 AS STRING) AS span"), s.selectExpr("s_suppkey AS id", "s_name AS name"))
+    got = places.suggestions(s.selectExpr("s_suppkey AS span_id", f"{NEAR} AS span"), s.selectExpr("s_suppkey AS id", "s_name AS name"))
     return got.withColumn("distance", F.col("distance").cast("long"))
 
 

@@ -49,6 +49,29 @@ def archive_bulk(payloads: DataFrame, column: str = "payload") -> DataFrame:
     return archive(a.unionByName(b).select("place_id", F.inline("data")))
 
 
+LOOKBACK_DAYS = 60  # fixed value: how far back the feed of recent days reaches
+
+
+def served_window(archive: DataFrame, lookback: DataFrame, windows: DataFrame, as_of: Column, days: int = LOOKBACK_DAYS) -> tuple[DataFrame, DataFrame]:
+    """Rows of past windows (place_id, start, end) from the archive, else from the recent days, and what each window got.
+
+    The recent days may stand in for a place's archive only where the window starts at most `days` back; they do so for
+    the whole window, and fell_back_from says so. The second table is place_id, status: archive, lookback, or error for an
+    older window that the archive has nothing for.
+    """
+    def inside(rows: DataFrame) -> DataFrame:
+        return rows.join(windows, "place_id").where(F.to_date("ts").between(F.col("start"), F.col("end")))
+
+    first = inside(archive)
+    held = first.select("place_id").distinct().withColumn("held", F.lit(True))
+    asked = windows.join(held, "place_id", "left")
+    near = F.col("start") >= F.date_sub(as_of, days)
+    status = asked.select("place_id", F.when(F.col("held"), "archive").when(near, "lookback").otherwise("error").alias("status"))
+    second = inside(lookback).join(status.where("status = 'lookback'").select("place_id"), "place_id", "left_semi")
+    said = first.withColumn("fell_back_from", F.lit(None).cast("string")).unionByName(second.withColumn("fell_back_from", F.lit("archive")), allowMissingColumns=True)
+    return said.drop("start", "end"), status
+
+
 def preferred(sources: Sequence[tuple[str, DataFrame]], by: Sequence[str] = ("place_id", "ts")) -> DataFrame:
     """The best source's row per place and time; fell_back_from names the best source where it had none."""
     out = None

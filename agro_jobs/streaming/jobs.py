@@ -45,17 +45,23 @@ def _parts(events: DataFrame) -> DataFrame:
     )
 
 
-def feedback_sink(path: str):
+EVERY = 16  # versions after which one holds the whole table again
+
+
+def feedback_sink(path: str, every: int = EVERY):
     """A foreachBatch function that folds feedback events into the table at path, kept as numbered versions.
 
-    A batch is merged with the newest versions of the turns it touches, so earlier events are never
-    read again; replaying a batch gives the same version again.
+    A version holds the turns that its batch touches, merged with what was known of them; every `every`-th one holds all
+    turns. So a batch reads the versions since the last whole one only, however many there were before, and
+    replaying a batch gives the same version again.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         new = _parts(batch)
         if number > 0:
-            before = batch.sparkSession.read.parquet(path).where(F.col("batch") < number).join(batch.select("turn_id").distinct(), "turn_id", "left_semi")
+            before = batch.sparkSession.read.parquet(path).where(F.col("batch").between((number - 1) // every * every, number - 1))
+            if number % every:
+                before = before.join(batch.select("turn_id").distinct(), "turn_id", "left_semi")
             before = turns.newest_per(before, "turn_id", "batch").drop("batch")
             new = before.unionByName(new).groupBy("turn_id").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"), F.max("intent").alias("intent"), F.max("note").alias("note"))
         new.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
@@ -63,39 +69,77 @@ def feedback_sink(path: str):
     return write
 
 
-def feedback_state(spark, path: str) -> DataFrame:
+def feedback_state(spark, path: str, every: int = EVERY) -> DataFrame:
     """turn_id, id, first_ts, updated_at, revisions, kind, intent, note: the newest version of every turn."""
-    rows = turns.newest_per(spark.read.parquet(path), "turn_id", "batch")
+    versions = spark.read.parquet(path)
+    newest = versions.agg(F.max("batch")).first()[0] or 0
+    rows = turns.newest_per(versions.where(F.col("batch") >= newest // every * every), "turn_id", "batch")
     return rows.select(
         "turn_id", F.col("first.id").alias("id"), F.col("first.ts").alias("first_ts"), F.col("last.ts").alias("updated_at"), (F.col("n") - 1).alias("revisions"),
         F.col("last.kind").alias("kind"), F.col("intent.intent").alias("intent"), F.col("note.note").alias("note"),
     )
 
 
+SEEN = ("turn", "intent", "places", "time", "silent", "op_first", "op_later", "ts")
+
+
 class ChatFold(StatefulProcessor):
-    """Keeps one state per chat; with a time to live, a chat that is idle for longer starts anew."""
+    """Keeps one state per chat. With `idle` (milliseconds of event time), a chat starts anew after a longer gap.
 
-    def __init__(self, idle_ms: int | None = None):
-        self.idle_ms = idle_ms
+    The gap itself decides, so reruns agree however turns fall into batches; a timer only frees the
+    state once the watermark says that no turn of the old chat can come any more.
+    """
+
+    def __init__(self, idle: int | None = None):
+        self.idle = idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("chat", T.StructType([T.StructField("turns", T.IntegerType()), *[T.StructField(c, T.StringType()) for c in ("intent", "places", "time")]]), ttlDurationMs=self.idle_ms)
+        self.handle = handle
+        fields = [T.StructField("last", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("intent", "places", "time")]]
+        self.state = handle.getValueState("chat", T.StructType(fields))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        now = convo.empty()
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last, held = None, {}
         if self.state.exists():
-            now = dict(zip(("turns", "intent", "places", "time"), self.state.get(), strict=True))
+            last, *values = self.state.get()
+            held = dict(zip(("intent", "places", "time"), values, strict=True))
+        seen = sorted((row for part in rows for row in part[list(SEEN)].itertuples(index=False, name=None)), key=lambda r: r[0])  # of one chat, in one batch
         out = []
-        for row in pd.concat(list(rows)).sort_values("turn").to_dict("records"):
-            now, op = convo.step(now, row)
-            out.append((key[0], row["turn"], op, now["intent"], now["places"], now["time"]))
-        self.state.update((now["turns"], now["intent"], now["places"], now["time"]))
+        for turn, intent, places, time, silent, op_first, op_later, ts in seen:
+            at = int(pd.Timestamp(ts).value // 1_000_000) if self.idle else 0
+            if last is not None and self.idle and at - last > self.idle:
+                last = None
+            if last is None:
+                held = {}
+            op = op_first if last is None else op_later
+            if not (op in convo.FRAGMENT and silent and held.get("intent")):
+                held["intent"] = intent
+            if op in ("SET", "COMPARE", "REPLACE") and places:
+                held["places"] = places
+            if op == "SET" or (op in ("COMPARE", "MODIFY", "INHERIT") and time):
+                held["time"] = time or None
+            last = at
+            out.append((key[0], turn, op, held.get("intent"), held.get("places"), held.get("time")))
+        self.state.update((last, held.get("intent"), held.get("places"), held.get("time")))
+        if self.idle:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(last + self.idle + 1)
         yield pd.DataFrame(out, columns=[f.name for f in FOLD_OUT])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.state.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def conversation(turns_stream: DataFrame, idle_ms: int | None = None) -> DataFrame:
-    """The fold of `operators.convo` as a stream."""
-    return turns_stream.groupBy("chat_id").transformWithStateInPandas(ChatFold(idle_ms), FOLD_OUT, "append", "ProcessingTime" if idle_ms else "None")
+def conversation(turns_stream: DataFrame, idle: str | None = None, late: str = "1 hour") -> DataFrame:
+    """The fold of `operators.convo` as a stream; with `idle` (an interval such as "1 day") over turns that carry ts."""
+    first = convo.operation(F.lit(True))
+    rows = turns_stream.withColumns({"op_first": first, "op_later": convo.operation(F.lit(False))})
+    if idle is None:
+        return rows.withColumn("ts", F.lit(None).cast("timestamp")).groupBy("chat_id").transformWithStateInPandas(ChatFold(), FOLD_OUT, "append", "None")
+    gap = int(pd.Timedelta(idle).total_seconds() * 1000)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy("chat_id").transformWithStateInPandas(ChatFold(gap), FOLD_OUT, "append", "EventTime")
