@@ -2,17 +2,20 @@
 
 Every source is a queue of its documents in a seeded shuffle. A document's virtual finish time
 is the words its source has served up to its end, divided by the source's target; a second
-pass over the source continues the count. All sources therefore reach virtual time 1 exactly
-when the total budget is spent: ordered by finish time, the mix is cut there. Of a document in
-service at the cut (one a source) the words served till then are taken; they follow from by how
-much its finish time passes the cut.
-
-Running sums are taken in two steps (sums of chunks, then inside a chunk), so a source with a
-third of all rows is spread over many tasks.
-
-Nulls: a null text has size 0; a null source is a source of its own, ranked last. Empty
+pass over the source continues the count. Long documents are served in packets of `PACKET` words,
+each with a finish time of its own, so that no source waits for a long document of another. All
+packets of all sources are put in the order of their finish times, and the order is cut
+where the words up to there reach the total budget (of the packet at the cut, a part is taken). So
+each source ends within a packet of its target.
+
+Neither the queues nor the global order are sorted in one place. Running sums are taken in two
+steps: sums of chunks (of a queue's shuffle, or of a range of finish times), then inside a chunk, of
+which only the one with the cut is ordered. A source with a third of all rows is spread over many tasks.
+
+Nulls: a null text has size 0; a null source is a source of its own, ranked last. Documents without
+words take none; in the mix itself they stand where their place in the queue is served. Empty
 tables give no rows; repeated rows are separate documents; other columns are ignored, whatever
-their names. Texts are only counted, whatever their length.
+their names. Texts are only counted, whatever their length; ties in finish time go by the shuffle.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from agro_jobs.llm.common import materialize, packed
 
 WORD = r"[^\x20\x09-\x0D]+"
 PILE = 1 << 16  # rows of a pile that are dealt out at a time
+PACKET = 16  # words that are served at a time
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], budget: float, cap: float) -> DataFrame:
@@ -62,9 +66,13 @@ def _words(text: Column) -> Column:
 
 
 def _key(seed: int, *others: Column) -> Column:
-    """A row's place in the shuffle, and what tells it from others: a hash of seed, id, source, text and what else is given."""
-    parts = [F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.col("source"), F.lit("-")), F.coalesce(F.col("text"), F.lit("")), *others]
-    return F.md5(F.concat_ws(":", *parts).cast("binary")).alias("key")
+    """A row's place in the shuffle, and what tells it from others: a hash of seed, id, source, text and what else is given.
+
+    Every part says how long it is, and null is no length, so no two rows are spelled alike.
+    """
+    parts = [F.col("doc_id").cast("string"), F.col("source"), F.col("text"), *others]
+    told = [F.coalesce(F.concat(F.char_length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts]
+    return F.md5(F.concat(F.lit(f"{seed}:"), *told).cast("binary")).alias("key")
 
 
 def _served(rows: DataFrame, weights: Sequence[float], budget: float, cap: int) -> DataFrame:
@@ -92,26 +100,72 @@ def _served(rows: DataFrame, weights: Sequence[float], budget: float, cap: int)
     parts = placed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PILE))))
     each = parts.withColumn("i", F.explode(F.sequence(F.col("part") * PILE, F.least(F.col("n"), (F.col("part") + 1) * PILE) - 1)))
     each = each.withColumn("served", F.col("first") + (F.col("i") + 1) * F.col("size"))  # words of the source up to the document's end
-    # The budget is spent at virtual time 1, when a source has served its target: what of a pass ends later is cut off.
-    stop, taken = F.floor(F.col("target") + 1e-6), F.lit(0)  # a float's last digits must not cost a word
-    for k in range(cap):
-        late = F.greatest(F.lit(0), k * F.col("source_size") + F.col("served") - stop)
-        taken = taken + F.greatest(F.lit(0), F.col("size") - late)
-    return each.select("doc_id", "key", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), F.try_divide("served", "target").alias("finish"))
+    each = materialize(each.select("doc_id", "key", "i", "size", "source", "source_size", "target", "served"), "mix-queue")
+    return _cut(each, math.floor((targets.agg(F.sum("target")).first()[0] or 0.0) + 1e-6), cap)  # a float's last digits must not cost a word
+
+
+def _packet(idx: Column) -> tuple[Column, Column]:
+    """Words and virtual finish time of a document's packet number idx, counted on through all passes."""
+    each = F.greatest(F.ceil(F.col("size") / PACKET), F.lit(1))
+    turn, j = F.floor(idx / each), idx % each
+    upto = F.least((j + 1) * PACKET, F.col("size"))
+    return upto - j * PACKET, F.try_divide(turn * F.col("source_size") + F.col("served") - F.col("size") + upto, F.col("target"))
+
+
+def _cut(each: DataFrame, budget: int, cap: int) -> DataFrame:
+    """each (one row a document) with taken and finish: the words of its packets before the cut in the global order of finish times."""
+    packets = F.ceil(F.col("size") / PACKET) * cap
+    words, finish = _packet(F.col("idx"))
+    served = each.where("size > 0 AND target > 0")
+    none = each.withColumns({"taken": F.lit(0).cast("long"), "finish": F.try_divide("served", "target")})
+    if not served.limit(1).count():
+        return none
+    order = served.select("key", "i", "size", "source_size", "target", "served", F.explode(F.sequence(F.lit(0), packets.cast("int") - 1)).alias("idx")).select("key", "i", "idx", words.alias("words"), finish.alias("finish"))
+    # The order is cut into ranges of finish times, about as many as packets in each; only the range with the cut is put in order.
+    ranges = max(1, math.isqrt(served.agg(F.sum(packets)).first()[0]))
+    within = F.floor(F.least(F.col("finish"), F.lit(4.0)) * ranges).cast("long")
+    totals = order.groupBy(within.alias("range")).agg(F.sum("words").alias("words"))
+    upto = F.sum("words").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
+    at = totals.select("range", (upto - F.col("words")).alias("before"), upto.alias("upto")).where(F.col("upto") >= budget).orderBy("range").limit(1).collect()
+    if at and budget:
+        inside = F.sum("words").over(Window.orderBy("finish", "key", "i", "idx").rowsBetween(Window.unboundedPreceding, 0)) + at[0]["before"]
+        last = order.where(within == at[0]["range"]).withColumn("upto", inside).where(F.col("upto") >= budget).orderBy("upto").limit(1).first()
+        cut = F.struct(F.lit(last["finish"]).alias("f"), F.lit(last["key"]).alias("k"), F.lit(last["i"]).alias("i"), F.lit(last["idx"]).cast("long").alias("x"))
+        left = F.lit(last["upto"] - budget)  # of the packet at the cut
+    elif budget:
+        cut, left = None, F.lit(0)  # all that there is fits
+    else:
+        return none
+
+    def taken_of(idx: Column) -> Column:
+        some, when = _packet(idx)
+        mine = F.struct(when.alias("f"), F.col("key").alias("k"), F.col("i").alias("i"), idx.cast("long").alias("x"))
+        return some if cut is None else F.when(mine < cut, some).when(mine == cut, some - left).otherwise(F.lit(0))
+
+    # Whole passes before the cut, and passes after it, need no look at their packets.
+    total, count = F.lit(0).cast("long"), F.ceil(F.col("size") / PACKET)
+    for turn in range(cap):
+        last_at, first_at = _packet(count * (turn + 1) - 1)[1], _packet(count * turn)[1]
+        one_by_one = F.aggregate(F.sequence(count * turn, count * (turn + 1) - 1), F.lit(0).cast("long"), lambda a, x: a + taken_of(x))
+        words_of = one_by_one if cut is None else F.when(last_at < last["finish"], F.col("size")).when(first_at > last["finish"], F.lit(0)).otherwise(one_by_one)
+        total = total + words_of
+    return each.withColumns({"taken": F.when((F.col("size") > 0) & (F.col("target") > 0), total).otherwise(F.lit(0)).cast("long"), "finish": F.try_divide("served", "target")})
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, cap: int = 2, seed: int = 17) -> DataFrame:
     """The mix itself: docs' own columns, whole documents repeated as served, in order of virtual finish time.
 
     A document is emitted once for each pass of which at least half its words are served.
+    A document without words is emitted for each pass in which its place is served (once, where its source has no words).
     Rows are range-partitioned by finish time, so the files, read in order, are the mix. Every row
     has its own share, whatever ids repeat: a row is known by 128 bits over all its columns.
     Rows alike in all columns are the same row served several times.
     """
     key = _key(seed, *[F.to_json(F.struct(F.struct(docs[f"`{c}`"]).alias("c"))) for c in docs.columns if c not in ("doc_id", "source", "text")])
     sizes = materialize(docs.select("doc_id", "source", _words(docs["text"]).alias("size"), key), "mix-sizes")
-    served = _served(sizes, weights, budget, cap).where("taken > 0").withColumn("pass", F.col("source_size") / F.col("target"))
-    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    served = _served(sizes, weights, budget, cap).withColumn("pass", F.coalesce(F.try_divide("source_size", "target"), F.lit(0.0))).withColumn("finish", F.coalesce("finish", F.lit(0.0)))
+    reached = sum([(F.col("served") + k * F.col("source_size") <= F.col("target") + 1e-6).cast("int") for k in range(cap)], F.lit(0))
+    copies = F.when(F.col("size") > 0, F.floor(F.try_divide("taken", "size") + 0.5)).when(F.col("source_size") > 0, reached).otherwise(1).cast("int")
     rows = docs.select(packed(docs), key.alias("row_key"))
     if sizes.groupBy("key").count().where("count > 1").limit(1).count():
         rows = rows.dropDuplicates(["row_key"])
