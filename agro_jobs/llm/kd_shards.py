@@ -3,15 +3,17 @@
 Documents are points in metadata space: the ranks of their source and language, and their
 size. A node is split across its widest dimension, relative to the whole table's range, at
 the byte-weighted median, until every leaf holds the target share of bytes. Copies of one
-text are one point (their smallest source and language), so they stay in one shard unless a
-group is itself too large to balance; then it is split by document.
+text are one point (their smallest source and language) and are told from other texts by
+hashes of the text, so they stay in one shard: a cut that falls into a group goes to its nearer side. Only a
+group with more than `GROUP_SHARE` of a shard's bytes is itself too large to balance; it is split by document.
 
 The weighted median is found by refining histograms: all nodes of a level are counted into
 at most BINS bins each, the bin that holds the median is refined next, and only that bin's
 bounds reach the driver. No row is sorted or moved for it, and no value can be hot.
 
 Nulls: a null text has 0 bytes and a null source or language comes first. Empty tables give
-no rows; repeated rows are separate documents, split like others; other columns are ignored.
+no rows; repeated rows are separate documents and copies of one text; other columns are ignored, whatever their
+names. Texts are only measured and hashed, whatever their length. Ties are broken by hashes of text, then row.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ BINS = 1 << 16
 TOLERANCE = 0.0005  # of a node's bytes: a median this near is taken, so that ties need no breaking
 ROWS_PER_CHUNK, PILE = 50_000, 1 << 16
 DIMS = ("source_key", "lang_key", "size")
-KEYS = ("text_crc32", "row_key")  # 32 bits each; ties are broken by these, in this order
+KEYS = ("text_crc32", "text_key", "row_key")  # 32 bits each; ties are broken by these, in this order
+GROUP_SHARE = 0.25  # of a shard's bytes: a group of equal texts up to this stays whole
 
 
 def _ranked(rows: DataFrame, name: str) -> DataFrame:
@@ -51,7 +54,9 @@ def points(docs: DataFrame) -> DataFrame:
     copies = groups.where("n > 1").select(F.col("text_hash").alias("th"), F.col("size").alias("sz"), "sk", "lk")
     out = ranked.join(copies, (F.col("text_hash") == F.col("th")) & (F.col("size") == F.col("sz")), "left")
     return materialize(
-        out.withColumn("source_key", F.coalesce("sk", "source_key")).withColumn("lang_key", F.coalesce("lk", "lang_key")).drop("th", "sz", "sk", "lk", "text_hash"), "shard-points"
+        out.withColumn("source_key", F.coalesce("sk", "source_key")).withColumn("lang_key", F.coalesce("lk", "lang_key")).withColumn("text_key", F.shiftrightunsigned("text_hash", 32))
+        .drop("th", "sz", "sk", "lk", "text_hash"),
+        "shard-points",
     )
 
 
@@ -63,8 +68,8 @@ def _is_left(dim: str, cut: list[int]) -> Column:
     return left
 
 
-def _medians(rows: DataFrame, nodes: dict[int, dict]) -> dict[int, list[int]]:
-    """The cut of each node {node: {dim, lo, hi, share}}; rows have a node column."""
+def _medians(rows: DataFrame, nodes: dict[int, dict], whole: float) -> dict[int, list[int]]:
+    """The cut of each node {node: {dim, lo, hi, share}}; rows have a node column. Groups of at most `whole` bytes stay whole."""
     active = {k: {**v, "prefix": [], "key": 0, "rest": None} for k, v in nodes.items()}
     cuts: dict[int, list[int]] = {}
     while active:
@@ -87,6 +92,7 @@ def _medians(rows: DataFrame, nodes: dict[int, dict]) -> dict[int, list[int]]:
             .withColumn("cum", F.sum("w").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
             .withColumn("want", F.coalesce(share, portion * F.col("total")))
             .where((F.col("cum") - F.col("w") < F.col("want")) & (F.col("cum") >= F.col("want")))
+            .select("node", "bin", "w", "cum", "want", "total")
             .collect()  # one row per node
         )
         for r in found:
@@ -95,7 +101,7 @@ def _medians(rows: DataFrame, nodes: dict[int, dict]) -> dict[int, list[int]]:
             lo = v["lo"] + int(r["bin"]) * v["width"]
             hi = min(v["hi"], lo + v["width"] - 1)
             before, after = r["want"] - (r["cum"] - r["w"]), r["cum"] - r["want"]
-            last = lo == hi and v["key"] == len(KEYS)
+            last = lo == hi and (v["key"] == len(KEYS) or v["key"] == len(KEYS) - 1 and r["w"] <= whole)
             if min(before, after) <= TOLERANCE * v["rest"] or last:
                 cuts[r["node"]] = [*v["prefix"], lo if before <= after else hi + 1]
                 del active[r["node"]]
@@ -118,6 +124,7 @@ def kd_tree(rows: DataFrame, shards: int) -> tuple[DataFrame, list[dict]]:
     """
     at = rows.withColumn("node", F.lit(1))
     leaves, splits, spread = {1: (0, shards)}, [], None
+    whole = GROUP_SHARE * (rows.agg(F.sum("size")).first()[0] or 0) / shards
     while any(n > 1 for _, n in leaves.values()):
         open_nodes = {k: v for k, v in leaves.items() if v[1] > 1}
         bounds = {
@@ -140,7 +147,7 @@ def kd_tree(rows: DataFrame, shards: int) -> tuple[DataFrame, list[dict]]:
             break
         node = F.col("node")
         moved = node
-        for k, cut in _medians(at, todo).items():
+        for k, cut in _medians(at, todo, whole).items():
             first, n = leaves.pop(k)
             leaves[2 * k], leaves[2 * k + 1] = (first, n // 2), (first + n // 2, n - n // 2)
             splits.append({"node": k, "dim": todo[k]["dim"], "cut": cut})
