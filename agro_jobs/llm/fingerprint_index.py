@@ -11,11 +11,13 @@ there are FANOUT of them. Verification: a stretch with n >= 2 repeats whole; whe
 several g, the stretches' windows are compared one by one (by a 64-bit hash of all their words
 next to the 64-bit h).
 
-Texts are read again to verify and to place what repeats, filtered by a bitmap of fixed size (BITS bits, whatever the
-input); it only saves work, as an exact join follows.
+Texts are read again to verify and to place what repeats. Where the wanted fingerprints are few enough, a broadcast bitmap
+with BITS_EACH bits for each of them keeps all others out before the exact join; it has MOST_BITS at most. Where they are
+more, texts are first joined by the fingerprints of their stretches, and only those that hold a wanted one are read again.
 
 Nulls: a null text has no words. Copies and repeated rows count as occurrences each. Empty
-tables give no rows; other columns are ignored.
+tables give no rows; other columns are ignored. A task holds one text at a time, whatever its length. Ties don't arise:
+every window is judged by itself.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from pyspark.sql import functions as F
 
 from agro_jobs.llm import common as C
 
-WINDOW, GRAM, FANOUT, BITS = 35, 14, 2, 1 << 23
+WINDOW, GRAM, FANOUT = 35, 14, 2
+BITS_EACH, MOST_BITS = 16, 1 << 28  # the largest bitmap has 32 MB
 POSTING = "h long, g long, k1 long, k2 int, first int, count int"
 
 
@@ -124,20 +127,48 @@ def _map_postings(window: int, bitmap):
     return run
 
 
-def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h.view(np.uint64) & np.uint64(BITS - 1)
+def _map_heads(window: int):
+    """(h, k1, k2) of every stretch, each once for a text of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k1, k2 = b.column("k1").to_numpy(), b.column("k2").to_numpy()
+            for at, _, data, off in C.text_chunks(b, "text"):
+                h, _, doc, *_ = _stretches(data, off, window)
+                p = _first_of_each(doc, h)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[p].view(np.int64), k1[at + doc[p]], k2[at + doc[p]])], names=["h", "k1", "k2"])
+
+    return run
+
+
+def _in(bits: np.ndarray | None, h: np.ndarray) -> np.ndarray:
+    if bits is None:
+        return np.ones(len(h), bool)
+    at = h.view(np.uint64) & np.uint64(64 * len(bits) - 1)
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
 
 
 def bitmap(df: DataFrame, column: str):
-    """A broadcast bitmap of BITS bits: which low bits occur in the column. At most BITS / 64 rows reach the driver."""
-    at = df.select(F.col(column).bitwiseAND(BITS - 1).alias("at"))
-    rows = at.groupBy(F.shiftright("at", 6).alias("a")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("b")).toPandas()
-    bits = np.zeros(BITS // 64, np.uint64)
-    bits[rows["a"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).view(np.uint64)
+    """A broadcast bitmap: which low bits occur in the column, with BITS_EACH bits for each row of df or more; null where that is over MOST_BITS."""
+    rows = df.count()
+    if rows * BITS_EACH > MOST_BITS:
+        return df.sparkSession.sparkContext.broadcast(None)
+    size = 1 << max(16, (rows * BITS_EACH - 1).bit_length())
+    at = df.select(F.col(column).bitwiseAND(size - 1).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("a")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("b")).toPandas()  # at most as many as rows
+    bits = np.zeros(size // 64, np.uint64)
+    bits[words["a"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
     return df.sparkSession.sparkContext.broadcast(bits)
 
 
+def holding(texts: DataFrame, wanted: DataFrame, bits, window: int) -> DataFrame:
+    """The texts to read for stretches whose h is wanted: all where a bitmap tells, else those that a join of h leaves."""
+    if bits.value is not None:
+        return texts
+    keys = texts.mapInArrow(_map_heads(window), "h long, k1 long, k2 int").join(wanted.select("h"), "h", "left_semi").select("k1", "k2").distinct()
+    return texts.join(keys, ["k1", "k2"], "left_semi").select(texts.columns)
+
+
 class FingerprintIndex:
     """Runs of (h, g, n): tables bucketed and sorted by h and g."""
 
@@ -193,13 +224,15 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, batches: int = 2) ->
         index.append(batch.mapInArrow(_map_counts(window), "h long, g long, n long"))
     known = index.table()
     split = C.materialize(known.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "substring-split")
-    windows = texts.mapInArrow(_map_windows(window, bitmap(split, "h")), "h long, g long, i int, w long")
+    bits = bitmap(split, "h")
+    windows = holding(texts, split, bits, window).mapInArrow(_map_windows(window, bits), "h long, g long, i int, w long")
     windows = C.materialize(windows.join(split, "h", "left_semi").distinct(), "substring-windows")
     again = windows.groupBy("h", "w").agg(F.count("*").alias("c")).where("c > 1").select("h", "w")
     partial = windows.join(again, ["h", "w"], "left_semi").groupBy("h", "g").agg(F.collect_set("i").alias("part"))  # a stretch has at most `window` windows
     whole = known.where("n > 1").select("h", "g", F.lit(True).alias("whole"))
     flags = C.materialize(whole.join(partial, ["h", "g"], "full"), "substring-flags")
-    postings = texts.mapInArrow(_map_postings(window, bitmap(flags, "h")), POSTING)
+    bits = bitmap(flags, "h")
+    postings = holding(texts, flags, bits, window).mapInArrow(_map_postings(window, bits), POSTING)
     found = postings.join(flags, ["h", "g"])
     ranges = F.when(F.col("whole"), F.array(F.struct(F.col("first").alias("from"), (F.col("first") + F.col("count") - 1 + window).alias("to")))).otherwise(
         F.transform("part", lambda i: F.struct((F.col("first") + i).alias("from"), (F.col("first") + i + window).alias("to")))
@@ -266,6 +299,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, batches: int = 2) ->
     """doc_id, n_words, n_removed, kept_sha256, one row per row of docs."""
     ranges, texts = repeated_ranges(docs, window, batches), keyed(docs)
     bits = bitmap(ranges, "k1")
+    if bits.value is None:  # too many texts to tell by a bitmap: the join finds those without ranges too
+        return texts.join(ranges, ["k1", "k2"], "left").select("doc_id", "text", "ranges").mapInArrow(_map_removed, DIGEST)
     untouched = texts.mapInArrow(_map_untouched(bits), DIGEST)
     flagged = texts.mapInArrow(_map_flagged(bits), "doc_id long, text string, k1 long, k2 int")
     removed = flagged.join(ranges, ["k1", "k2"], "left").select("doc_id", "text", "ranges").mapInArrow(_map_removed, DIGEST)

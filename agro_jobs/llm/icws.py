@@ -248,7 +248,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, name: str) -> DataFrame:
     """a, b, similarity, plain of the pairs."""
     from agro_jobs.llm.fingerprint_index import _map_flagged, bitmap  # noqa: PLC0415
 
-    ids = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
+    ids = C.materialize(pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct(), f"{name}-ids")
     near = texts.mapInArrow(_map_flagged(bitmap(ids, "k1")), "k1 long, text string").join(ids, "k1", "left_semi").dropDuplicates(["k1"])
     near = C.materialize(near, f"{name}-texts")
     # A leader meets many texts: its own text goes to as many places as it has HUB pairs, so that no task holds them all.
