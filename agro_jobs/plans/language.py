@@ -43,8 +43,8 @@ GREEDY = (
     "m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len(term) DESC, no, start) AS rk FROM (SELECT doc_id, start, stop, term, type, no FROM located JOIN terms ON lower(token) = term "
     "UNION ALL SELECT doc_id, start, stop2, term, type, no FROM (SELECT doc_id, start, lower(token) || ' ' || lower(lead(token) OVER w) AS pair, lead(stop) OVER w AS stop2, lead(gap) OVER w = ' ' AS whole FROM located WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) JOIN terms ON whole AND pair = term)), "
     "c AS (SELECT a.doc_id, a.rk, b.rk AS before FROM m a JOIN m b ON a.doc_id = b.doc_id AND b.rk < a.rk AND a.start < b.stop AND b.start < a.stop), "
-    "g AS (SELECT 0 AS it, doc_id, rk, 0 AS s FROM m UNION ALL SELECT x.it + 1, x.doc_id, x.rk, CASE WHEN x.s <> 0 THEN x.s WHEN coalesce(max(CAST(p.s = 1 AS INT)), 0) = 1 THEN 2 WHEN coalesce(max(CAST(p.s = 0 AS INT)), 0) = 1 THEN 0 ELSE 1 END FROM g x LEFT JOIN c ON c.doc_id = x.doc_id AND c.rk = x.rk LEFT JOIN g p ON p.doc_id = c.doc_id AND p.rk = c.before WHERE x.it < 60 GROUP BY x.it, x.doc_id, x.rk, x.s), "
-    "kept AS (SELECT m.* FROM m JOIN g USING (doc_id, rk) WHERE it = 60 AND s = 1), spans AS (SELECT doc_id, type, substr(text, start + 1, stop - start) AS span, min(rk) AS rk FROM kept JOIN documents USING (doc_id) GROUP BY ALL)"
+    "met AS (SELECT doc_id, rk FROM c UNION SELECT doc_id, before FROM c), g AS (SELECT 0 AS it, doc_id, rk, 0 AS s FROM met UNION ALL SELECT x.it + 1, x.doc_id, x.rk, CASE WHEN x.s <> 0 THEN x.s WHEN coalesce(max(CAST(p.s = 1 AS INT)), 0) = 1 THEN 2 WHEN coalesce(max(CAST(p.s = 0 AS INT)), 0) = 1 THEN 0 ELSE 1 END FROM g x LEFT JOIN c ON c.doc_id = x.doc_id AND c.rk = x.rk LEFT JOIN g p ON p.doc_id = c.doc_id AND p.rk = c.before WHERE EXISTS (SELECT 1 FROM g WHERE s = 0) GROUP BY x.it, x.doc_id, x.rk, x.s), "
+    "kept AS (SELECT * FROM m ANTI JOIN met USING (doc_id, rk) UNION ALL SELECT m.* FROM m JOIN g USING (doc_id, rk) WHERE s = 1 AND it = (SELECT max(it) FROM g)), spans AS (SELECT doc_id, type, substr(text, start + 1, stop - start) AS span, min(rk) AS rk FROM kept JOIN documents USING (doc_id) GROUP BY ALL)"
 )
 
 
