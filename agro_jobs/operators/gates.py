@@ -100,6 +100,12 @@ def cell_balance(rows: DataFrame, a: str, a_values: Sequence[str], b: str, b_val
     return cells.join(F.broadcast(top)).withColumn("passed", (F.col("n") > 0) & (F.col("n") >= least * F.col("_top"))).drop("_top")
 
 
+def vocabulary_use(rows: DataFrame, vocabulary: DataFrame, key: Sequence[str]) -> DataFrame:
+    """type, term, n, unused: how often every term of the vocabulary (term, type) stands in the texts, those that never do too."""
+    used = marks.hits(rows, vocabulary.select("term", "type"), key).groupBy("type", "term").agg(F.count("*").alias("n"))
+    return vocabulary.select("type", "term").join(used, ["type", "term"], "left").fillna(0, ["n"]).withColumn("unused", F.col("n") == 0)
+
+
 def token_shares(rows: DataFrame, text: str = "text", locations: str = "locations") -> DataFrame:
     """word, n, inside: how often each token is used, and how often in the head of a location span (before its first comma)."""
     def words(c: Column) -> Column:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from agro_jobs.functions import activity as A
 from agro_jobs.functions import text as X
-from agro_jobs.operators import convo, gates, generate, marks, ml, nearwords, noise
+from agro_jobs.functions import timewords, timex
+from agro_jobs.operators import convo, gates, generate, marks, ml, nearwords, noise, spans
 from agro_jobs.plans.more import picked
 from agro_jobs.plans.moving import BACK, OPERATION, TURN, _as_stream, _run
 from agro_jobs.plans.registry import query
@@ -178,6 +180,68 @@ def _(spark, d):
     return gates.cell_balance(corpus_rows(spark, d), "intent", ["INFORMATION", "COMPARISON", "ADVICE"], "activity", ["NONE", "SPRAY", "TRAVEL"])
 
 
+@query(
+    "vocabulary_use",
+    f"WITH {FILLED}, vo AS (" + " UNION ALL ".join(f"SELECT '{k}' AS type, unnest([{', '.join(repr(t) for t in ts)}]) AS term" for k, ts in X.ENTITIES.items()) + "), n AS (SELECT type, term, sum(len(regexp_extract_all(lower(text), '\\b' || term || '\\b'))) AS n FROM vo CROSS JOIN made GROUP BY 1, 2) SELECT type, term, CAST(n AS BIGINT) AS n, n = 0 AS unused FROM n",
+)
+def _(spark, d):
+    return gates.vocabulary_use(phrased(spark, d), marks.vocabulary(spark, X.ENTITIES), ["row_id"])
+
+
+CUES = {"spray": "SPRAY", "take the": "TRAVEL", "leave": "TRAVEL", "wait": "SPRAY", "fine to take": "OUTDOOR_ACTIVITY"}
+
+
+@query(
+    "activity_cues",
+    f"WITH {FILLED} SELECT row_id, CASE WHEN frame = 'a1' THEN activity WHEN contains(lower(text), 'fine to take') THEN 'OUTDOOR_ACTIVITY' WHEN contains(lower(text), 'take the') THEN 'TRAVEL' WHEN contains(lower(text), 'spray') THEN 'SPRAY' WHEN contains(lower(text), 'leave') THEN 'TRAVEL' WHEN contains(lower(text), 'wait') THEN 'SPRAY' END AS activity FROM made",
+)
+def _(spark, d):
+    return phrased(spark, d).select("row_id", spans.activity_of(F.col("text"), CUES, F.when(F.col("frame") == "a1", F.col("activity"))).alias("activity"))
+
+
+PAYLOAD = "'{\"intent\": \"' || CASE p_partkey % 3 WHEN 0 THEN 'ADVICE' WHEN 1 THEN 'NONSENSE' ELSE 'HISTORY' END || '\", \"variables\": [\"RAIN\", \"' || p_brand || '\"], \"places\": [\"' || p_name || '\", \"' || p_type || '\"]}'"
+
+
+@query(
+    "coerced_payloads",
+    "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'ADVICE' WHEN 1 THEN 'FORECAST' ELSE 'HISTORY' END AS intent, CASE WHEN p_brand = 'Brand#7' THEN 'RAIN,Brand#7' ELSE 'RAIN' END AS variables, array_to_string(list_filter([p_name, p_type], lambda x: contains(lower('rain at ' || upper(p_name)), lower(x))), ',') AS places FROM part",
+)
+def _(spark, d):
+    rows = table(spark, d, "part").selectExpr("p_partkey", f"{PAYLOAD} AS payload", "'rain at ' || upper(p_name) AS text")
+    got = rows.select("p_partkey", spans.coerced(F.col("payload"), F.col("text"), ("FORECAST", "ADVICE", "HISTORY"), ("RAIN", "Brand#7")).alias("c"))
+    return got.select("p_partkey", "c.intent", F.array_join("c.variables", ",").alias("variables"), F.array_join("c.places", ",").alias("places"))
+
+
+def _at(n, seed: int) -> str:
+    return f"(CAST('0x' || left(md5('{seed}:' || CAST(p_partkey AS VARCHAR)), 8) AS BIGINT) % {n})"
+
+
+@query(
+    "surface_forms",
+    "WITH p AS (SELECT p_partkey, p_name, p_name || ', ' || p_type AS q, CASE WHEN p_partkey % 2 = 0 THEN ['C' || CAST(p_size AS VARCHAR), p_brand] ELSE [] END AS codes, CASE WHEN p_partkey % 3 > 0 THEN [p_name || 'x', substr(p_name, 2), reverse(p_name)] ELSE [] END AS typos FROM part), "
+    f"f AS (SELECT *, CASE WHEN len(codes) > 0 AND {_at(100, 0)} < 8 THEN 'code' WHEN len(typos) > 0 AND {_at(100, 0)} < 32 THEN 'misspelt' WHEN {_at(100, 0)} < 52 THEN 'qualified' ELSE 'plain' END AS form FROM p), "
+    f"w AS (SELECT *, CASE form WHEN 'code' THEN codes[CAST({_at('greatest(len(codes), 1)', 1)} AS INT) + 1] WHEN 'misspelt' THEN typos[CAST({_at('greatest(len(typos), 1)', 2)} AS INT) + 1] WHEN 'qualified' THEN q ELSE p_name END AS said FROM f) SELECT p_partkey, form, CASE WHEN {_at(100, 3)} < 25 AND form <> 'code' THEN lower(said) ELSE said END AS span FROM w",
+)
+def _(spark, d):
+    none = "cast(array() AS ARRAY<STRING>)"
+    p = table(spark, d, "part").selectExpr("p_partkey", "p_name", "p_name || ', ' || p_type AS q", f"CASE WHEN p_partkey % 2 = 0 THEN array('C' || CAST(p_size AS STRING), p_brand) ELSE {none} END AS codes", f"CASE WHEN p_partkey % 3 > 0 THEN array(p_name || 'x', substr(p_name, 2), reverse(p_name)) ELSE {none} END AS typos")
+    said = generate.surface(F.col("p_name"), F.col("q"), F.col("codes"), F.col("typos"), F.col("p_partkey"))
+    return p.select("p_partkey", said.alias("s")).select("p_partkey", "s.form", "s.span")
+
+
+@query(
+    "derived_labels",
+    f"WITH {FILLED}, t AS (SELECT row_id, min_by(span, i) AS said FROM spot WHERE s = 'time' GROUP BY 1) SELECT row_id, CASE activity WHEN 'SPRAY' THEN 'AGRICULTURE' ELSE activity END AS action, CASE WHEN activity = 'TRAVEL' THEN coalesce(CASE (SELECT min_by(span, i) FROM spot WHERE spot.row_id = made.row_id AND s = 'transport') "
+    + " ".join(f"WHEN '{t}' THEN '{A.SYNONYMS.get(t, t)}'" for t in WORDS["transport"])
+    + " END, 'car') ELSE '' END AS sub_activity, said AS time, CASE said WHEN 'today' THEN 'TODAY' WHEN '3 pm' THEN 'CLOCK' WHEN 'tomorrow' THEN 'TOMORROW' WHEN 'next week' THEN 'WEEK' WHEN 'yesterday' THEN 'PAST' WHEN 'last week' THEN 'PAST' ELSE 'NONE' END AS bucket FROM made LEFT JOIN t USING (row_id)",
+)
+def _(spark, d):
+    rows = corpus_rows(spark, d)
+    said = F.get("times", F.lit(0))
+    sub = A.sub_activity(F.col("activity"), F.col("entities"), F.col("text"))
+    return rows.select("row_id", A.group(F.col("activity")).alias("action"), sub.alias("sub_activity"), said.alias("time"), timex.bucket(timewords.canonical(said, guess=False)).alias("bucket"))
+
+
 NAMED = "[A-Z][a-z]{2,}(?: [a-z]+)?"
 
 

@@ -16,6 +16,7 @@ from agro_jobs.functions import text as X
 from agro_jobs.functions.timewords import canonical
 from agro_jobs.operators import convo, gates, generate, marks, ml, nearwords, noise, places, runs
 from agro_jobs.plans import catalogue, language
+from agro_jobs.sources import feeds
 from agro_jobs.streaming import jobs
 
 TOKEN = re.compile(r"\d+:\d+|\d+[a-zA-Z]+|[A-Za-z]+|\d+|[^\w\s]")
@@ -423,3 +424,11 @@ def test_feedback_is_compacted(spark, tmp_path):
 def test_stream_equals_batch(spark, data, name):
     stream = {"idle_chats": "stream_idle_chats", "conversation_fold": "stream_conversation"}[name]
     assert sorted(map(str, catalogue.QUERIES[name](spark, data).collect())) == sorted(map(str, catalogue.QUERIES[stream](spark, data).collect()))
+
+
+def test_log_over_jdbc(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/log;create=true"
+    rows = spark.createDataFrame([(i, f"turn {i}") for i in range(50)], "id int, text string")
+    rows.write.format("jdbc").options(url=url, dbtable="turns", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
+    got = feeds.log(spark, url, "turns", 50, 4)
+    assert sorted(tuple(r) for r in got.collect()) == [(i, f"turn {i}") for i in range(50)] and got.rdd.getNumPartitions() == 4
