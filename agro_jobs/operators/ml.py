@@ -8,12 +8,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, HashingTF, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agro_jobs.functions.text import bound, clean_text, tokens
 from agro_jobs.operators import marks
-from agro_jobs.sources.shared import written
+from agro_jobs.sources.shared import shared, written
 
 
 def _grams(word: F.Column, n: int) -> F.Column:
@@ -106,6 +106,13 @@ def holdout(key: str, share: float = 0.15, seed: int = 13) -> F.Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(10_000)) < int(share * 10_000)
 
 
+def _without_summary(model: LogisticRegressionModel, spark: SparkSession) -> LogisticRegressionModel:
+    """The model, saved and read again: its training summary would take the session along to the executors, which can't be sent once it observes anything."""
+    path = shared(spark, "head")
+    model.save(path)
+    return LogisticRegressionModel.load(path)
+
+
 def label_heads(train: DataFrame, labels: str, classes: Sequence[str], features: str = "features") -> dict[str, LogisticRegressionModel | float]:
     """A yes/no classifier for each class of an array column; a class that all rows or none have gets its share instead.
 
@@ -116,7 +123,7 @@ def label_heads(train: DataFrame, labels: str, classes: Sequence[str], features:
     out: dict[str, LogisticRegressionModel | float] = {}
     for i, c in enumerate(classes):
         k = shares[f"c{i}"]
-        out[c] = float(bool(k)) if k in (0, shares["n"]) else lr.fit(train.withColumn("_y", F.array_contains(labels, c).cast("double")))
+        out[c] = float(bool(k)) if k in (0, shares["n"]) else _without_summary(lr.fit(train.withColumn("_y", F.array_contains(labels, c).cast("double"))), train.sparkSession)
     return out
 
 

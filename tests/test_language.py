@@ -335,7 +335,8 @@ def test_cut_is_the_best_of_all(spark):
     assert ml.best_cut(ml.calibrated(df.withColumn("gold", F.array(F.lit("none"))), "gold", classes)) == ml.NO_CUT
 
 
-def test_heads_learn_and_fall_back(spark, data):
+def test_heads_learn_and_fall_back(spark, data, tmp_path):
+    feeds.write_rows(spark.range(3).toDF("id"), f"file://{tmp_path}/rows", ["id"])  # a session that has observed something
     rows = catalogue.QUERIES["multi_label_heads"](spark, data).collect()
     tp = sum(len(set(r["labels"]) & set(r["said"])) for r in rows)
     assert 2 * tp / (sum(len(r["labels"]) for r in rows) + sum(len(r["said"]) for r in rows)) > 0.8
