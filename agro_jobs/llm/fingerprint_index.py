@@ -36,6 +36,7 @@ from agro_jobs.llm import common as C
 
 WINDOW, GRAM, FANOUT = 35, 14, 2
 BITS_EACH, MOST_BITS = 16, 1 << 28  # the largest bitmap has 32 MB
+PART_WORDS = 1 << 13  # a bitmap reaches the driver in parts of 64 KB
 POSTING = "h long, g long, k1 long, k2 int, first int, count int"
 
 
@@ -148,6 +149,14 @@ def _in(bits: np.ndarray | None, h: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
 
 
+def _part(words: pa.Table) -> pa.Table:
+    """One part of a bitmap (part, bits) from its words (a, b), PART_WORDS at most."""
+    a = words.column("a").to_numpy()
+    bits = np.zeros(PART_WORDS, np.int64)
+    bits[a % PART_WORDS] = words.column("b").to_numpy()
+    return pa.table({"part": pa.array([int(a[0]) // PART_WORDS], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+
 def bitmap(df: DataFrame, column: str):
     """A broadcast bitmap: which low bits occur in the column, with BITS_EACH bits for each row of df or more; null where that is over MOST_BITS."""
     rows = df.count()
@@ -155,9 +164,13 @@ def bitmap(df: DataFrame, column: str):
         return df.sparkSession.sparkContext.broadcast(None)
     size = 1 << max(16, (rows * BITS_EACH - 1).bit_length())
     at = df.select(F.col(column).bitwiseAND(size - 1).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("a")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("b")).toPandas()  # at most as many as rows
+    words = at.groupBy(F.shiftright("at", 6).alias("a")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("b"))
+    parts = words.groupBy((F.col("a") / PART_WORDS).cast("long").alias("part")).applyInArrow(_part, "part long, bits binary")
     bits = np.zeros(size // 64, np.uint64)
-    bits[words["a"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+    for row in parts.toLocalIterator():  # parts as they are in the bitmap, one partition after the other
+        begin = row["part"] * PART_WORDS
+        end = min(begin + PART_WORDS, len(bits))
+        bits[begin:end] = np.frombuffer(row["bits"], np.uint64)[: end - begin]
     return df.sparkSession.sparkContext.broadcast(bits)
 
 

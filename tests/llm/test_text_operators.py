@@ -32,6 +32,25 @@ def test_word_bounds_do_not_cross_documents():
     assert [(bytes(data[a:b]).decode(), int(x)) for a, b, x in zip(s, e, d, strict=True)] == [("ab", 0), ("cd", 2), ("é", 2)]
 
 
+def test_bitmap_reaches_the_driver_in_few_parts(spark, monkeypatch):
+    def refused(self):
+        raise AssertionError("one row a word of the bitmap")
+
+    frame = type(spark.range(1))
+    seen, rows_of = [], frame.toLocalIterator
+    monkeypatch.setattr(frame, "toPandas", refused)
+    monkeypatch.setattr(frame, "toLocalIterator", lambda self, *a, **k: (seen.append(r["part"]) or r for r in rows_of(self, *a, **k)))
+    df = spark.range(70_000).selectExpr("xxhash64(id) AS h")
+    bits = fingerprint_index.bitmap(df, "h").value
+    want = np.zeros(len(bits) * 64, bool)
+    want[np.array([r["h"] & (len(want) - 1) for r in df.collect()])] = True
+    assert (np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool) == want).all()
+    assert sorted(seen) == list(range(len(bits) // fingerprint_index.PART_WORDS)) and len(seen) > 1
+    few = fingerprint_index.bitmap(spark.createDataFrame([(-1,), (0,)], "h long"), "h").value
+    assert len(few) * 64 == 1 << 16 and few[0] == 1 and few[-1] == 1 << 63 and not few[1:-1].any()
+    assert not fingerprint_index.bitmap(spark.createDataFrame([], "h long"), "h").value.any()
+
+
 def test_sliding_argmin():
     x = np.random.default_rng(0).integers(0, 9, 200)
     for w in (1, 2, 7, 30):
