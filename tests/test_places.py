@@ -31,3 +31,26 @@ def test_far_points_look_at_few_spots(spark):
     each = spots.selectExpr("0 AS kind", "lat AS lat2", "lon AS lon2", "id AS item").dropDuplicates(["lat2", "lon2"])
     met = grids._found(points.where("point_id < 500").selectExpr("0 AS kind", "lat", "lon"), each, F.lit(0.0), None, True)
     assert met.count() < 200 * 100  # of 600,200 pairs
+
+
+def greedy(cities, most):
+    names, countries, out = set(), {}, set()
+    for i, name, country, _ in sorted(cities, key=lambda c: (-(c[3] if c[3] is not None else -math.inf), c[0])):
+        if name.lower() not in names and countries.get(country, 0) < most:
+            names.add(name.lower())
+            countries[country] = countries.get(country, 0) + 1
+            out.add(i)
+    return out
+
+
+def test_full_countries_refuse_all_smaller_cities_at_once(spark, monkeypatch):
+    rnd, schema = random.Random(4), "id long, name string, country int, population long"
+    for n, names, most in ((400, 60, 4), (300, 9, 2), (50, 50, 1)):
+        cities = [(i, f"{rnd.choice('Cc')}ity {rnd.randrange(names)}", rnd.choice([None, 1, 2, 3, 4, 5]), rnd.choice([None, *range(40)])) for i in range(n)]
+        assert {r["id"] for r in places.capped_cities(spark.createDataFrame(cities, schema), most).collect()} == greedy(cities, most)
+    # Names that all want into one full country with one small city after the other: these were rounds, one each.
+    crowd = [(0, "a", 1, 1000)] + [(1 + i, "b", 1, 500 - i) for i in range(60)] + [(100 + i, f"n{i}", 1 + i % 2, 900 - i) for i in range(40)]
+    writes, real = [], places.written
+    monkeypatch.setattr(places, "written", lambda *a: writes.append(a[1]) or real(*a))
+    assert {r["id"] for r in places.capped_cities(spark.createDataFrame(crowd, schema), 1).collect()} == greedy(crowd, 1)
+    assert len(writes) < 12
