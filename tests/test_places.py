@@ -54,3 +54,23 @@ def test_full_countries_refuse_all_smaller_cities_at_once(spark, monkeypatch):
     monkeypatch.setattr(places, "written", lambda *a: writes.append(a[1]) or real(*a))
     assert {r["id"] for r in places.capped_cities(spark.createDataFrame(crowd, schema), 1).collect()} == greedy(crowd, 1)
     assert len(writes) < 12
+
+
+def test_geo_match_against_brute_force(spark):
+    rnd = random.Random(9)
+    codes = [(i, rnd.choice(["Agra", "agra ", "Élan"]), rnd.choice([None, "AGRA", "elan"]), rnd.choice(["a", "b", None]), rnd.uniform(20, 30), rnd.uniform(70, 80), rnd.choice([None, *range(50)])) for i in range(900)]
+    asked = [(i, rnd.choice(["agra", "Elan", "Pune"]), rnd.choice(["a", "b", "c", None]), rnd.uniform(18, 32), rnd.uniform(68, 82)) for i in range(300)]
+    a = spark.createDataFrame(asked, "id long, name string, class string, lat double, lon double")
+    b = spark.createDataFrame(codes, "id long, name string, ascii string, class string, lat double, lon double, population long")
+    fold = {"Agra": "agra", "agra ": "agra", "Élan": "elan", "AGRA": "agra", "elan": "elan", "agra": "agra", "Elan": "elan", "Pune": "pune"}
+    for radius in (60.0, 400.0):
+        want = {}
+        for i, name, of, lat, lon in asked:
+            near = [(of and c[3] and (c[3] == of), c, km(lat, lon, c[4], c[5])) for c in codes if fold[name] in (fold[c[1]], fold[c[2] or c[1]])]
+            near = [((-1 if of is None or c[3] is None else int(right), -1 if c[6] is None else c[6], -c[0]), c[0]) for right, c, k in near if k <= radius]
+            if near:
+                want[i] = max(near)[1]
+        got = {r["id"]: r["code_id"] for r in places.geo_match(a, b, radius).collect()}
+        assert got == want
+    each = b.select(F.lit(0).alias("kind"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.struct("population", (-F.col("id")).alias("first")).alias("item"))
+    assert grids._found(a.selectExpr("0 AS kind", "lat", "lon"), each, F.lit(0.0), 400.0, False).count() < 270_000 / 4
