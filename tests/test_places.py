@@ -74,3 +74,37 @@ def test_geo_match_against_brute_force(spark):
         assert got == want
     each = b.select(F.lit(0).alias("kind"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.struct("population", (-F.col("id")).alias("first")).alias("item"))
     assert grids._found(a.selectExpr("0 AS kind", "lat", "lon"), each, F.lit(0.0), 400.0, False).count() < 270_000 / 4
+
+
+@pytest.fixture(scope="module")
+def namesakes(spark, data, tmp_path_factory):
+    """30,000 parts of two names: half a billion pairs of namesakes."""
+    at = tmp_path_factory.mktemp("namesakes")
+    name = "CASE id % 2 WHEN 0 THEN 'red bolt' ELSE 'Red bolt north' END AS p_name"
+    some = spark.range(30_000).selectExpr("id AS p_partkey", name, "'Brand#' || id % 3 AS p_brand", "CASE WHEN id % 5 = 0 THEN 'redbox' ELSE 'LARGE' END AS p_type", "CAST(1 AS INT) AS p_size", "CAST(1 AS DOUBLE) AS p_retailprice")
+    some.write.parquet(f"{at}/part.parquet")
+    return str(at)
+
+
+def test_qualified_namesakes(spark, namesakes):
+    begun = time.time()
+    got = {r["span_id"]: (r["n"], r["first"]) for r in catalogue.QUERIES["resolve_qualified"](spark, namesakes).collect()}
+    assert time.time() - begun < 100
+    # 0: name and brand; 1: name and type; 2: nowhere (the name cut off its last word is no help); 3: the name.
+    want = {}
+    for i in range(30_000):
+        mine = [j for j in range(i % 2, 30, 2) if i % 4 == 3 or (i % 4 == 0 and j % 3 == i % 3) or (i % 4 == 1 and (j % 5 == 0) == (i % 5 == 0))]
+        if i % 4 != 2:
+            want[i] = (len(mine) * 1000, mine[0])
+    assert got == want
+
+
+def test_qualified_rows_are_all_that_fit(spark):
+    known = [(1, "Rampur", "UP", "Rampur"), (2, "rampur", "Bihar", "UP"), (3, "rampur", None, "Gaya"), (4, "gaya", "Bihar", None)]
+    gazetteer = spark.createDataFrame(known, "id long, name string, state string, district string")
+    said = ["Rampur, up", "rampur gaya", "rampur", "rampur,", "rampur xyz", "in gaya", "Rampur, Uttar P", None, "gaya, bihar!"]
+    spans = spark.createDataFrame(list(enumerate(said)), "span_id long, span string")
+    got = {}
+    for r in places.resolve_qualified(spans, gazetteer, {"uttar p": "UP"}).collect():
+        got.setdefault((r["span_id"], r["head"], r["qualifier"]), set()).add(r["id"])
+    assert got == {(0, "rampur", "up"): {1, 2}, (1, "rampur", "gaya"): {3}, (2, "rampur", None): {1, 2, 3}, (3, "rampur", None): {1, 2, 3}, (6, "rampur", "uttar p"): {1}, (8, "gaya", "bihar"): {4}}
