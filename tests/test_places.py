@@ -108,3 +108,25 @@ def test_qualified_rows_are_all_that_fit(spark):
     for r in places.resolve_qualified(spans, gazetteer, {"uttar p": "UP"}).collect():
         got.setdefault((r["span_id"], r["head"], r["qualifier"]), set()).add(r["id"])
     assert got == {(0, "rampur", "up"): {1, 2}, (1, "rampur", "gaya"): {3}, (2, "rampur", None): {1, 2, 3}, (3, "rampur", None): {1, 2, 3}, (6, "rampur", "uttar p"): {1}, (8, "gaya", "bihar"): {4}}
+
+
+def test_exact_namesakes(spark, namesakes):
+    begun = time.time()
+    got = {r["span_id"]: (r["head"], r["n"], r["first"]) for r in catalogue.QUERIES["resolve_exact"](spark, namesakes).collect()}
+    assert time.time() - begun < 100
+    want = {}
+    for i in range(30_000):  # with " north", six letters of it, with ", somewhere"
+        if i % 3 != 1:
+            odd = i % 2 == 1 or i % 3 == 0
+            want[i] = ("red bolt north" if odd else "red bolt", 15_000, int(odd))
+            if i % 2 == 1 and i % 3 == 0:  # "red bolt north north" is cut after its third word
+                want[i] = ("red bolt north", 15_000, 1)
+    assert got == want
+
+
+def test_exact_rows_are_all_of_a_name(spark):
+    gazetteer = spark.createDataFrame([(1, "Agra"), (2, "agra"), (3, "agra fort"), (4, "delhi")], "id long, name string")
+    spans = spark.createDataFrame([(0, "Agra Fort, UP"), (1, "agra x y"), (2, "AGRA"), (3, "nowhere"), (4, None), (5, "AGRA")], "span_id long, span string")
+    got = sorted((r["span_id"], r["head"], r["id"]) for r in places.resolve_exact(spans, gazetteer).collect())
+    assert got == [(0, "agra fort", 3), (1, "agra", 1), (1, "agra", 2), (2, "agra", 1), (2, "agra", 2), (5, "agra", 1), (5, "agra", 2)]
+    assert places.known_heads(spans, gazetteer).count() == 4
