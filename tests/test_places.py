@@ -130,3 +130,12 @@ def test_exact_rows_are_all_of_a_name(spark):
     got = sorted((r["span_id"], r["head"], r["id"]) for r in places.resolve_exact(spans, gazetteer).collect())
     assert got == [(0, "agra fort", 3), (1, "agra", 1), (1, "agra", 2), (2, "agra", 1), (2, "agra", 2), (5, "agra", 1), (5, "agra", 2)]
     assert places.known_heads(spans, gazetteer).count() == 4
+
+
+def test_ranked_namesakes(spark, namesakes):
+    begun = time.time()
+    got = {r["span_id"]: (r["best"], r["ambiguous"]) for r in catalogue.QUERIES["resolve_rank_ambiguous"](spark, namesakes).collect()}
+    assert time.time() - begun < 100
+    # The broadest level of the even names is the state, of the odd ones the district; both stand in several states.
+    assert set(got.values()) <= {(0, True), (1, True)} and len(got) >= 20_000
+    assert all(best == (i % 2) for i, (best, _) in got.items() if i % 3 == 2)
