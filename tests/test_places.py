@@ -139,3 +139,22 @@ def test_ranked_namesakes(spark, namesakes):
     # The broadest level of the even names is the state, of the odd ones the district; both stand in several states.
     assert set(got.values()) <= {(0, True), (1, True)} and len(got) >= 20_000
     assert all(best == (i % 2) for i, (best, _) in got.items() if i % 3 == 2)
+
+
+def test_most_local_names_in_a_crowd(spark):
+    rnd = random.Random(11)
+    levels = [*places.LEVEL_RANK, "odd", None]
+    crowd = [(i, rnd.choice([f"p{i}", f"p{i} (CT)", "(x)", None]), rnd.choice(levels), 20 + rnd.random(), 77 + rnd.random()) for i in range(800)] + [(2000 + i, f"q{i}", "village", 20.5, 77.5) for i in range(400)]
+    points = [(i, 19.8 + 1.5 * rnd.random(), 76.8 + 1.5 * rnd.random()) for i in range(150)] + [(900, 20.5, 77.5), (901, -40.0, 10.0), (902, None, None)]
+    a, b = spark.createDataFrame(points, "point_id long, lat double, lon double"), spark.createDataFrame(crowd, "id long, name string, level string, lat double, lon double")
+    for within in (4.0, 25.0):
+        want = {}
+        for p, lat, lon in points:
+            near = [((-places.LEVEL_RANK.get(c[2], -1), round(km(lat, lon, c[3], c[4]), 6), c[0]), c[1]) for c in crowd if lat is not None]
+            name = min(((k, n) for k, n in near if k[1] <= within), key=lambda x: x[0], default=(None, None))[1]
+            want[p] = (name or "").replace(" (CT)", "").replace("(x)", "") or "your location"
+        assert {r["point_id"]: r["name"] for r in places.named_point(a, b, within=within).collect()} == want
+    at, spots = a.selectExpr("0 AS kind", "lat", "lon"), b.selectExpr("0 AS kind", "lat AS lat2", "lon AS lon2", "id AS item")
+    assert grids.nearest(at, spots, 25.0).count() <= len(points)
+    met = grids._found(at.dropna(), spots.dropDuplicates(["lat2", "lon2"]), F.lit(0.0), 25.0, True)
+    assert met.count() < 150 * 60  # places meet points after the copies of a spot are one, and no farther than the nearest may be
