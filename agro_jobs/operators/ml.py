@@ -13,26 +13,28 @@ from pyspark.sql import functions as F
 
 from agro_jobs.functions.text import bound, clean_text, tokens
 from agro_jobs.operators import marks
-from agro_jobs.sources.shared import shared, written
+from agro_jobs.sources.shared import shared, spread, written
 
 
-def _grams(word: F.Column, n: int) -> F.Column:
-    """All runs of n letters of a word; none of a shorter one."""
-    runs = F.transform(F.sequence(F.lit(1), F.char_length(word) - (n - 1)), lambda i: F.substring(word, i, F.lit(n)))
-    return F.when(F.char_length(word) >= n, runs).otherwise(F.array().cast("array<string>"))
+def _pairs(words: F.Column) -> F.Column:
+    """The words and all pairs of neighbours; every step is linear, whatever the text's length."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.concat(words, F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
-def grams(rows: DataFrame, text: str = "text") -> DataFrame:
-    """rows with words (one and two) and chars (three to five inside word boundaries)."""
+def _inside(said: F.Column) -> F.Column:
+    """All runs of three to five letters of every word with a blank on either side; `said` has single blanks between words.
 
-    def pairs(w):
-        return F.concat(w, F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.slice(w, i, 2)))).otherwise(F.array().cast("array<string>")))
+    Words are set two blanks apart, and a run may not hold both.
+    """
+    apart = F.concat(F.lit(" "), F.replace(said, F.lit(" "), F.lit("  ")), F.lit(" "))
+    return F.concat(*[F.regexp_extract_all(apart, F.lit(rf"(?!.{{0,{n - 2}}}  )(?=(.{{{n}}}))"), F.lit(1)) for n in (3, 4, 5)])
 
-    def inside(padded):
-        return F.concat(*[_grams(padded, n) for n in (3, 4, 5)])
 
-    said = F.split(clean_text(F.col(text)), " ")
-    return rows.withColumns({"words": bound(said, pairs), "chars": F.flatten(F.transform(F.transform(said, lambda w: F.concat(F.lit(" "), w, F.lit(" "))), inside))})
+def grams(rows: DataFrame, text: str = "text") -> DataFrame:
+    """rows with words (one and two) and chars (three to five inside word boundaries)."""
+    said = clean_text(F.col(text))
+    return rows.withColumns({"words": bound(F.split(said, " "), _pairs), "chars": bound(said, _inside)})
 
 
 def tfidf(rows: DataFrame, features: int = 1 << 14) -> tuple[PipelineModel, DataFrame]:
@@ -41,23 +43,16 @@ def tfidf(rows: DataFrame, features: int = 1 << 14) -> tuple[PipelineModel, Data
     for c in ("words", "chars"):
         stages += [HashingTF(inputCol=c, outputCol=f"tf_{c}", numFeatures=features), IDF(inputCol=f"tf_{c}", outputCol=f"idf_{c}", minDocFreq=2)]
     stages.append(VectorAssembler(inputCols=["idf_words", "idf_chars"], outputCol="features"))
-    ready = grams(rows)
+    ready = grams(spread(rows))
     model = Pipeline(stages=stages).fit(ready)
     return model, model.transform(ready)
 
 
 def terms(text: F.Column) -> F.Column:
     """ARRAY<STRUCT<kind, term>>: words of two letters or more and pairs of them, and three to five letters of every word with its blanks."""
-    def pairs(w: F.Column) -> F.Column:
-        return F.concat(w, F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.slice(w, i, 2)))).otherwise(F.array().cast("array<string>")))
-
-    def inside(w: F.Column) -> F.Column:
-        padded = F.concat(F.lit(" "), w, F.lit(" "))
-        return F.concat(*[_grams(padded, n) for n in (3, 4, 5)])
-
     said = clean_text(F.coalesce(text, F.lit("")))
-    words = bound(F.regexp_extract_all(said, F.lit("[a-z0-9]{2,}"), F.lit(0)), pairs)
-    chars = F.flatten(F.transform(F.array_remove(F.split(said, " "), ""), inside))
+    words = bound(F.regexp_extract_all(said, F.lit("[a-z0-9]{2,}"), F.lit(0)), _pairs)
+    chars = bound(said, _inside)
 
     def of(kind: str, found: F.Column) -> F.Column:
         return F.transform(found, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))

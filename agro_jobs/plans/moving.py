@@ -9,7 +9,7 @@ from agro_jobs.functions import text as X
 from agro_jobs.operators import convo, ml
 from agro_jobs.plans.registry import query
 from agro_jobs.plans.views import ansi, clean_readings, view, with_clean
-from agro_jobs.sources.shared import shared
+from agro_jobs.sources.shared import shared, spread
 from agro_jobs.streaming import jobs
 
 
@@ -107,6 +107,7 @@ def _(spark, d):
 def _(spark, d):
     rows = view(spark, d, "corpus").select("row_id", "text", "split", "activity")
     _, ready = ml.tfidf(rows, 1 << 10)
+    ready = ml.written(ready.select("row_id", "split", "activity", "features"), "heads")  # read by every step of the fit
     model = ml.head(ready.where("split = 'train'"), "activity")
     return model.transform(ready.where("split != 'train'").withColumn("weight", F.lit(1.0))).select("row_id", "activity", "activity_hat")
 

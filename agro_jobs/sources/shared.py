@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared(spark: SparkSession, name: str = "job") -> str:
@@ -22,3 +26,17 @@ def written(rows: DataFrame, name: str = "rows") -> DataFrame:
     path = shared(rows.sparkSession, name)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt over all cores, where their files come in fewer pieces: a file of one row group is one task, however long each row takes."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(3 * cores)
+
+
+def once_each(rows: DataFrame, by: Sequence[str], **made: Column) -> DataFrame:
+    """rows with the columns `made`, which depend on the columns `by` alone and are worked out once for each of their values."""
+    values = spread(written(rows.select(*by).distinct(), "values"))
+    told = written(values.select(*[F.col(c).alias(f"_{c}") for c in by], *[m.alias(name) for name, m in made.items()]), "told")
+    same = reduce(and_, [rows[c].eqNullSafe(told[f"_{c}"]) for c in by])
+    return rows.join(told, same, "left").drop(*[f"_{c}" for c in by])
