@@ -67,7 +67,7 @@ def term_weights(rows: DataFrame, key: Sequence[str], text: str = "text", least:
     """
     least = least or {"word": 1, "char": 2}
     n = rows.count()
-    counted = rows.select(*key, F.explode(terms(F.col(text))).alias("t")).groupBy(*key, "t.kind", "t.term").agg(F.count("*").alias("tf"))
+    counted = spread(rows).select(*key, F.explode(terms(F.col(text))).alias("t")).groupBy(*key, "t.kind", "t.term").agg(F.count("*").alias("tf"))
     counted = written(counted, "terms")
     df = counted.groupBy("kind", "term").agg(F.count("*").alias("df")).where(F.coalesce(*[F.when(F.col("kind") == k, F.col("df") >= v) for k, v in least.items()]))
     raw = counted.join(df, ["kind", "term"]).withColumn("raw", F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0))
