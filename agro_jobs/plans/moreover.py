@@ -11,6 +11,7 @@ from agro_jobs.plans.registry import query
 from agro_jobs.plans.texts import AS_OF, ASKED, csql, gsql
 from agro_jobs.plans.texts import _asked as phrases
 from agro_jobs.plans.views import ansi, table, view
+from agro_jobs.sources.shared import once_each, spread
 
 # ---------------------------------------------------------------- time words
 
@@ -54,7 +55,8 @@ WRITTEN = (
 @query("normalize_time", "SELECT event_id, ([" + ", ".join(f"'{m}'" for _, m in WRITTEN) + f"])[CAST(event_id % {len(WRITTEN)} AS INT) + 1] AS meant FROM events")
 def _(spark, d):
     said = F.element_at(F.array(*[F.lit(s) for s, _ in WRITTEN]), (F.col("event_id") % len(WRITTEN)).cast("int") + 1)
-    return table(spark, d, "events").select("event_id", timewords.canonical(said).alias("meant"))
+    rows = table(spark, d, "events").select("event_id", said.alias("said"))
+    return once_each(rows, ["said"], meant=timewords.canonical(F.col("said"))).select("event_id", "meant")
 
 
 HOURS = "CASE event_id % 6 WHEN 0 THEN '07:30-11:00' WHEN 1 THEN '18:45' WHEN 2 THEN 'early morning' WHEN 3 THEN '2024-01-02t06:00 to 2024-01-02t11:59' WHEN 4 THEN 'next 3 days' ELSE 'whenever' END"
