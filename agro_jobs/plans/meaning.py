@@ -14,6 +14,7 @@ from agro_jobs.operators import asked
 from agro_jobs.plans.registry import query
 from agro_jobs.plans.texts import AS_OF
 from agro_jobs.plans.views import table
+from agro_jobs.sources.shared import once_each
 
 
 def sql_list(items) -> str:
@@ -118,8 +119,9 @@ def _said_word(words: dict[str, str]) -> str:
 )
 def _(spark, d):
     q = table(spark, d, "part").selectExpr("p_partkey", f"{WANTED} AS t", f"{pick_of(ACTIVITIES, 'p_partkey DIV 13')} AS activity")
-    q = q.withColumn("sub", A.sub_activity(F.col("activity"), X.entities(F.col("t")), F.col("t")))
-    return q.select("p_partkey", A.group(F.col("activity")).alias("grp"), "sub", A.venue(F.col("activity"), F.col("sub"), F.col("t")).alias("venue"))
+    sub = A.sub_activity(F.col("activity"), X.entities(F.col("t")), F.col("t"))
+    q = once_each(once_each(q, ["t", "activity"], sub=sub), ["t", "activity", "sub"], grp=A.group(F.col("activity")), venue=A.venue(F.col("activity"), F.col("sub"), F.col("t")))
+    return q.select("p_partkey", "grp", "sub", "venue")
 
 
 CUED = ("", "in detail", "just the number", "give me an overview, just the gist", "briefly", "walk me through it", "one line")
