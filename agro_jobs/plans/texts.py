@@ -9,6 +9,7 @@ from agro_jobs.functions import timex
 from agro_jobs.operators import audit, corpus, evaluate
 from agro_jobs.plans.registry import query
 from agro_jobs.plans.views import ansi, table, view
+from agro_jobs.sources.shared import once_each
 
 AS_OF = "DATE '2024-03-15'"
 #: A time phrase for each event, written from its own day and value.
@@ -38,7 +39,7 @@ WINDOW = (
 @query("resolve_window", WINDOW)
 def _(spark, d):
     w = timex.window(F.col("phrase"), F.expr(AS_OF))
-    return _asked(spark, d).select("event_id", w.alias("w")).select("event_id", F.col("w.start").alias("start"), F.col("w.end").alias("stop"))
+    return once_each(_asked(spark, d), ["phrase"], w=w).select("event_id", F.col("w.start").alias("start"), F.col("w.end").alias("stop"))
 
 
 @query("grain_for_span", f"SELECT event_id, days, CASE WHEN days <= 10 THEN 'hourly,daily' WHEN days <= 31 THEN 'daily' WHEN days <= 366 THEN 'daily,weekly,monthly' WHEN days <= 3653 THEN 'monthly,yearly' ELSE 'yearly' END AS grains FROM (SELECT event_id, date_diff('day', start, stop) + 1 AS days FROM ({WINDOW}))")
