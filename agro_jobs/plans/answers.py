@@ -8,6 +8,7 @@ from agro_jobs.operators import asked, audit, compare, evaluate, noise
 from agro_jobs.plans.registry import query
 from agro_jobs.plans.views import clean_readings, table, with_clean
 from agro_jobs.sources import feeds
+from agro_jobs.sources.shared import spread
 
 # ---------------------------------------------------------------- rows
 
@@ -107,7 +108,7 @@ def _(spark, d):
 
 @query("name_misspellings")
 def _(spark, d):
-    return table(spark, d, "part").select("p_partkey", "p_name", noise.misspellings(F.col("p_name"), F.col("p_partkey")).alias("misspelt"))
+    return spread(table(spark, d, "part").select("p_partkey", "p_name")).select("p_partkey", "p_name", noise.misspellings(F.col("p_name"), F.col("p_partkey")).alias("misspelt"))
 
 
 @query(
