@@ -114,7 +114,7 @@ def _(spark, d):
 
 @query("span_tag")
 def _(spark, d):
-    rows = view(spark, d, "corpus").select("row_id", "text", F.slice(F.split("text", " "), 2, 2).alias("spans"))
+    rows = spread(view(spark, d, "corpus").select("row_id", "text")).select("row_id", "text", F.slice(F.split("text", " "), 2, 2).alias("spans"))
     return ml.decoded(ml.token_rows(rows, "row_id", "text", "spans"), "row_id")
 
 
