@@ -13,7 +13,7 @@ from agro_jobs.plans.more import picked
 from agro_jobs.plans.moving import BACK, OPERATION, TURN, _as_stream, _run
 from agro_jobs.plans.registry import query
 from agro_jobs.plans.views import ansi, table, view
-from agro_jobs.sources.shared import shared
+from agro_jobs.sources.shared import shared, spread
 from agro_jobs.streaming import jobs
 
 # ---------------------------------------------------------------- tokens and terms
@@ -62,7 +62,7 @@ def common_terms(docs, n=150):
 
 @query("entity_spans", f"WITH RECURSIVE {located_sql('documents', 'doc_id', marks.WORD)}, {TERMS}, {GREEDY} SELECT doc_id, type, string_agg(span, '|' ORDER BY rk) AS spans, count(*) AS n FROM spans GROUP BY 1, 2")
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     found = marks.entities(docs, common_terms(docs), ["doc_id"])
     return found.select("doc_id", "type", F.array_join("spans", "|").alias("spans"), F.size("spans").cast("long").alias("n"))
 
