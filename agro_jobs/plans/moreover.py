@@ -150,7 +150,7 @@ def _(spark, d):
 
 @query("folded_names", r"SELECT doc_id, regexp_replace(lower(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g')), '^\s+|\s+$', '', 'g') AS key FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.folded("text").alias("key"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", X.folded("text").alias("key"))
 
 
 # ---------------------------------------------------------------- turns and labels
