@@ -158,3 +158,12 @@ def test_most_local_names_in_a_crowd(spark):
     assert grids.nearest(at, spots, 25.0).count() <= len(points)
     met = grids._found(at.dropna(), spots.dropDuplicates(["lat2", "lon2"]), F.lit(0.0), 25.0, True)
     assert met.count() < 150 * 60  # places meet points after the copies of a spot are one, and no farther than the nearest may be
+
+
+def test_chains_are_not_sent_to_the_driver(spark, monkeypatch):
+    plans, real = [], places.written
+    monkeypatch.setattr(places, "written", lambda rows, name: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or real(rows, name))
+    tree = spark.range(1, 40).selectExpr("id", "CASE WHEN id > 1 THEN id DIV 2 END AS parent_id", "'n' || id AS name")
+    got = {r["id"]: r["chain"] for r in places.chains(tree).collect()}
+    assert got[39] == ["n19", "n9", "n4", "n2", "n1"] and got[1] == [] and len(got) == 39
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
