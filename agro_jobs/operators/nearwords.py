@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from agro_jobs.sources.shared import dealt
+
 
 def deletions(word: Column, edits: Column | int) -> Column:
     """The word and what is left of it without up to `edits` letters, each once."""
@@ -25,10 +27,18 @@ def deletions(word: Column, edits: Column | int) -> Column:
 
 
 def near(a: DataFrame, b: DataFrame, left: str, right: str, edits: Column | int, other_edits: Column | int | None = None) -> DataFrame:
-    """left, right: candidate pairs of distinct words of a and b that share a deletion; every pair within `edits` is among them."""
-    x = a.select(left, F.explode(deletions(F.col(left), edits)).alias("_d"))
-    y = b.select(right, F.explode(deletions(F.col(right), edits if other_edits is None else other_edits)).alias("_d"))
-    return x.join(y, "_d").select(left, right).distinct()
+    """left, right: candidate pairs of distinct words of a and b that share a deletion; every pair within `edits` is among them.
+
+    A word has many deletions: words are dealt over all cores before those are made, which are joined by their hashes
+    and never broadcast. Where two deletions share a hash there is one more candidate.
+    """
+
+    def index(words: DataFrame, word: str, most: Column | int) -> DataFrame:
+        lost = F.transform(deletions(F.col(word), most), lambda d: F.xxhash64(d))
+        return dealt(words.select(word)).select(word, F.explode(lost).alias("_d"))
+
+    x, y = index(a, left, edits), index(b, right, edits if other_edits is None else other_edits)
+    return x.join(y.hint("merge"), "_d").select(left, right).distinct()
 
 
 def _blocks(a: str, b: str) -> int:

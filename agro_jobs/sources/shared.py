@@ -34,6 +34,11 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(3 * cores)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows dealt over all cores whatever their plan, for rows that become many times as many: not by a column, or a shuffle by it before would count as this one and be coalesced."""
+    return rows.repartition(3 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def once_each(rows: DataFrame, by: Sequence[str], **made: Column) -> DataFrame:
     """rows with the columns `made`, which depend on the columns `by` alone and are worked out once for each of their values."""
     values = spread(written(rows.select(*by).distinct(), "values"))
