@@ -52,18 +52,15 @@ GREEDY = (
 
 def common_terms(docs, n=150):
     """term, type, no: the commonest words of at least four letters and the commonest pairs of words."""
-    words = marks.located(docs, ["doc_id"], "text", marks.WORD).withColumn("token", F.lower("token"))
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    pairs = words.select(F.concat("token", F.lit(" "), F.lead("token").over(order)).alias("term"), (F.lead("gap").over(order) == " ").alias("whole")).where("whole")
-    top = [rows.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(n) for rows in (words.where(F.char_length("token") >= 4).select(F.col("token").alias("term")), pairs.select("term"))]
-    both = top[0].unionByName(top[1])  # a few hundred terms
+    runs = marks.word_runs(docs, [], "text", 2).select((F.col("end") - F.col("start")).alias("kind"), F.lower("span").alias("term"))
+    both = marks.commonest(runs.where((F.col("kind") == 2) | (F.char_length("term") >= 4)), n)  # a few hundred terms
     return both.select("term", F.concat(F.lit("kind "), (F.char_length("term") % 3).cast("string")).alias("type"), F.row_number().over(Window.orderBy(F.desc("n"), "term")).alias("no"))
 
 
 @query("entity_spans", f"WITH RECURSIVE {located_sql('documents', 'doc_id', marks.WORD)}, {TERMS}, {GREEDY} SELECT doc_id, type, string_agg(span, '|' ORDER BY rk) AS spans, count(*) AS n FROM spans GROUP BY 1, 2")
 def _(spark, d):
-    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
-    found = marks.entities(docs, common_terms(docs), ["doc_id"])
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = marks.entities(docs, common_terms(spread(docs)), ["doc_id"])
     return found.select("doc_id", "type", F.array_join("spans", "|").alias("spans"), F.size("spans").cast("long").alias("n"))
 
 

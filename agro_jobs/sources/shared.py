@@ -39,6 +39,12 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(3 * rows.sparkSession.sparkContext.defaultParallelism)
 
 
+def dealt_by(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The rows dealt by the columns `by` over all cores at least: what is then grouped by them, and by more, is shuffled no more, however many rows each has become."""
+    n = max(3 * rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(n, *by)
+
+
 def once_each(rows: DataFrame, by: Sequence[str], **made: Column) -> DataFrame:
     """rows with the columns `made`, which depend on the columns `by` alone and are worked out once for each of their values."""
     values = spread(written(rows.select(*by).distinct(), "values"))

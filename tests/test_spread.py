@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from agro_jobs.operators import ml
+from agro_jobs.operators import marks, ml
 from agro_jobs.sources.shared import once_each, spread
 
 
@@ -37,3 +39,28 @@ def test_grams_of_words(spark):
         words = re.sub(" +", " ", re.sub("[^a-z0-9:]+", " ", r["text"].lower())).strip().split(" ")
         assert r["words"] == words + [f"{a} {b}" for a, b in zip(words, words[1:])]
         assert sorted(r["chars"]) == sorted(p[i : i + n] for p in (f" {w} " for w in words) for n in (3, 4, 5) for i in range(len(p) - n + 1))
+
+
+def test_words_of_texts_are_not_shuffled(spark):
+    rows = spark.createDataFrame([(i, "red gram and Red gram " * 3) for i in range(20)], "id long, text string")
+    vocabulary = spark.createDataFrame([("red gram", "crop", 0), ("gram", "crop", 1), ("red", "colour", 2)], "term string, type string, no int")
+    found = marks.entities(rows, vocabulary, ["id"])
+    assert {(r["type"], *r["spans"]) for r in found.collect()} == {("crop", "red gram", "Red gram")}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Exchange hashpartitioning\((\w+)", plan.split("== Initial Plan ==")[0]) == ["id"]  # the texts, once
+
+
+def test_commonest_terms(spark):
+    rnd = random.Random(3)
+    for many, uses in ((40, 400), (6000, 9000), (3000, 3000)):  # few terms; many alike; all used about once
+        said = [(rnd.choice((1, 2)), f"w{min(rnd.randrange(many), rnd.randrange(many))}") for _ in range(uses)] + [(3, "alone")]
+        got = marks.commonest(spark.createDataFrame(said, "kind int, term string"), 20)
+        want = {(k, t, n) for kind in (1, 2, 3) for (k, t), n in sorted(((x, n) for x, n in Counter(said).items() if x[0] == kind), key=lambda x: (-x[1], x[0][1]))[:20]}
+        assert {(r["kind"], r["term"], r["n"]) for r in got.collect()} == want
+
+
+def test_matches_with_the_same_place(spark):
+    at = [(1, 0, 2, "b", 1), (1, 0, 2, "a", 0), (1, 2, 3, "lone", 5), (1, 3, 5, "c", 2), (1, 4, 6, "d", 1), (1, 5, 8, "e", 0), (2, 0, 1, "lone", 9), (2, 4, 5, "x", 1), (2, 4, 5, "y", 2)]
+    found = spark.createDataFrame(at, "id int, start int, end int, term string, no int")
+    got = {(r["id"], r["term"]) for r in marks.longest_first(found, ["id"], [F.col("no")]).collect()}
+    assert got == {(1, "a"), (1, "lone"), (1, "e"), (1, "c"), (2, "lone"), (2, "x")}
