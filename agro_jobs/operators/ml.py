@@ -8,11 +8,13 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, HashingTF, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from agro_jobs.functions.text import bound, clean_text, tokens
-from agro_jobs.operators import marks
+from agro_jobs.operators import hashed, marks
 from agro_jobs.sources.shared import shared, spread, written
 
 
@@ -37,13 +39,28 @@ def grams(rows: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumns({"words": bound(F.split(said, " "), _pairs), "chars": bound(said, _inside)})
 
 
+#: Fixed value: bytes of a row group of counts. A reader holds up to 4,096 rows of a group unpacked, 8 bytes for each count: with groups of the usual size, hundreds of MB a task.
+GROUP_BYTES = 1 << 20
+
+
+def gram_counts(rows: DataFrame, features: int = 1 << 14, text: str = "text") -> DataFrame:
+    """rows, but for their text, with n_words, n_chars (how many `grams`), tf_words and tf_chars: their counts as HashingTF makes them. Written once."""
+    said = rows.select(*[c for c in rows.columns if c != text], F.concat(F.lit(" "), F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(" ")).alias("_said"))
+    kept = T.StructType([f for f in said.schema if f.name != "_said"])
+
+    def schema(vector: T.DataType) -> T.StructType:
+        return T.StructType([*kept, T.StructField("n_words", T.IntegerType()), T.StructField("n_chars", T.IntegerType()), T.StructField("tf_words", vector), T.StructField("tf_chars", vector)])
+
+    path = shared(rows.sparkSession, "grams")
+    said.mapInArrow(lambda batches: hashed.gram_counts(batches, features), schema(VectorUDT.sqlType())).write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+    return rows.sparkSession.read.schema(schema(VectorUDT())).parquet(path)
+
+
 def tfidf(rows: DataFrame, features: int = 1 << 14) -> tuple[PipelineModel, DataFrame]:
-    """A fitted TF-IDF of both kinds of grams (hashed, so no vocabulary reaches the driver), and rows with features."""
-    stages = []
-    for c in ("words", "chars"):
-        stages += [HashingTF(inputCol=c, outputCol=f"tf_{c}", numFeatures=features), IDF(inputCol=f"tf_{c}", outputCol=f"idf_{c}", minDocFreq=2)]
+    """A fitted TF-IDF of both kinds of grams (hashed, so no vocabulary reaches the driver) over their `gram_counts`, and those with features."""
+    stages = [IDF(inputCol=f"tf_{c}", outputCol=f"idf_{c}", minDocFreq=2) for c in ("words", "chars")]
     stages.append(VectorAssembler(inputCols=["idf_words", "idf_chars"], outputCol="features"))
-    ready = grams(spread(rows))
+    ready = gram_counts(spread(rows), features)  # the texts are read once, every step of a fit reads their counts
     model = Pipeline(stages=stages).fit(ready)
     return model, model.transform(ready)
 

@@ -299,8 +299,7 @@ LANGS = ("the", "der", "que", "les")
 def _(spark, d):
     said = F.split(X.clean_text(F.col("text")), " ")
     turns = table(spark, d, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("row_id"), "text", F.filter(F.array(*map(F.lit, LANGS)), lambda w: F.array_contains(said, w)).alias("labels"))
-    _, ready = ml.tfidf(turns, 1 << 10)
-    ready = ml.written(ready.select("row_id", "labels", "features"), "heads")
+    ready = ml.tfidf(turns, 1 << 10)[1].select("row_id", "labels", "features")
     heads, cut = ml.multi_label(ready, "row_id", "labels", LANGS)
     return ml.label_scores(ready, heads).select("row_id", "labels", ml.chosen(F.col("scores"), LANGS, F.lit(cut)).alias("said"), F.lit(cut).alias("cut"))
 

@@ -100,14 +100,13 @@ def _(spark, d):
 @query("tfidf", f"WITH {ansi('corpus')}, w AS (SELECT row_id, string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9:]+', ' ', 'g'), ' +', ' ', 'g')), ' ') AS w FROM corpus) SELECT row_id, CAST(len(w) + greatest(len(w) - 1, 0) AS INT) AS words, CAST(list_sum(list_transform(w, lambda x: greatest(len(x), 0) + greatest(len(x) - 1, 0) + greatest(len(x) - 2, 0))) AS INT) AS chars FROM w")
 def _(spark, d):
     rows = view(spark, d, "corpus").select("row_id", "text")
-    return ml.tfidf(rows)[1].select("row_id", F.size("words").alias("words"), F.size("chars").alias("chars"))
+    return ml.tfidf(rows)[1].select("row_id", F.col("n_words").alias("words"), F.col("n_chars").alias("chars"))
 
 
 @query("heads_score")
 def _(spark, d):
     rows = view(spark, d, "corpus").select("row_id", "text", "split", "activity")
-    _, ready = ml.tfidf(rows, 1 << 10)
-    ready = ml.written(ready.select("row_id", "split", "activity", "features"), "heads")  # read by every step of the fit
+    ready = ml.tfidf(rows, 1 << 10)[1].select("row_id", "split", "activity", "features")
     model = ml.head(ready.where("split = 'train'"), "activity")
     return model.transform(ready.where("split != 'train'").withColumn("weight", F.lit(1.0))).select("row_id", "activity", "activity_hat")
 

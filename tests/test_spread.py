@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
 from agro_jobs.operators import marks, ml
@@ -64,3 +65,31 @@ def test_matches_with_the_same_place(spark):
     found = spark.createDataFrame(at, "id int, start int, end int, term string, no int")
     got = {(r["id"], r["term"]) for r in marks.longest_first(found, ["id"], [F.col("no")]).collect()}
     assert got == {(1, "a"), (1, "lone"), (1, "e"), (1, "c"), (2, "lone"), (2, "x")}
+
+
+def test_counts_of_grams_are_those_of_hashing_tf(spark):
+    rnd = random.Random(5)
+    texts = ["Rain  in Agra, at 5:30!", "", "a", "ab c", "  \u00e9 ", "x" * 41, "the the THE", "12:30 a: :", "\u212a \u0130i"]
+    texts += [" ".join("".join(rnd.choices("abcXYZ019:-\u00e9", k=rnd.randint(1, 14))) for _ in range(rnd.choice((1, 5, 90, 4000)))) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for features in (64, 1 << 10, 1000, 1 << 14):
+        want = ml.grams(rows)
+        for c in ("words", "chars"):
+            want = HashingTF(inputCol=c, outputCol=f"tf_{c}", numFeatures=features).transform(want)
+        want = {r["id"]: (len(r["words"]), len(r["chars"]), *[{int(i): r[c][int(i)] for i in r[c].indices} for c in ("tf_words", "tf_chars")]) for r in want.collect()}
+        got = {r["id"]: (r["n_words"], r["n_chars"], *[{i: v for i, v in enumerate(r[c].toArray()) if v} for c in ("tf_words", "tf_chars")]) for r in ml.gram_counts(rows, features).collect()}
+        assert got == want
+    assert ml.gram_counts(spark.createDataFrame([(1, None)], "id long, text string"), 64).first()["n_words"] == 1
+
+
+def test_texts_are_read_once_for_a_fit(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(i):
+        calls.add(1)
+        return f"some words {i}"
+
+    rows = spark.range(40).select("id", read("id").alias("text"))
+    ml.tfidf(rows, 64)[1].write.parquet(f"{tmp_path}/features")
+    assert calls.value == 40
